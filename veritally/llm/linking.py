@@ -8,15 +8,15 @@ belong together costs n candidates:
 2. components of the verified links are found;
 3. lists that still hold several components propose a second hub to the members of other
    components; and
-4. what is then still open is paired across components only. A pair within one component
-   can add nothing, so leaving it out is exact.
+4. what is then still open is paired across components only, under a cheap condition that every
+   link meets. A pair within one component can add nothing, so leaving it out is exact.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veritally.llm.tables import drop, materialise
@@ -46,11 +46,12 @@ def components(edges: DataFrame) -> DataFrame:
             return done
 
 
-def link(posts: DataFrame, verify: Callable[[DataFrame], DataFrame], hubs: int = 2) -> DataFrame:
+def link(posts: DataFrame, verify: Callable[[DataFrame], DataFrame], info: DataFrame, near: Callable[[str, str], Column], hubs: int = 2) -> DataFrame:
     """(node, component) of all nodes with a link.
 
     posts: (key, node, pri), a written table without repeated (key, node); a higher pri makes
-    a likelier hub. verify takes distinct pairs (a, b) and returns those that are links.
+    a likelier hub. verify takes distinct pairs (a, b) and returns those that are links. info has
+    a small struct ``info`` for each node; near takes the names of two and must hold for links.
     """
     best = posts.groupBy("key").agg(F.count("*").alias("n"), F.max(F.struct("pri", "node")).alias("top")).where("n > 1").select("key", F.col("top.node").alias("hub"))
     best = materialise(best, "hubs")
@@ -74,9 +75,9 @@ def link(posts: DataFrame, verify: Callable[[DataFrame], DataFrame], hubs: int =
             gone = [open_keys, rest]
         else:
             open_keys = materialise(open_keys.select("key"), "open")
-            left = materialise(of.join(open_keys, "key").select("key", "node", "component"), "left")
-            other = left.select("key", F.col("node").alias("other"), F.col("component").alias("other_of"))
-            pairs = _pairs(left.join(other, "key").where("component < other_of").select("node", "other"), "node", "other")
+            left = materialise(of.join(open_keys, "key").select("key", "node", "component").join(info, "node"), "left")
+            other = left.select("key", F.col("node").alias("other"), F.col("component").alias("other_of"), F.col("info").alias("other_info"))
+            pairs = _pairs(left.join(other, "key").where(F.expr("component < other_of") & near("info", "other_info")).select("node", "other"), "node", "other")
             gone = [open_keys, left]
         more = materialise(verify(pairs), "links")
         drop(of, *gone)

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veritally.llm import textnum as tn
@@ -21,6 +21,9 @@ from veritally.llm.tables import drop, materialise, only_ids
 #: With 64 coordinates a pair of similarity 0.85 has 54 matches on average, and under 40 about
 #: twice in a million pairs. A group of copies has many paths, so it is lost more rarely still.
 COORDINATES, MATCHES = 64, 40
+#: Bits of a set's parity sketch: each shingle flips one. Two sets differ in at least as many
+#: shingles as their sketches differ in bits, so the filter on it loses no link.
+PARITY = 1024
 
 _rng = np.random.default_rng(20240229)
 _MUL = _rng.integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -49,23 +52,23 @@ def _sets(batch: pa.RecordBatch, size: int):
 
 
 def signatures(docs: DataFrame, size: int = tn.SHINGLE) -> DataFrame:
-    """doc_id, n_shingles, f1 and f2 (a fingerprint of the set), sig (null for an empty set)."""
+    """doc_id, n_shingles, f1 and f2 (a fingerprint of the set), sig and parity (null for an empty set)."""
 
     def run(batches):
         for batch in batches:
             n = batch.num_rows
             count, f = np.zeros(n, np.int64), np.zeros((2, n), np.uint64)
-            sig, has = np.zeros((n, COORDINATES), np.uint64), np.zeros(n, bool)
+            sig, parity, has = np.zeros((n, COORDINATES), np.uint64), np.zeros((n, PARITY // 64), np.uint64), np.zeros(n, bool)
             for row, own in _sets(batch, size):
                 count[row], has[row] = len(own), True
                 sig[row] = _signature(own)
+                parity[row] = np.packbits(np.bincount((own % np.uint64(PARITY)).astype(np.int64), minlength=PARITY).astype(np.uint8) & 1).view(np.uint64)
                 with np.errstate(over="ignore"):
                     f[0, row], f[1, row] = own.sum(dtype=np.uint64), tn.mix(own ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)
-            ends = np.concatenate([[0], np.cumsum(has) * COORDINATES]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(sig[has].view(np.int64).ravel()), mask=pa.array(~has))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(count), pa.array(f[0].view(np.int64)), pa.array(f[1].view(np.int64)), lists], names=["doc_id", "n_shingles", "f1", "f2", "sig"])
+            lists = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(has) * x.shape[1]]).astype(np.int32)), pa.array(x[has].view(np.int64).ravel()), mask=pa.array(~has)) for x in (sig, parity)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(count), pa.array(f[0].view(np.int64)), pa.array(f[1].view(np.int64)), *lists], names=["doc_id", "n_shingles", "f1", "f2", "sig", "parity"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, sig array<long>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, sig array<long>, parity array<long>")
 
 
 def _shingle_sets(docs: DataFrame, size: int) -> DataFrame:
@@ -105,8 +108,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = tn.SHINGLE)
     """
     all_rows = materialise(signatures(docs, size), "signatures")
     # sets that are equal are one class, whose least document stands for it
-    classes = all_rows.where("n_shingles > 0 and doc_id is not null").groupBy("f1", "f2", "n_shingles").agg(F.min_by("sig", "doc_id").alias("sig"), F.min("doc_id").alias("node"))
-    classes = materialise(classes, "classes")
+    classes = all_rows.where("n_shingles > 0 and doc_id is not null").groupBy("f1", "f2", "n_shingles").agg(F.min_by(F.struct("sig", "parity"), "doc_id").alias("one"), F.min("doc_id").alias("node"))
+    classes = materialise(classes.select("f1", "f2", "n_shingles", "node", "one.sig", "one.parity"), "classes")
     posts = classes.select("node", F.explode("sig").alias("key"))
     shared = materialise(posts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared")
     # skip: a set with fewer shared coordinates than MATCHES has no partner
@@ -117,16 +120,21 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = tn.SHINGLE)
     texts = only_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), nodes, ["doc_id", "text"], "texts")
     sets = materialise(_shingle_sets(texts, size), "sets")
     drop(texts)
-    small = classes.select("node", "sig", "n_shingles")
+    info = classes.select("node", F.struct(F.col("n_shingles").alias("n"), "parity").alias("info"))
+
+    def near(x: str, y: str) -> Column:
+        """By sizes and parity sketches alone; true of every pair to be linked."""
+        apart = " + ".join(f"bit_count({x}.parity[{i}] ^ {y}.parity[{i}])" for i in range(PARITY // 64))
+        return F.expr(f"100 * least({x}.n, {y}.n) >= {percent} * greatest({x}.n, {y}.n) and {100 + percent} * ({apart}) <= {100 - percent} * ({x}.n + {y}.n)")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        of = lambda x: small.select(F.col("node").alias(x), F.col("sig").alias(f"sig_{x}"), F.col("n_shingles").alias(f"n_{x}"))
-        close = pairs.join(of("a"), "a").join(of("b"), "b").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b) and size(array_intersect(sig_a, sig_b)) >= {MATCHES}")
+        of = lambda x: classes.select(F.col("node").alias(x), F.struct(F.col("n_shingles").alias("n"), "parity", "sig").alias(f"of_{x}"))
+        close = pairs.join(of("a"), "a").join(of("b"), "b").where(near("of_a", "of_b") & F.expr(f"size(array_intersect(of_a.sig, of_b.sig)) >= {MATCHES}"))
         full = lambda x: sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s_{x}"))
         both = close.select("a", "b").join(full("a"), "a").join(full("b"), "b").withColumn("same", F.size(F.array_intersect("s_a", "s_b")))
         return both.where(f"100 * same >= {percent} * (size(s_a) + size(s_b) - same)").select("a", "b").distinct()
 
-    found = link(prefix, verify)
+    found = link(prefix, verify, info, near)
     drop(prefix, sets)
     of_class = materialise(classes.select("f1", "f2", "n_shingles", "node").join(found, "node", "left").select("f1", "f2", F.col("n_shingles").alias("n"), F.coalesce("component", "node").alias("component")), "members")
     drop(classes, found)
