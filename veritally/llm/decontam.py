@@ -58,9 +58,9 @@ def contaminated(docs: DataFrame, items: DataFrame, share: float = SHARE, size:
 
 #: The same pairs by brute force over all shingles, for DuckDB.
 ORACLE_SQL = """
-with d as (select doc_id as id, 0 as side, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), x -> x <> '') as w from documents
-  union all select item_id, 1, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), x -> x <> '') from benchmark),
-s as (select distinct side, id, unnest(list_transform(generate_series(1, len(w) - 4), i -> array_to_string(w[i:i+4], ' '))) as g from d where len(w) >= 5),
+with d as (select doc_id as id, 0 as side, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') as w from documents
+  union all select item_id, 1, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') from benchmark),
+s as (select distinct side, id, unnest(list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i:i+4], ' '))) as g from d where len(w) >= 5),
 n as (select id, count(*) as n_item from s where side = 1 group by id),
 p as (select a.id as doc_id, b.id as item_id, count(*) as n_shared from s a join s b on a.g = b.g and a.side = 0 and b.side = 1 group by 1, 2)
 select doc_id, item_id, cast(n_item as int) as n_item, cast(n_shared as int) as n_shared, n_shared / n_item as containment

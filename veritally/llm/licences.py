@@ -90,14 +90,14 @@ def scan(docs: DataFrame) -> DataFrame:
 def _oracle() -> str:
     normal = "trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g'))"
     case = f"case {normal} " + " ".join(f"when '{s}' then '{k}'" for k, s in SENTENCES.items()) + " end"
-    ids = lambda cut: f"list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '{cut}'), x -> {case}), x -> x is not null)"
+    ids = lambda cut: f"list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '{cut}'), lambda x: {case}), lambda x: x is not null)"
     like = lambda c, k: f"'|' || array_to_string({c}, '||') || '|' like '%{'%'.join(f'|{i}|' for i in k)}%'"
     rules = ", ".join(f"case when ({like('a', k)}) or ({like('b', k)}) then '{name}' end" for name, k in RULES)
     return f"""
 with s as (select doc_id, {ids(LINES)} as a, {ids(PARAGRAPHS)} as b from documents),
-r as (select doc_id, case when len(b) > len(a) then b else a end as best, list_filter([{rules}], x -> x is not null) as l from s)
+r as (select doc_id, case when len(b) > len(a) then b else a end as best, list_filter([{rules}], lambda x: x is not null) as l from s)
 select doc_id, cast(len(best) as int) as n_sentences, coalesce(array_to_string(best, ','), '') as sentences,
-  coalesce(array_to_string(list_filter(l, (x, i) -> list_position(l, x) = i), ','), '') as licences from r
+  coalesce(array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ','), '') as licences from r
 """
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritally.llm import decontam, langid, licences, line_dedup, near_dup, packing, quality, toxicity
+from veritally.llm import decontam, langid, licences, line_dedup, media_chunks, near_dup, packing, quality, token_output, toxicity
 from veritally.llm.tables import documents
 
 
@@ -24,6 +24,10 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
+def op3_content_defined_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_chunks.chunked_media(documents(spark, sf_dir))
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(documents(spark, sf_dir))
 
@@ -32,6 +36,12 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontam.contaminated(documents(spark, sf_dir), _table(spark, sf_dir, "benchmark"))
 
 
+def op6_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_output.token_blocks(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(documents(spark, sf_dir), _table(spark, sf_dir, "labels"))
 
@@ -51,8 +61,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_content_defined_media": op3_content_defined_media,
     "op4_license_scan": op4_license_scan,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
+    "op6_token_blocks": op6_token_blocks,
     "op7_toxicity": op7_toxicity,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_quality_classifier": op9_quality_classifier,
@@ -60,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_content_defined_media": op3_content_defined_media,
     "op4_license_scan": licences.ORACLE_SQL,
     "op5_benchmark_decontamination": decontam.ORACLE_SQL,
 }
