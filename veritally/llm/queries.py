@@ -72,7 +72,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
-    "op3_content_defined_media": op3_content_defined_media,
     "op4_license_scan": licences.ORACLE_SQL,
     "op5_benchmark_decontamination": decontam.ORACLE_SQL,
 }
