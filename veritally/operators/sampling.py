@@ -58,7 +58,7 @@ def mismatch_pairs(sample: DataFrame, pool: DataFrame, category: str, key: str,
     total = cats.agg(F.max("total").alias("all_n"))
     drawn = sample.join(F.broadcast(cats.drop("total")), category, "left").crossJoin(F.broadcast(total))
     drawn = drawn.withColumn("n", F.coalesce("n", F.lit(0))).withColumn("offset", F.coalesce("offset", F.lit(0))).where("all_n > n")
-    r = F.pmod(keyed_hash(F.lit(str(seed)), key), F.col("all_n") - F.col("n"))
+    r = F.pmod(keyed_hash(F.lit(str(seed)), key), F.greatest(F.col("all_n") - F.col("n"), F.lit(1)))
     drawn = drawn.withColumn("_r", r).withColumn("idx", F.col("_r") + F.when(F.col("_r") >= F.col("offset"), F.col("n")).otherwise(0))
     names = sample.columns
     source = indexed.select(F.col("idx"), F.col(category).alias("review_source_category"), F.col(pool_key).alias("review_source_review_id"), *[c for c in indexed.columns if c not in (category, pool_key, "idx") and c not in names])
