@@ -25,7 +25,7 @@ ORDERS, BITS = (1, 2, 3), 16
 RUNS, CLASSES = (2, 3, 5, 9, 17), 24
 FEATURES = (1 << BITS) + len(RUNS) + CLASSES + 1
 #: The bound of the rows that the model is fitted on.
-MAX_TRAIN = 6000
+MAX_TRAIN = 3000
 
 
 @dataclass
@@ -77,18 +77,19 @@ def _descend(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, c: float
     """Hinge loss with an L2 penalty, by dual coordinate descent; classes weigh the same."""
     sign = np.where(y == 1, 1.0, -1.0)
     upper = c * len(y) / 2 / np.where(y == 1, max(1, (y == 1).sum()), max(1, (y == 0).sum()))
-    values = [ratio[r] / max(np.sqrt((ratio[r] ** 2).sum()), 1e-6) for r in rows]
-    square = np.array([(v**2).sum() for v in values])
+    scale = np.array([1 / max(np.sqrt((ratio[r] ** 2).sum()), 1e-6) for r in rows])
+    square = np.array([((ratio[r] * k) ** 2).sum() for r, k in zip(rows, scale, strict=True)])
     w, alpha, rng = np.zeros(FEATURES), np.zeros(len(y)), np.random.default_rng(5)
     for _ in range(rounds):
         most = 0.0
         for i in rng.permutation(len(y)):
             if square[i] <= 0:
                 continue
-            gradient = sign[i] * (w[rows[i]] @ values[i]) - 1
+            value = ratio[rows[i]] * scale[i]
+            gradient = sign[i] * (w[rows[i]] @ value) - 1
             new = min(max(alpha[i] - gradient / square[i], 0.0), upper[i])
             if new != alpha[i]:
-                w[rows[i]] += (new - alpha[i]) * sign[i] * values[i]
+                w[rows[i]] += (new - alpha[i]) * sign[i] * value
                 most = max(most, abs(new - alpha[i]))
                 alpha[i] = new
         if most < 1e-3:

@@ -23,7 +23,7 @@ from veritally.llm.ngram_sets import fold, sample
 
 STEMS = (4, 5, 6)
 #: The bound of the rows that voters, label model and classifier are fitted on.
-MAX_TRAIN = 8000
+MAX_TRAIN = 4000
 MAX_VOTERS, MIN_FIRES = 256, 6
 
 #: Seed lexicon: common words of abuse.
@@ -153,6 +153,12 @@ def fit(texts: list[str | None], y: np.ndarray) -> Model:
     if len(set(y.tolist())) < 2:
         return Model(none, np.zeros(0), float(np.log(max(share, 1e-3) / max(1 - share, 1e-3))))
     hashed = _rows(texts)
+    # features of fewer than four rows have no use: most fall by the counts of their hashes' heads
+    heads = np.zeros(1 << 24, np.int32)
+    for r in hashed:
+        np.add.at(heads, (r >> np.uint64(40)).astype(np.int64), 1)
+    hashed = [r[heads[(r >> np.uint64(40)).astype(np.int64)] >= 4] for r in hashed]
+    del heads
     lens = np.array([len(r) for r in hashed])
     keys, flat = np.unique(np.concatenate(hashed), return_inverse=True)
     rows = np.split(flat, np.cumsum(lens)[:-1])
