@@ -50,7 +50,7 @@ def _rows(counts: str) -> str:
 
 
 NAMES = ["neg_tnr", "neg_precision", "neg_f1", "neg_conf", *[f"{g}_{m}" for g in GENERATORS for m in ("tpr", "conf")], "overall_f1", "overall_bal_acc", "overall_acc", "overall_macro_f1"]
-_round = lambda names, pre="": ", ".join(f"round({pre}{c}, 6) as {c}" for c in names)
+_round = lambda names, pre="": ", ".join(f"round({pre}{c}, 9) as {c}" for c in names)
 _avg = lambda source: f"select mode, detector, {', '.join(f'avg({c}) as {c}' for c in NAMES)} from {source} group by all"
 CTES["counts"] = _counts("f", "ran", True)
 CTES["rows"] = _rows("counts")
@@ -105,7 +105,7 @@ oracle("read_bundles", "select detector, bucket, ident, num_images, is_ai_modifi
 oracle("classic_scores", "select category, detector, bucket, correct, total, round(conf_sum, 4) as conf_sum, conf_n from cls_counts")
 oracle("image_catalog", "select path, category, label, bucket, generator, rel from images")
 oracle("review_texts", f"select category, review_id, {_text('title', 'body')} as review_text from fx_reviews")
-oracle("export_wide", "select category, bucket, ident, " + ", ".join(f"max(case when detector = '{x}' then status end) as {x}_status, bool_or(case when detector = '{x}' then is_ai_modified end) as {x}_verdict, round(max(case when detector = '{x}' then confidence end), 6) as {x}_confidence" for x in DETECTORS[:3]) + " from latest where mode = 'MultiStep-NoReview' group by 1, 2, 3")
+oracle("export_wide", "select category, bucket, ident, " + ", ".join(f"max(case when detector = '{x}' then status end) as {x}_status, bool_or(case when detector = '{x}' then is_ai_modified end) as {x}_verdict, round(max(case when detector = '{x}' then confidence end), 9) as {x}_confidence" for x in DETECTORS[:3]) + " from latest where mode = 'MultiStep-NoReview' group by 1, 2, 3")
 oracle("bucket_parse", "select path, bucket, generator, rel from b")
 oracle("review_id", "select path, case when length(path) % 3 = 1 then 'given' else coalesce(nullif(split_part(rest, '/', 1), ''), '') end as review_id from p")
 oracle("record_identity", "select k, ln, s, ident, bucket || '::' || ident as row_key from (select k, ln, s, bucket, coalesce(nullif(case when k % 3 = 0 then '' else review_id end, ''), case when k % 2 = 0 then 'img' || k end, 'key' || k) as ident from f)")
@@ -138,8 +138,8 @@ oracle("generator_filter", f"select mode, generator, count(*) as jobs from jobs
 oracle("multi_image_only", "select mode, num_images, count(*) as jobs from jobs where not (mode like 'Multi%' and num_images < 2) group by 1, 2")
 oracle("flat_images", "select category, bucket, count(*) as flat from images where len(string_split(rel, '/')) < 2 group by 1, 2")
 oracle("human_catalog", "select * from labelled")
-oracle("confusion_counts", "select mode, category, detector, bucket, correct, total, round(conf_sum, 6) as conf_sum, conf_n from counts")
-oracle("conf_on_correct", "select mode, category, detector, bucket, round(conf_sum / nullif(conf_n, 0), 6) as mean_conf from counts")
+oracle("confusion_counts", "select mode, category, detector, bucket, correct, total, round(conf_sum, 9) as conf_sum, conf_n from counts")
+oracle("conf_on_correct", "select mode, category, detector, bucket, round(conf_sum / nullif(conf_n, 0), 9) as mean_conf from counts")
 oracle("category_metrics", f"select mode, category, detector, {_round(NAMES)} from rows")
 oracle("macro_metrics", f"select m.mode, d.detector, cast(d.pos as int) as pos, {_round(NAMES, 'macro.')} from (select distinct mode from rows) m cross join (select unnest({[*DETECTORS, 'unheard']!r}) as detector, unnest(range({len(DETECTORS) + 1})) as pos) d left join macro on macro.mode = m.mode and macro.detector = d.detector order by m.mode, d.pos")
 oracle("ablation_metrics", f"select mode, detector, {_round(NAMES)} from ok_macro")
@@ -180,12 +180,12 @@ CTES["pc"] = "select category, min(idx) as off_, count(*) as n from pool group b
 CTES["draw"] = "select r.category, r.review_id as image, coalesce(pc.n, 0) as n, coalesce(off_, 0) as off_, cast('0x' || substr(md5('42|' || r.review_id), 1, 15) as bigint) % (t.total - coalesce(pc.n, 0)) as r from fx_reviews r left join pc using (category) cross join (select count(*) as total from pool) t where t.total > coalesce(pc.n, 0)"
 oracle("mismatch_pairs", "select draw.category, draw.image, pool.category as review_source_category, pool.review_id as review_source_review_id from draw join pool on pool.idx = draw.r + case when draw.r >= draw.off_ then draw.n else 0 end")
 _side = lambda m, k: f"select category, detector, cast(regexp_replace(ident, '.*_', '') as bigint) - {k} as no, bool_or(is_ai_modified) as v from latest where mode = '{m}' group by 1, 2, 3"
-oracle("mismatch_delta", f"select a.detector, count(*) as pairs, count(*) filter (a.v <> b.v) as flips, round(avg(cast(b.v as int)) - avg(cast(a.v as int)), 6) as delta from ({_side('SingleImage-NoReview', 0)}) a join ({_side('SingleImage-withReview', 203)}) b using (category, detector, no) where a.v is not null and b.v is not null group by 1")
+oracle("mismatch_delta", f"select a.detector, count(*) as pairs, count(*) filter (a.v <> b.v) as flips, round(avg(cast(b.v as int)) - avg(cast(a.v as int)), 9) as delta from ({_side('SingleImage-NoReview', 0)}) a join ({_side('SingleImage-withReview', 203)}) b using (category, detector, no) where a.v is not null and b.v is not null group by 1")
 oracle("first_comment_turns", "select conv_id, turn, comment from fx_turn_verdicts where coalesce(comment, '') <> '' qualify turn = min(turn) over (partition by conv_id, comment)")
 oracle("turn_history", "select conv_id, turn, cast(i as int) as images, cast(i - 1 as int) as earlier, cast(coalesce(c, 0) as bigint) as earlier_chars, cast(i * (i + 1) / 2 as bigint) as uploads from (select conv_id, turn, row_number() over (partition by conv_id order by turn) as i, sum(length(text)) over (partition by conv_id order by turn rows between unbounded preceding and 1 preceding) as c from fx_turns)")
 oracle("verdict_trajectory", "select conv_id, turn, is_ai_modified, previous, coalesce(is_ai_modified <> previous, false) as flipped from (select *, lag(is_ai_modified) over (partition by conv_id order by turn) as previous, max(turn) over (partition by conv_id) as top from fx_turn_verdicts) where turn < top")
 oracle("conversation_totals", "select conv_id, count(*) as turns, cast(sum(attempts) as bigint) as attempts, (list(is_ai_modified order by turn))[-1] as last_verdict, min(case when error is not null then turn end) as first_error_turn from fx_turn_verdicts group by 1")
-oracle("human_accuracy", "select evaluator, bucket, gen_model, n, correct, round(correct / n, 6) as accuracy from (select evaluator, bucket, gen_model, count(*) as n, count(*) filter (choice = true_label) as correct from judged group by 1, 2, 3 union all select evaluator, 'all', null, count(*), count(*) filter (choice = true_label) from judged group by 1)")
+oracle("human_accuracy", "select evaluator, bucket, gen_model, n, correct, round(correct / n, 9) as accuracy from (select evaluator, bucket, gen_model, count(*) as n, count(*) filter (choice = true_label) as correct from judged group by 1, 2, 3 union all select evaluator, 'all', null, count(*), count(*) filter (choice = true_label) from judged group by 1)")
 oracle("human_catalog_stats", "select 'total' as kind, '' as name, count(*) as n from labelled union all select true_label, '', count(*) from labelled group by 1 union all select 'generator', gen_model, count(*) from labelled where gen_model is not null group by 2 union all select 'categories', '', count(distinct category) from labelled")
 oracle("human_progress", "select e.evaluator, count(j.image_no) as evaluated, (select count(distinct image_no) from fx_human_log where action = 'submit' and image_no % 3 <> 0) as total from (select distinct evaluator from fx_human_log) e left join (select * from judged where image_no % 3 <> 0) j using (evaluator) group by 1")
 oracle("labelling_queue", "select evaluator, pos, image_id, true_label from queue")

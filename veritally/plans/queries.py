@@ -58,7 +58,8 @@ def jobs(f: DataFrame) -> DataFrame:
 
 
 def rounded(df: DataFrame, names: list[str]) -> DataFrame:
-    return df.withColumns({c: F.round(c, 6) for c in names})
+    """To nine places: sums differ in their last bits by the order of rows, and few means end there."""
+    return df.withColumns({c: F.round(c, 9) for c in names})
 
 
 def images(spark: SparkSession, d: str) -> DataFrame:
@@ -295,7 +296,7 @@ def confusion_counts(spark, d):
 @query
 def conf_on_correct(spark, d):
     c = mt.confusion_counts(facts(spark, d), GENERATORS)
-    return c.select("mode", "category", "detector", "bucket", F.round(F.try_divide("conf_sum", "conf_n"), 6).alias("mean_conf"))
+    return c.select("mode", "category", "detector", "bucket", F.round(F.try_divide("conf_sum", "conf_n"), 9).alias("mean_conf"))
 
 
 def _metrics(spark, d, policy="ran", several=True):
