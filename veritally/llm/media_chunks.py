@@ -8,6 +8,10 @@ list (magic, samples, chunks; of each chunk its length and digest); equal payloa
 Payload lists are told apart by SHA-256 and chunks by a 128-bit digest, with Spark joins. A
 chunk that one payload alone holds lies beside that payload's list; a chunk with more places is
 stored once, by the payload that comes first, and fetched by its digest where it is needed.
+
+Most payloads share nothing with others and needn't meet the result of the joins: the documents
+that do are put in a Bloom filter of a fixed size, which goes to all tasks. A document that isn't
+in it is stored where it is read; those that may be are joined, and false alarms cost only that.
 """
 
 from __future__ import annotations
@@ -65,8 +69,8 @@ def digest(chunk: bytes) -> bytes:
     return hashlib.blake2b(chunk, digest_size=16).digest()
 
 
-def chunk_list(payload: bytes) -> bytes:
-    parts = chunks(payload)
+def chunk_list(payload: bytes, parts: list[bytes] | None = None) -> bytes:
+    parts = chunks(payload) if parts is None else parts
     return _HEAD.pack(b"CDC1", len(payload), len(parts)) + b"".join(_ENTRY.pack(len(c), digest(c)) for c in parts)
 
 
@@ -109,29 +113,88 @@ def _scan(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_bytes long, media binary, names array<binary>")
 
 
-def _store(rows: DataFrame) -> DataFrame:
-    """From media, text, shared (place and owner of the chunks with more places): what is stored.
+FILTER_BITS, FILTER_HASHES = 1 << 24, 4
+
+
+def _filter(ids: DataFrame) -> np.ndarray:
+    """A Bloom filter of doc_ids, FILTER_BITS long whatever their number."""
+    places = F.explode(F.array(*[F.pmod(F.xxhash64("doc_id", F.lit(k)), F.lit(FILTER_BITS)) for k in range(FILTER_HASHES)]))
+    words = ids.select(places.alias("p")).groupBy(F.shiftright("p", 5).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 31 as int))")).alias("bits"))
+    out = np.zeros(FILTER_BITS // 32, np.uint32)
+    found = words.toPandas()
+    out[found["w"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).astype(np.uint32)
+    return out
+
+
+def _places(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("at", F.array(*[F.pmod(F.xxhash64("doc_id", F.lit(k)), F.lit(FILTER_BITS)).cast("int") for k in range(FILTER_HASHES)]))
+
+
+def _maybe(batch: pa.RecordBatch, bits: np.ndarray) -> np.ndarray:
+    """Rows that may be in the filter; all without a doc_id."""
+    at = batch.column("at").flatten().to_numpy().reshape(-1, FILTER_HASHES)
+    inside = (bits[at >> 5] >> (at & 31).astype(np.uint32) & 1).all(axis=1)
+    return inside | batch.column("doc_id").is_null().to_numpy(zero_copy_only=False)
+
+
+_STORED = "media binary, list binary, name binary, body binary, shared array<int>"
+
+
+def _stored(rows) -> pa.RecordBatch:
+    """From (media or null, text, shared: place and owner of chunks with more places): what is stored.
 
     One row per payload: media, list, body (its own chunks in order), shared (those elsewhere);
     one row per shared chunk that it owns: name, body.
     """
+    out = [[], [], [], [], []]
+    for media, text, shared in rows:
+        _, payload = payload_of(text)
+        whole = hashlib.sha256(payload).digest()
+        if media is not None and whole != media:
+            continue  # another row of the same doc_id
+        elsewhere = {s["place"]: s["owner"] for s in shared or []}
+        parts = chunks(payload)
+        own = [c for i, c in enumerate(parts) if i not in elsewhere]
+        for row in [(whole, chunk_list(payload, parts), None, b"".join(own), sorted(elsewhere))] + [(None, None, digest(parts[i]), parts[i], None) for i, owner in sorted(elsewhere.items()) if owner]:
+            for column, value in zip(out, row, strict=True):
+                column.append(value)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int32())), strict=True)], names=["media", "list", "name", "body", "shared"])
+
+
+def _in_place(docs: DataFrame, bits: np.ndarray) -> DataFrame:
+    """What is stored of the documents that are not in the filter."""
 
     def run(batches):
         for batch in batches:
-            out = [[], [], [], [], []]
-            for media, text, shared in zip(*(batch.column(c).to_pylist() for c in ("media", "text", "shared")), strict=True):
-                _, payload = payload_of(text)
-                if hashlib.sha256(payload).digest() != media:
-                    continue  # another row of the same doc_id
-                elsewhere = {s["place"]: s["owner"] for s in shared or []}
-                parts = chunks(payload)
-                own = [c for i, c in enumerate(parts) if i not in elsewhere]
-                for row in [(media, chunk_list(payload), None, b"".join(own), sorted(elsewhere))] + [(None, None, digest(parts[i]), parts[i], None) for i, owner in sorted(elsewhere.items()) if owner]:
-                    for column, value in zip(out, row, strict=True):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int32())), strict=True)], names=["media", "list", "name", "body", "shared"])
+            alone = batch.filter(pa.array(~_maybe(batch, bits)))
+            for at in range(0, alone.num_rows, 1000):
+                yield _stored((None, t.as_py(), None) for t in alone.column("text").slice(at, 1000))
 
-    return rows.mapInArrow(run, "media binary, list binary, name binary, body binary, shared array<int>")
+    return _places(docs).mapInArrow(run, _STORED)
+
+
+def _joined(docs: DataFrame, plan: DataFrame, bits: np.ndarray) -> DataFrame:
+    """What is stored of the others, once they have met the plan of their payload."""
+
+    def some(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(_maybe(batch, bits))).select(["doc_id", "text"])
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                yield _stored(zip(*(part.column(c).to_pylist() for c in ("media", "text", "shared")), strict=True))
+
+    docs = _places(docs).mapInArrow(some, "doc_id long, text string")
+    rows = docs.join(plan.where("doc_id is not null"), "doc_id").select("media", "text", "shared")
+    alone = plan.where("doc_id is null")  # payloads of rows without doc_id only: found by their hash
+    if alone.limit(1).count():
+        text = F.coalesce("text", F.lit(""))
+        blanks = F.greatest(F.lit(1), F.ceil(F.octet_length(text) / ALIGN)) * ALIGN - F.octet_length(text)
+        padded = F.unhex(F.sha2(F.concat(F.encode(text, "UTF-8"), F.encode(F.repeat(F.lit(" "), blanks.cast("int")), "UTF-8")), 256))
+        rows = rows.unionByName(docs.where("doc_id is null").withColumn("media", padded).join(alone.drop("doc_id"), "media").dropDuplicates(["media"]).select("media", "text", "shared"))
+    return rows.mapInArrow(run, _STORED)
 
 
 def _read(rows: DataFrame) -> DataFrame:
@@ -163,20 +226,15 @@ def store(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(documents: doc_id, n_bytes, media; the store of lists and chunks), both written."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     seen = materialise(_scan(docs), "scan")
-    # each distinct payload is written from one of its rows (null ids come last, and can be that row)
-    payloads = materialise(seen.groupBy("media").agg(F.min("doc_id").alias("doc_id"), F.first("names").alias("names")), "payloads")
+    # each distinct payload is written from one of its rows (one without doc_id if there is no other)
+    payloads = materialise(seen.groupBy("media").agg(F.min("doc_id").alias("doc_id"), F.first("names").alias("names"), F.count("*").alias("rows")), "payloads")
     places = payloads.select("media", F.posexplode("names").alias("place", "name"))
     twice = materialise(places.groupBy("name").agg(F.count("*").alias("n"), F.min(F.struct("media", "place")).alias("owner")).where("n > 1").select("name", "owner"), "twice")
     shared = places.join(twice, "name").select("media", F.struct("place", (F.struct("media", "place") == F.col("owner")).alias("owner")).alias("s"))
     shared = materialise(shared.groupBy("media").agg(F.collect_list("s").alias("shared")), "places")
-    plan = materialise(payloads.select("media", "doc_id").join(shared, "media", "left"), "plan")
-    with_text = docs.join(plan.where("doc_id is not null"), "doc_id").select("media", "text", "shared")
-    alone = plan.where("doc_id is null")  # payloads of rows without doc_id only: found by their hash
-    if alone.limit(1).count():
-        blanks = F.greatest(F.lit(1), F.ceil(F.octet_length(F.coalesce("text", F.lit(""))) / ALIGN)) * ALIGN - F.octet_length(F.coalesce("text", F.lit("")))
-        padded = F.unhex(F.sha2(F.concat(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), F.encode(F.repeat(F.lit(" "), blanks.cast("int")), "UTF-8")), 256))
-        with_text = with_text.unionByName(docs.where("doc_id is null").withColumn("media", padded).join(alone.drop("doc_id"), "media").dropDuplicates(["media"]).select("media", "text", "shared"))
-    out = materialise(_store(with_text), "store")
+    plan = materialise(payloads.select("media", "doc_id", "rows").join(shared, "media", "left"), "plan")
+    bits = _filter(seen.select("doc_id", "media").join(plan.where("rows > 1 or shared is not null").select("media"), "media").where("doc_id is not null"))
+    out = materialise(_in_place(docs, bits).unionByName(_joined(docs, plan.drop("rows"), bits)), "store", "zstd")
     drop(payloads, twice, shared, plan)
     return seen.select("doc_id", "n_bytes", "media"), out
 
