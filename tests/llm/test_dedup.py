@@ -70,8 +70,9 @@ def _normal_lines(corpus):
                     cur = b""
             if not words:
                 continue
-            h = [int(tn.span_hashes(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))[0]) for w in words]
-            sim = sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+            used = [w for w in words if len(w) >= line_dedup.LONG] or words
+            h = [int(tn.span_hashes(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))[0]) for w in used]
+            sim = sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) + (h[0] >> b & 1) > len(h))
             out[d, i] = (b" ".join(words).decode(), sim)
     return out
 

@@ -8,8 +8,10 @@ belong together costs n candidates:
 2. components of the verified links are found;
 3. lists that still hold several components propose a second hub to the members of other
    components; and
-4. what is then still open is paired across components only, under a cheap condition that every
-   link meets. A pair within one component can add nothing, so leaving it out is exact.
+4. what is then still open is paired across components only. A pair within one component can
+   add nothing, so leaving it out is exact.
+
+A cheap condition that every link meets is put on pairs as they are made.
 """
 
 from __future__ import annotations
@@ -26,67 +28,74 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component) of the undirected edges (a, b); component is the smallest node.
 
     Each step takes the least label around a node and then the label of that label, so
-    chains shorten by halves. All joins read written tables, so Spark can split hot nodes.
-    Empty edges give an empty table.
+    chains shorten by halves. Labels only fall, so their sum tells the end. All joins read
+    written tables, so Spark can split hot nodes. Empty edges give an empty table.
     """
-    both = materialise(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = materialise(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")), "labels")
+    pairs = F.explode(F.array(*[F.struct(F.col(x).alias("a"), F.col(y).alias("b")) for x, y in ("ab", "ba", "aa", "bb")])).alias("p")
+    both = materialise(edges.select(pairs).select("p.a", "p.b").distinct(), "edges")
+    labels, total = materialise(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component")), "labels"), None
     while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("component").alias("least"))
-        near = materialise(labels.join(near.withColumnRenamed("a", "node"), "node").select("node", F.col("component").alias("was"), F.least("component", "least").alias("component")), "near")
+        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("component"))
+        near = materialise(near, "near")
         up = near.select(F.col("node").alias("component"), F.col("component").alias("above"))
-        new = materialise(near.join(up, "component").select("node", "was", F.least("component", "above").alias("component")), "labels")
-        moved = new.where("was <> component").limit(1).count()
+        new = materialise(near.join(up, "component").select("node", F.least("component", "above").alias("component")), "labels")
         drop(labels, near)
-        labels = new
-        if not moved:
+        labels, was, total = new, total, new.agg(F.sum(F.col("component").cast("decimal(38,0)"))).first()[0]
+        if total == was:
             drop(both)
-            done = labels.select("node", "component")
-            done._veritally_path = labels._veritally_path
-            return done
+            return labels
+
+
+def _joined(found: DataFrame, links: DataFrame) -> DataFrame:
+    """found with the components that new links (a, b) join, by a graph of components alone."""
+    of = lambda x: found.select(F.col("node").alias(x), F.col("component").alias(f"of_{x}"))
+    ends = [F.coalesce(f"of_{x}", x).alias(x) for x in "ab"]
+    merged = components(links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(*ends).where("a <> b").distinct())
+    old = found.join(merged.select(F.col("node").alias("component"), F.col("component").alias("now")), "component", "left").select("node", F.coalesce("now", "component").alias("component"))
+    out = materialise(old.unionByName(merged.join(found.select("node"), "node", "left_anti")), "labels")
+    drop(merged)
+    return out
 
 
-def link(posts: DataFrame, verify: Callable[[DataFrame], DataFrame], info: DataFrame, near: Callable[[str, str], Column], hubs: int = 2) -> DataFrame:
+def link(posts: DataFrame, verify: Callable[[DataFrame], DataFrame], near: Callable[[str, str], Column], hubs: int = 2) -> DataFrame:
     """(node, component) of all nodes with a link.
 
-    posts: (key, node, pri), a written table without repeated (key, node); a higher pri makes
-    a likelier hub. verify takes distinct pairs (a, b) and returns those that are links. info has
-    a small struct ``info`` for each node; near takes the names of two and must hold for links.
+    posts: (key, node, pri, info), a written table without repeated (key, node); a higher pri
+    makes a likelier hub; info is a small struct of the node. near takes the names of two infos
+    and must hold for every link. verify takes distinct near pairs (a, b) and returns the links.
     """
-    best = posts.groupBy("key").agg(F.count("*").alias("n"), F.max(F.struct("pri", "node")).alias("top")).where("n > 1").select("key", F.col("top.node").alias("hub"))
-    best = materialise(best, "hubs")
-    lists = materialise(posts.join(best, "key").select("key", "node", "pri", "hub"), "lists")
-    drop(best)
-    pairs = _pairs(lists.where("node <> hub").select("node", "hub"), "node", "hub")
-    edges = materialise(verify(pairs), "links")
+    top = posts.groupBy("key").agg(F.count("*").alias("n"), F.max(F.struct("pri", "node")).alias("top")).where("n > 1")
+    top = materialise(top.select("key", "n", F.col("top.node").alias("hub")), "hubs")
+    hub = posts.select("key", F.col("node").alias("hub"), F.col("info").alias("hub_info")).join(top.select("key", "hub"), ["key", "hub"])
+    hub = materialise(hub, "hub-info")
+    edges = materialise(verify(_pairs(posts.join(hub, "key").where(F.expr("node <> hub") & near("info", "hub_info")), "node", "hub")), "links")
+    # a list of two is done; longer ones can hold links that their hub has no part in
+    lists = materialise(posts.join(top.where("n > 2").select("key"), "key").select("key", "node", "pri", "info"), "lists")
+    drop(top, hub)
     found = components(edges)
+    drop(edges)
     for step in range(1, hubs + 1):  # the last one pairs what is still open
-        of = lists.select("key", "node", "pri").join(found, "node", "left").select("key", "node", "pri", F.coalesce("component", "node").alias("component"))
-        of = materialise(of, "of")
-        open_keys = of.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max(F.struct("pri", "node", "component")).alias("top")).where("low < high")
-        if not open_keys.limit(1).count():
-            drop(of)
+        of = materialise(lists.select("key", "node", "pri").join(found, "node", "left").select("key", "node", "pri", F.coalesce("component", "node").alias("component")), "of")
+        state = of.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max(F.struct("pri", "node", "component")).alias("top")).where("low < high")
+        state = materialise(state.select("key", F.col("top.component").alias("main")), "open")
+        if not state.limit(1).count():
+            drop(of, state)
             break
-        if step < hubs:  # the best member outside the first hub's component
-            open_keys = materialise(open_keys.select("key", F.col("top.component").alias("main")), "open")
-            rest = of.join(open_keys, "key").where("component <> main").groupBy("key").agg(F.max(F.struct("pri", "node", "component")).alias("top"))
-            rest = materialise(rest.select("key", F.col("top.node").alias("hub"), F.col("top.component").alias("hub_of")), "hubs")
-            pairs = _pairs(of.join(rest, "key").where("component <> hub_of").select("node", "hub"), "node", "hub")
-            gone = [open_keys, rest]
+        left = materialise(of.join(state, "key").join(lists.select("key", "node", "info"), ["key", "node"]).select("key", "node", "pri", "component", "main", "info"), "left")
+        if step < hubs:  # the best member outside the first hub's component meets those of others
+            best = left.where("component <> main").groupBy("key").agg(F.max(F.struct("pri", "node")).alias("top")).select("key", F.col("top.node").alias("node"))
+            best = left.join(best, ["key", "node"])
         else:
-            open_keys = materialise(open_keys.select("key"), "open")
-            left = materialise(of.join(open_keys, "key").select("key", "node", "component").join(info, "node"), "left")
-            other = left.select("key", F.col("node").alias("other"), F.col("component").alias("other_of"), F.col("info").alias("other_info"))
-            pairs = _pairs(left.join(other, "key").where(F.expr("component < other_of") & near("info", "other_info")).select("node", "other"), "node", "other")
-            gone = [open_keys, left]
-        more = materialise(verify(pairs), "links")
-        drop(of, *gone)
+            best = left
+        other = materialise(best.select("key", F.col("node").alias("other"), F.col("component").alias("other_of"), F.col("info").alias("other_info")), "others")
+        apart = F.expr("component <> other_of") if step < hubs else F.expr("component < other_of")
+        more = materialise(verify(_pairs(left.join(other, "key").where(apart & near("info", "other_info")), "node", "other")), "links")
+        drop(of, state, left, other)
         if more.limit(1).count():
-            edges, old = materialise(edges.unionByName(more), "links"), edges
-            drop(old, found)
-            found = components(edges)
+            found, old = _joined(found, more), found
+            drop(old)
         drop(more)
-    drop(lists, edges)
+    drop(lists)
     return found
 
 

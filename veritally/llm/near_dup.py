@@ -114,27 +114,26 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = tn.SHINGLE)
     shared = materialise(posts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared")
     # skip: a set with fewer shared coordinates than MATCHES has no partner
     prefix = posts.join(shared, "key").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("own"), F.sum("n").alias("pri")).where(F.size("own") >= MATCHES)
-    prefix = materialise(prefix.select("node", "pri", F.explode(F.slice("own", 1, F.size("own") - MATCHES + 1)).alias("post")).select(F.col("post.key").alias("key"), "node", "pri").distinct(), "prefix")
+    prefix = prefix.join(classes.select("node", F.struct(F.col("n_shingles").alias("n"), "parity").alias("info")), "node")
+    prefix = materialise(prefix.select("node", "pri", "info", F.explode(F.array_distinct(F.slice("own", 1, F.size("own") - MATCHES + 1))).alias("post")).select(F.col("post.key").alias("key"), "node", "pri", "info"), "prefix")
     drop(shared)
     nodes = prefix.select(F.col("node").alias("doc_id")).distinct()
     texts = only_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), nodes, ["doc_id", "text"], "texts")
     sets = materialise(_shingle_sets(texts, size), "sets")
     drop(texts)
-    info = classes.select("node", F.struct(F.col("n_shingles").alias("n"), "parity").alias("info"))
-
     def near(x: str, y: str) -> Column:
         """By sizes and parity sketches alone; true of every pair to be linked."""
         apart = " + ".join(f"bit_count({x}.parity[{i}] ^ {y}.parity[{i}])" for i in range(PARITY // 64))
         return F.expr(f"100 * least({x}.n, {y}.n) >= {percent} * greatest({x}.n, {y}.n) and {100 + percent} * ({apart}) <= {100 - percent} * ({x}.n + {y}.n)")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        of = lambda x: classes.select(F.col("node").alias(x), F.struct(F.col("n_shingles").alias("n"), "parity", "sig").alias(f"of_{x}"))
-        close = pairs.join(of("a"), "a").join(of("b"), "b").where(near("of_a", "of_b") & F.expr(f"size(array_intersect(of_a.sig, of_b.sig)) >= {MATCHES}"))
+        of = lambda x: classes.select(F.col("node").alias(x), F.col("sig").alias(f"sig_{x}"))
+        close = pairs.join(of("a"), "a").join(of("b"), "b").where(f"size(array_intersect(sig_a, sig_b)) >= {MATCHES}")
         full = lambda x: sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s_{x}"))
         both = close.select("a", "b").join(full("a"), "a").join(full("b"), "b").withColumn("same", F.size(F.array_intersect("s_a", "s_b")))
         return both.where(f"100 * same >= {percent} * (size(s_a) + size(s_b) - same)").select("a", "b").distinct()
 
-    found = link(prefix, verify, info, near)
+    found = link(prefix, verify, near)
     drop(prefix, sets)
     of_class = materialise(classes.select("f1", "f2", "n_shingles", "node").join(found, "node", "left").select("f1", "f2", F.col("n_shingles").alias("n"), F.coalesce("component", "node").alias("component")), "members")
     drop(classes, found)
