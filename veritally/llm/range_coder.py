@@ -18,70 +18,89 @@ import numpy as np
 
 _HEAD = struct.Struct("<4sIIIIII")
 MAGIC = b"CMR1"
-MOST_LANES, IDS_A_LANE = 4096, 64
+#: SUM_EVERY: ids between sums of the order-0 frequencies.
+MOST_LANES, IDS_A_LANE, SUM_EVERY = 4096, 64, 16384
 _TOP, _LOW, _SH = np.uint64(1 << 48), np.uint64((1 << 32) - 1), np.uint64(16)
 _SLOTS = 1 << 18
 _GAIN, _MOST_TOTAL, _MOST_ODDS = 24, 1 << 20, 128
 
 
 class _Model:
+    """Order 1 and 2 keep, for each context, the id that last proved right and a confidence of 0 to
+    7, in one number: id * 8 + confidence."""
+
     def __init__(self, vocab: int):
         self.freq = np.ones(vocab, np.int64)
-        self.guess1, self.sure1 = np.zeros(vocab, np.int64), np.zeros(vocab, np.int8)
-        self.guess2, self.sure2 = np.zeros(_SLOTS, np.int64), np.zeros(_SLOTS, np.int8)
+        self.guess1, self.guess2 = np.zeros(vocab, np.int32), np.zeros(_SLOTS, np.int32)
         self.hit1, self.hit2, self.miss = np.ones(128, np.int64), np.ones(128, np.int64), np.full(128, 2, np.int64)
         self._sum()
 
     def _sum(self) -> None:
-        self.cum = np.concatenate([[0], np.cumsum(self.freq)])
+        self.cum = np.zeros(len(self.freq) + 1, np.int64)
+        np.cumsum(self.freq, out=self.cum[1:])
         self.seen = []
 
     def predict(self, prev1: np.ndarray, prev2: np.ndarray) -> None:
         """Sets each lane's two guesses (low and high), their masses, and the total."""
         self.at1, self.at2 = prev1, (prev2 * 40503 + prev1 * 2654435) & (_SLOTS - 1)
-        g1, g2, s1, s2 = self.guess1[prev1], self.guess2[self.at2], self.sure1[prev1], self.sure2[self.at2]
-        same = g1 == g2
-        self.mix = s2.astype(np.int64) * 8 + s1 + 64 * same
+        x1, x2 = self.guess1.take(prev1), self.guess2.take(self.at2)
+        self.x1, self.x2, self.g1, self.g2 = x1, x2, x1 >> 3, x2 >> 3
+        same = self.g1 == self.g2
+        self.mix = ((x2 & 7) << 3) + (x1 & 7)
+        self.mix[same] += 64
         total = int(self.cum[-1])
-        m2 = total * np.minimum(self.hit2 / self.miss, _MOST_ODDS)
-        m1 = total * np.minimum(self.hit1 / self.miss, _MOST_ODDS)
-        m2, m1 = m2.astype(np.int64)[self.mix], m1.astype(np.int64)[self.mix]
-        m1[same] = 0
-        swap = g1 < g2
-        self.g1, self.g2 = g1, g2
-        self.lo, self.hi = np.where(swap, g1, g2), np.where(swap, g2, g1)
-        self.mass_lo, self.mass_hi = np.where(swap, m1, m2), np.where(swap, m2, m1)
-        self.total = total + m1 + m2
+        m2 = (total * np.minimum(self.hit2 / self.miss, _MOST_ODDS)).astype(np.int64)
+        m1 = (total * np.minimum(self.hit1 / self.miss, _MOST_ODDS)).astype(np.int64)
+        m1[64:] = 0  # one guess of both orders has the mass of order 2
+        m2, m1 = m2.take(self.mix), m1.take(self.mix)
+        self.lo, self.hi = np.minimum(self.g1, self.g2), np.maximum(self.g1, self.g2)
+        first = self.g1 < self.g2
+        self.mass_lo = np.where(first, m1, m2)
+        self.total = m1 + m2
+        self.mass_hi = self.total - self.mass_lo
+        self.total += total
 
     def interval(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        start = self.cum[ids] + (ids > self.lo) * self.mass_lo + (ids > self.hi) * self.mass_hi
-        return start, self.cum[ids + 1] - self.cum[ids] + (ids == self.lo) * self.mass_lo + (ids == self.hi) * self.mass_hi
+        """Start and width of each id: order 0, and the masses of guesses before it and of its own."""
+        start, width = self.cum.take(ids), self.freq.take(ids)
+        start += self.mass_lo * (ids > self.lo)
+        start += self.mass_hi * (ids > self.hi)
+        width += self.mass_lo * (ids == self.lo)
+        width += self.mass_hi * (ids == self.hi)
+        return start, width
 
     def find(self, value: np.ndarray) -> np.ndarray:
         """The id whose interval holds the value."""
-        lo_end = self.cum[self.lo + 1] + self.mass_lo
-        hi_start = self.cum[self.hi] + self.mass_lo
-        plain = np.where(value < lo_end, value, np.where(value < hi_start, value - self.mass_lo, value - self.mass_lo - self.mass_hi))
-        ids = np.searchsorted(self.cum, plain, side="right") - 1
-        ids = np.where((value >= self.cum[self.lo]) & (value < lo_end), self.lo, ids)
-        hi_end = self.cum[self.hi + 1] + self.mass_lo + self.mass_hi
-        return np.where((value >= hi_start) & (value < hi_end) & (self.hi != self.lo), self.hi, ids)
+        lo_start = self.cum.take(self.lo)
+        lo_end = lo_start + self.freq.take(self.lo) + self.mass_lo
+        hi_start = self.cum.take(self.hi) + self.mass_lo
+        hi_end = hi_start + self.freq.take(self.hi) + self.mass_hi
+        past_lo, past_hi = value >= lo_end, (value >= hi_end) & (self.hi != self.lo)
+        plain = value - self.mass_lo * past_lo
+        plain -= self.mass_hi * past_hi
+        in_lo = (value >= lo_start) & ~past_lo
+        in_hi = (value >= hi_start) & ~past_hi & (self.hi != self.lo)
+        ids = np.where(in_lo, self.lo, self.hi).astype(np.int64)
+        rest = np.flatnonzero(~(in_lo | in_hi))  # only these are looked up
+        ids[rest] = np.searchsorted(self.cum, plain[rest], side="right") - 1
+        return ids
 
     def learn(self, ids: np.ndarray, every: int, step: int) -> None:
-        is2 = ids == self.g2
-        is1 = (ids == self.g1) & ~is2
-        self.hit2 += np.bincount(self.mix[is2], minlength=128)
-        self.hit1 += np.bincount(self.mix[is1], minlength=128)
-        self.miss += np.bincount(self.mix[~(is1 | is2)], minlength=128)
+        is1, is2 = ids == self.g1, ids == self.g2
+        kind = is2 * 128 + (is1 > is2) * 256 + self.mix
+        hits = np.bincount(kind, minlength=384).reshape(3, 128)
+        self.miss += hits[0]
+        self.hit2 += hits[1]
+        self.hit1 += hits[2]
         big = self.hit1 + self.hit2 + self.miss > 1 << 14
         if big.any():
             for c in (self.hit1, self.hit2, self.miss):
                 c[big] = (c[big] + 1) >> 1
-        for at, guess, sure, right in ((self.at1, self.guess1, self.sure1, ids == self.g1), (self.at2, self.guess2, self.sure2, is2)):
-            was = sure[at]
-            sure[at] = np.where(right, np.minimum(was + 1, 7), was >> 1)
-            new = ~right & (was <= 0)
-            guess[at[new]] = ids[new]
+        own = ids.astype(np.int32) << 3
+        for at, guess, was, right in ((self.at1, self.guess1, self.x1, is1), (self.at2, self.guess2, self.x2, is2)):
+            # right: surer, up to 7; wrong: half as sure; wrong and not sure: the new id
+            sure = was & 7
+            guess[at] = np.where(right, was + (sure < 7), np.where(sure == 0, own, was - sure + (sure >> 1)))
         self.seen.append(ids)
         if (step + 1) % every == 0:
             self.freq += _GAIN * np.bincount(np.concatenate(self.seen), minlength=len(self.freq))
@@ -93,7 +112,7 @@ class _Model:
 def _layout(n: int) -> tuple[int, int, int]:
     """Lanes, ids a lane, and steps between sums of the frequencies."""
     lanes = max(1, min(MOST_LANES, n // IDS_A_LANE))
-    return lanes, -(-n // lanes), max(1, MOST_LANES // lanes)
+    return lanes, -(-n // lanes), max(1, SUM_EVERY // lanes)
 
 
 def _narrow(low: np.ndarray, rng: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -11,9 +11,9 @@ over the few rows of part totals.
 from __future__ import annotations
 
 import os
-import re
 import struct
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,23 +22,37 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritally.llm import range_coder
+from veritally.llm import textnum as tn
 from veritally.llm.tables import materialise
 
 BLOCK_IDS, END_ID = 1 << 20, 2
 _DIRECTORY = struct.Struct("<4sIII")
 #: Units kept with their ids by each worker; then it starts anew.
-KEPT_UNITS = 600_000
+KEPT_UNITS = 3_000_000
 
-_unit = re.compile(r" ?[^ \n]+|[ \n]+(?![^ \n])|[ \n]+")
-#: White space besides blank and newline, and special-token strings: such texts are encoded whole.
-_odd = re.compile(r"[^\S \n]|[\x1c-\x1f\x85]|<\|")
+_white = np.zeros(256, dtype=bool)
+_white[[9, 10, 11, 12, 13, 32]] = True
+
+
+def _odd(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Rows with white space of more than a byte, \\x1c-\\x1f, or the start of a special token's string."""
+    out = np.zeros(len(off) - 1, dtype=bool)
+    if len(buf) < 2:
+        return out | bool(len(buf) and 28 <= buf[0] <= 31)
+    lead = np.flatnonzero(((buf >= 28) & (buf <= 31)) | (buf == 60) | (buf == 0xC2) | ((buf >= 0xE1) & (buf <= 0xE3)))
+    x, y, z = buf[lead], buf[np.minimum(lead + 1, len(buf) - 1)], buf[np.minimum(lead + 2, len(buf) - 1)]
+    hit = (x < 32) | ((x == 60) & (y == 124)) | ((x == 0xC2) & ((y == 0x85) | (y == 0xA0))) | ((x == 0xE1) & (y == 0x9A) & (z == 0x80)) | ((x == 0xE3) & (y == 0x80) & (z == 0x80))
+    hit |= (x == 0xE2) & (((y == 0x80) & ((z <= 0x8A) | (z == 0xA8) | (z == 0xA9) | (z == 0xAF))) | ((y == 0x81) & (z == 0x9F)))
+    out[np.searchsorted(off, lead[hit], side="right") - 1] = True
+    return out
 
 
 class Encoder:
     """Ids of texts by a byte-level BPE of the tokenizers library.
 
-    Its pre-tokens never cross a blank before a word or a newline between words, so a text is
-    the run of its units' ids; the library encodes each unit once while it is kept.
+    Its pre-tokens never join what comes before white space with that white space, so a text is
+    the run of its units' ids, a unit being white space and the word after it. The library
+    encodes each unit once while it is kept, under a 64-bit hash.
     """
 
     def __init__(self, path: str):
@@ -46,47 +60,74 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        vocabulary = self.library.get_vocab()  # a character of a byte-level token is a byte
+        self.width = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.width[i] = len(token)
         self.clear()
 
     def clear(self) -> None:
-        self.at: dict[str, int] = {}
-        self.start, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.keys, self.start, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.pool = np.zeros(0, np.uint16)
 
-    def _keep(self, units: list[str]) -> None:
-        ids = [x.ids for x in self.library.encode_batch(units, add_special_tokens=False)]
-        counts = np.array([len(x) for x in ids], np.int64)
-        self.at.update(zip(units, range(len(self.count), len(self.count) + len(units)), strict=True))
-        self.start = np.concatenate([self.start, len(self.pool) + np.cumsum(counts) - counts])
-        self.count = np.concatenate([self.count, counts])
-        self.pool = np.concatenate([self.pool, np.fromiter((i for x in ids for i in x), np.uint16, int(counts.sum()))])
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text, without an end id."""
-        out: list[np.ndarray | None] = [None] * len(texts)
-        units, ends, rows = [], [], []
-        for row, text in enumerate(texts):
-            if _odd.search(text):
-                out[row] = np.array(self.library.encode(text, add_special_tokens=False).ids, np.int64)
-            else:
-                units += _unit.findall(text)
-                ends.append(len(units))
-                rows.append(row)
-        if not rows:
-            return out
-        if len(self.at) > KEPT_UNITS:
-            self.clear()
-        new = list(dict.fromkeys(u for u in units if u not in self.at))
-        if new:
-            self._keep(new)
-        index = np.fromiter(map(self.at.__getitem__, units), np.int64, len(units))
-        counts = self.count[index]
-        total = np.concatenate([[0], np.cumsum(counts)])
-        ids = self.pool[np.repeat(self.start[index] - total[:-1], counts) + np.arange(total[-1])].astype(np.int64)
-        cut = np.concatenate([[0], total[ends]])
-        for row, a, b in zip(rows, cut[:-1], cut[1:], strict=True):
-            out[row] = ids[a:b]
-        return out
+    def _ids(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of units and their counts.
+
+        Words after white space are encoded as one text, whose ids are dealt to them by the bytes
+        that each id stands for.
+        """
+        led = np.fromiter((_white[x[0]] and not _white[x[-1]] for x in raw), bool, len(raw))
+        out: list[np.ndarray] = [np.zeros(0, np.uint16)] * len(raw)
+        for k in np.flatnonzero(~led).tolist():
+            out[k] = np.array(self.library.encode(raw[k].decode(), add_special_tokens=False).ids, np.uint16)
+        some = np.flatnonzero(led).tolist()
+        for at in range(0, len(some), 8192):
+            own = some[at : at + 8192]
+            ids = np.array(self.library.encode_batch_fast([b"".join(raw[k] for k in own).decode()], add_special_tokens=False)[0].ids, np.uint16)
+            ends = np.cumsum(self.width[ids])
+            cut = np.searchsorted(ends, np.cumsum([len(raw[k]) for k in own])) + 1
+            for k, x in zip(own, np.split(ids, cut[:-1]), strict=True):
+                out[k] = x
+        return np.concatenate(out), np.fromiter(map(len, out), np.int64, len(out))
+
+    def _keep(self, keys: np.ndarray, raw: list[bytes]) -> None:
+        ids, count = self._ids(raw)
+        start = len(self.pool) + np.cumsum(count) - count
+        at = np.searchsorted(self.keys, keys)
+        self.keys, self.start, self.count = np.insert(self.keys, at, keys), np.insert(self.start, at, start), np.insert(self.count, at, count)
+        self.pool = np.concatenate([self.pool, ids])
+
+    def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text, without an end id; a null is an empty text."""
+        for _, buf, off in tn.slices(texts):
+            odd = _odd(buf, off)
+            white = _white[buf]
+            first = np.zeros(len(buf), dtype=bool)
+            first[1:] = white[1:] & ~white[:-1]
+            first[off[:-1][off[:-1] < off[1:]]] = True
+            s = np.flatnonzero(first)
+            e = np.append(s[1:], len(buf))[: len(s)]
+            ptr = np.searchsorted(s, off)
+            keys, at, index = np.unique(tn.span_hashes(buf, s, e), return_index=True, return_inverse=True)
+            if len(self.keys) > KEPT_UNITS:
+                self.clear()
+            place = np.searchsorted(self.keys, keys)
+            new = np.ones(len(keys), dtype=bool)
+            if len(self.keys):
+                new = self.keys[np.minimum(place, len(self.keys) - 1)] != keys
+            if new.any():
+                raw = buf.tobytes()
+                self._keep(keys[new], [raw[a:b] for a, b in zip(s[at[new]].tolist(), e[at[new]].tolist(), strict=True)])
+                place = np.searchsorted(self.keys, keys)
+            start, count = self.start[place][index], self.count[place][index]
+            total = np.concatenate([[0], np.cumsum(count)])
+            ids = self.pool[np.repeat(start - total[:-1], count) + np.arange(total[-1])]
+            for row in range(len(off) - 1):
+                if odd[row]:
+                    text = buf[off[row] : off[row + 1]].tobytes().decode()
+                    yield np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint16)
+                else:
+                    yield ids[total[ptr[row]] : total[ptr[row + 1]]]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -127,21 +168,13 @@ def write(docs: DataFrame, tokenizer: str, vocab: int = 50258, end_id: int = END
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([block], pa.int64()), pa.array([size], pa.int64()), pa.array([write_block(keys, held, vocab)], pa.binary())], names=["part", "block", "n_ids", "data"])
 
         for batch in batches:
-            doc_ids = batch.column("doc_id").to_pylist()
-            at = 0
-            while at < len(doc_ids):  # about a megabyte of text at a time
-                texts, chars = [], 0
-                while at + len(texts) < len(doc_ids) and (not texts or chars < 1 << 20):
-                    texts.append(batch.column("text")[at + len(texts)].as_py() or "")
-                    chars += len(texts[-1])
-                for doc_id, ids in zip(doc_ids[at : at + len(texts)], encoder.encode(texts), strict=True):
-                    if size and size + len(ids) + 1 > block_ids:
-                        yield out()
-                        keys, held, size, block = [], [], 0, block + 1
-                    keys.append(doc_id)
-                    held.append(np.append(ids, end_id))
-                    size += len(ids) + 1
-                at += len(texts)
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(batch.column("text")), strict=True):
+                if size and size + len(ids) + 1 > block_ids:
+                    yield out()
+                    keys, held, size, block = [], [], 0, block + 1
+                keys.append(doc_id)
+                held.append(np.append(ids, ids.dtype.type(end_id)))
+                size += len(ids) + 1
         if keys:
             yield out()
 
