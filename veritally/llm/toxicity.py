@@ -24,7 +24,7 @@ from veritally.llm.ngram_sets import fold, sample
 STEMS = (4, 5, 6)
 #: The bound of the rows that voters, label model and classifier are fitted on.
 MAX_TRAIN = 4000
-MAX_VOTERS, MIN_FIRES = 256, 6
+MAX_VOTERS, MIN_FIRES = 256, 4
 
 #: Seed lexicon: common words of abuse.
 LEXICON = (
@@ -162,10 +162,13 @@ def fit(texts: list[str | None], y: np.ndarray) -> Model:
     lens = np.array([len(r) for r in hashed])
     keys, flat = np.unique(np.concatenate(hashed), return_inverse=True)
     rows = np.split(flat, np.cumsum(lens)[:-1])
-    # near copies would make chance words stand out: of rows with the same least rare feature one stays
+    # near copies would make chance words stand out: of rows with the same three least rare
+    # features one stays (unrelated rows may share one, hardly three)
     met = np.bincount(flat)
     rare = (met > 1) & (met <= 64)
-    least = np.array([r[rare[r]][0] if rare[r].any() else -1 - i for i, r in enumerate(rows)])
+    heads = [r[rare[r]][:3].tolist() for r in rows]
+    least = np.array([(h[0] * len(met) + h[1]) * len(met) + h[2] if len(h) == 3 else -1 - i for i, h in enumerate(heads)], dtype=object)
+    least = np.array([hash(x) for x in least.tolist()])
     _, first = np.unique(least, return_index=True)
     first.sort()
     y, lens, rows = y[first], lens[first], [rows[i] for i in first]
@@ -184,10 +187,10 @@ def fit(texts: list[str | None], y: np.ndarray) -> Model:
     own, row_of = place[flat[use[flat]]], np.repeat(np.arange(len(rows)), lens)[use[flat]]
     w, b = np.zeros(len(keys)), float(np.log(q.mean() / (1 - q.mean())))
     pace = 1 / np.sqrt(np.maximum(np.bincount(own, minlength=len(keys)), 1))
-    for _ in range(300):  # full-batch logistic steps, slower for features that are met often
+    for _ in range(1000):  # full-batch logistic steps, slower for features that are met often
         z = np.bincount(row_of, w[own], minlength=len(rows)) + b
         error = q - 1 / (1 + np.exp(-np.clip(z, -35, 35)))
-        w = np.maximum(w + 0.3 * (np.bincount(own, error[row_of], minlength=len(keys)) * pace - 0.01 * w), 0)
+        w = np.maximum(w + 0.5 * (np.bincount(own, error[row_of], minlength=len(keys)) * pace - 0.002 * w), 0)
         b += 2.0 * error.mean()
     return Model(keys[w > 0], w[w > 0], b)
 
