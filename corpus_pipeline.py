@@ -26,7 +26,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without repeated lines; a document that lost lines and has no letter left goes."""
-    out = line_dedup.dedup_lines(docs.select(*DOCUMENT_COLUMNS))
+    out = line_dedup.dedup_lines(docs.select(*DOCUMENT_COLUMNS), runs=True)
     out = out.where(~((F.col("n_removed") > 0) & ~F.col("text").rlike(r"\p{L}")))
     n_chars = F.length("text").cast(docs.schema["n_chars"].dataType)
     return out.withColumn("n_chars", F.when(F.col("n_removed") > 0, n_chars).otherwise(F.col("n_chars"))).select(*DOCUMENT_COLUMNS)

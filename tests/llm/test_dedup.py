@@ -112,6 +112,29 @@ def test_lines_equal_brute_force(spark):
     assert all(r.n_lines - r.n_removed == (len(r.text.split("\n")) if r.text else (0 if r.text is None else r.n_lines - r.n_removed)) for r in out)
 
 
+def test_query_finds_lines_by_edit_similarity_alone(spark, tmp_path):
+    """One changed word or typo a line, at all lengths: the reference knows no SimHash."""
+    from veritally.llm.queries import op1_line_dedup
+
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 8)))
+    lines = []
+    for n in [2, 3, 4, 5, 8, 10, 11, 14, 20, 30, 45] * 3:
+        base = [word() for _ in range(n)]
+        changed, typo, less = list(base), " ".join(base), list(base)
+        changed[rng.randrange(n)] = word()
+        at = rng.randrange(len(typo))
+        del less[rng.randrange(n)]
+        lines += [" ".join(base), " ".join(changed), typo[:at] + "é" + typo[at + 1 :], " ".join(less)]
+    rng.shuffle(lines)
+    links = [(a, b) for a in range(len(lines)) for b in range(a + 1, len(lines)) if brute.distance(lines[a], lines[b]) <= int(0.1 * max(len(lines[a]), len(lines[b])) + 1e-9)]
+    of = brute.groups(range(len(lines)), links)
+    assert len(links) > 80
+    spark.createDataFrame(list(enumerate(lines)), DOC).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.n_removed for r in op1_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {d: int(of[d] != d) for d in range(len(lines))}
+
+
 def test_lines_edges(spark):
     assert line_dedup.dedup_lines(spark.createDataFrame([], DOC)).count() == 0
     rows = [(None, "same line here"), (1, "same line here"), (2, "same line here\nother")]

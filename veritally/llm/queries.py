@@ -16,7 +16,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup.dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
+    out = line_dedup.dedup_lines(documents(spark, sf_dir).select("doc_id", "text"), runs=True)
     return out.select("doc_id", "n_lines", "n_removed", F.length("text").alias("n_chars"), F.md5("text").alias("text_md5"))
 
 
