@@ -135,6 +135,16 @@ def test_query_finds_lines_by_edit_similarity_alone(spark, tmp_path):
     assert got == {d: int(of[d] != d) for d in range(len(lines))}
 
 
+def test_lines_that_differ_in_figures(spark):
+    """Figures count in the edit similarity: far ones keep lines apart, near ones do not."""
+    lines = ["Chapter 1", "Chapter 27", "chapter 1.", "total 19 37 233", "total 4 815", "12 34", "12 34", "a long line of many words in section 14 here", "a long line of many words in section 15 here", "2024\nx1 + 20\nx1 * 20"]
+    df = spark.createDataFrame(list(enumerate(lines)), DOC)
+    for runs in (False, True):
+        got = {r.doc_id: r.text for r in line_dedup.dedup_lines(df, runs).collect()}
+        gone = {2: "", 9: "2024\nx1 + 20"} | ({8: ""} if runs else {})
+        assert {d: t for d, t in got.items() if d != 8 or runs} == {d: gone.get(d, t) for d, t in enumerate(lines) if d != 8 or runs}
+
+
 def test_lines_edges(spark):
     assert line_dedup.dedup_lines(spark.createDataFrame([], DOC)).count() == 0
     rows = [(None, "same line here"), (1, "same line here"), (2, "same line here\nother")]
