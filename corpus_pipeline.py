@@ -33,8 +33,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every group of near copies, the one with the smallest doc_id."""
-    gone = near_dup.near_duplicates(docs).where("not kept").select("doc_id").distinct()
+    """One document of every group of near copies (similarity from 0.8), the one with the smallest doc_id."""
+    gone = near_dup.near_duplicates(docs, percent=80).where("not kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*DOCUMENT_COLUMNS)
 
 

@@ -38,6 +38,30 @@ def test_stages(spark):
     assert sum(d in kept for d in good) > 0.9 * len(good)
 
 
+def test_near_stage_links_from_80_percent(spark):
+    import random
+
+    rng, rows = random.Random(3), []
+    for i in range(12):  # a run of changed words in the middle: similarities from 0.75 to 0.9
+        base = [f"w{rng.randrange(10_000)}" for _ in range(104)]
+        copy = list(base)
+        copy[50 : 51 + i] = [f"x{i}y{k}" for k in range(1 + i)]
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(copy))]
+    _, want = brute.near_groups(rows, percent=80)
+    _, strict = brute.near_groups(rows)
+    assert len(set(want.values())) < len(set(strict.values()))
+    docs = spark.createDataFrame([(d, t, "en", None, len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars int")
+    assert {r.doc_id for r in cp.near_stage(spark, docs, SF).collect()} == {d for d, c in want.items() if c == d}
+
+
+def test_matches_follow_the_threshold():
+    from veritally.llm import near_dup
+
+    assert [near_dup._matches(p) for p in (85, 80, 70, 50)] == [40, 35, 27, 14]
+    with pytest.raises(ValueError):
+        near_dup._matches(10)
+
+
 def test_empty_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for name, stage in cp.STAGES:

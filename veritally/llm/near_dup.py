@@ -9,6 +9,8 @@ are counted over all coordinates, kept from ``matches`` on, and confirmed on ful
 
 from __future__ import annotations
 
+from math import comb
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -18,9 +20,10 @@ from veritally.llm import textnum as tn
 from veritally.llm.linking import link
 from veritally.llm.tables import drop, materialise, only_ids
 
-#: With 64 coordinates a pair of similarity 0.85 has 54 matches on average, and under 40 about
-#: twice in a million pairs. A group of copies has many paths, so it is lost more rarely still.
-COORDINATES, MATCHES = 64, 40
+#: A pair at the threshold has fewer than ``_matches`` coordinates in common with a chance of
+#: MISS at most: at 0.85 under 40 of 64, at 0.80 under 35. A group of copies has many paths, so it
+#: is lost more rarely still.
+COORDINATES, MISS = 64, 2.5e-6
 #: Bits of a set's parity sketch: each shingle flips one. Two sets differ in at least as many
 #: shingles as their sketches differ in bits, so the filter on it loses no link.
 PARITY = 1024
@@ -30,6 +33,18 @@ _MUL = _rng.integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) +
 _ADD = _rng.integers(1, 1 << 63, COORDINATES, dtype=np.uint64)
 
 
+def _matches(percent: int) -> int:
+    """The most matches to ask for so that a pair at the threshold falls below with a chance of MISS at most."""
+    p, below = percent / 100, 0.0
+    for m in range(COORDINATES):
+        below += comb(COORDINATES, m) * p**m * (1 - p) ** (COORDINATES - m)
+        if below > MISS:
+            if m == 0:
+                raise ValueError(f"{COORDINATES} coordinates are too few for a similarity of {percent} %")
+            return m
+    return COORDINATES
+
+
 def _signature(shingles: np.ndarray) -> np.ndarray:
     """The least of each coordinate's hash over a set; the set in blocks that fit a cache."""
     least = np.full(COORDINATES, np.iinfo(np.uint64).max, dtype=np.uint64)
@@ -104,18 +119,20 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = tn.SHINGLE)
     component_id is the smallest doc_id reachable; kept tells doc_id = component_id. Rows that
     repeat a doc_id are one document for linking, each returned. A row without doc_id is
     returned with a null component_id and kept, linked with nothing. Other columns are ignored;
-    an empty table gives an empty result.
+    an empty table gives an empty result. A pair at the threshold is missed with a chance of
+    ``MISS`` at most, whatever percent is; below 19 there are too few coordinates (ValueError).
     """
+    matches = _matches(percent)
     all_rows = materialise(signatures(docs, size), "signatures")
     # sets that are equal are one class, whose least document stands for it
     classes = all_rows.where("n_shingles > 0 and doc_id is not null").groupBy("f1", "f2", "n_shingles").agg(F.min_by(F.struct("sig", "parity"), "doc_id").alias("one"), F.min("doc_id").alias("node"))
     classes = materialise(classes.select("f1", "f2", "n_shingles", "node", "one.sig", "one.parity"), "classes")
     posts = classes.select("node", F.explode("sig").alias("key"))
     shared = materialise(posts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared")
-    # skip: a set with fewer shared coordinates than MATCHES has no partner
-    prefix = posts.join(shared, "key").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("own"), F.sum("n").alias("pri")).where(F.size("own") >= MATCHES)
+    # skip: a set with fewer shared coordinates than matches has no partner
+    prefix = posts.join(shared, "key").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("own"), F.sum("n").alias("pri")).where(F.size("own") >= matches)
     prefix = prefix.join(classes.select("node", F.struct(F.col("n_shingles").alias("n"), "parity").alias("info")), "node")
-    prefix = materialise(prefix.select("node", "pri", "info", F.explode(F.array_distinct(F.slice("own", 1, F.size("own") - MATCHES + 1))).alias("post")).select(F.col("post.key").alias("key"), "node", "pri", "info"), "prefix")
+    prefix = materialise(prefix.select("node", "pri", "info", F.explode(F.array_distinct(F.slice("own", 1, F.size("own") - matches + 1))).alias("post")).select(F.col("post.key").alias("key"), "node", "pri", "info"), "prefix")
     drop(shared)
     nodes = prefix.select(F.col("node").alias("doc_id")).distinct()
     texts = only_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), nodes, ["doc_id", "text"], "texts")
@@ -128,7 +145,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = tn.SHINGLE)
 
     def verify(pairs: DataFrame) -> DataFrame:
         of = lambda x: classes.select(F.col("node").alias(x), F.col("sig").alias(f"sig_{x}"))
-        close = pairs.join(of("a"), "a").join(of("b"), "b").where(f"size(array_intersect(sig_a, sig_b)) >= {MATCHES}")
+        close = pairs.join(of("a"), "a").join(of("b"), "b").where(f"size(array_intersect(sig_a, sig_b)) >= {matches}")
         full = lambda x: sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s_{x}"))
         both = close.select("a", "b").join(full("a"), "a").join(full("b"), "b").withColumn("same", F.size(F.array_intersect("s_a", "s_b")))
         return both.where(f"100 * same >= {percent} * (size(s_a) + size(s_b) - same)").select("a", "b").distinct()
