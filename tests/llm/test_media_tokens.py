@@ -176,3 +176,44 @@ def test_licence_rules(spark):
     assert all(any(c in s for c in licences.CUES) for s in licences.SENTENCES.values())
     assert all(k in licences.SENTENCES for _, ids in licences.RULES for k in ids)
     assert licences.scan(df.limit(0)).count() == 0
+
+
+def test_licences_of_unedited_texts(spark):
+    mit = """Copyright (c) 2020 A. Author
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+    mpl = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+    agpl = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU Affero General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU Affero General Public License for more details."""
+    no_grant = "MIT License\n\n" + mit[mit.index("THE SOFTWARE IS") :]
+    texts = ["MIT License\n\n" + mit, mit, no_grant, mpl, "/* " + mpl.replace("\n", "\n * ") + " */", agpl, "MIT License", "See v. 2 of it, no license."]
+    got = licences.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r.licences for r in got] == ["MIT", "MIT", "MIT", "MPL-2.0", "MPL-2.0", "AGPL-3.0-or-later", "", ""]
+    assert all(any(c in s for c in licences.CUES) for s in licences.MORE_SENTENCES.values())
+    assert all(k in licences.SENTENCES | licences.MORE_SENTENCES for _, ids in licences.MORE_RULES for k in ids)

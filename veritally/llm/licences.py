@@ -55,6 +55,28 @@ RULES = [
     ("ISC", ["isc-grant", "isc-asis"]),
     ("MPL-2.0", ["mpl2-subject"]),
 ]
+#: Sentences of unedited texts, where blank lines part them, and of more licences. The SQL states
+#: those above alone; the tests hold these against the canonical texts.
+MORE_SENTENCES = {
+    "mit-heading": "mit license",
+    "mit-name-3": "this project is licensed under the mit license",
+    "mit-name-4": "distributed under the mit license",
+    "mit-grant-alone": SENTENCES["mit-grant"].split(" the above copyright")[0],
+    "mit-notice": "the above copyright" + SENTENCES["mit-grant"].split(" the above copyright")[1],
+    "lgpl21-free": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version",
+    "lgpl-hope": "this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
+    "agpl3-free": "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "bsl-grant": "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following",
+}
+MORE_RULES = [
+    ("MIT", ["mit-name-3"]),
+    ("MIT", ["mit-name-4"]),
+    ("MIT", ["mit-grant-alone", "mit-notice", "mit-asis"]),
+    ("MIT", ["mit-heading", "mit-asis", "mit-liability"]),
+    ("LGPL-2.1-or-later", ["lgpl21-free", "lgpl-hope"]),
+    ("AGPL-3.0-or-later", ["agpl3-free", "gpl-hope"]),
+    ("BSL-1.0", ["bsl-grant"]),
+]
 #: Every known sentence has one of these words; other texts are not cut at all.
 CUES = ("licen", "permission", "warrant", "redistribut", "copyright")
 
@@ -63,7 +85,8 @@ LINES, PARAGRAPHS = r"[.!?]+\s+|\n+", r"[.!?]+\s+|\n\s*\n"
 
 
 def _identifiers(text: Column, cut: str) -> Column:
-    known = F.create_map(*[F.lit(x) for pair in ((s, k) for k, s in SENTENCES.items()) for x in pair])
+    known = F.create_map(*[F.lit(x) for pair in ((s, k) for k, s in (SENTENCES | MORE_SENTENCES).items()) for x in pair])
+    text = F.regexp_replace(text, r"\b([vV])\.\s+(?=\d)", "$1.")  # 'v. 2.0' is no end of a sentence
     normal = F.transform(F.split(text, cut), lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))
     return F.filter(F.transform(normal, lambda s: F.try_element_at(known, s)), lambda k: k.isNotNull())
 
@@ -82,7 +105,8 @@ def scan(docs: DataFrame) -> DataFrame:
     both = docs.select("doc_id", *[F.when(cued, _identifiers(text, cut)).otherwise(none).alias(name) for name, cut in (("by_line", LINES), ("by_paragraph", PARAGRAPHS))])
     seq = lambda c: F.concat(F.lit("|"), F.array_join(c, "||"), F.lit("|"))
     met = lambda ids: "%" + "%".join(f"|{k}|" for k in ids) + "%"
-    found = [F.when(seq("by_line").like(met(ids)) | seq("by_paragraph").like(met(ids)), F.lit(name)) for name, ids in RULES]
+    names = [name for name, _ in RULES + MORE_RULES]
+    found = [F.when(seq("by_line").like(met(ids)) | seq("by_paragraph").like(met(ids)), F.lit(name)) for name, ids in sorted(RULES + MORE_RULES, key=lambda rule: names.index(rule[0]))]
     best = F.when(F.size("by_paragraph") > F.size("by_line"), F.col("by_paragraph")).otherwise(F.col("by_line"))
     return both.select("doc_id", F.size(best).alias("n_sentences"), F.array_join(best, ",").alias("sentences"), F.array_join(F.array_distinct(F.filter(F.array(*found), lambda x: x.isNotNull())), ",").alias("licences"))
 
