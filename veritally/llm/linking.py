@@ -4,24 +4,29 @@ Nodes that share a key are candidates; ``verify`` says which candidate pairs are
 components equal those of verifying every pair of every list, yet a list of n nodes that
 belong together costs n candidates:
 
-1. each list proposes its members against one hub, the member of the highest priority;
+1. each list proposes its members against one hub, the member of the highest priority (a list
+   of two is its pair, told from sums over the list);
 2. components of the verified links are found;
 3. lists that still hold several components propose a second hub to the members of other
    components; and
 4. what is then still open is paired across components only. A pair within one component can
-   add nothing, so leaving it out is exact.
+   add nothing, so leaving it out is exact. Nodes have sizes, and linked ones differ by a
+   ratio at most, so a list is first cut into bands of size, of which neighbours alone meet:
+   this spreads a hot list over tasks and spares most of its pairs.
 
-A cheap condition that every link meets is put on pairs as they are made.
+Only keys and nodes are shuffled with the posts. What a cheap condition, which every link meets,
+needs to know of the nodes is fetched for distinct pairs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from math import log
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veritally.llm.tables import drop, materialise
+from veritally.llm.tables import bloom_filters, drop, materialise
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -57,47 +62,59 @@ def _joined(found: DataFrame, links: DataFrame) -> DataFrame:
     return out
 
 
-def link(posts: DataFrame, verify: Callable[[DataFrame], DataFrame], near: Callable[[str, str], Column], hubs: int = 2) -> DataFrame:
+def link(posts: DataFrame, info: DataFrame, verify: Callable[[DataFrame], DataFrame], near: Callable[[str, str], Column], ratio: float, hubs: int = 2) -> DataFrame:
     """(node, component) of all nodes with a link.
 
-    posts: (key, node, pri, info), a written table without repeated (key, node); a higher pri
-    makes a likelier hub; info is a small struct of the node. near takes the names of two infos
-    and must hold for every link. verify takes distinct near pairs (a, b) and returns the links.
+    posts: (key, node, pri), a written table without repeated (key, node); a higher pri (from 0)
+    makes a likelier hub. info: (node, info), a written table; info is a small struct with a
+    positive ``size``; the smaller of two linked nodes has ``ratio`` of the other's size at least.
+    near takes the names of two infos and must hold for every link. verify takes distinct near
+    pairs (a, b), materialised, and returns the links.
     """
-    top = posts.groupBy("key").agg(F.count("*").alias("n"), F.max(F.struct("pri", "node")).alias("top")).where("n > 1")
-    top = materialise(top.select("key", "n", F.col("top.node").alias("hub")), "hubs")
-    hub = posts.select("key", F.col("node").alias("hub"), F.col("info").alias("hub_info")).join(top.select("key", "hub"), ["key", "hub"])
-    hub = materialise(hub, "hub-info")
-    edges = materialise(verify(_pairs(posts.join(hub, "key").where(F.expr("node <> hub") & near("info", "hub_info")), "node", "hub")), "links")
+
+    def links(pairs: DataFrame) -> DataFrame:
+        of = lambda x: info.select(F.col("node").alias(x), F.col("info").alias(f"info_{x}"))
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = materialise(pairs.join(of("a"), "a").join(of("b"), "b").where(near("info_a", "info_b")).select("a", "b"), "near-pairs")
+        found = materialise(verify(pairs), "links")
+        drop(pairs)
+        return found
+
+    # a hub is told by 15 bits of its priority and 48 of its node
+    rank = F.expr("(least(cast(512 * log2(1 + pri) as bigint), 32767L) * 281474976710656L) + (node & 281474976710655L)")
+    lists = posts.groupBy("key").agg(F.count("*").alias("n"), F.max(rank).alias("top"), F.min("node").alias("low"), F.bit_xor("node").alias("both")).where("n > 1")
+    lists = materialise(lists, "lists")
+    twos = lists.where("n = 2").select(F.col("low").alias("a"), F.expr("low ^ both").alias("b"))
     # a list of two is done; longer ones can hold links that their hub has no part in
-    lists = materialise(posts.join(top.where("n > 2").select("key"), "key").select("key", "node", "pri", "info"), "lists")
-    drop(top, hub)
+    with bloom_filters(posts.sparkSession):
+        members = posts.join(lists.where("n > 2").select("key", "top").hint("merge"), "key").select("key", "node", "pri", (rank == F.col("top")).alias("hub"))
+        members = materialise(members, "members")
+    hub = members.where("hub").select("key", F.col("node").alias("b"))
+    star = members.select("key", F.col("node").alias("a")).join(hub, "key").where("a <> b").select("a", "b")
+    edges = links(twos.unionByName(star))
+    drop(lists)
     found = components(edges)
     drop(edges)
     for step in range(1, hubs + 1):  # the last one pairs what is still open
-        of = materialise(lists.select("key", "node", "pri").join(found, "node", "left").select("key", "node", "pri", F.coalesce("component", "node").alias("component")), "of")
+        of = materialise(members.select("key", "node", "pri").join(found, "node", "left").select("key", "node", "pri", F.coalesce("component", "node").alias("component")), "of")
         state = of.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max(F.struct("pri", "node", "component")).alias("top")).where("low < high")
         state = materialise(state.select("key", F.col("top.component").alias("main")), "open")
         if not state.limit(1).count():
             drop(of, state)
             break
-        left = materialise(of.join(state, "key").join(lists.select("key", "node", "info"), ["key", "node"]).select("key", "node", "pri", "component", "main", "info"), "left")
+        left = materialise(of.join(state, "key").join(info, "node").select("key", "node", "pri", "component", "main", F.floor(F.log("info.size") / -log(0.999 * ratio)).alias("band")), "left")
         if step < hubs:  # the best member outside the first hub's component meets those of others
-            best = left.where("component <> main").groupBy("key").agg(F.max(F.struct("pri", "node")).alias("top")).select("key", F.col("top.node").alias("node"))
-            best = left.join(best, ["key", "node"])
+            best = left.where("component <> main").groupBy("key").agg(F.max(F.struct("pri", "node", "component")).alias("top")).select("key", F.col("top.node").alias("b"), F.col("top.component").alias("other"))
+            pairs = left.select("key", F.col("node").alias("a"), "component").join(best, "key").where("component <> other")
         else:
-            best = left
-        other = materialise(best.select("key", F.col("node").alias("other"), F.col("component").alias("other_of"), F.col("info").alias("other_info")), "others")
-        apart = F.expr("component <> other_of") if step < hubs else F.expr("component < other_of")
-        more = materialise(verify(_pairs(left.join(other, "key").where(apart & near("info", "other_info")), "node", "other")), "links")
-        drop(of, state, left, other)
+            bands = F.explode(F.array(F.struct(F.col("band"), F.lit(True).alias("own")), F.struct((F.col("band") + 1).alias("band"), F.lit(False).alias("own")))).alias("x")
+            best = left.select("key", F.col("node").alias("b"), F.col("component").alias("other"), bands).select("key", "b", "other", "x.band", "x.own")
+            pairs = left.select("key", F.col("node").alias("a"), "component", "band").join(best, ["key", "band"]).where("component < other or (component <> other and not own)")
+        more = links(pairs.select("a", "b"))
+        drop(of, state, left)
         if more.limit(1).count():
             found, old = _joined(found, more), found
             drop(old)
         drop(more)
-    drop(lists)
+    drop(members)
     return found
-
-
-def _pairs(df: DataFrame, x: str, y: str) -> DataFrame:
-    return df.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()

@@ -17,9 +17,11 @@ DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset (tests on one machine) a new local folder."""
+    """spark.checkpoint.dir; where it is unset and Spark runs on one machine alone, a new local folder."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
         path = getattr(spark, "_veritally_dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-veritally-')}"
         spark._veritally_dir = path
     return path.rstrip("/")
@@ -64,17 +66,19 @@ def settings(spark: SparkSession, **values: str):
                 spark.conf.set(k, v)
 
 
-def only_ids(docs: DataFrame, ids: DataFrame, columns: list[str], name: str) -> DataFrame:
-    """Rows of docs whose doc_id is in ids (doc_id, unique), materialised.
+def bloom_filters(spark: SparkSession):
+    """Let Spark keep rows without a partner out of a shuffle, by a Bloom filter of a small side's keys.
 
-    A semi join. Spark's runtime Bloom filter, which Spark sizes and leaves out for a large
-    ``ids``, keeps most other texts out of the shuffle.
+    Spark sizes the filter, and leaves it out for a large side. The small side needs a predicate.
     """
-    spark = docs.sparkSession
-    wanted = ids.select("doc_id", F.lit(True).alias("wanted"))
-    wanted = materialise(wanted, f"{name}-ids")
     pre = "spark__sql__optimizer__runtime__bloomFilter__"
-    with settings(spark, **{f"{pre}enabled": "true", f"{pre}applicationSideScanSizeThreshold": "1b", f"{pre}creationSideThreshold": "256MB"}):
+    return settings(spark, **{f"{pre}enabled": "true", f"{pre}applicationSideScanSizeThreshold": "1b", f"{pre}creationSideThreshold": "256MB"})
+
+
+def only_ids(docs: DataFrame, ids: DataFrame, columns: list[str], name: str) -> DataFrame:
+    """Rows of docs whose doc_id is in ids (doc_id, unique), by a semi join, materialised."""
+    wanted = materialise(ids.select("doc_id", F.lit(True).alias("wanted")), f"{name}-ids")
+    with bloom_filters(docs.sparkSession):
         out = materialise(docs.select(*columns).join(wanted.where(F.col("wanted") == F.lit(True)).select("doc_id"), "doc_id", "left_semi"), name)
     drop(wanted)
     return out

@@ -15,28 +15,17 @@ import pyarrow as pa
 SLICE = 1 << 20
 SHINGLE = 5
 
-#: Fixed odd multipliers of the hashes below.
+#: Odd multipliers of the hashes below.
 _BASE = 0x9E3779B97F4A7C15
 _WORD = np.array([0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], dtype=np.uint64)
 _LENGTH = np.uint64(0x8EBC6AF09C88C6E3)
+#: Masks of a block's first 0 to 8 bytes.
+_HEAD = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
 
 _space = np.zeros(256, dtype=bool)
 _space[[9, 10, 11, 12, 13, 32]] = True
 _lower = np.arange(256, dtype=np.uint8)
 _lower[65:91] += 32
-_powers: dict[str, np.ndarray] = {}
-
-
-def _pow(kind: str, n: int) -> np.ndarray:
-    """Powers of the base (or of its inverse) modulo 2**64; kept, and grown by need."""
-    have = _powers.get(kind)
-    if have is None or len(have) < n:
-        base = _BASE if kind == "up" else pow(_BASE, -1, 1 << 64)
-        size = max(n, SLICE + 1)
-        steps = np.full(size, base, dtype=np.uint64)
-        steps[0] = 1
-        _powers[kind] = have = np.multiply.accumulate(steps)
-    return have[:n]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -102,14 +91,43 @@ def words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return spans(~_space[buf], off)
 
 
+def _blocks(words: np.ndarray, at: np.ndarray, left: np.ndarray, place: np.ndarray | int) -> np.ndarray:
+    """A hash of up to 8 bytes at each place, told apart by the block's place in its span."""
+    h = words[at] & _HEAD[np.minimum(left, 8)]
+    h ^= np.asarray(place, np.uint64) * np.uint64(_BASE) + _WORD[4]
+    h *= _WORD[0]
+    h ^= h >> np.uint64(32)
+    h *= _WORD[1]
+    h ^= h >> np.uint64(29)
+    return h
+
+
 def span_hashes(buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each buf[s:e]; equal bytes, equal hash."""
+    """A 64-bit hash of each buf[s:e]; equal bytes, equal hash.
+
+    Blocks of 8 bytes are mixed before they are summed. (A polynomial modulo 2**64 would not do:
+    there are spans that collide whatever its base.)
+    """
     if not len(s):
         return np.zeros(0, np.uint64)
+    n = e - s
+    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+    words = np.ndarray((len(buf) + 1,), "<u8", padded.data, 0, (1,))
     with np.errstate(over="ignore"):
-        sums = np.zeros(len(buf) + 1, dtype=np.uint64)
-        np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * _pow("up", len(buf)), out=sums[1:])
-        return mix((sums[e] - sums[s]) * _pow("down", len(buf) + 1)[s])
+        total = n.astype(np.uint64) * _LENGTH
+        for j in range(4):
+            at = slice(None) if j == 0 else np.flatnonzero(n > 8 * j)
+            if j and not len(at):
+                break
+            total[at] += _blocks(words, s[at] + 8 * j, n[at] - 8 * j, j)
+        long = np.flatnonzero(n > 32)
+        if len(long):
+            count = (n[long] - 25) // 8  # blocks from the fifth on
+            first = np.cumsum(count) - count
+            place = np.arange(count.sum()) - np.repeat(first, count) + 4
+            own = np.repeat(long, count)
+            total[long] += np.add.reduceat(_blocks(words, s[own] + 8 * place, n[own] - 8 * place, place), first)
+        return mix(total)
 
 
 def shingle_hashes(word: np.ndarray, ptr: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -132,17 +150,3 @@ def shingle_hashes(word: np.ndarray, ptr: np.ndarray, size: int = SHINGLE) -> tu
         for row in np.flatnonzero((n > 0) & (n < size)):
             full[out_ptr[row]] = np.uint64(n[row]) * _LENGTH + (word[ptr[row] : ptr[row + 1]] * _WORD[: n[row]]).sum(dtype=np.uint64)
         return mix(full), out_ptr
-
-
-def ngrams(low: np.ndarray, off: np.ndarray, n: int, bits: int) -> np.ndarray:
-    """For each byte position the hashed n-gram that starts there, below 2**bits.
-
-    Positions whose n-gram would leave its row hold the shorter rest of the row.
-    """
-    with np.errstate(over="ignore"):
-        h = np.zeros(len(low), np.uint64)
-        left = np.repeat(off[1:], np.diff(off)) - np.arange(len(low))
-        for j in range(n):
-            h[: len(low) - j] = h[: len(low) - j] * np.uint64(0x100000001B3) + np.where(left[: len(low) - j] > j, low[j:].astype(np.uint64) + np.uint64(1), np.uint64(0))
-        h = (h + np.uint64(n)) * np.uint64(_BASE)
-        return (h >> np.uint64(64 - bits)).astype(np.uint32)
