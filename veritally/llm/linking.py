@@ -12,7 +12,9 @@ belong together costs n candidates:
 4. what is then still open is paired across components only. A pair within one component can
    add nothing, so leaving it out is exact. Nodes have sizes, and linked ones differ by a
    ratio at most, so a list is first cut into bands of size, of which neighbours alone meet:
-   this spreads a hot list over tasks and spares most of its pairs.
+   this spreads a hot list over tasks and spares most of its pairs. Where links share several
+   keys (``several``), members of an open list meet a hub for each second key that they share
+   instead, so that no list costs more than its length.
 
 Only keys and nodes are shuffled with the posts. What a cheap condition, which every link meets,
 needs to know of the nodes is fetched for distinct pairs.
@@ -62,14 +64,14 @@ def _joined(found: DataFrame, links: DataFrame) -> DataFrame:
     return out
 
 
-def link(posts: DataFrame, info: DataFrame, verify: Callable[[DataFrame], DataFrame], near: Callable[[str, str], Column], ratio: float, hubs: int = 2) -> DataFrame:
+def link(posts: DataFrame, info: DataFrame, verify: Callable[[DataFrame], DataFrame], near: Callable[[str, str], Column], ratio: float, hubs: int = 2, several: bool = False) -> DataFrame:
     """(node, component) of all nodes with a link.
 
     posts: (key, node, pri), a written table without repeated (key, node); a higher pri (from 0)
     makes a likelier hub. info: (node, info), a written table; info is a small struct with a
     positive ``size``; the smaller of two linked nodes has ``ratio`` of the other's size at least.
     near takes the names of two infos and must hold for every link. verify takes distinct near
-    pairs (a, b), materialised, and returns the links.
+    pairs (a, b), materialised, and returns the links. several: see 4; it finds what shares two keys.
     """
 
     def links(pairs: DataFrame) -> DataFrame:
@@ -103,7 +105,14 @@ def link(posts: DataFrame, info: DataFrame, verify: Callable[[DataFrame], DataFr
             drop(of, state)
             break
         left = materialise(of.join(state, "key").join(info, "node").select("key", "node", "pri", "component", "main", F.floor(F.log("info.size") / -log(0.999 * ratio)).alias("band")), "left")
-        if step < hubs:  # the best member outside the first hub's component meets those of others
+        second = None
+        if step == hubs and several:
+            other = members.select(F.col("key").alias("key2"), "node")
+            both = F.xxhash64(F.least("key", "key2"), F.greatest("key", "key2")).alias("key")
+            second = materialise(left.join(other, "node").where("key <> key2").select(both, "node", "pri", "component").distinct(), "second")
+            best = second.groupBy("key").agg(F.max(F.struct("pri", "node", "component")).alias("top"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+            pairs = second.select("key", F.col("node").alias("a"), "component").join(best.select("key", F.col("top.node").alias("b"), F.col("top.component").alias("other")), "key").where("component <> other")
+        elif step < hubs:  # the best member outside the first hub's component meets those of others
             best = left.where("component <> main").groupBy("key").agg(F.max(F.struct("pri", "node", "component")).alias("top")).select("key", F.col("top.node").alias("b"), F.col("top.component").alias("other"))
             pairs = left.select("key", F.col("node").alias("a"), "component").join(best, "key").where("component <> other")
         else:
@@ -111,7 +120,7 @@ def link(posts: DataFrame, info: DataFrame, verify: Callable[[DataFrame], DataFr
             best = left.select("key", F.col("node").alias("b"), F.col("component").alias("other"), bands).select("key", "b", "other", "x.band", "x.own")
             pairs = left.select("key", F.col("node").alias("a"), "component", "band").join(best, ["key", "band"]).where("component < other or (component <> other and not own)")
         more = links(pairs.select("a", "b"))
-        drop(of, state, left)
+        drop(of, state, left, second)
         if more.limit(1).count():
             found, old = _joined(found, more), found
             drop(old)
