@@ -113,6 +113,46 @@ def test_coder_round_trip(n):
                 range_coder.decode(damaged)
 
 
+def test_orders_1_and_2_help():
+    """Ids of real texts take clearly fewer bits than their order-0 entropy."""
+    rows = pytest.importorskip("pyarrow.parquet").read_table("/root/testdata/sf0.01/documents.parquet")["text"]
+    ids = np.concatenate(list(token_output.Encoder(PATH).encode(rows))).astype(np.int64)
+    share = np.bincount(ids) / len(ids)
+    entropy = -(share[share > 0] * np.log2(share[share > 0])).sum()
+    block = range_coder.encode(ids, 50258)
+    assert (range_coder.decode(block) == ids).all()
+    print(f"{8 * len(block) / len(ids):.2f} bits an id, order 0 {entropy:.2f}")
+    assert 8 * len(block) / len(ids) < 0.97 * entropy
+    # a context with two followers: a distribution and not a guess
+    rng = np.random.default_rng(1)
+    pairs = np.stack([rng.integers(0, 500, 200_000), np.zeros(200_000, np.int64)], axis=1)
+    pairs[:, 1] = 1000 + 2 * pairs[:, 0] + (rng.random(200_000) < 0.5)
+    assert 8 * len(range_coder.encode(pairs.ravel(), 50258)) / 400_000 < 0.62 * np.log2(500 * 2000) / 2 + 1.3
+
+
+def test_units_that_collide_under_a_polynomial_hash():
+    from tokenizers import Tokenizer
+
+    bits = [0]
+    while len(bits) < 1024:
+        bits += [1 - x for x in bits]
+    texts = ["x " + "".join("ab"[x] for x in bits), "x " + "".join("ba"[x] for x in bits)]
+    library = Tokenizer.from_file(PATH)
+    assert [x.tolist() for x in token_output.Encoder(PATH).encode(pa.array(texts))] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_tokens_of_long_texts_and_clashing_columns(spark):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(PATH)
+    texts = ["long words " * 60_000, "z" * 100_000, "short"]
+    df = spark.createDataFrame([(i, t, 7, 8, 9) for i, t in enumerate(texts)], "doc_id long, text string, part long, block long, start long")
+    got = [r.n_tokens for r in token_output.token_blocks(df, PATH).orderBy("doc_id").collect()]
+    assert got == [len(library.encode(t, add_special_tokens=False).ids) + 1 for t in texts]
+    media = {r.doc_id: r.n_bytes for r in media_chunks.chunked_media(df.withColumnsRenamed({"part": "media", "block": "names", "start": "at"})).collect()}
+    assert media == {i: len(t) for i, t in enumerate(texts)}
+
+
 def test_blocks_stand_alone(spark, docs, corpus):
     blocks = token_output.write(docs, PATH, block_ids=1000).collect()
     assert len(blocks) > 10

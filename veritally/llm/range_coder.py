@@ -2,9 +2,10 @@
 
 A block's ids are cut into equal lanes; step r codes the r-th id of every lane at once, each
 lane with its own range coder and all with the block's one model. The model predicts the next
-id by order 0 (adaptive frequencies), by order 1 and by order 2 (the id that last proved right
-after one and two ids, with a confidence). Order 1 and 2 add mass to their ids on top of the
-order-0 frequencies; how much is learnt for each pair of confidences. The model is brought up
+id by order 0 (adaptive frequencies of all ids) and by orders 1 and 2: each context of one id
+and (hashed) of two keeps counts of a few ids that followed it. The three distributions
+are mixed: the weights of orders 1 and 2 against order 0 are learnt for each pair of their
+contexts' experience, and an id that both know has its masses of both. The model is brought up
 to date after each step, so encoder and decoder see the same one, and it starts anew in each
 block. Blocks carry checksums of their bytes and of their ids.
 """
@@ -17,93 +18,122 @@ import zlib
 import numpy as np
 
 _HEAD = struct.Struct("<4sIIIIII")
-MAGIC = b"CMR1"
+MAGIC = b"CMR2"
 #: SUM_EVERY: ids between sums of the order-0 frequencies.
 MOST_LANES, IDS_A_LANE, SUM_EVERY = 4096, 64, 16384
 _TOP, _LOW, _SH = np.uint64(1 << 48), np.uint64((1 << 32) - 1), np.uint64(16)
-_SLOTS = 1 << 18
-_GAIN, _MOST_TOTAL, _MOST_ODDS = 24, 1 << 20, 128
+#: Ids that contexts of order 1 and 2 keep; places of contexts of order 2; levels of experience.
+_SLOTS1, _SLOTS2, _PLACES, _LEVELS = 4, 3, 1 << 18, 16
+_GAIN, _MOST_TOTAL, _MOST_ODDS, _STEP = 24, 1 << 20, 128, 3
+#: Experience of a context: its counts' sum, and whether its first slot has most of it.
+_level = np.minimum(2 * np.ceil(np.log2(np.arange(1024) + 1)), _LEVELS - 2).astype(np.int32)
 
 
-class _Model:
-    """Order 1 and 2 keep, for each context, the id that last proved right and a confidence of 0 to
-    7, in one number: id * 8 + confidence."""
+class _Context:
+    """Slots of the contexts of one order, each id * 256 + count in an array of its own; count 0 is free."""
+
+    def __init__(self, contexts: int, slots: int):
+        self.table = [np.zeros(contexts, np.int32) for _ in range(slots)]
+
+    def look(self, at: np.ndarray) -> np.ndarray:
+        """Sets ids and counts of each lane's slots; returns the level of experience."""
+        self.at = at
+        held = [t.take(at) for t in self.table]
+        self.ids, self.counts = [x >> 8 for x in held], [x & 255 for x in held]
+        self.sum = sum(self.counts[1:], self.counts[0])
+        return _level.take(self.sum) + (4 * self.counts[0] > 3 * self.sum)
+
+    def learn(self, ids: np.ndarray) -> None:
+        """Counts the id's slot up; a new id takes the last slot. The larger count stands first."""
+        left = np.ones(len(ids), bool)
+        out = []
+        for k, (known, count) in enumerate(zip(self.ids, self.counts, strict=True)):
+            same = (known == ids) & (count > 0)
+            if k == len(self.table) - 1:
+                count, known = count * same, np.where(left, ids, known)
+                same = left | same
+            count = count + _STEP * same
+            left &= ~same
+            out.append([known, count])
+        for k in range(len(out) - 1, 0, -1):
+            (a, x), (b, y) = out[k - 1], out[k]
+            swap = y > x
+            out[k - 1], out[k] = [np.where(swap, b, a), np.maximum(x, y)], [np.where(swap, a, b), np.minimum(x, y)]
+        halve = out[0][1] > 250
+        for t, (known, count) in zip(self.table, out, strict=True):
+            t[self.at] = (known << 8) + (count >> halve)
 
+
+class _Model:
     def __init__(self, vocab: int):
-        self.freq = np.ones(vocab, np.int64)
-        self.guess1, self.guess2 = np.zeros(vocab, np.int32), np.zeros(_SLOTS, np.int32)
-        self.hit1, self.hit2, self.miss = np.ones(128, np.int64), np.ones(128, np.int64), np.full(128, 2, np.int64)
+        self.freq = np.ones(vocab, np.int32)
+        self.one, self.two = _Context(vocab, _SLOTS1), _Context(_PLACES, _SLOTS2)
+        kinds = _LEVELS * _LEVELS
+        self.hit1, self.hit2, self.miss = np.ones(kinds, np.int64), np.ones(kinds, np.int64), np.full(kinds, 2, np.int64)
         self._sum()
 
     def _sum(self) -> None:
-        self.cum = np.zeros(len(self.freq) + 1, np.int64)
+        self.cum = np.zeros(len(self.freq) + 1, np.int32)
         np.cumsum(self.freq, out=self.cum[1:])
         self.seen = []
 
     def predict(self, prev1: np.ndarray, prev2: np.ndarray) -> None:
-        """Sets each lane's two guesses (low and high), their masses, and the total."""
-        self.at1, self.at2 = prev1, (prev2 * 40503 + prev1 * 2654435) & (_SLOTS - 1)
-        x1, x2 = self.guess1.take(prev1), self.guess2.take(self.at2)
-        self.x1, self.x2, self.g1, self.g2 = x1, x2, x1 >> 3, x2 >> 3
-        same = self.g1 == self.g2
-        self.mix = ((x2 & 7) << 3) + (x1 & 7)
-        self.mix[same] += 64
+        """Sets each lane's known ids, the ends of their intervals, and the total.
+
+        Ids known to order 2, then those of order 1 come first, the order-0 ones after them all.
+        """
+        self.mix = self.two.look((prev2 * 40503 + prev1 * 2654435) & (_PLACES - 1)) * _LEVELS + self.one.look(prev1)
         total = int(self.cum[-1])
-        m2 = (total * np.minimum(self.hit2 / self.miss, _MOST_ODDS)).astype(np.int64)
-        m1 = (total * np.minimum(self.hit1 / self.miss, _MOST_ODDS)).astype(np.int64)
-        m1[64:] = 0  # one guess of both orders has the mass of order 2
-        m2, m1 = m2.take(self.mix), m1.take(self.mix)
-        self.lo, self.hi = np.minimum(self.g1, self.g2), np.maximum(self.g1, self.g2)
-        first = self.g1 < self.g2
-        self.mass_lo = np.where(first, m1, m2)
-        self.total = m1 + m2
-        self.mass_hi = self.total - self.mass_lo
-        self.total += total
+        share = lambda hit, of: (total * np.minimum(hit / self.miss, _MOST_ODDS)).take(self.mix) / np.maximum(of, 1)
+        two, one = share(self.hit2, self.two.sum), share(self.hit1, self.one.sum)
+        m2, m1 = [(two * c).astype(np.int32) for c in self.two.counts], [(one * c).astype(np.int32) for c in self.one.counts]
+        for j, g1 in enumerate(self.one.ids):  # what order 2 knows too is its own
+            for i, g2 in enumerate(self.two.ids):
+                both = m1[j] * ((g1 == g2) & (m2[i] > 0))
+                m2[i] += both
+                m1[j] -= both
+        self.ids, self.mass, self.ends = [*self.two.ids, *self.one.ids], [*m2, *m1], []
+        end = 0
+        for m in self.mass:
+            end = end + m
+            self.ends.append(end)
+        self.total = end + np.int32(total)
 
     def interval(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start and width of each id: order 0, and the masses of guesses before it and of its own."""
-        start, width = self.cum.take(ids), self.freq.take(ids)
-        start += self.mass_lo * (ids > self.lo)
-        start += self.mass_hi * (ids > self.hi)
-        width += self.mass_lo * (ids == self.lo)
-        width += self.mass_hi * (ids == self.hi)
-        return start, width
+        """Start and width of each id."""
+        width, start = self.freq.take(ids), self.cum.take(ids) + self.ends[-1]
+        self.order = np.zeros(len(ids), np.int32)  # which order knew it
+        for k, (known, mass, end) in enumerate(zip(self.ids, self.mass, self.ends, strict=True)):
+            at = np.flatnonzero((known == ids) & (mass > 0))
+            width[at] = own = mass[at]
+            start[at] = end[at] - own
+            self.order[at] = 2 if k < _SLOTS2 else 1
+        return start.astype(np.int64), width.astype(np.int64)
 
     def find(self, value: np.ndarray) -> np.ndarray:
         """The id whose interval holds the value."""
-        lo_start = self.cum.take(self.lo)
-        lo_end = lo_start + self.freq.take(self.lo) + self.mass_lo
-        hi_start = self.cum.take(self.hi) + self.mass_lo
-        hi_end = hi_start + self.freq.take(self.hi) + self.mass_hi
-        past_lo, past_hi = value >= lo_end, (value >= hi_end) & (self.hi != self.lo)
-        plain = value - self.mass_lo * past_lo
-        plain -= self.mass_hi * past_hi
-        in_lo = (value >= lo_start) & ~past_lo
-        in_hi = (value >= hi_start) & ~past_hi & (self.hi != self.lo)
-        ids = np.where(in_lo, self.lo, self.hi).astype(np.int64)
-        rest = np.flatnonzero(~(in_lo | in_hi))  # only these are looked up
-        ids[rest] = np.searchsorted(self.cum, plain[rest], side="right") - 1
+        ids = np.full(len(value), -1, np.int64)
+        for known, end in zip(reversed(self.ids), reversed(self.ends), strict=True):
+            ids = np.where(value < end, known, ids)
+        rest = np.flatnonzero(value >= self.ends[-1])
+        ids[rest] = np.searchsorted(self.cum, value[rest] - self.ends[-1][rest], side="right") - 1
         return ids
 
     def learn(self, ids: np.ndarray, every: int, step: int) -> None:
-        is1, is2 = ids == self.g1, ids == self.g2
-        kind = is2 * 128 + (is1 > is2) * 256 + self.mix
-        hits = np.bincount(kind, minlength=384).reshape(3, 128)
-        self.miss += hits[0]
-        self.hit2 += hits[1]
-        self.hit1 += hits[2]
+        kinds = len(self.miss)
+        met = np.bincount(self.order * kinds + self.mix, minlength=3 * kinds).reshape(3, kinds)
+        for c, more in zip((self.miss, self.hit1, self.hit2), met, strict=True):
+            c += more
         big = self.hit1 + self.hit2 + self.miss > 1 << 14
         if big.any():
             for c in (self.hit1, self.hit2, self.miss):
                 c[big] = (c[big] + 1) >> 1
-        own = ids.astype(np.int32) << 3
-        for at, guess, was, right in ((self.at1, self.guess1, self.x1, is1), (self.at2, self.guess2, self.x2, is2)):
-            # right: surer, up to 7; wrong: half as sure; wrong and not sure: the new id
-            sure = was & 7
-            guess[at] = np.where(right, was + (sure < 7), np.where(sure == 0, own, was - sure + (sure >> 1)))
+        own = ids.astype(np.int32)
+        self.one.learn(own)
+        self.two.learn(own)
         self.seen.append(ids)
         if (step + 1) % every == 0:
-            self.freq += _GAIN * np.bincount(np.concatenate(self.seen), minlength=len(self.freq))
+            self.freq += (_GAIN * np.bincount(np.concatenate(self.seen), minlength=len(self.freq))).astype(np.int32)
             while self.freq.sum() > _MOST_TOTAL:
                 self.freq = (self.freq + 1) >> 1
             self._sum()

@@ -4,8 +4,8 @@ Documents are range-partitioned by doc_id and sorted; each partition encodes its
 writes blocks of about BLOCK_IDS ids (whole documents; a longer document is a block). A row of
 the written table is one block: part (the partition, ascending in doc_id), block (its number in
 the part), and data, which stands alone: a document directory and the coded ids, both with
-checksums. Places of documents follow from the blocks' counts: running sums within a part, and
-over the few rows of part totals.
+checksums. Places of documents follow from what the blocks hold when they are read: running sums
+over the blocks of a part, and over the few rows of part totals.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from veritally.llm.tables import materialise
 BLOCK_IDS, END_ID = 1 << 20, 2
 _DIRECTORY = struct.Struct("<4sIII")
 #: Units kept with their ids by each worker; then it starts anew.
-KEPT_UNITS = 3_000_000
+KEPT_UNITS = 1_000_000
 
 _white = np.zeros(256, dtype=bool)
 _white[[9, 10, 11, 12, 13, 32]] = True
@@ -52,7 +52,7 @@ class Encoder:
 
     Its pre-tokens never join what comes before white space with that white space, so a text is
     the run of its units' ids, a unit being white space and the word after it. The library
-    encodes each unit once while it is kept, under a 64-bit hash.
+    encodes each unit once while it is kept, under its bytes.
     """
 
     def __init__(self, path: str):
@@ -67,8 +67,8 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.keys, self.start, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.pool = np.zeros(0, np.uint16)
+        self.number: dict[bytes, int] = {}
+        self.ends, self.pool = np.zeros(1, np.int64), np.zeros(0, np.uint16)
 
     def _ids(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of units and their counts.
@@ -90,11 +90,10 @@ class Encoder:
                 out[k] = x
         return np.concatenate(out), np.fromiter(map(len, out), np.int64, len(out))
 
-    def _keep(self, keys: np.ndarray, raw: list[bytes]) -> None:
+    def _keep(self, raw: list[bytes]) -> None:
         ids, count = self._ids(raw)
-        start = len(self.pool) + np.cumsum(count) - count
-        at = np.searchsorted(self.keys, keys)
-        self.keys, self.start, self.count = np.insert(self.keys, at, keys), np.insert(self.start, at, start), np.insert(self.count, at, count)
+        self.number.update(zip(raw, range(len(self.number), len(self.number) + len(raw)), strict=True))
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(count)])
         self.pool = np.concatenate([self.pool, ids])
 
     def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
@@ -106,20 +105,18 @@ class Encoder:
             first[1:] = white[1:] & ~white[:-1]
             first[off[:-1][off[:-1] < off[1:]]] = True
             s = np.flatnonzero(first)
-            e = np.append(s[1:], len(buf))[: len(s)]
-            ptr = np.searchsorted(s, off)
-            keys, at, index = np.unique(tn.span_hashes(buf, s, e), return_index=True, return_inverse=True)
-            if len(self.keys) > KEPT_UNITS:
+            ptr, raw = np.searchsorted(s, off), buf.tobytes()
+            at = s.tolist()
+            units = [raw[a:b] for a, b in zip(at, at[1:] + [len(raw)], strict=True)] if at else []
+            if len(self.number) > KEPT_UNITS:
                 self.clear()
-            place = np.searchsorted(self.keys, keys)
-            new = np.ones(len(keys), dtype=bool)
-            if len(self.keys):
-                new = self.keys[np.minimum(place, len(self.keys) - 1)] != keys
-            if new.any():
-                raw = buf.tobytes()
-                self._keep(keys[new], [raw[a:b] for a, b in zip(s[at[new]].tolist(), e[at[new]].tolist(), strict=True)])
-                place = np.searchsorted(self.keys, keys)
-            start, count = self.start[place][index], self.count[place][index]
+            index = list(map(self.number.get, units))
+            if None in index:
+                self._keep(list(dict.fromkeys(x for x, k in zip(units, index, strict=True) if k is None)))
+                index = map(self.number.__getitem__, units)
+            index = np.fromiter(index, np.int64, len(units))
+            start = self.ends[index]
+            count = self.ends[index + 1] - start
             total = np.concatenate([[0], np.cumsum(count)])
             ids = self.pool[np.repeat(start - total[:-1], count) + np.arange(total[-1])]
             for row in range(len(off) - 1):
@@ -193,8 +190,8 @@ def read(blocks: DataFrame) -> DataFrame:
                 n = len(keys)
                 yield pa.RecordBatch.from_arrays([pa.array([part.as_py()] * n, pa.int64()), pa.array([block.as_py()] * n, pa.int64()), pa.array(keys, pa.int64()), pa.array(ptr[:-1]), pa.array(np.diff(ptr)), pa.array(crc, pa.int64())], names=["part", "block", "doc_id", "place", "n_tokens", "ids_crc32"])
 
-    docs = blocks.select("part", "block", "data").mapInArrow(run, "part long, block long, doc_id long, place long, n_tokens long, ids_crc32 long")
-    sizes = blocks.select("part", "block", "n_ids")
+    docs = materialise(blocks.select("part", "block", "data").mapInArrow(run, "part long, block long, doc_id long, place long, n_tokens long, ids_crc32 long"), "read")
+    sizes = docs.groupBy("part", "block").agg(F.sum("n_tokens").alias("n_ids"))
     within = sizes.withColumn("before", F.sum("n_ids").over(Window.partitionBy("part").orderBy("block")) - F.col("n_ids"))
     # one row a partition: few, however many documents there are
     parts = sizes.groupBy("part").agg(F.sum("n_ids").alias("n")).withColumn("base", F.sum("n").over(Window.orderBy("part")) - F.col("n"))
