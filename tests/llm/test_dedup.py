@@ -52,10 +52,9 @@ def test_link_equals_all_pairs(spark):
     links = {(a, b) for a in range(60) for b in range(a + 1, 60) if (a * 7 + b * 13) % 5 == 0 and size[a] >= 0.8 * size[b]}
     shared = {(a, b) for k, a in posts for j, b in posts if k == j and a < b}
     want = {n: c for n, c in brute.groups(range(60), shared & links).items()}
-    df = materialise(spark.createDataFrame([(k, n, n % 5) for k, n in posts], "key long, node long, pri long"), "posts")
-    info = materialise(spark.createDataFrame([(n, (s,)) for n, s in size.items()], "node long, info struct<size: long>"), "info")
+    df = materialise(spark.createDataFrame([(k, n, n % 5, size[n]) for k, n in posts], "key long, node long, pri long, size long"), "posts")
     is_link = spark.createDataFrame(sorted(links), "a long, b long")
-    got = {r.node: r.component for r in linking.link(df, info, lambda p: p.join(is_link, ["a", "b"]), lambda x, y: F.expr(f"{x}.size >= 0 and {y}.size >= 0"), 0.8).collect()}
+    got = {r.node: r.component for r in linking.link(df, lambda p: p.join(is_link, ["a", "b"]), 0.8).collect()}
     assert all(got.get(n, n) == c for n, c in want.items())
 
 

@@ -64,62 +64,65 @@ def _joined(found: DataFrame, links: DataFrame) -> DataFrame:
     return out
 
 
-def link(posts: DataFrame, info: DataFrame, verify: Callable[[DataFrame], DataFrame], near: Callable[[str, str], Column], ratio: float, hubs: int = 2, several: bool = False) -> DataFrame:
+def link(posts: DataFrame, verify: Callable[[DataFrame], DataFrame], ratio: float, near: Callable[[DataFrame], DataFrame] | None = None, hubs: int = 2, several: bool = False) -> DataFrame:
     """(node, component) of all nodes with a link.
 
-    posts: (key, node, pri), a written table without repeated (key, node); a higher pri (from 0)
-    makes a likelier hub. info: (node, info), a written table; info is a small struct with a
-    positive ``size``; the smaller of two linked nodes has ``ratio`` of the other's size at least.
-    near takes the names of two infos and must hold for every link. verify takes distinct near
-    pairs (a, b), materialised, and returns the links. several: see 4; it finds what shares two keys.
+    posts: (key, node, pri, size), from a written table, without repeated (key, node); a higher
+    pri (from 0) makes a likelier hub; the smaller of two linked nodes has ``ratio`` of the other's
+    size (an integer from 1) at least. near may thin out distinct pairs (a, b) by what every link
+    meets. verify takes such pairs, materialised, and returns the links. several: see 4; it finds
+    what shares two keys.
     """
+    ratio = 0.999 * ratio  # sizes at the very ratio stay in
 
     def links(pairs: DataFrame) -> DataFrame:
-        of = lambda x: info.select(F.col("node").alias(x), F.col("info").alias(f"info_{x}"))
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = materialise(pairs.join(of("a"), "a").join(of("b"), "b").where(near("info_a", "info_b")).select("a", "b"), "near-pairs")
+        pairs = materialise(near(pairs) if near else pairs, "near-pairs")
         found = materialise(verify(pairs), "links")
         drop(pairs)
         return found
 
+    like = f"least(size, other_size) >= {ratio} * greatest(size, other_size)"
     # a hub is told by 15 bits of its priority and 48 of its node
     rank = F.expr("(least(cast(512 * log2(1 + pri) as bigint), 32767L) * 281474976710656L) + (node & 281474976710655L)")
-    lists = posts.groupBy("key").agg(F.count("*").alias("n"), F.max(rank).alias("top"), F.min("node").alias("low"), F.bit_xor("node").alias("both")).where("n > 1")
+    lists = posts.groupBy("key").agg(F.count("*").alias("n"), F.max(rank).alias("top"), F.min("node").alias("low"), F.bit_xor("node").alias("both"), F.min("size").alias("size"), F.max("size").alias("other_size")).where("n > 1")
     lists = materialise(lists, "lists")
-    twos = lists.where("n = 2").select(F.col("low").alias("a"), F.expr("low ^ both").alias("b"))
+    twos = lists.where("n = 2").where(like).select(F.col("low").alias("a"), F.expr("low ^ both").alias("b"))
     # a list of two is done; longer ones can hold links that their hub has no part in
     with bloom_filters(posts.sparkSession):
-        members = posts.join(lists.where("n > 2").select("key", "top").hint("merge"), "key").select("key", "node", "pri", (rank == F.col("top")).alias("hub"))
+        members = posts.join(lists.where("n > 2").select("key", "top").hint("merge"), "key").select("key", "node", "pri", "size", (rank == F.col("top")).alias("hub"))
         members = materialise(members, "members")
-    hub = members.where("hub").select("key", F.col("node").alias("b"))
-    star = members.select("key", F.col("node").alias("a")).join(hub, "key").where("a <> b").select("a", "b")
+    hub = members.where("hub").select("key", F.col("node").alias("b"), F.col("size").alias("other_size"))
+    star = members.select("key", F.col("node").alias("a"), "size").join(hub, "key").where("a <> b").where(like).select("a", "b")
     edges = links(twos.unionByName(star))
     drop(lists)
     found = components(edges)
     drop(edges)
+    best_of = F.max(F.struct("pri", "node", "component", "size"))
+    top = [F.col("top.node").alias("b"), F.col("top.component").alias("other"), F.col("top.size").alias("other_size")]
     for step in range(1, hubs + 1):  # the last one pairs what is still open
-        of = materialise(members.select("key", "node", "pri").join(found, "node", "left").select("key", "node", "pri", F.coalesce("component", "node").alias("component")), "of")
+        of = materialise(members.select("key", "node", "pri", "size").join(found, "node", "left").select("key", "node", "pri", "size", F.coalesce("component", "node").alias("component")), "of")
         state = of.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max(F.struct("pri", "node", "component")).alias("top")).where("low < high")
         state = materialise(state.select("key", F.col("top.component").alias("main")), "open")
         if not state.limit(1).count():
             drop(of, state)
             break
-        left = materialise(of.join(state, "key").join(info, "node").select("key", "node", "pri", "component", "main", F.floor(F.log("info.size") / -log(0.999 * ratio)).alias("band")), "left")
-        second = None
-        if step == hubs and several:
-            other = members.select(F.col("key").alias("key2"), "node")
+        left, second = materialise(of.join(state, "key").withColumn("band", F.floor(F.log("size") / -log(ratio))), "left"), None
+        mine = left.select("key", F.col("node").alias("a"), "component", "size", "band")
+        if step < hubs:  # the best member outside the first hub's component meets those of others
+            best = left.where("component <> main").groupBy("key").agg(best_of.alias("top")).select("key", *top)
+            pairs = mine.join(best, "key").where("component <> other")
+        elif several:
             both = F.xxhash64(F.least("key", "key2"), F.greatest("key", "key2")).alias("key")
-            second = materialise(left.join(other, "node").where("key <> key2").select(both, "node", "pri", "component").distinct(), "second")
-            best = second.groupBy("key").agg(F.max(F.struct("pri", "node", "component")).alias("top"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-            pairs = second.select("key", F.col("node").alias("a"), "component").join(best.select("key", F.col("top.node").alias("b"), F.col("top.component").alias("other")), "key").where("component <> other")
-        elif step < hubs:  # the best member outside the first hub's component meets those of others
-            best = left.where("component <> main").groupBy("key").agg(F.max(F.struct("pri", "node", "component")).alias("top")).select("key", F.col("top.node").alias("b"), F.col("top.component").alias("other"))
-            pairs = left.select("key", F.col("node").alias("a"), "component").join(best, "key").where("component <> other")
+            second = left.join(members.select(F.col("key").alias("key2"), "node"), "node").where("key <> key2").select(both, "node", "pri", "component", "size").distinct()
+            second = materialise(second, "second")
+            best = second.groupBy("key").agg(best_of.alias("top"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key", *top)
+            pairs = second.select("key", F.col("node").alias("a"), "component", "size").join(best, "key").where("component <> other")
         else:
-            bands = F.explode(F.array(F.struct(F.col("band"), F.lit(True).alias("own")), F.struct((F.col("band") + 1).alias("band"), F.lit(False).alias("own")))).alias("x")
-            best = left.select("key", F.col("node").alias("b"), F.col("component").alias("other"), bands).select("key", "b", "other", "x.band", "x.own")
-            pairs = left.select("key", F.col("node").alias("a"), "component", "band").join(best, ["key", "band"]).where("component < other or (component <> other and not own)")
-        more = links(pairs.select("a", "b"))
+            bands = F.explode(F.array(F.struct("band", F.lit(True).alias("own")), F.struct((F.col("band") + 1).alias("band"), F.lit(False).alias("own")))).alias("x")
+            best = left.select("key", F.col("node").alias("b"), F.col("component").alias("other"), F.col("size").alias("other_size"), bands).select("key", "b", "other", "other_size", "x.band", "x.own")
+            pairs = mine.join(best, ["key", "band"]).where("component < other or (component <> other and not own)")
+        more = links(pairs.where(like).select("a", "b"))
         drop(of, state, left, second)
         if more.limit(1).count():
             found, old = _joined(found, more), found

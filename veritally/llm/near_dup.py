@@ -13,7 +13,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veritally.llm import textnum as tn
@@ -131,17 +131,19 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = tn.SHINGLE)
     shared = materialise(posts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared")
     # skip: a set with fewer shared coordinates than matches has no partner
     prefix = posts.join(shared, "key").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("own"), F.sum("n").alias("pri")).where(F.size("own") >= matches)
-    prefix = materialise(prefix.select("node", "pri", F.explode(F.array_distinct(F.slice("own", 1, F.size("own") - matches + 1))).alias("post")).select(F.col("post.key").alias("key"), "node", "pri"), "prefix")
+    prefix = prefix.join(classes.select("node", F.col("n_shingles").alias("size")), "node")
+    prefix = materialise(prefix.select("node", "pri", "size", F.explode(F.array_distinct(F.slice("own", 1, F.size("own") - matches + 1))).alias("post")).select(F.col("post.key").alias("key"), "node", "pri", "size"), "prefix")
     drop(shared)
     nodes = prefix.select(F.col("node").alias("doc_id")).distinct()
     texts = only_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), nodes, ["doc_id", "text"], "texts")
     sets = materialise(_shingle_sets(texts, size), "sets")
     drop(texts)
 
-    def near(x: str, y: str) -> Column:
+    def near(pairs: DataFrame) -> DataFrame:
         """By sizes and parity sketches alone; true of every pair to be linked."""
-        apart = " + ".join(f"bit_count({x}.parity[{i}] ^ {y}.parity[{i}])" for i in range(PARITY // 64))
-        return F.expr(f"100 * least({x}.size, {y}.size) >= {percent} * greatest({x}.size, {y}.size) and {100 + percent} * ({apart}) <= {100 - percent} * ({x}.size + {y}.size)")
+        of = lambda x: classes.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("parity").alias(f"p_{x}"))
+        apart = " + ".join(f"bit_count(p_a[{i}] ^ p_b[{i}])" for i in range(PARITY // 64))
+        return pairs.join(of("a"), "a").join(of("b"), "b").where(f"{100 + percent} * ({apart}) <= {100 - percent} * (n_a + n_b)").select("a", "b")
 
     def verify(pairs: DataFrame) -> DataFrame:
         of = lambda x: classes.select(F.col("node").alias(x), F.col("sig").alias(f"sig_{x}"))
@@ -150,7 +152,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = tn.SHINGLE)
         both = close.select("a", "b").join(full("a"), "a").join(full("b"), "b").withColumn("same", F.size(F.array_intersect("s_a", "s_b")))
         return both.where(f"100 * same >= {percent} * (size(s_a) + size(s_b) - same)").select("a", "b").distinct()
 
-    found = link(prefix, classes.select("node", F.struct(F.col("n_shingles").alias("size"), "parity").alias("info")), verify, near, percent / 100)
+    found = link(prefix, verify, percent / 100, near)
     drop(prefix, sets)
     of_class = materialise(classes.select("f1", "f2", "n_shingles", "node").join(found, "node", "left").select("f1", "f2", F.col("n_shingles").alias("n"), F.coalesce("component", "node").alias("component")), "members")
     drop(classes, found)

@@ -39,9 +39,9 @@ def materialise(df: DataFrame, name: str, compression: str = "zstd") -> DataFram
     return back
 
 
-def drop(*tables: DataFrame) -> None:
+def drop(*tables: DataFrame | None) -> None:
     """Delete materialised tables that nothing reads any more."""
-    for t in tables:
+    for t in tables:  # None is no table
         path = getattr(t, "_veritally_path", None)
         if path:
             spark = t.sparkSession
@@ -75,11 +75,19 @@ def bloom_filters(spark: SparkSession):
     return settings(spark, **{f"{pre}enabled": "true", f"{pre}applicationSideScanSizeThreshold": "1b", f"{pre}creationSideThreshold": "256MB"})
 
 
+def marked(df: DataFrame, name: str) -> DataFrame:
+    """df, materialised, with a predicate that is true of all its rows: a small side for ``bloom_filters``."""
+    table = materialise(df.withColumn("_marked", F.lit(True)), name)
+    out = table.where(F.col("_marked") == F.lit(True)).drop("_marked")
+    out._veritally_path = table._veritally_path
+    return out
+
+
 def only_ids(docs: DataFrame, ids: DataFrame, columns: list[str], name: str) -> DataFrame:
     """Rows of docs whose doc_id is in ids (doc_id, unique), by a semi join, materialised."""
-    wanted = materialise(ids.select("doc_id", F.lit(True).alias("wanted")), f"{name}-ids")
+    wanted = marked(ids.select("doc_id"), f"{name}-ids")
     with bloom_filters(docs.sparkSession):
-        out = materialise(docs.select(*columns).join(wanted.where(F.col("wanted") == F.lit(True)).select("doc_id"), "doc_id", "left_semi"), name)
+        out = materialise(docs.select(*columns).join(wanted, "doc_id", "left_semi"), name)
     drop(wanted)
     return out
 
