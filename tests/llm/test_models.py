@@ -37,8 +37,8 @@ def test_toxicity_on_held_out_rows(spark):
     got = toxicity.classify(table(spark, "documents"), table(spark, "labels")).toPandas().merge(table(spark, "labels").toPandas(), on="doc_id")
     assert (got.held_out == held(got.doc_id, 3, 1)).all() and ((got.score >= 0.7) == (got.predicted == 1)).all() and got.score.between(0, 1).all()
     out = got[got.held_out]
-    # about 300 toxic rows to learn from, in four languages with words of their own; more rows find more
-    assert out[out.toxic == 1].predicted.mean() > 0.8 and out[out.toxic == 0].predicted.mean() < 0.02
+    print(f"toxicity: recall {out[out.toxic == 1].predicted.mean():.3f}, false alarms {out[out.toxic == 0].predicted.mean():.4f}")
+    assert out[out.toxic == 1].predicted.mean() > 0.84 and out[out.toxic == 0].predicted.mean() < 0.005
 
 
 @here
@@ -110,3 +110,55 @@ def test_label_model_finds_accuracies():
     m = toxicity.label_model(votes, 0.2)
     q = m.posterior(votes)
     assert ((q > 0.5) == y).mean() > 0.93 and m.weights[0] < 0.9 and abs(m.weights[0] - m.weights[4]) < 1e-6
+
+
+def test_label_model_equals_plain_em():
+    """Independent voters: the posteriors are those of expectation maximisation by Bayes' rule, row by row."""
+    rng = np.random.default_rng(4)
+    y = rng.random(3000) < 0.3
+    votes = np.stack([np.where(y, rng.random(3000) < a, rng.random(3000) < 0.05) for a in (0.6, 0.5, 0.7, 0.4, 0.5)], axis=1).astype(float)
+    votes = np.concatenate([votes, votes.sum(axis=1, keepdims=True) == 0], axis=1)
+    got = toxicity.label_model(votes, 0.3)
+    q, prior = np.array([0.02, 0.5, 0.95])[np.minimum(votes[:, :-1].sum(axis=1), 2).astype(int)], 0.3
+    for _ in range(25):
+        rate = [[(sum(w for w, v in zip(side, votes[:, k], strict=True) if v) + 0.1) / (side.sum() + 0.2) for k in range(6)] for side in (1 - q, q)]
+        odds = np.array([np.log(prior / (1 - prior)) + sum(np.log(rate[1][k] / rate[0][k]) for k in range(6) if row[k]) for row in votes])
+        q = 1 / (1 + np.exp(-odds))
+        prior = q.mean()
+    assert np.abs(got.weights[:-1] - 1).max() < 0.2 and ((got.posterior(votes) > 0.5) == (q > 0.5)).mean() > 0.97
+
+
+def test_kernel_by_its_definition():
+    """Shares of languages from kernels over sets of n-grams, against the folded matrix."""
+    rng = np.random.default_rng(2)
+    word = {"a": "the and of with".split(), "b": "der und mit von".split(), "c": "los que con del".split()}
+    langs = [k for k in word for _ in range(8)]
+    texts = [" ".join(rng.choice(word[k], 6)) for k in langs]
+    model = langid.fit(texts, langs, landmarks=9, ridge=1e-2)
+    grams = lambda t: {t[i : i + n] for n in langid.ORDERS for i in range(len(t) - n + 1)}
+    kernel = lambda x, y: len(grams(x) & grams(y)) / np.sqrt(len(grams(x)) * len(grams(y)))
+    marks = [t for k in word for t in [t for t, own in zip(texts, langs, strict=True) if own == k][:3]]
+    values, vectors = np.linalg.eigh(np.array([[kernel(x, y) for y in marks] for x in marks]))
+    keep = values > 1e-6 * values.max()
+    phi = lambda t: np.append(np.array([kernel(t, m) for m in marks]) @ (vectors[:, keep] / np.sqrt(values[keep])), 1)
+    rows = np.array([phi(t) for t in texts])
+    target = np.array([[1.0 if k == own else -1.0 for k in word] for own in langs])
+    solved = np.linalg.solve(rows.T @ rows + 1e-2 * np.eye(rows.shape[1]), rows.T @ target)
+    for t in ("the und con", "with the of", "del los"):
+        out = np.exp(6 * (phi(t) @ solved))
+        buf = np.frombuffer(t.encode(), np.uint8)
+        (_, ptr, f), = presence(buf, np.array([0, len(buf)]), langid.ORDERS, langid.BITS)
+        best, share = model.predict(ptr, f)
+        assert best[0] == out.argmax() and abs(share[0] - out.max() / out.sum()) < 1e-3
+
+
+def test_sample_is_bounded_and_has_one_winner(spark):
+    from veritally.llm.ngram_sets import MOST_TEXT, sample
+
+    rows = [(1, "b"), (1, "a"), (2, "x" * (MOST_TEXT + 1)), (3, None), (4, "d")] + [(9, "z")] * 50
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(1, "u"), (2, "u"), (3, "v"), (9, "v"), (9, "u"), (4, None)], "doc_id long, lang string")
+    got = {r.doc_id: (r.text, r.lang) for r in sample(docs, labels, "lang", 100).itertuples()}
+    assert got == {1: ("a", "u"), 3: ("", "v"), 9: ("z", "v")}
+    assert len(sample(docs, labels, "lang", 2, each=True)) <= 2
+    assert {r.doc_id for r in sample(docs.unionByName(spark.createDataFrame([(7, "free")], "doc_id long, text string")), labels, "lang", 100, unlabelled=5).itertuples()} == {1, 3, 7, 9}

@@ -78,12 +78,12 @@ def identify(docs: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row of docs (doc_id, text, lang, ...).
 
     Learns from text and non-null lang of rows whose fold of 4 isn't 2, at most ``max_train`` of
-    them. A text that is null or has no letter is ``und`` with score 1; so is every text where
+    them, an even share of each language. A text that is null or has no letter is ``und`` with score 1; so is every text where
     there is nothing to learn from (score 0). Rows without doc_id are predicted, not learnt
     from, and not held out. Ties go to the first language by name. Other columns are ignored.
     """
     seen = docs.where((fold(F.col("doc_id"), 4) != 2) & F.col("text").isNotNull()).select("doc_id", "lang")
-    rows = sample(docs.select("doc_id", "text"), seen, "lang", max_train)
+    rows = sample(docs.select("doc_id", "text"), seen, "lang", max_train, each=True)
     model = fit(rows["text"].tolist(), rows["lang"].tolist())
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"))
 

@@ -1,11 +1,14 @@
 """Toxicity by weak supervision.
 
-Many voters look at a document: a seed lexicon, patterns, and stems and words that stand out in
-labelled training rows. A voter speaks for class 1 or abstains, which says nothing (most voters
-know one language); one more voter speaks where all others are silent. A generative model takes
-each to speak with its own rate under either class; expectation maximisation estimates those
-rates, with voters that go together beyond what the class explains sharing their weight. A linear classifier over word, stem and
-pattern indicators is then trained on the posterior labels, not on the given ones, and scores.
+Many voters look at a document: the words of a seed lexicon and patterns, and a second lexicon of
+words and stems that stand out in labelled training rows. A voter speaks for class 1 or abstains,
+which says nothing (most voters know one language); one more voter speaks where all others are
+silent. A generative model takes each to speak with its own rate under either class. Expectation
+maximisation over labelled and unlabelled rows, whose labels it doesn't see, estimates these
+rates and the correlations of voters beyond what the class explains; a voter's weight is one
+through the number of voters that it is worth with those that speak along with it. A linear
+classifier over word, stem and pattern indicators is then trained on the posterior labels, not
+on the given ones, and scores.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from veritally.llm.ngram_sets import fold, sample
 
 STEMS = (4, 5, 6)
 #: The bound of the rows that voters, label model and classifier are fitted on.
-MAX_TRAIN = 4000
+MAX_TRAIN, MAX_UNLABELLED = 4000, 2000
 MAX_VOTERS, MIN_FIRES = 256, 4
 
 #: Seed lexicon: common words of abuse.
@@ -72,13 +75,14 @@ def _rows(texts) -> list[np.ndarray]:
 
 
 def choose_voters(rows: list[np.ndarray], y: np.ndarray, n_all: int, seeds: np.ndarray) -> np.ndarray:
-    """Voters among features 0 to n_all: those that best tell labelled rows apart, and the seed lexicon's."""
+    """Voters among features 0 to n_all: the seeds (lexicon and patterns), all of them, and what best
+    tells labelled rows (y 0 or 1; -1 for none) apart."""
     count = [np.bincount(np.concatenate([r for r, own in zip(rows, y, strict=True) if own == k] or [np.zeros(0, np.int64)]), minlength=n_all) for k in (0, 1)]
     n = [max(1, int((y == k).sum())) for k in (0, 1)]
     odds = np.log((count[1] + 0.5) / (n[1] + 1)) - np.log((count[0] + 0.5) / (n[0] + 1))
     good = np.flatnonzero((count[1] >= MIN_FIRES) & (odds > 3.5))
     good = good[np.argsort(-odds[good] * np.sqrt(count[1][good]), kind="stable")][:MAX_VOTERS]
-    return np.unique(np.concatenate([good, seeds[(count[1][seeds] >= MIN_FIRES) & (odds[seeds] > 1.0)]]))
+    return np.unique(np.concatenate([good, seeds]))
 
 
 @dataclass
@@ -94,26 +98,27 @@ class LabelModel:
         return 1 / (1 + np.exp(-np.clip(odds, -35, 35)))
 
 
-def label_model(votes: np.ndarray, prior: float, rounds: int = 25) -> LabelModel:
+def label_model(votes: np.ndarray, prior: float, weak: np.ndarray | None = None, rounds: int = 25) -> LabelModel:
     """Fits votes (rows x voters, 0 or 1; the last voter speaks for class 0) alone.
 
-    prior is where the share of class 1 starts.
+    prior is where the share of class 1 starts; weak voters (a mask) have no say in the start.
     """
     n, k = votes.shape
     prior = min(max(prior, 0.01), 0.99)
     # start from a vote: two voters that speak make class 1 likely
-    q = np.array([0.02, 0.5, 0.95])[np.minimum(votes[:, :-1].sum(axis=1), 2).astype(int)]
+    q = np.array([0.02, 0.5, 0.95])[np.minimum((votes if weak is None else votes * ~weak)[:, :-1].sum(axis=1), 2).astype(int)]
     weights = np.ones(k)
     for _ in range(rounds):
         rates = np.stack([(((1 - q) @ votes) + 0.1) / ((1 - q).sum() + 1.0), ((q @ votes) + 0.1) / (q.sum() + 0.2)]).clip(1e-5, 1 - 1e-5)
         # a voter never speaks against its class
         rates[1, :-1], rates[0, -1] = np.maximum(rates[1, :-1], rates[0, :-1] * 1.01), max(rates[0, -1], rates[1, -1] * 1.01)
+        # correlations of what the class leaves unexplained; of independent voters they are noise
         left = votes - (q[:, None] * rates[1] + (1 - q[:, None]) * rates[0])
         scale = np.sqrt((left**2).sum(axis=0)) + 1e-9
-        linked = ((left / scale).T @ (left / scale) >= 0.1) | np.eye(k, dtype=bool)
+        linked = np.maximum((left / scale).T @ (left / scale) - 2 / np.sqrt(n), 0)
+        np.fill_diagonal(linked, 0)
         beside = (votes * q[:, None]).T @ votes / np.maximum((votes * q[:, None]).sum(axis=0), 1e-9)[:, None]
-        # n linked voters that speak together count as the root of n voters
-        weights = 1 / np.sqrt(np.maximum((beside * linked).sum(axis=1), 1))
+        weights = 1 / (1 + (linked * beside).sum(axis=1))
         model = LabelModel(rates, weights, prior)
         new = model.posterior(votes)
         done = np.abs(new - q).max() < 1e-4
@@ -147,10 +152,12 @@ class Model:
 
 
 def fit(texts: list[str | None], y: np.ndarray) -> Model:
-    """From at most MAX_TRAIN labelled texts; with one class or none, the constant of their share."""
-    share = (y.sum() + 0.5) / (len(y) + 1) if len(y) else 0.0
+    """From a bounded number of texts with label 0, 1 or -1 (none); with one class or no labels, the
+    constant of their share."""
+    known = y[y >= 0]
+    share = (known.sum() + 0.5) / (len(known) + 1) if len(known) else 0.0
     none = np.zeros(0, np.uint64)
-    if len(set(y.tolist())) < 2:
+    if len(set(known.tolist())) < 2:
         return Model(none, np.zeros(0), float(np.log(max(share, 1e-3) / max(1 - share, 1e-3))))
     hashed = _rows(texts)
     # features of fewer than four rows have no use: most fall by the counts of their hashes' heads
@@ -169,20 +176,23 @@ def fit(texts: list[str | None], y: np.ndarray) -> Model:
     heads = [r[rare[r]][:3].tolist() for r in rows]
     least = np.array([(h[0] * len(met) + h[1]) * len(met) + h[2] if len(h) == 3 else -1 - i for i, h in enumerate(heads)], dtype=object)
     least = np.array([hash(x) for x in least.tolist()])
-    _, first = np.unique(least, return_index=True)
+    order = np.argsort(-y, kind="stable")  # of near copies a labelled one stays
+    first = order[np.unique(least[order], return_index=True)[1]]
     first.sort()
     y, lens, rows = y[first], lens[first], [rows[i] for i in first]
     flat = np.concatenate(rows)
     seeds = np.concatenate([tn.span_hashes(b, np.array([0]), np.array([len(b)])) for b in (np.frombuffer(w.encode(), np.uint8) for w in LEXICON)])
+    seeds = np.concatenate([seeds, np.array([101, 102, 103], np.uint64)])  # and the patterns
     voters = choose_voters(rows, y, len(keys), np.flatnonzero(np.isin(keys, seeds)))
     votes = np.stack([np.isin(voters, r) for r in rows]).astype(np.float64)
-    votes = np.concatenate([votes, votes.sum(axis=1, keepdims=True) == 0], axis=1)
-    q = label_model(votes, float(share)).posterior(votes)
+    weak = np.append(keys[voters] < 1000, False)  # patterns: many texts of either class have them
+    votes = np.concatenate([votes, votes[:, ~weak[:-1]].sum(axis=1, keepdims=True) == 0], axis=1)
+    q = label_model(votes, float(share), weak).posterior(votes)
     # the classifier sees features that lean to class 1 by the posterior labels
     yes = np.bincount(flat, np.repeat(q, lens), minlength=len(keys))
     no = np.bincount(flat, np.repeat(1 - q, lens), minlength=len(keys))
     lean = np.log((yes + 0.5) / (q.sum() + 1)) - np.log((no + 0.5) / ((1 - q).sum() + 1))
-    use = (yes + no >= 4) & (lean > 2.5)
+    use = (yes + no >= 4) & (lean > 2.0)
     keys, place = keys[use], np.cumsum(use) - 1
     own, row_of = place[flat[use[flat]]], np.repeat(np.arange(len(rows)), lens)[use[flat]]
     w, b = np.zeros(len(keys)), float(np.log(q.mean() / (1 - q.mean())))
@@ -195,15 +205,18 @@ def fit(texts: list[str | None], y: np.ndarray) -> Model:
     return Model(keys[w > 0], w[w > 0], b)
 
 
-def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, max_train: int = MAX_TRAIN) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, max_train: int = MAX_TRAIN, max_unlabelled: int = MAX_UNLABELLED) -> DataFrame:
     """doc_id, held_out, score, predicted of every row of docs (doc_id, text, ...).
 
     Labels (doc_id, toxic 0/1) are learnt only from rows whose fold of 3 isn't 1. A null text is
     scored as an empty one; rows without doc_id are scored and not held out; of labels that
-    repeat a doc_id the greatest counts. Other columns are ignored.
+    repeat a doc_id the greatest counts, and of texts that do the least is learnt from. Texts
+    without labels that the label model sees are of rows that aren't held out either. Other
+    columns are ignored.
     """
-    rows = sample(docs, labels.where(fold(F.col("doc_id"), 3) != 1), "toxic", max_train)
-    model = fit(rows["text"].tolist(), rows["toxic"].to_numpy().astype(int))
+    learnt = fold(F.col("doc_id"), 3) != 1
+    rows = sample(docs.select("doc_id", "text").where(learnt), labels.where(learnt), "toxic", max_train, unlabelled=max_unlabelled)
+    model = fit(rows["text"].tolist(), rows["toxic"].fillna(-1).to_numpy().astype(int))
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
 
     def run(batches):
