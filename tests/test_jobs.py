@@ -9,6 +9,7 @@ from veritally.functions import text as tx
 from veritally.functions import verdicts as vd
 from veritally.operators import catalog, human, metrics, sampling, store, tasks, turns
 from veritally.sources import files
+from veritally.streaming import streams
 
 G = ["g1", "g2"]
 FACT = "mode string, category string, detector string, label string, generator string, num_images long, status string, error string, is_ai_modified boolean, confidence double"
@@ -212,7 +213,45 @@ def test_queue_is_balanced(spark):
 def test_names_and_errors(spark):
     df = spark.createDataFrame([("  a b/c ",), ("   ",), (None,)], "x string").select(tx.safe_name("x").alias("n"))
     assert [r.n for r in df.collect()] == ["a_b_c", "anonymous", "anonymous"]
-    e = spark.createDataFrame([("HTTP 413: x",), ("HTTP 429: slow",), ("HTTP 404",), ("Broken pipe",), ("?",), (None,)], "e string").select(tx.error_class("e").alias("k"))
-    assert [r.k for r in e.collect()] == ["too_large", "rate_limit", "other_4xx", "connection_dropped", "other", None]
+    cases = [
+        ("HTTP 413: x", "too_large"), ("HTTP 400: maximum request size", "too_large"), ("HTTP 400: payload is large", "too_large"), ("HTTP 404: image size", "other_4xx"),
+        ("HTTP 400: Download multimodal file timed out", "upstream_transient"), ("HTTP 400: download timed out", "other_4xx"), ("HTTP 400: failed to fetch the file", "upstream_transient"),
+        ("HTTP 500: failed to fetch the file", "other"), ("HTTP 429: slow", "rate_limit"), ("HTTP 404", "other_4xx"), ("Broken pipe", "connection_dropped"), ("?", "other"), (None, None),
+    ]
+    e = spark.createDataFrame(cases, "e string, k string").select("k", tx.error_class("e").alias("got"))
+    assert [r.got for r in e.collect()] == [r.k for r in e.collect()]
     cells = spark.createDataFrame([(0.5,), (None,)], "x double").select(tx.metric_cell("x").alias("c"))
     assert [r.c for r in cells.collect()] == ["0.500", "—"]
+
+
+def test_streams_stop_and_go_on(spark, tmp_path):
+    """Two runs over a growing folder give what one batch gives, and read each row once."""
+    schema = "evaluator long, seq long, action string, image_no long, choice string, detector string, error string, is_ai_modified boolean"
+    rng = random.Random(9)
+    rows = [(rng.randrange(3), i, rng.choice(["submit", "submit", "undo"]), rng.randrange(9), "real", f"d{i % 2}", None if i % 3 else "x", True) for i in range(120)]
+    source = lambda: spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    run = lambda: (
+        streams.stream_upsert(source().select("evaluator", "seq", "choice"), ["evaluator"], ["seq"], str(tmp_path / "a")).collect(),
+        streams.stream_progress(source(), ["detector"], str(tmp_path / "b"), str(tmp_path / "elsewhere")).collect(),
+        streams.stream_human(source(), str(tmp_path / "c")).collect(),
+    )
+    for part in (rows[:70], rows[70:100], rows[100:]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        upserts, progress, standing = run()
+    assert {r.evaluator: r.seq for r in upserts} == {e: max(r[1] for r in rows if r[0] == e) for e in range(3)}
+    assert {r.detector: (r.ok, r.fail) for r in progress} == {d: (sum(r[5] == d and r[6] is None for r in rows), sum(r[5] == d and r[6] is not None for r in rows)) for d in ("d0", "d1")}
+    assert sorted((r.evaluator, r.image_no, r.choice, r.seq) for r in standing) == sorted((e, *s) for e in range(3) for s in human.fold([r[1:5] for r in rows if r[0] == e]))
+    assert run() == (upserts, progress, standing) or {tuple(x) for part in run() for x in part} == {tuple(x) for part in (upserts, progress, standing) for x in part}
+    assert (tmp_path / "elsewhere").is_dir() and len(list((tmp_path / "a").glob("v=*"))) >= 2
+
+
+def test_edit_meta_and_listing(spark, tmp_path):
+    (tmp_path / "category=c/number=1").mkdir(parents=True)
+    (tmp_path / "category=c/number=1/e.json").write_text('{"per_image": [{"image": "a.jpg", "reviewer_comment": "x"}, {"image": "b.jpg"}]}')
+    assert sorted((r.number, r.pos, r.image, r.reviewer_comment) for r in files.read_edit_meta(spark, str(tmp_path)).collect()) == [("1", 0, "a.jpg", "x"), ("1", 1, "b.jpg", None)]
+    (tmp_path / "x.PNG").write_bytes(b"123")
+    (tmp_path / "x.txt").write_bytes(b"12")
+    listed = files.list_images(spark, str(tmp_path)).select("path", F.lit(0).alias("input_pos"), F.lit("c").alias("category"), F.lit("Negative").alias("label"), F.element_at(F.split("path", "/"), -1).alias("rel"))
+    assert [r.rel for r in catalog.image_catalog(listed).collect()] == ["x.PNG"]
+    old = spark.createDataFrame([(1,)], "a int")
+    assert store.same_shape(old, "review", "image").count() == 0 and store.same_shape(old, "review", "review").count() == 1

@@ -67,21 +67,30 @@ def keyed_hash(*parts: Column | str) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
 
 
-ERROR_CLASSES = [
-    ("too_large", r"(?i)http 413|too large|image size|exceeds? the maximum|payload.{0,20}limit"),
-    ("upstream_transient", r"(?i)download .{0,30}timed out|url does not appear to be valid|failed to (download|fetch)|http 5\d\d"),
-    ("connection_dropped", r"(?i)connection (reset|aborted)|broken pipe|errno (104|32)"),
-    ("rate_limit", r"(?i)http 429|rate limit"),
-    ("other_4xx", r"(?i)http 4\d\d"),
-]
+# What a body of an oversized request, of a failed fetch, and a dropped connection say.
+TOO_LARGE = r"image size|too large|exceeds?\s+the\s+maximum|payload.{0,20}(large|limit)|request entity too large|maximum.{0,20}size"
+FETCH_FAILED = r"download .{0,30}file .{0,20}timed out|provided url does not appear to be valid|failed to (download|fetch) .{0,30}(image|file)"
+CONNECTION_DROPPED = r"connection reset|broken pipe|connection aborted|errno 104|errno 32"
 
 
 def error_class(error: Column | str) -> Column:
-    """The first class whose pattern the text holds; other for the rest; null for no error."""
-    out = F.when(col(error).isNull(), None)
-    for name, pattern in ERROR_CLASSES:
-        out = out.when(col(error).rlike(pattern), name)
-    return out.otherwise("other")
+    """The class of an error text, ``HTTP <status>: <body>`` or that of an exception; null for none.
+
+    too_large: status 413, or 400 with such a body; upstream_transient: 400 with a failed fetch;
+    connection_dropped: no status; rate_limit: 429; other_4xx; other.
+    """
+    error = col(error)
+    status = F.regexp_extract(error, r"^HTTP (\d+)", 1)
+    says = lambda pattern: error.rlike(f"(?i){pattern}")
+    return (
+        F.when(error.isNull(), None)
+        .when((status == "413") | ((status == "400") & says(TOO_LARGE)), "too_large")
+        .when((status == "400") & says(FETCH_FAILED), "upstream_transient")
+        .when((status == "") & says(CONNECTION_DROPPED), "connection_dropped")
+        .when(status == "429", "rate_limit")
+        .when(status.rlike("^4..$"), "other_4xx")
+        .otherwise("other")
+    )
 
 
 def metric_cell(x: Column | str) -> Column:

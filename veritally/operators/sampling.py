@@ -83,3 +83,8 @@ def index_report(before: DataFrame, sampled: DataFrame, category: str) -> DataFr
     a = before.groupBy(category).agg(F.count("*").alias("images"))
     b = sampled.groupBy(category).agg(F.count("*").alias("sampled"))
     return a.join(b, category, "left").select(category, "images", F.coalesce("sampled", F.lit(0)).alias("sampled"))
+
+
+def mismatch_report(pairs: DataFrame, category: str) -> DataFrame:
+    """Per category: images with a review of another, and from how many categories these come."""
+    return pairs.groupBy(category).agg(F.count("*").alias("images"), F.count_distinct("review_source_category").alias("sources"))

@@ -11,7 +11,9 @@ VIEWS = {
     "fx_facts": r"""
 select b.*,
   case when m=0 then 'missing' when m in (1,2) then 'error' else 'ok' end as status,
-  case when m=1 then 'HTTP 413: request entity too large' when m=2 then 'HTTP 429: slow down' end as error,
+  case when m=1 then case k%8 when 0 then 'HTTP 413: no' when 1 then 'HTTP 400: payload over the limit' when 2 then 'HTTP 400: Download multimodal file timed out'
+    when 3 then 'Connection reset by peer' when 4 then 'HTTP 404: image size' when 5 then 'HTTP 400: failed to fetch the text' when 6 then 'HTTP 503: Broken pipe' else 'HTTP 400: maximum request size' end
+   when m=2 then 'HTTP 429: slow down' end as error,
   case when m<3 or (k+s)%23=0 then cast(null as boolean)
        else (label='DeepFake') = ((s*13+k*7+ln*3)%10 >= 1+s%4) end as is_ai_modified,
   case when m<3 or (k+ln)%19=0 then cast(null as double) else ((k*37+s*11)%101)/100.0e0 end as confidence
@@ -33,19 +35,19 @@ from (select
 """,
     "fx_replies": r"""
 select doc_id, case doc_id%12
- when 0 then concat('{"is_ai_modified": true, "confidence": 0.', cast(doc_id%90+10 as varchar(9)), ', "reason": "seam"}')
+ when 0 then concat('{"is_ai_modified": true, "confidence": 0.', cast(doc_id%90+10 as varchar(9)), ', "reason": "', said, '"}')
  when 1 then concat('```json', chr(10), '{"is_ai_modified": false, "confidence": 0.75, "reason": "clean"}', chr(10), '```')
  when 2 then 'Sure. Here it is: {"is_ai_modified": true, "confidence": "0.5", "reason": ["a"," b ",""]} Done.'
  when 3 then '{"is_ai_generated": "Yes", "confidence": 1}'
- when 4 then '{"is_ai_modified": "no", "reasoning": "plain"}'
+ when 4 then concat('{"is_ai_modified": "no", "reasoning": "', said, '"}')
  when 5 then '{"is_ai_modified": 1, "explanation": {"x": 1}}'
  when 6 then '{"is_ai_modified": null, "confidence": "high"}'
  when 7 then '{"is_ai_modified": true, "confidence": 0.9'
  when 8 then ''
- when 9 then 'I cannot tell.'
+ when 9 then concat('I cannot tell. ', said)
  when 10 then '{"is_ai_modified": false, "confidence": 0.2, "reason": "", "reasoning": "x", "per_image": [{"index": 1, "is_ai_modified": false, "confidence": 0.3, "notes": "n1"}, {"index": 2, "is_ai_modified": true, "confidence": 0.4, "notes": "n2"}]}'
  else '[1, 2]' end as raw_response
-from documents
+from (select doc_id, translate(coalesce(text, ''), concat(chr(34), chr(92), chr(10), chr(13), chr(9), chr(96)), '      ') as said from documents) t
 """,
     "fx_paths": r"""
 select distinct concat('cat', lpad(cast(l_orderkey%29 as varchar(9)),2,'0'),
@@ -58,7 +60,7 @@ from lineitem
     "fx_reviews": r"""
 select source as category, concat('Review_', cast(doc_id as varchar(20))) as review_id, doc_id as num,
  case when doc_id%7=0 then '' else substr(text,1,20) end as title,
- case when doc_id%11=0 then '   ' else substr(text,21,200) end as body
+ case when doc_id%11=0 then '   ' else substr(text,21) end as body
 from documents
 """,
     "fx_edit_comments": r"""

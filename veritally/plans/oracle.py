@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from veritally.functions.text import ERROR_CLASSES
+from veritally.functions.text import CONNECTION_DROPPED, FETCH_FAILED, TOO_LARGE
 from veritally.functions.verdicts import YES
 from veritally.plans.fixtures import DETECTORS, GENERATORS, MODES, VIEWS
 from veritally.plans.queries import MANY, ONE, TEMPLATES, VARIANTS
@@ -55,7 +55,8 @@ _avg = lambda source: f"select mode, detector, {', '.join(f'avg({c}) as {c}' for
 CTES["counts"] = _counts("f", "ran", True)
 CTES["rows"] = _rows("counts")
 CTES["macro"] = _avg("rows")
-CTES["ok_counts"] = _counts("f", "ok_only", False)
+CTES["runs"] = "select * replace (mode || '/v' || (k % 5) as mode) from f"
+CTES["ok_counts"] = _counts("runs", "ok_only", False)
 CTES["ok_rows"] = _rows("ok_counts")
 CTES["ok_macro"] = _avg("ok_rows")
 CTES["cls"] = """select category, detector, coalesce(generator, 'Negative') as bucket, folder, folder <> 'Negative' as fake, coalesce(trim(prediction), '') = 'fake' as said, case when folder <> 'Negative' then try_cast(score as double) else 1 - try_cast(score as double) end as conf from fx_classic"""
@@ -73,7 +74,13 @@ CTES["cmt"] = f"""select i.category, i.num, i.image, i.label, case when i.number
  left join (select category, num, image, arg_max(c, pos) as c from (select category, num, image, pos, reviewer_comment as c from fx_edit_comments union all select category, num, image, 9, 'second thoughts' from fx_edit_comments where pos = 1) where c <> '' group by 1, 2, 3) e on e.category = i.category and e.num = i.number and e.image = i.image"""
 CTES["kept"] = f"select * from images where generator is null or generator in {tuple(GENERATORS[:5])}"
 CTES["sampled"] = "select category, bucket, path, generator from kept qualify row_number() over (partition by category, bucket order by md5('42|' || path), path) <= least(count(*) over (partition by category, bucket), greatest(1, cast(round_even(count(*) over (partition by category, bucket) * 0.1e0, 0) as bigint)))"
-CTES["judged"] = "select *, case when image_no % 7 = 0 then 'real' else 'fake' end as true_label, case when image_no % 7 = 0 then 'Negative' else 'DeepFake' end as bucket, case when image_no % 7 > 0 then 'gen' || (image_no % 7) end as gen_model from (select evaluator, image_no, arg_min(choice, seq) as choice from fx_human_log where action = 'submit' group by 1, 2)"
+CTES["acts"] = "select evaluator, seq, action, image_no, choice, row_number() over (partition by evaluator order by seq) as i from fx_human_log"
+# the stack of standing submits after each action; i is 0 before the first
+CTES["stacks"] = """select distinct evaluator, cast(0 as bigint) as i, cast([] as struct(image_no bigint, choice varchar, seq bigint)[]) as st from acts
+ union all select a.evaluator, a.i, case when a.action = 'undo' then s.st[1:len(s.st) - 1] when list_contains(list_transform(s.st, lambda x: x.image_no), a.image_no) then s.st
+  else list_append(s.st, {'image_no': a.image_no, 'choice': a.choice, 'seq': a.seq}) end from stacks s join acts a on a.evaluator = s.evaluator and a.i = s.i + 1"""
+CTES["standing"] = "select evaluator, x.image_no as image_no, x.choice as choice, x.seq as seq from (select evaluator, unnest(st) as x from (select evaluator, arg_max(st, i) as st from stacks group by 1))"
+CTES["judged"] = "select evaluator, image_no, choice, case when image_no % 7 = 0 then 'real' else 'fake' end as true_label, case when image_no % 7 = 0 then 'Negative' else 'DeepFake' end as bucket, case when image_no % 7 > 0 then 'gen' || (image_no % 7) end as gen_model from standing"
 CTES["ranked"] = "select evaluator, image_id, category, review_id, true_label, row_number() over (partition by evaluator, true_label order by cast('0x' || substr(md5('7|' || evaluator || '|' || image_id), 1, 15) as bigint), image_id) as r from labelled cross join (select unnest(['ann', 'bob']) as evaluator)"
 CTES["queue"] = "select * from (select *, row_number() over (partition by evaluator order by r, true_label) as pos from ranked where r <= 500) where pos <= 500"
 CTES["var"] = "select * from (values " + ", ".join(f"('{a}', {'null' if s is None else repr(s)}, '{u}')" for a, s, u in VARIANTS) + ") t(variant, system, user_)"
@@ -83,16 +90,18 @@ def oracle(name: str, sql: str) -> None:
     """Adds sql with the views that it needs, directly or through others."""
     names = list(CTES)
     need: list[str] = []
+    open_: list[str] = []  # a recursive view names itself
 
     def visit(text: str) -> None:
         for n in names:
-            if n not in need and re.search(rf"\b{n}\b", re.sub(r"'[^']*'", "''", text)):
+            if n not in need and n not in open_ and re.search(rf"\b{n}\b", re.sub(r"'[^']*'", "''", text)):
+                open_.append(n)
                 visit(CTES[n])
                 if n not in need:
                     need.append(n)
 
     visit(sql)
-    ORACLE_SQL[name] = ("with " + ", ".join(f"{n} as ({CTES[n]})" for n in need) + " " if need else "") + sql
+    ORACLE_SQL[name] = ("with recursive " + ", ".join(f"{n} as ({CTES[n]})" for n in need) + " " if need else "") + sql
 
 
 _key = "mode, category, bucket, ident, detector"
@@ -111,7 +120,7 @@ oracle("review_id", "select path, case when length(path) % 3 = 1 then 'given' el
 oracle("record_identity", "select k, ln, s, ident, bucket || '::' || ident as row_key from (select k, ln, s, bucket, coalesce(nullif(case when k % 3 = 0 then '' else review_id end, ''), case when k % 2 = 0 then 'img' || k end, 'key' || k) as ident from f)")
 oracle("platform_counts", "select platform, mode as name, count(*) as n, 'mode' as kind from f group by 1, 2 union all select platform, label, count(*), 'label' from f group by 1, 2")
 oracle("image_ids", "select path, substr(sha1(path), 1, 16) as image_id from p")
-oracle("safe_names", r"select conv_id, turn, coalesce(nullif(regexp_replace(regexp_replace(case when turn % 5 = 4 then ' ' else '  ' || substr(text, 1, 12) || ' ' end, '^\s+|\s+$', '', 'g'), '[^A-Za-z0-9._-]+', '_', 'g'), ''), 'anonymous') as name from fx_turns")
+oracle("safe_names", r"select conv_id, turn, coalesce(nullif(regexp_replace(regexp_replace(case when turn % 5 = 4 then ' ' else '  ' || text || ' ' end, '^\s+|\s+$', '', 'g'), '[^A-Za-z0-9._-]+', '_', 'g'), ''), 'anonymous') as name from fx_turns")
 _placed = "list_filter(list_transform(comments, lambda c, i: {'i': i, 'c': c}), lambda x: x.c <> '')"
 _block = f"case when len({_placed}) = 0 then chr(10) || chr(10) when len(list_distinct(list_transform({_placed}, lambda x: x.c))) = 1 then replace({_lit(ONE)}, '{{c}}', {_placed}[1].c) else replace({_lit(MANY)}, '{{lines}}', array_to_string(list_transform({_placed}, lambda x: '  Image ' || x.i || ': \"' || x.c || '\"'), chr(10))) end"
 oracle("comment_block", f"select num, {_block} as block from note")
@@ -132,8 +141,11 @@ _first = "case when coalesce(json_extract_string(v, '$.reason'), '') <> '' then
 oracle("normalize_reasons", f"select doc_id, case when not o then null when json_type(v, r) = 'ARRAY' then array_to_string(list_filter(list_transform(cast(json_extract(v, r) as varchar[]), lambda x: trim(x)), lambda x: x <> ''), ' ') when json_type(v, r) = 'VARCHAR' then trim(json_extract_string(v, r)) else cast(json_extract(v, r) as varchar) end as reason from (select *, {_first} as r from obj)")
 oracle("per_image_findings", "select doc_id, cast(pos as int) as pos, cast(json_extract_string(x, '$.index') as bigint) as image_index, json_extract_string(x, '$.is_ai_modified') = 'true' as is_ai_modified, round(cast(json_extract_string(x, '$.confidence') as double), 6) as confidence, json_extract_string(x, '$.notes') as notes from (select doc_id, pos, json_extract(v, '$.per_image[' || pos || ']') as x from (select doc_id, v, unnest(range(cast(json_array_length(v, '$.per_image') as bigint))) as pos from obj where o and json_type(v, '$.per_image') = 'ARRAY'))")
 oracle("verdict_flags", "select k, ln, s, status <> 'missing' as ran, status = 'ok' and error is null as ok from f")
-_classes = " ".join(f"when regexp_matches(error, {_lit(p)}) then '{n}'" for n, p in ERROR_CLASSES)
-oracle("error_classes", f"select detector, case {_classes} else 'other' end as error_class, count(*) as n from f where error is not null group by 1, 2")
+_status = "regexp_extract(error, '^HTTP (\\d+)', 1)"
+_says = lambda pattern: f"regexp_matches(error, {_lit(pattern)}, 'i')"
+_class = f"case when {_status} = '413' or ({_status} = '400' and {_says(TOO_LARGE)}) then 'too_large' when {_status} = '400' and {_says(FETCH_FAILED)} then 'upstream_transient' when {_status} = '' and {_says(CONNECTION_DROPPED)} then 'connection_dropped' when {_status} = '429' then 'rate_limit' when regexp_matches({_status}, '^4..$') then 'other_4xx' else 'other' end"
+oracle("error_classes", f"select detector, {_class} as error_class, count(*) as n from f where error is not null group by 1, 2")
+oracle("unknown_generators", "select * from (values ('gen77'), ('gen88')) t(generator)")
 oracle("generator_filter", f"select mode, generator, count(*) as jobs from jobs where generator is null or generator in {tuple(GENERATORS[:2])} group by 1, 2")
 oracle("multi_image_only", "select mode, num_images, count(*) as jobs from jobs where not (mode like 'Multi%' and num_images < 2) group by 1, 2")
 oracle("flat_images", "select category, bucket, count(*) as flat from images where len(string_split(rel, '/')) < 2 group by 1, 2")
@@ -187,6 +199,11 @@ oracle("verdict_trajectory", "select conv_id, turn, is_ai_modified, previous, co
 oracle("conversation_totals", "select conv_id, count(*) as turns, cast(sum(attempts) as bigint) as attempts, (list(is_ai_modified order by turn))[-1] as last_verdict, min(case when error is not null then turn end) as first_error_turn from fx_turn_verdicts group by 1")
 oracle("human_accuracy", "select evaluator, bucket, gen_model, n, correct, round(correct / n, 9) as accuracy from (select evaluator, bucket, gen_model, count(*) as n, count(*) filter (choice = true_label) as correct from judged group by 1, 2, 3 union all select evaluator, 'all', null, count(*), count(*) filter (choice = true_label) from judged group by 1)")
 oracle("human_catalog_stats", "select 'total' as kind, '' as name, count(*) as n from labelled union all select true_label, '', count(*) from labelled group by 1 union all select 'generator', gen_model, count(*) from labelled where gen_model is not null group by 2 union all select 'categories', '', count(distinct category) from labelled")
-oracle("human_progress", "select e.evaluator, count(j.image_no) as evaluated, (select count(distinct image_no) from fx_human_log where action = 'submit' and image_no % 3 <> 0) as total from (select distinct evaluator from fx_human_log) e left join (select * from judged where image_no % 3 <> 0) j using (evaluator) group by 1")
+oracle("human_progress", "select e.evaluator, count(j.image_no) as evaluated, (select count(distinct image_no) from fx_human_log where action = 'submit') as total from (select distinct evaluator from fx_human_log) e left join judged j using (evaluator) group by 1")
 oracle("labelling_queue", "select evaluator, pos, image_id, true_label from queue")
 oracle("recency_repeats", "select evaluator, pos, category, gap from (select *, pos - lag(pos) over (partition by evaluator, category order by pos) as gap from queue) where gap <= 30")
+for _name in ("human_standing", "stream_human"):
+    oracle(_name, "select evaluator, image_no, choice, seq from standing")
+oracle("review_numbers", r"select path, nullif(regexp_extract(split_part(rel, '/', 1), '_([^_]*)$', 1), '') as by_review, nullif(regexp_extract(coalesce(string_split(rel, '/')[len(string_split(rel, '/')) - 1], ''), '^Review_(\d+)$', 1), '') as by_folder from images")
+oracle("edit_comments", "select num, cast(row_number() over (partition by category, num order by pos) - 1 as int) as pos, image, reviewer_comment from fx_edit_comments where category is not null and category <> ''")
+oracle("mismatch_report", "select draw.category, count(*) as images, count(distinct pool.category) as sources from draw join pool on pool.idx = draw.r + case when draw.r >= draw.off_ then draw.n else 0 end group by 1")

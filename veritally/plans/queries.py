@@ -172,7 +172,7 @@ def image_ids(spark, d):
 
 @query
 def safe_names(spark, d):
-    name = F.concat(F.lit("  "), F.substring("text", 1, 12), F.lit(" "))
+    name = F.concat(F.lit("  "), F.col("text"), F.lit(" "))
     return view(spark, d, "fx_turns").select("conv_id", "turn", tx.safe_name(F.when(F.col("turn") % 5 == 4, F.lit(" ")).otherwise(name)).alias("name"))
 
 
@@ -266,6 +266,12 @@ def generator_filter(spark, d):
     return kept.groupBy("mode", "generator").agg(F.count("*").alias("jobs"))
 
 
+@query
+def unknown_generators(spark, d):
+    wanted = spark.createDataFrame([(g,) for g in [*GENERATORS, "gen77", "gen88"]], "generator string")
+    return ct.unknown_generators(jobs(facts(spark, d)), wanted)
+
+
 @query
 def multi_image_only(spark, d):
     return mt.multi_image_only(jobs(facts(spark, d))).groupBy("mode", "num_images").agg(F.count("*").alias("jobs"))
@@ -316,7 +322,10 @@ def macro_metrics(spark, d):
 
 @query
 def ablation_metrics(spark, d):
-    return rounded(mt.macro_metrics(_metrics(spark, d, "ok_only", False), GENERATORS), mt.metric_names(GENERATORS))
+    """A run of the ablation is a prompt variant of a mode: the variant stands in the mode's place."""
+    f = facts(spark, d).withColumn("mode", F.concat("mode", F.lit("/v"), (F.col("k") % 5).cast("string")))
+    rows = mt.category_metrics(mt.confusion_counts(f, GENERATORS, "ok_only", False), GENERATORS)
+    return rounded(mt.macro_metrics(rows, GENERATORS), mt.metric_names(GENERATORS))
 
 
 @query
@@ -358,6 +367,7 @@ def merge_summary(spark, d):
     f = facts(spark, d)
     old = st.latest_records(f.where("written_at < date '1995-06-17'"), KEY_DET, ORDER)
     new = st.latest_records(f.where("written_at >= date '1995-06-17'"), KEY_DET, ORDER).withColumn("num_images", F.col("num_images") + 1)
+    old = st.same_shape(old, "review", "review")
     return st.merge_summary(old, new).select(*KEY_DET, "status", "is_ai_modified", F.round("confidence", 6).alias("confidence"), "error", "num_images")
 
 
@@ -442,6 +452,21 @@ def attach_comments(spark, d):
     return commented(spark, d).select("category", "num", "image", "label", "comment")
 
 
+@query
+def review_numbers(spark, d):
+    i = images(spark, d).select("path", F.split_part("rel", F.lit("/"), F.lit(1)).alias("review_id"), F.get(F.split("rel", "/"), F.size(F.split("rel", "/")) - 2).alias("folder"))
+    return i.select("path", ct.review_number("review_id").alias("by_review"), ct.review_number("review_id", "folder").alias("by_folder"))
+
+
+@query
+def edit_comments(spark, d):
+    c = view(spark, d, "fx_edit_comments").where(tx.filled("category").isNotNull())
+    path = fl.scratch(spark, "edits")
+    per_image = F.transform(F.array_sort(F.collect_list(F.struct("pos", "image", "reviewer_comment"))), lambda x: F.struct(x["image"].alias("image"), x["reviewer_comment"].alias("reviewer_comment")))
+    c.groupBy("category", F.col("num").alias("number")).agg(per_image.alias("per_image")).write.partitionBy("category", "number").json(path)
+    return fl.read_edit_meta(spark, path).select(F.col("number").cast("long").alias("num"), "pos", "image", "reviewer_comment")
+
+
 @query
 def comment_coverage(spark, d):
     return ct.comment_coverage(commented(spark, d), "comment", ["label"])
@@ -471,11 +496,23 @@ def index_report(spark, d):
     return sm.index_report(ct.keep_generators(images(spark, d), GENERATORS[:5]), sampled(spark, d), "category")
 
 
-@query
-def mismatch_pairs(spark, d):
+def paired(spark, d):
+    """The mismatch index, written and read again."""
     r = view(spark, d, "fx_reviews").withColumn("review_text", tx.review_text("title", "body")).where("review_text is not null")
     s = view(spark, d, "fx_reviews").select("category", F.col("review_id").alias("image"))
-    return sm.mismatch_pairs(s, r.select("category", "review_id"), "category", "image", "review_id", 42)
+    path = fl.scratch(spark, "mismatch")
+    fl.write_table(sm.mismatch_pairs(s, r.select("category", "review_id"), "category", "image", "review_id", 42), path, partition_by=["category"])
+    return spark.read.schema("image string, review_source_category string, review_source_review_id string, category string").parquet(path)
+
+
+@query
+def mismatch_report(spark, d):
+    return sm.mismatch_report(paired(spark, d), "category")
+
+
+@query
+def mismatch_pairs(spark, d):
+    return paired(spark, d).select("category", "image", "review_source_category", "review_source_review_id")
 
 
 @query
@@ -529,10 +566,9 @@ def truth(x: str):
 
 
 def judged(spark, d):
-    """Submits only, the first of each evaluator and image: a log without undo needs no fold."""
-    first = log(spark, d).where("action = 'submit'").groupBy("evaluator", "image_no").agg(F.min_by("choice", "seq").alias("choice"))
+    """Standing submits with the truth about their images."""
     made = F.col("image_no") % 7
-    return first.withColumn("true_label", truth("image_no")).withColumn("bucket", F.when(made == 0, "Negative").otherwise("DeepFake")).withColumn("gen_model", F.when(made > 0, F.concat(F.lit("gen"), made.cast("string"))))
+    return hm.human_standing(log(spark, d)).withColumn("true_label", truth("image_no")).withColumn("bucket", F.when(made == 0, "Negative").otherwise("DeepFake")).withColumn("gen_model", F.when(made > 0, F.concat(F.lit("gen"), made.cast("string"))))
 
 
 @query
@@ -547,7 +583,7 @@ def human_catalog_stats(spark, d):
 
 @query
 def human_progress(spark, d):
-    cat = log(spark, d).where("action = 'submit' and image_no % 3 <> 0").select("image_no").distinct()
+    cat = log(spark, d).where("action = 'submit'").select("image_no").distinct()
     return hm.human_progress(cat, judged(spark, d), log(spark, d).select("evaluator").distinct(), "image_no")
 
 

@@ -1,45 +1,83 @@
-"""The jobs that follow a stream of records or labelling actions, restartable from checkpoints."""
+"""The jobs that follow a stream of records or labelling actions.
+
+Each keeps its checkpoint and its results under one path (or the checkpoint where it is told to).
+Run again with the same paths, after an end or a loss, it goes on from where it stopped. Results
+are kept in BUCKETS by a hash of the key; a micro-batch writes a new version of those that it
+touches, and of every other bucket the version before stays. A batch that runs twice reads
+the versions before it and gives the same.
+"""
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from veritally.operators.human import fold
 from veritally.operators.store import latest_records
 from veritally.operators.tasks import run_progress
-from veritally.sources.files import scratch
 
+BUCKETS = 16
 
-def stream_upsert(records: DataFrame, keys: list[str], order: list[str], path: str) -> DataFrame:
-    """Latest record per key of a stream, after all that is there.
 
-    Each micro-batch is reduced to its own latest records and merged with the stored version
-    before it; versions are folders, written whole, so a batch that runs twice gives the same.
-    """
-    spark = records.sparkSession
+def _versions(spark: SparkSession, path: str) -> dict[int, list[tuple[int, str]]]:
+    """Of each bucket its versions in order and their folders."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v=*/store_bucket=*")
+    out: dict[int, list[tuple[int, str]]] = {}
+    for found in hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(hadoop) or []:
+        folder = found.getPath()
+        out.setdefault(int(folder.getName().split("=")[1]), []).append((int(folder.getParent().getName().split("=")[1]), folder.toString()))
+    return {k: sorted(v) for k, v in out.items()}
+
+
+def _merge(batch: DataFrame, n: int, path: str, keys: list[str], combine: Callable[[DataFrame], DataFrame]) -> None:
+    """Combine a micro-batch with the buckets that it touches. The last version before it is kept, older ones go."""
+    spark = batch.sparkSession
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
+    batch = batch.persist()
+    touched = [r[0] for r in batch.select(bucket.alias("b")).distinct().collect()]  # BUCKETS at most
+    versions = _versions(spark, path)
+    before = {b: [x for x in versions.get(b, []) if x[0] < n] for b in touched}
+    old = [v[-1][1] for v in before.values() if v]
+    rows = batch.unionByName(spark.read.schema(batch.schema).parquet(*old)) if old else batch
+    combine(rows).withColumn("store_bucket", bucket).write.mode("overwrite").partitionBy("store_bucket").parquet(f"{path}/v={n}")
+    batch.unpersist()
+    for folder in [x[1] for v in before.values() for x in v[:-1]]:
+        gone = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
+
+
+def _finish(writer, schema, path: str, checkpoint: str | None, spark: SparkSession) -> DataFrame:
+    """Run on all that is there, then read the newest version of each bucket."""
+    writer.option("checkpointLocation", checkpoint or f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    newest = [v[-1][1] for v in _versions(spark, path).values()]
+    return spark.read.schema(schema).parquet(*newest) if newest else spark.createDataFrame([], schema)
 
-    def merge(batch: DataFrame, n: int) -> None:
-        new = latest_records(batch, keys, order)
-        if n:
-            new = latest_records(spark.read.schema(new.schema).parquet(f"{path}/v{n - 1}").unionByName(new), keys, order)
-        new.write.mode("overwrite").parquet(f"{path}/v{n}")
 
-    return _finish(records.writeStream.foreachBatch(merge), path, spark)
+def stream_upsert(records: DataFrame, keys: list[str], order: list[str], path: str, checkpoint: str | None = None) -> DataFrame:
+    """Latest record per key of a stream, after all that is there."""
+    combine = lambda rows: latest_records(rows, keys, order)
+    columns = [*keys, *[c for c in records.columns if c not in keys]]
+    writer = records.select(*columns).writeStream.foreachBatch(lambda batch, n: _merge(combine(batch), n, path, keys, combine))
+    return _finish(writer, records.select(*columns).schema, path, checkpoint, records.sparkSession)
 
 
-def stream_progress(records: DataFrame, by: list[str], path: str) -> DataFrame:
-    """ok and fail per group of a stream, kept by Spark as running aggregates."""
-    write = lambda batch, n: batch.write.mode("overwrite").parquet(f"{path}/v{n}")
-    return _finish(run_progress(records, by).writeStream.outputMode("complete").foreachBatch(write), path, records.sparkSession)
+def stream_progress(records: DataFrame, by: list[str], path: str, checkpoint: str | None = None) -> DataFrame:
+    """ok and fail per group of a stream, kept by Spark as running aggregates: a batch brings the groups that changed."""
+    counts = run_progress(records, by).withColumn("_seen", F.lit(0).cast("long"))
+
+    def put(batch: DataFrame, n: int) -> None:
+        newest = lambda rows: rows.groupBy(*by).agg(F.max_by(F.struct("ok", "fail", "_seen"), "_seen").alias("x")).select(*by, "x.*")
+        _merge(batch.withColumn("_seen", F.lit(n).cast("long")), n, path, by, newest)
+
+    return _finish(counts.writeStream.outputMode("update").foreachBatch(put), counts.schema, path, checkpoint, records.sparkSession).drop("_seen")
 
 
-def stream_human(log: DataFrame, path: str) -> DataFrame:
+def stream_human(log: DataFrame, path: str, checkpoint: str | None = None) -> DataFrame:
     """Standing submits per evaluator of a stream of actions (evaluator, seq, action, image_no, choice).
 
     State is the stack of standing submits; a micro-batch's actions are folded in order of seq.
@@ -60,19 +98,8 @@ def stream_human(log: DataFrame, path: str) -> DataFrame:
 
     kept = log.select("evaluator", "seq", "action", "image_no", "choice").groupBy("evaluator").applyInPandasWithState(step, schema, "stack string", "append", GroupStateTimeout.NoTimeout)
 
-    def put(batch: DataFrame, n: int) -> None:
-        spark = log.sparkSession
-        if n:  # an evaluator's newest fold replaces the ones before
-            batch = batch.unionByName(spark.read.schema(schema).parquet(f"{path}/v{n - 1}"))
-        newest = batch.groupBy("evaluator").agg(F.max("upto").alias("upto"))
-        batch.join(newest, ["evaluator", "upto"]).write.mode("overwrite").parquet(f"{path}/v{n}")
-
-    return _finish(kept.writeStream.foreachBatch(put), path, log.sparkSession).where("image_no is not null").drop("upto")
-
+    def newest(rows: DataFrame) -> DataFrame:  # an evaluator's newest fold replaces the ones before
+        return rows.join(rows.groupBy("evaluator").agg(F.max("upto").alias("upto")), ["evaluator", "upto"]).select("evaluator", "image_no", "choice", "seq", "upto")
 
-def _finish(writer, path: str, spark) -> DataFrame:
-    """Run on all that is there, then read the newest version."""
-    query = writer.option("checkpointLocation", scratch(spark, "stream")).trigger(availableNow=True).start()
-    query.awaitTermination()
-    last = query.lastProgress
-    return spark.read.parquet(f"{path}/v{last['batchId'] if last else 0}")
+    writer = kept.writeStream.foreachBatch(lambda batch, n: _merge(batch, n, path, ["evaluator"], newest))
+    return _finish(writer, kept.schema, path, checkpoint, log.sparkSession).where("image_no is not null").drop("upto")
