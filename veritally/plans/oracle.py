@@ -205,5 +205,5 @@ oracle("recency_repeats", "select evaluator, pos, category, gap from (select *,
 for _name in ("human_standing", "stream_human"):
     oracle(_name, "select evaluator, image_no, choice, seq from standing")
 oracle("review_numbers", r"select path, nullif(regexp_extract(split_part(rel, '/', 1), '_([^_]*)$', 1), '') as by_review, nullif(regexp_extract(coalesce(string_split(rel, '/')[len(string_split(rel, '/')) - 1], ''), '^Review_(\d+)$', 1), '') as by_folder from images")
-oracle("edit_comments", "select num, cast(row_number() over (partition by category, num order by pos) - 1 as int) as pos, image, reviewer_comment from fx_edit_comments where category is not null and category <> ''")
+oracle("edit_comments", "select num % 5 as num, cast(row_number() over (partition by category, num order by pos) - 1 as int) as pos, image, reviewer_comment from fx_edit_comments where category is not null and category <> ''")
 oracle("mismatch_report", "select draw.category, count(*) as images, count(distinct pool.category) as sources from draw join pool on pool.idx = draw.r + case when draw.r >= draw.off_ then draw.n else 0 end group by 1")

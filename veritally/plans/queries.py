@@ -463,7 +463,7 @@ def edit_comments(spark, d):
     c = view(spark, d, "fx_edit_comments").where(tx.filled("category").isNotNull())
     path = fl.scratch(spark, "edits")
     per_image = F.transform(F.array_sort(F.collect_list(F.struct("pos", "image", "reviewer_comment"))), lambda x: F.struct(x["image"].alias("image"), x["reviewer_comment"].alias("reviewer_comment")))
-    c.groupBy("category", F.col("num").alias("number")).agg(per_image.alias("per_image")).write.partitionBy("category", "number").json(path)
+    c.groupBy("category", "num").agg(per_image.alias("per_image")).select("category", (F.col("num") % 5).alias("number"), "per_image").write.partitionBy("category", "number").json(path)
     return fl.read_edit_meta(spark, path).select(F.col("number").cast("long").alias("num"), "pos", "image", "reviewer_comment")
 
 
