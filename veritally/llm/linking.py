@@ -64,13 +64,14 @@ def _joined(found: DataFrame, links: DataFrame) -> DataFrame:
     return out
 
 
-def link(posts: DataFrame, verify: Callable[[DataFrame], DataFrame], ratio: float, near: Callable[[DataFrame], DataFrame] | None = None, hubs: int = 2, several: bool = False) -> DataFrame:
+def link(posts: DataFrame, verify: Callable[[DataFrame], DataFrame], ratio: float, near: Callable[[DataFrame], DataFrame] | None = None, sketches: DataFrame | None = None, close: Column | None = None, hubs: int = 2, several: bool = False) -> DataFrame:
     """(node, component) of all nodes with a link.
 
     posts: (key, node, pri, size), from a written table, without repeated (key, node); a higher
     pri (from 0) makes a likelier hub; the smaller of two linked nodes has ``ratio`` of the other's
     size (an integer from 1) at least. near may thin out distinct pairs (a, b) by what every link
-    meets. verify takes such pairs, materialised, and returns the links. several: see 4; it finds
+    meets; sketches (node, sketch) and close, a condition over size, sketch, other_size and
+    other_sketch, do so within the join of step 4. verify takes such pairs, materialised, and returns the links. several: see 4; it finds
     what shares two keys.
     """
     ratio = 0.999 * ratio  # sizes at the very ratio stay in
@@ -119,9 +120,15 @@ def link(posts: DataFrame, verify: Callable[[DataFrame], DataFrame], ratio: floa
             best = second.groupBy("key").agg(best_of.alias("top"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key", *top)
             pairs = second.select("key", F.col("node").alias("a"), "component", "size").join(best, "key").where("component <> other")
         else:
+            if sketches is not None:
+                left, plain = materialise(left.join(sketches, "node"), "left"), left
+                drop(plain)
+            more_of = ["sketch"] if sketches is not None else []
+            mine = left.select("key", F.col("node").alias("a"), "component", "size", "band", *more_of)
             bands = F.explode(F.array(F.struct("band", F.lit(True).alias("own")), F.struct((F.col("band") + 1).alias("band"), F.lit(False).alias("own")))).alias("x")
-            best = left.select("key", F.col("node").alias("b"), F.col("component").alias("other"), F.col("size").alias("other_size"), bands).select("key", "b", "other", "other_size", "x.band", "x.own")
-            pairs = mine.join(best, ["key", "band"]).where("component < other or (component <> other and not own)")
+            best = left.select("key", F.col("node").alias("b"), F.col("component").alias("other"), F.col("size").alias("other_size"), *[F.col(c).alias(f"other_{c}") for c in more_of], bands).select("key", "b", "other", "other_size", *[f"other_{c}" for c in more_of], "x.band", "x.own")
+            pairs = mine.join(best, ["key", "band"]).where("component < other or (component <> other and not own)").where(like)
+            pairs = pairs if close is None else pairs.where(close)
         more = links(pairs.where(like).select("a", "b"))
         drop(of, state, left, second)
         if more.limit(1).count():

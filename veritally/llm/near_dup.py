@@ -139,11 +139,14 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = tn.SHINGLE)
     sets = materialise(_shingle_sets(texts, size), "sets")
     drop(texts)
 
+    def close(x: str, y: str, sizes: str) -> str:
+        apart = " + ".join(f"bit_count({x}[{i}] ^ {y}[{i}])" for i in range(PARITY // 64))
+        return f"{100 + percent} * ({apart}) <= {100 - percent} * ({sizes})"
+
     def near(pairs: DataFrame) -> DataFrame:
         """By sizes and parity sketches alone; true of every pair to be linked."""
         of = lambda x: classes.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("parity").alias(f"p_{x}"))
-        apart = " + ".join(f"bit_count(p_a[{i}] ^ p_b[{i}])" for i in range(PARITY // 64))
-        return pairs.join(of("a"), "a").join(of("b"), "b").where(f"{100 + percent} * ({apart}) <= {100 - percent} * (n_a + n_b)").select("a", "b")
+        return pairs.join(of("a"), "a").join(of("b"), "b").where(close("p_a", "p_b", "n_a + n_b")).select("a", "b")
 
     def verify(pairs: DataFrame) -> DataFrame:
         of = lambda x: classes.select(F.col("node").alias(x), F.col("sig").alias(f"sig_{x}"))
@@ -152,7 +155,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = tn.SHINGLE)
         both = close.select("a", "b").join(full("a"), "a").join(full("b"), "b").withColumn("same", F.size(F.array_intersect("s_a", "s_b")))
         return both.where(f"100 * same >= {percent} * (size(s_a) + size(s_b) - same)").select("a", "b").distinct()
 
-    found = link(prefix, verify, percent / 100, near)
+    found = link(prefix, verify, percent / 100, near, classes.select("node", F.col("parity").alias("sketch")), F.expr(close("sketch", "other_sketch", "size + other_size")))
     drop(prefix, sets)
     of_class = materialise(classes.select("f1", "f2", "n_shingles", "node").join(found, "node", "left").select("f1", "f2", F.col("n_shingles").alias("n"), F.coalesce("component", "node").alias("component")), "members")
     drop(classes, found)
