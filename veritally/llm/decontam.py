@@ -5,8 +5,10 @@ of them occur in the document. Items are partitioned by size (powers of two), an
 sketched by its k least shingle hashes, k following from the greatest size u of its partition:
 k = u - ceil(share * u) + 1. Any document that holds ``share`` of an item lacks at most k - 1 of
 its shingles, so it has one of the k least: the search loses nothing. Documents post only
-hashes up to the greatest hash in any sketch, a fixed part of their shingles however long they
-are. Candidates are confirmed on the exact shingle sets of the whole documents.
+hashes up to the greatest hash in any sketch. Long items alone keep that low; with short ones it
+nears the top, and most shingles are posted. So sketches that are too large to be broadcast meet
+posts behind a Bloom filter of their hashes, and what no sketch holds isn't shuffled. Candidates
+are confirmed on the exact shingle sets of the whole documents.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veritally.llm.tables import drop, materialise, only_ids
+from veritally.llm.tables import bloom_filters, drop, marked, materialise, only_ids
 
 SHINGLE, SHARE = 5, 0.8
 
@@ -40,12 +42,14 @@ def contaminated(docs: DataFrame, items: DataFrame, share: float = SHARE, size:
     upper = F.pow(F.lit(2), F.ceil(F.log2(F.col("n_item")))).cast("int")
     own = own.withColumn("k", F.greatest(upper - F.ceil(upper * F.lit(share) - 1e-9) + 1, F.lit(1)).cast("int"))
     own = materialise(own.withColumn("need", F.ceil(F.col("n_item") * F.lit(share) - 1e-9).cast("int")).dropDuplicates(["item_id"]), "items")
-    sketch = materialise(own.select("item_id", "n_item", F.explode(F.slice(F.array_sort("own"), 1, F.col("k"))).alias("h")), "sketch")
-    top = sketch.agg(F.max("h").alias("h"), F.min("n_item").alias("n")).first()
+    sketch = marked(own.select("item_id", "n_item", F.explode(F.slice(F.array_sort("own"), 1, F.col("k"))).alias("h")), "sketch")
+    top = sketch.agg(F.max("h").alias("h")).first()
     if top.h is None:
-        return docs.select("doc_id").limit(0).crossJoin(own.select("item_id", "n_item", F.lit(0).alias("n_shared"), F.lit(0.0).alias("containment")).limit(0))
+        item_id = F.lit(None).cast(own.schema["item_id"].dataType).alias("item_id")
+        return docs.limit(0).select("doc_id", item_id, *[F.lit(0).cast(kind).alias(c) for c, kind in (("n_item", "int"), ("n_shared", "int"), ("containment", "double"))])
     posts = docs.select("doc_id", F.explode(F.filter(shingles("text", size), lambda h: h <= F.lit(top.h))).alias("h"))
-    pairs = materialise(posts.join(sketch, "h").select("doc_id", "item_id").distinct(), "pairs")
+    with bloom_filters(spark):
+        pairs = materialise(posts.join(sketch, "h").select("doc_id", "item_id").distinct(), "pairs")
     texts = only_ids(docs, pairs.select("doc_id").distinct(), ["doc_id", "text"], "texts")
     sets = texts.select("doc_id", shingles("text", size).alias("all_of"))
     out = pairs.join(sets, "doc_id").join(own.select("item_id", "own", "n_item", "need"), "item_id")
