@@ -67,7 +67,19 @@ MORE_SENTENCES = {
     "lgpl-hope": "this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
     "agpl3-free": "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
     "bsl-grant": "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following",
+    "unlicense-free": "this is free and unencumbered software released into the public domain",
+    "unlicense-anyone": "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
+    "bsd-source": "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
+    "bsd-binary": "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
+    "bsd-asis": "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed",
+    "bsd-endorse": "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "cc0-title": "cc0 1 0 universal",
+    "cc0-waiver": "to the extent possible under law the author s have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide",
+    "epl2-terms": "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0",
 }
+#: Licences told by the line that names them, 'SPDX-License-Identifier: ' and the name.
+TAGGED = ["MIT", "Apache-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-or-later", "LGPL-3.0-or-later", "AGPL-3.0-or-later", "BSD-2-Clause", "BSD-3-Clause", "ISC", "MPL-2.0", "EPL-2.0", "CC0-1.0", "Unlicense", "BSL-1.0"]
+MORE_SENTENCES |= {f"spdx-{name.lower()}": "spdx license identifier " + name.lower().replace("-", " ").replace(".", " ") for name in TAGGED}
 MORE_RULES = [
     ("MIT", ["mit-name-3"]),
     ("MIT", ["mit-name-4"]),
@@ -76,9 +88,18 @@ MORE_RULES = [
     ("LGPL-2.1-or-later", ["lgpl21-free", "lgpl-hope"]),
     ("AGPL-3.0-or-later", ["agpl3-free", "gpl-hope"]),
     ("BSL-1.0", ["bsl-grant"]),
+    ("Unlicense", ["unlicense-free", "unlicense-anyone"]),
+    ("BSD-2-Clause", ["bsd-intro", "bsd-source", "bsd-binary", "bsd-asis"]),
+    ("BSD-3-Clause", ["bsd-intro", "bsd-source", "bsd-binary", "bsd-endorse", "bsd-asis"]),
+    ("CC0-1.0", ["cc0-title"]),
+    ("CC0-1.0", ["cc0-waiver"]),
+    ("EPL-2.0", ["epl2-terms"]),
+    *[(name, [f"spdx-{name.lower()}"]) for name in TAGGED],
 ]
+#: Licences whose rules hold only where this sentence isn't met.
+UNLESS = {"BSD-2-Clause": "bsd-endorse"}
 #: Every known sentence has one of these words; other texts are not cut at all.
-CUES = ("licen", "permission", "warrant", "redistribut", "copyright")
+CUES = ("licen", "permission", "warrant", "redistribut", "copyright", "public domain", "cc0", "anyone is free")
 
 #: Sentences by lines, and by paragraphs whose lines are joined (licences are often wrapped).
 LINES, PARAGRAPHS = r"[.!?]+\s+|\n+", r"[.!?]+\s+|\n\s*\n"
@@ -97,6 +118,7 @@ def scan(docs: DataFrame) -> DataFrame:
     sentences: the identifiers met, in order, joined by commas (of the two ways to cut the text
     the one that knows more; lines on a tie); n_sentences is their number. licences: the names
     whose rule either way satisfies, each once, in rule order, joined by commas; empty if none.
+    BSD, by the opening sentence alone, stands beside the clause count that the rest tells.
     A null or empty text has none. Repeated rows are returned each. Other columns are ignored.
     """
     text = F.col("text").cast("string")
@@ -106,7 +128,9 @@ def scan(docs: DataFrame) -> DataFrame:
     seq = lambda c: F.concat(F.lit("|"), F.array_join(c, "||"), F.lit("|"))
     met = lambda ids: "%" + "%".join(f"|{k}|" for k in ids) + "%"
     names = [name for name, _ in RULES + MORE_RULES]
-    found = [F.when(seq("by_line").like(met(ids)) | seq("by_paragraph").like(met(ids)), F.lit(name)) for name, ids in sorted(RULES + MORE_RULES, key=lambda rule: names.index(rule[0]))]
+    other = lambda c, name: ~seq(c).like(met([UNLESS[name]])) if name in UNLESS else F.lit(True)
+    shows = lambda c, name, ids: seq(c).like(met(ids)) & other(c, name)
+    found = [F.when(shows("by_line", name, ids) | shows("by_paragraph", name, ids), F.lit(name)) for name, ids in sorted(RULES + MORE_RULES, key=lambda rule: names.index(rule[0]))]
     best = F.when(F.size("by_paragraph") > F.size("by_line"), F.col("by_paragraph")).otherwise(F.col("by_line"))
     return both.select("doc_id", F.size(best).alias("n_sentences"), F.array_join(best, ",").alias("sentences"), F.array_join(F.array_distinct(F.filter(F.array(*found), lambda x: x.isNotNull())), ",").alias("licences"))
 
