@@ -257,3 +257,54 @@ GNU Affero General Public License for more details."""
     assert [r.licences for r in got] == ["MIT", "MIT", "MIT", "MPL-2.0", "MPL-2.0", "AGPL-3.0-or-later", "", ""]
     assert all(any(c in s for c in licences.CUES) for s in licences.MORE_SENTENCES.values())
     assert all(k in licences.SENTENCES | licences.MORE_SENTENCES for _, ids in licences.MORE_RULES for k in ids)
+
+
+def test_licences_by_clauses_tags_and_waivers(spark):
+    head = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+"""
+    endorse = """3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+
+"""
+    as_is = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE."""
+    unlicense = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or
+distribute this software, either in source code form or as a compiled
+binary, for any purpose, commercial or non-commercial, and by any
+means."""
+    epl = """ * This program and the accompanying materials are made
+ * available under the terms of the Eclipse Public License 2.0
+ * which is available at https://www.eclipse.org/legal/epl-2.0/
+ *
+ * SPDX-License-Identifier: EPL-2.0"""
+    cc0 = "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide. x"
+    texts = [head + as_is, head + endorse + as_is, unlicense, epl, cc0, "CC0 1.0 Universal\n", "#!/bin/sh\n# SPDX-License-Identifier: GPL-2.0-only\nx", "word " * 200_000 + ".\n// SPDX-License-Identifier: MIT", unlicense.split("\n\n")[1], head]
+    got = licences.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r.licences for r in got] == ["BSD,BSD-2-Clause", "BSD,BSD-3-Clause", "Unlicense", "EPL-2.0", "CC0-1.0", "CC0-1.0", "GPL-2.0-only", "MIT", "", "BSD"]
+
+
+def test_packing_of_nulls_repeats_and_named_clusters(spark):
+    rows = [(None, "a b", None, None, 1)] * 2 + [(1, "c d", "s", None, 2), (2, "e f", None, "k", 3), (3, "g h", None, "k", 4), (4, "i j", None, None, 5), (4, "i j", None, None, 5), (5, None, None, None, 6), (6, "", "s", None, 7), (7, "z " * 5000, None, "k", 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, cluster string, shard int")
+    for got in (packing.pack(docs, 100, cluster="cluster").toPandas(), packing.pack(docs, 100).toPandas()):
+        assert got.n_tokens.sum() == 2 * 3 + 3 * 3 + 2 * 3 + 1 + 1 + 5001 and got.groupby(["shard", "bin"]).n_tokens.sum().max() <= 100
+        assert (got.doc_id == 4).sum() == 2 and got.doc_id.isna().sum() == 2
+    named = packing.pack(docs, 100, cluster="cluster").toPandas()
+    bin_of = {(r.doc_id, r.piece): r.bin for r in named.itertuples()}
+    assert len({bin_of[2, 0], bin_of[3, 0], bin_of[7, 50]}) == 3 and bin_of[1, 0] != bin_of[6, 0]
+    free = named[named.doc_id.isna() | named.doc_id.isin([4, 5])]  # without source and cluster, in no conflict
+    assert free.bin.nunique() == 1

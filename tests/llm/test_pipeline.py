@@ -67,3 +67,27 @@ def test_empty_documents(spark):
     for name, stage in cp.STAGES:
         docs = materialise(stage(spark, docs, SF), name)
         assert docs.count() == 0
+
+
+def test_stages_on_odd_rows(spark):
+    """Nulls in any column, empty and very long texts, repeated rows, equal texts, clashing columns."""
+    rows = [(None, "a line that has no id at all", "en", "s", 28)] * 2
+    same = "these very words stand in several documents of this table"
+    rows += [(1, None, None, None, None), (2, "", "en", "s", 0), (3, "word " * 60_000 + "\n" + "x" * 300_000, "en", None, 600_001), (7, "a text whose language and source nobody knows", None, None, None)]
+    rows += [(4, same, "en", "s", len(same)), (5, same, "en", "s", len(same)), (6, same, "de", "t", len(same)), (6, same, "de", "t", len(same))]
+    docs = spark.createDataFrame([(*r, "c", 1, 0.5, 2) for r in rows], "doc_id long, text string, lang string, source string, n_chars int, component_id string, n_removed int, score double, shard int")
+    want = {"line_dedup": {None: 2, 1: 1, 2: 1, 3: 1, 7: 1, 4: 1}, "near_dedup": {None: 2, 1: 1, 2: 1, 3: 1, 7: 1, 4: 1}, "decontamination": {None: 2, 1: 1, 2: 1, 3: 1, 7: 1, 4: 1, 5: 1, 6: 2}}
+    for name, stage in cp.STAGES:
+        out = materialise(stage(spark, docs, SF), name)
+        got = out.collect()
+        if name == "packing":
+            assert {r.doc_id for r in got} == {r[0] for r in rows}
+            assert sum(r.n_tokens for r in got) == sum(len((r[1] or "").split()) + 1 for r in rows)
+            continue
+        assert out.columns == DOCUMENT_COLUMNS
+        count = {d: sum(r.doc_id == d for r in got) for d in {r.doc_id for r in got}}
+        if name in want:
+            assert count == want[name], name
+        else:
+            assert all(n <= sum(r[0] == d for r in rows) for d, n in count.items())
+        assert {tuple(r) for r in got} <= set(rows)

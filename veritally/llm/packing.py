@@ -79,17 +79,22 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, shard_docs: int = SHARD_DOCS
     equal values of the column ``cluster``. start is the piece's first token in its document,
     bin_start its first in the bin. A null or empty text is its end mark alone. A null source or
     cluster is in no conflict. Rows that repeat a doc_id are packed each; so are rows without
-    one. Ties go by doc_id, then cluster. An empty table gives an empty result.
+    one. Ties go by doc_id, then cluster; of a doc_id whose rows differ in the column ``cluster``
+    the least value counts for all. Other columns are ignored. An empty table gives an empty result.
     """
-    rows = measured(docs) if cluster is None else measured(docs).drop("cluster").join(docs.select("doc_id", F.xxhash64(cluster).alias("cluster")).dropDuplicates(["doc_id"]), "doc_id", "left")
+    rows = measured(docs)
+    if cluster is not None:
+        of = docs.groupBy("doc_id").agg(F.min(F.col(cluster).cast("string")).alias("cluster"))
+        rows = rows.drop("cluster").join(of, "doc_id", "left")
     shards = max(1, -(-docs.count() // shard_docs))
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "n_tokens", "cluster"), F.lit(shards)))
     id_type = docs.schema["doc_id"].dataType
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.assign(rest=(pdf["n_tokens"] - 1) % capacity + 1).sort_values(["rest", "doc_id", "cluster", "source"], ascending=[False, True, True, True], kind="stable")
-        repeated = pdf["cluster"].where(pdf["cluster"].duplicated(keep=False))
-        bins = best_fit(pdf["rest"].tolist(), pd.factorize(pdf["source"])[0].tolist(), pd.factorize(repeated)[0].tolist(), capacity)
+        clusters, repeated = np.full(len(pdf), -1), pdf["cluster"].duplicated(keep=False).to_numpy()
+        clusters[repeated] = pd.factorize(pdf["cluster"][repeated])[0]
+        bins = best_fit(pdf["rest"].tolist(), pd.factorize(pdf["source"])[0].tolist(), clusters.tolist(), capacity)
         pdf = pdf.assign(bin=bins, piece=(pdf["n_tokens"] - 1) // capacity, start=pdf["n_tokens"] - pdf["rest"])
         pdf["bin_start"] = pdf.groupby("bin")["rest"].cumsum() - pdf["rest"]
         full = pdf.loc[pdf.index.repeat(pdf["piece"]), ["shard", "doc_id"]]
