@@ -5,7 +5,7 @@ lane with its own range coder and all with the block's one model. The model pred
 id by order 0 (adaptive frequencies of all ids) and by orders 1 and 2: each context of one id
 and (hashed) of two keeps counts of a few ids that followed it. The three distributions
 are mixed: the weights of orders 1 and 2 against order 0 are learnt for each pair of their
-contexts' experience, and an id that both know has its masses of both. The model is brought up
+contexts' experience, and an id that both know has its mass of order 2. The model is brought up
 to date after each step, so encoder and decoder see the same one, and it starts anew in each
 block. Blocks carry checksums of their bytes and of their ids.
 """
@@ -18,22 +18,24 @@ import zlib
 import numpy as np
 
 _HEAD = struct.Struct("<4sIIIIII")
-MAGIC = b"CMR2"
+MAGIC = b"CMR3"
 #: SUM_EVERY: ids between sums of the order-0 frequencies.
-MOST_LANES, IDS_A_LANE, SUM_EVERY = 4096, 64, 16384
+MOST_LANES, IDS_A_LANE, SUM_EVERY = 8192, 256, 8192
 _TOP, _LOW, _SH = np.uint64(1 << 48), np.uint64((1 << 32) - 1), np.uint64(16)
 #: Ids that contexts of order 1 and 2 keep; places of contexts of order 2; levels of experience.
-_SLOTS1, _SLOTS2, _PLACES, _LEVELS = 4, 3, 1 << 18, 16
+_SLOTS1, _SLOTS2, _PLACES, _LEVELS = 4, 4, 1 << 18, 16
 _GAIN, _MOST_TOTAL, _MOST_ODDS, _STEP = 24, 1 << 20, 128, 3
 #: Experience of a context: its counts' sum, and whether its first slot has most of it.
 _level = np.minimum(2 * np.ceil(np.log2(np.arange(1024) + 1)), _LEVELS - 2).astype(np.int32)
+_inverse = (1 / np.maximum(np.arange(1024), 1)).astype(np.float32)
 
 
 class _Context:
-    """Slots of the contexts of one order, each id * 256 + count in an array of its own; count 0 is free."""
+    """Slots of the contexts of one order, filled from the first, each id * 256 + count; id -1 is free."""
 
     def __init__(self, contexts: int, slots: int):
-        self.table = [np.zeros(contexts, np.int32) for _ in range(slots)]
+        self.table = np.full((slots, contexts), -256, np.int32)
+        self.flat = self.table.ravel()
 
     def look(self, at: np.ndarray) -> np.ndarray:
         """Sets ids and counts of each lane's slots; returns the level of experience."""
@@ -43,25 +45,33 @@ class _Context:
         self.sum = sum(self.counts[1:], self.counts[0])
         return _level.take(self.sum) + (4 * self.counts[0] > 3 * self.sum)
 
-    def learn(self, ids: np.ndarray) -> None:
-        """Counts the id's slot up; a new id takes the last slot. The larger count stands first."""
-        left = np.ones(len(ids), bool)
-        out = []
-        for k, (known, count) in enumerate(zip(self.ids, self.counts, strict=True)):
-            same = (known == ids) & (count > 0)
-            if k == len(self.table) - 1:
-                count, known = count * same, np.where(left, ids, known)
-                same = left | same
-            count = count + _STEP * same
-            left &= ~same
-            out.append([known, count])
-        for k in range(len(out) - 1, 0, -1):
-            (a, x), (b, y) = out[k - 1], out[k]
-            swap = y > x
-            out[k - 1], out[k] = [np.where(swap, b, a), np.maximum(x, y)], [np.where(swap, a, b), np.minimum(x, y)]
-        halve = out[0][1] > 250
-        for t, (known, count) in zip(self.table, out, strict=True):
-            t[self.at] = (known << 8) + (count >> halve)
+    def learn(self, ids: np.ndarray, same: list[np.ndarray]) -> None:
+        """Counts the id's slot up (same: lanes whose slot it is), past the slot before if it is larger.
+
+        A new id takes the first free slot, or else the last. Of lanes that write one slot the last counts.
+        """
+        slots, contexts = self.table.shape
+        slot, new = np.zeros(len(ids), np.int8), np.ones(len(ids), bool)
+        for count in self.counts[:-1]:
+            slot += count > 0
+        for k, own in enumerate(same):
+            np.copyto(slot, k, where=own)
+            new &= ~own
+        place = slot * np.int64(contexts) + self.at
+        value = np.where(new, ids << 8, self.flat.take(place)) + _STEP
+        self.flat[place] = value
+        up = np.flatnonzero(slot)
+        before, value_up = place.take(up) - contexts, value.take(up)
+        other = self.flat.take(before)
+        swap = np.flatnonzero((value_up & 255) > (other & 255))
+        before = before.take(swap)
+        self.flat[before + contexts] = other.take(swap)
+        self.flat[before] = value_up.take(swap)
+        full = self.at.take(np.flatnonzero((value & 255) > 250))
+        if len(full):
+            for t in self.table:
+                x = t.take(full)
+                t[full] = x - ((x & 255) >> 1)
 
 
 class _Model:
@@ -80,19 +90,20 @@ class _Model:
     def predict(self, prev1: np.ndarray, prev2: np.ndarray) -> None:
         """Sets each lane's known ids, the ends of their intervals, and the total.
 
-        Ids known to order 2, then those of order 1 come first, the order-0 ones after them all.
+        Ids known to order 2, then those of order 1 that it doesn't know come first, the order-0 ones after them all.
         """
         self.mix = self.two.look((prev2 * 40503 + prev1 * 2654435) & (_PLACES - 1)) * _LEVELS + self.one.look(prev1)
         total = int(self.cum[-1])
-        share = lambda hit, of: (total * np.minimum(hit / self.miss, _MOST_ODDS)).take(self.mix) / np.maximum(of, 1)
-        two, one = share(self.hit2, self.two.sum), share(self.hit1, self.one.sum)
-        m2, m1 = [(two * c).astype(np.int32) for c in self.two.counts], [(one * c).astype(np.int32) for c in self.one.counts]
-        for j, g1 in enumerate(self.one.ids):  # what order 2 knows too is its own
-            for i, g2 in enumerate(self.two.ids):
-                both = m1[j] * ((g1 == g2) & (m2[i] > 0))
-                m2[i] += both
-                m1[j] -= both
-        self.ids, self.mass, self.ends = [*self.two.ids, *self.one.ids], [*m2, *m1], []
+        self.ids, self.mass, self.ends = [*self.two.ids, *self.one.ids], [], []
+        for order, hit in ((self.two, self.hit2), (self.one, self.hit1)):
+            odds = (8 * total * np.minimum(hit / self.miss, _MOST_ODDS)).astype(np.float32)
+            each = (odds.take(self.mix) * _inverse.take(order.sum)).astype(np.int32)  # 8 times a count's mass
+            self.mass += [each * c >> 3 for c in order.counts]
+        for known, mass in zip(self.one.ids, self.mass[_SLOTS2:], strict=True):
+            both = known == self.two.ids[0]
+            for x in self.two.ids[1:]:
+                both |= known == x
+            np.copyto(mass, 0, where=both)
         end = 0
         for m in self.mass:
             end = end + m
@@ -103,20 +114,22 @@ class _Model:
         """Start and width of each id."""
         width, start = self.freq.take(ids), self.cum.take(ids) + self.ends[-1]
         self.order = np.zeros(len(ids), np.int32)  # which order knew it
-        for k, (known, mass, end) in enumerate(zip(self.ids, self.mass, self.ends, strict=True)):
-            at = np.flatnonzero((known == ids) & (mass > 0))
-            width[at] = own = mass[at]
-            start[at] = end[at] - own
+        self.same = [known == ids for known in self.ids]
+        for k, (same, mass, end) in enumerate(zip(self.same, self.mass, self.ends, strict=True)):
+            at = np.flatnonzero(same & (mass > 0))
+            own = mass.take(at)
+            width[at] = own
+            start[at] = end.take(at) - own
             self.order[at] = 2 if k < _SLOTS2 else 1
-        return start.astype(np.int64), width.astype(np.int64)
+        return start.astype(np.uint64), width.astype(np.uint64)
 
     def find(self, value: np.ndarray) -> np.ndarray:
         """The id whose interval holds the value."""
-        ids = np.full(len(value), -1, np.int64)
-        for known, end in zip(reversed(self.ids), reversed(self.ends), strict=True):
+        ids = self.ids[-1]
+        for known, end in zip(self.ids[-2::-1], self.ends[-2::-1], strict=True):
             ids = np.where(value < end, known, ids)
         rest = np.flatnonzero(value >= self.ends[-1])
-        ids[rest] = np.searchsorted(self.cum, value[rest] - self.ends[-1][rest], side="right") - 1
+        ids[rest] = np.searchsorted(self.cum, value.take(rest) - self.ends[-1].take(rest), side="right") - 1
         return ids
 
     def learn(self, ids: np.ndarray, every: int, step: int) -> None:
@@ -128,9 +141,8 @@ class _Model:
         if big.any():
             for c in (self.hit1, self.hit2, self.miss):
                 c[big] = (c[big] + 1) >> 1
-        own = ids.astype(np.int32)
-        self.one.learn(own)
-        self.two.learn(own)
+        self.two.learn(ids, self.same[:_SLOTS2])
+        self.one.learn(ids, self.same[_SLOTS2:])
         self.seen.append(ids)
         if (step + 1) % every == 0:
             self.freq += (_GAIN * np.bincount(np.concatenate(self.seen), minlength=len(self.freq))).astype(np.int32)
@@ -145,11 +157,15 @@ def _layout(n: int) -> tuple[int, int, int]:
     return lanes, -(-n // lanes), max(1, SUM_EVERY // lanes)
 
 
-def _narrow(low: np.ndarray, rng: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Lanes that must shift out 16 bits, and their ranges (cut where a carry could stay open)."""
-    settled = (low ^ (low + rng)) < _TOP
-    small = rng <= _LOW
-    return settled | small, np.where(small & ~settled, (~low + np.uint64(1)) & _LOW, rng)
+def _settled(low: np.ndarray, rng: np.ndarray) -> np.ndarray:
+    """Lanes that must shift out 16 bits: those are settled, or the range is small."""
+    return np.flatnonzero(((low ^ (low + rng)) < _TOP) | (rng <= _LOW))
+
+
+def _shifted(low: np.ndarray, rng: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both after the shift; a small range is cut where a carry could stay open."""
+    cut = ((low ^ (low + rng)) >= _TOP) & (rng <= _LOW)
+    return low << _SH, np.where(cut, (~low + np.uint64(1)) & _LOW, rng) << _SH
 
 
 def encode(ids: np.ndarray, vocab: int) -> bytes:
@@ -161,7 +177,7 @@ def encode(ids: np.ndarray, vocab: int) -> bytes:
         return _HEAD.pack(MAGIC, 0, 0, vocab, crc, 0, zlib.crc32(b""))
     lanes, steps, every = _layout(n)
     lanes = -(-n // steps)
-    grid = np.zeros(lanes * steps, np.int64)
+    grid = np.zeros(lanes * steps, np.int32)
     grid[:n] = ids
     grid = np.ascontiguousarray(grid.reshape(lanes, steps).T)
     active = np.full(steps, lanes)
@@ -169,6 +185,7 @@ def encode(ids: np.ndarray, vocab: int) -> bytes:
     model = _Model(vocab)
     low, rng = np.zeros(lanes, np.uint64), np.full(lanes, np.iinfo(np.uint64).max, np.uint64)
     out, used = np.zeros((lanes, 2 * steps + 16), np.uint16), np.zeros(lanes, np.int64)
+    row = np.arange(lanes)
     prev1, prev2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
     with np.errstate(over="ignore"):
         for r in range(steps):
@@ -179,26 +196,24 @@ def encode(ids: np.ndarray, vocab: int) -> bytes:
             model.predict(prev1[:k], prev2[:k])
             start, width = model.interval(own)
             unit = rng[:k] // model.total.astype(np.uint64)
-            low[:k] += start.astype(np.uint64) * unit
-            rng[:k] = width.astype(np.uint64) * unit
+            low[:k] += start * unit
+            rng[:k] = width * unit
             model.learn(own, every, r)
             prev2[:k], prev1[:k] = prev1[:k], own
-            move = np.arange(k)
-            while True:
-                go, narrow = _narrow(low[move], rng[move])
-                move, narrow = move[go], narrow[go]
-                if not len(move):
-                    break
-                if used[move].max() + 5 > out.shape[1]:
+            move = _settled(low[:k], rng[:k])
+            while len(move):
+                x, y, to = low.take(move), rng.take(move), used.take(move)
+                if to.max() + 5 > out.shape[1]:
                     out = np.concatenate([out, np.zeros_like(out)], axis=1)
-                out[move, used[move]] = (low[move] >> np.uint64(48)).astype(np.uint16)
-                used[move] += 1
-                low[move] <<= _SH
-                rng[move] = narrow << _SH
+                out.ravel()[move * out.shape[1] + to] = x >> np.uint64(48)
+                used[move] = to + 1
+                x, y = _shifted(x, y)
+                low[move], rng[move] = x, y
+                move = move.take(_settled(x, y))
     if used.max() + 4 > out.shape[1]:
         out = np.concatenate([out, np.zeros((lanes, 4), np.uint16)], axis=1)
     for i in range(4):
-        out[np.arange(lanes), used + i] = (low >> np.uint64(48 - 16 * i)).astype(np.uint16)
+        out[row, used + i] = (low >> np.uint64(48 - 16 * i)).astype(np.uint16)
     used += 4
     body = used.astype("<u4").tobytes() + out[np.arange(out.shape[1]) < used[:, None]].astype("<u2").tobytes()
     return _HEAD.pack(MAGIC, n, lanes, vocab, crc, len(body), zlib.crc32(body)) + body
@@ -224,7 +239,7 @@ def decode(block: bytes) -> np.ndarray:
     active[n - (lanes - 1) * steps :] = lanes - 1
     model = _Model(vocab)
     low, rng = np.zeros(lanes, np.uint64), np.full(lanes, np.iinfo(np.uint64).max, np.uint64)
-    grid = np.zeros((steps, lanes), np.int64)
+    grid = np.zeros((steps, lanes), np.int32)
     prev1, prev2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
     with np.errstate(over="ignore"):
         for r in range(steps):
@@ -233,24 +248,21 @@ def decode(block: bytes) -> np.ndarray:
                 break
             model.predict(prev1[:k], prev2[:k])
             unit = rng[:k] // model.total.astype(np.uint64)
-            value = np.minimum((code[:k] - low[:k]) // unit, (model.total - 1).astype(np.uint64)).astype(np.int64)
-            own = model.find(value)
+            own = model.find(np.minimum((code[:k] - low[:k]) // unit, (model.total - 1).astype(np.uint64)).astype(np.int32))
             start, width = model.interval(own)
-            low[:k] += start.astype(np.uint64) * unit
-            rng[:k] = width.astype(np.uint64) * unit
+            low[:k] += start * unit
+            rng[:k] = width * unit
             grid[r, :k] = own
             model.learn(own, every, r)
             prev2[:k], prev1[:k] = prev1[:k], own
-            move = np.arange(k)
-            while True:
-                go, narrow = _narrow(low[move], rng[move])
-                move, narrow = move[go], narrow[go]
-                if not len(move):
-                    break
-                code[move] = code[move] << _SH | words[at[move]]
-                at[move] = np.minimum(at[move] + 1, len(words) - 1)
-                low[move] <<= _SH
-                rng[move] = narrow << _SH
+            move = _settled(low[:k], rng[:k])
+            while len(move):
+                x, y, to = low.take(move), rng.take(move), at.take(move)
+                code[move] = code.take(move) << _SH | words.take(to)
+                at[move] = np.minimum(to + 1, len(words) - 1)
+                x, y = _shifted(x, y)
+                low[move], rng[move] = x, y
+                move = move.take(_settled(x, y))
     ids = np.ascontiguousarray(grid.T).ravel()[:n].astype("<u4")
     if zlib.crc32(ids.tobytes()) != crc:
         raise ValueError("ids differ from what was written")

@@ -1,7 +1,7 @@
 """Token ids of whole documents in range-coded blocks, in ascending doc_id order.
 
 Documents are range-partitioned by doc_id and sorted; each partition encodes its texts and
-writes blocks of about BLOCK_IDS ids (whole documents; a longer document is a block). A row of
+writes blocks of up to BLOCK_IDS ids (whole documents; a longer document is a block). A row of
 the written table is one block: part (the partition, ascending in doc_id), block (its number in
 the part), and data, which stands alone: a document directory and the coded ids, both with
 checksums. Places of documents follow from what the blocks hold when they are read: running sums
@@ -25,13 +25,17 @@ from veritally.llm import range_coder
 from veritally.llm import textnum as tn
 from veritally.llm.tables import materialise
 
-BLOCK_IDS, END_ID = 1 << 20, 2
+BLOCK_IDS, END_ID = 1 << 21, 2
 _DIRECTORY = struct.Struct("<4sIII")
 #: Units kept with their ids by each worker; then it starts anew.
 KEPT_UNITS = 1_000_000
 
+_WHITE = b"\t\n\x0b\x0c\r "
 _white = np.zeros(256, dtype=bool)
-_white[[9, 10, 11, 12, 13, 32]] = True
+_white[list(_WHITE)] = True
+#: ASCII letters and digits, and the marks of ASCII.
+_alnum = np.array([chr(k).isalnum() and k < 128 for k in range(256)])
+_mark = np.array([32 < k < 127 and not chr(k).isalnum() for k in range(256)])
 
 
 def _odd(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -50,9 +54,10 @@ def _odd(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
 class Encoder:
     """Ids of texts by a byte-level BPE of the tokenizers library.
 
-    Its pre-tokens never join what comes before white space with that white space, so a text is
-    the run of its units' ids, a unit being white space and the word after it. The library
-    encodes each unit once while it is kept, under its bytes.
+    Its pre-tokens never join what comes before white space with that white space, nor a letter
+    or digit with a mark after it, so a text is the run of its units' ids, a unit being white
+    space and the word after it, or marks and what follows them. The library encodes each unit
+    once while it is kept, under its bytes.
     """
 
     def __init__(self, path: str):
@@ -70,31 +75,27 @@ class Encoder:
         self.number: dict[bytes, int] = {}
         self.ends, self.pool = np.zeros(1, np.int64), np.zeros(0, np.uint16)
 
-    def _ids(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of units and their counts.
+    def _keep(self, raw: list[bytes]) -> None:
+        """Encodes new units and keeps their ids.
 
         Words after white space are encoded as one text, whose ids are dealt to them by the bytes
         that each id stands for.
         """
-        led = np.fromiter((_white[x[0]] and not _white[x[-1]] for x in raw), bool, len(raw))
-        out: list[np.ndarray] = [np.zeros(0, np.uint16)] * len(raw)
-        for k in np.flatnonzero(~led).tolist():
-            out[k] = np.array(self.library.encode(raw[k].decode(), add_special_tokens=False).ids, np.uint16)
-        some = np.flatnonzero(led).tolist()
-        for at in range(0, len(some), 8192):
-            own = some[at : at + 8192]
-            ids = np.array(self.library.encode_batch_fast([b"".join(raw[k] for k in own).decode()], add_special_tokens=False)[0].ids, np.uint16)
-            ends = np.cumsum(self.width[ids])
-            cut = np.searchsorted(ends, np.cumsum([len(raw[k]) for k in own])) + 1
-            for k, x in zip(own, np.split(ids, cut[:-1]), strict=True):
-                out[k] = x
-        return np.concatenate(out), np.fromiter(map(len, out), np.int64, len(out))
-
-    def _keep(self, raw: list[bytes]) -> None:
-        ids, count = self._ids(raw)
-        self.number.update(zip(raw, range(len(self.number), len(self.number) + len(raw)), strict=True))
+        led, rest = [], []
+        for x in raw:
+            (led if x[0] in _WHITE and x[-1] not in _WHITE else rest).append(x)
+        ids, count = [self.pool], []
+        for at in range(0, len(led), 8192):
+            own = led[at : at + 8192]
+            ids.append(np.array(self.library.encode_batch_fast([b"".join(own).decode()], add_special_tokens=False)[0].ids, np.uint16))
+            ends = np.cumsum(np.fromiter(map(len, own), np.int64, len(own)))
+            count.append(np.diff(np.searchsorted(np.cumsum(self.width[ids[-1]]), ends) + 1, prepend=0))
+        single = [x.ids for x in self.library.encode_batch_fast([x.decode() for x in rest], add_special_tokens=False)]
+        ids += [np.array(x, np.uint16) for x in single]
+        count = np.concatenate([*count, np.fromiter(map(len, single), np.int64, len(single))])
+        self.number.update(zip(led + rest, range(len(self.number), len(self.number) + len(raw)), strict=True))
         self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(count)])
-        self.pool = np.concatenate([self.pool, ids])
+        self.pool = np.concatenate(ids)
 
     def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each text, without an end id; a null is an empty text."""
@@ -102,7 +103,7 @@ class Encoder:
             odd = _odd(buf, off)
             white = _white[buf]
             first = np.zeros(len(buf), dtype=bool)
-            first[1:] = white[1:] & ~white[:-1]
+            first[1:] = (white[1:] & ~white[:-1]) | (_mark[buf[1:]] & _alnum[buf[:-1]])
             first[off[:-1][off[:-1] < off[1:]]] = True
             s = np.flatnonzero(first)
             ptr, raw = np.searchsorted(s, off), buf.tobytes()
@@ -112,8 +113,10 @@ class Encoder:
                 self.clear()
             index = list(map(self.number.get, units))
             if None in index:
-                self._keep(list(dict.fromkeys(x for x, k in zip(units, index, strict=True) if k is None)))
-                index = map(self.number.__getitem__, units)
+                new = [k for k, x in enumerate(index) if x is None]
+                self._keep(list(dict.fromkeys([units[k] for k in new])))
+                for k in new:
+                    index[k] = self.number[units[k]]
             index = np.fromiter(index, np.int64, len(units))
             start = self.ends[index]
             count = self.ends[index + 1] - start
