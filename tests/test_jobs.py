@@ -46,6 +46,17 @@ def test_replies(spark, raw, fake, conf, reason, bad):
     assert (r.is_ai_modified, r.confidence, r.reason, r.error is not None) == (fake, conf, reason, bad)
 
 
+def test_replies_with_repeated_keys(spark):
+    raw = '{"is_ai_modified": false, "confidence": 0.1, "is_ai_modified": "yes"}'
+    got = lambda: spark.createDataFrame([(raw,)], "raw string").select(vd.parse_reply("raw").alias("v")).select(vd.is_fake("v").alias("f")).first().f
+    assert got() is None
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    try:
+        assert got() is True
+    finally:
+        spark.conf.unset("spark.sql.variant.allowDuplicateKeys")
+
+
 def test_nan_confidence_and_findings(spark):
     df = spark.createDataFrame([('{"is_ai_modified": true, "confidence": NaN, "per_image": [{"index": 1}, 2]}',), ('{"per_image": "none"}',)], "raw string").select(vd.parse_reply("raw").alias("v"))
     got = df.select(F.isnan(vd.confidence("v")).alias("nan"), F.size(vd.findings("v")).alias("n")).collect()

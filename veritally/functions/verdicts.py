@@ -13,7 +13,8 @@ YES = ["true", "yes", "1", "ai", "ai-modified", "ai-generated"]
 def parse_reply(raw: Column | str) -> Column:
     """The reply's JSON as a variant: all of it, without a code fence, or from the first brace to
     the last. Null if neither parses. Bare NaN and Infinity, which many writers emit, are read
-    as strings; an object with a repeated key doesn't parse."""
+    as strings. Of a repeated key the last value is kept where the session sets
+    spark.sql.variant.allowDuplicateKeys to true; otherwise such an object doesn't parse."""
     s = stripped(raw)
     bare = F.regexp_replace(s, "^`+|`+$", "")
     tagged = F.lower(F.ltrim(bare)).startswith("json")
