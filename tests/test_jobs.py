@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from veritally.functions import text as tx
 from veritally.functions import verdicts as vd
-from veritally.operators import catalog, human, metrics, sampling, store, tasks, turns
+from veritally.operators import catalog, human, metrics, ranges, sampling, store, tasks, turns
 from veritally.sources import files
 from veritally.streaming import streams
 
@@ -215,10 +215,87 @@ def test_fold_of_a_log(spark):
     assert sorted(map(tuple, human.human_standing(log.repartition(5)).collect())) == want
 
 
+def folded(rows, by=1):
+    logs = {}
+    for r in sorted(rows, key=lambda r: r[by]):
+        logs.setdefault(r[:by], []).append(r[by:])
+    return sorted(((*k, *s) for k, v in logs.items() for s in human.fold(v)), key=str)
+
+
+@pytest.mark.parametrize("rounds", [0, 2])
+def test_standing_of_hard_logs(spark, in_parts, rounds):
+    """Random logs with many repeats, and one evaluator with most rows, so spread over tasks; whatever the rounds, the fold's result."""
+    rng = random.Random(rounds)
+    rows = [(("hot", "ann", None)[rng.choice([0, 0, 0, 0, 1, 2])], rng.choice(["All", None]), i, rng.choice(["submit", "submit", "undo"]), rng.choice([*range(12), None]), rng.choice(["real", "fake"])) for i in range(900)]
+    log = spark.createDataFrame([(*r, "x", 1) for r in rows], "evaluator string, scope string, seq long, action string, image_no long, choice string, row string, depth int").repartition(3)
+    got = human.human_standing(log, ["evaluator", "scope"], rounds)
+    assert sorted(map(tuple, got.collect()), key=str) == folded(rows, 2)
+
+
+def test_accepted_logs_need_one_round(spark, in_parts, monkeypatch):
+    """No submit of a standing image: undos are matched by depth alone, over ranges of one long log."""
+    rng, rows, standing = random.Random(5), [], []
+    for i in range(2000):
+        if standing and rng.random() < 0.48:
+            standing.pop()
+            rows.append((1, i, "undo", None, None))
+        else:
+            standing.append(i)
+            rows.append((1, i, "submit", i, "real"))
+    names = []
+    monkeypatch.setattr(human, "written", lambda df, name, keep=human.written: names.append(name) or keep(df, name))
+    log = spark.createDataFrame(rows, "evaluator long, seq long, action string, image_no long, choice string")
+    got = human.human_standing(log)
+    assert sorted(r.image_no for r in got.collect()) == standing and names.count("turns") == 1
+    assert human.human_standing(log.limit(0)).collect() == []
+
+
+def test_ranges_over_a_hot_key(spark, in_parts):
+    rng = random.Random(6)
+    rows = [(rng.choice(["hot", "hot", "hot", None]), i, rng.choice([1, -1, -1, 0]), rng.randrange(99)) for i in range(1500)]
+    df = files.written(spark.createDataFrame(rows, "k string, i long, step int, v long"), "ranges")
+    at = ranges.placed(df, ["k"], ["i"], "ranges")
+    assert at.where("k = 'hot'").select("block").distinct().count() > 1
+    deep = {r.i: (r.depth, r.taken) for r in ranges.stack_depth(at, ["k"], F.col("step")).collect()}
+    top = {r.i: r.top for r in ranges.max_before(at, ["k"], "v", "top").collect()}
+    pos = {r.i: r.pos for r in ranges.numbered(at, ["k"], "ranges").collect()}
+    for k in ("hot", None):
+        depth, most = 0, None
+        for n, (_, i, step, v) in enumerate(r for r in rows if r[0] == k):
+            taken = step >= 0 or depth > 0
+            depth = max(0, depth + step)
+            assert deep[i] == (depth, taken) and top[i] == most and pos[i] == n
+            most = max(v, most if most is not None else v)
+
+
+def test_unseen_pools(spark):
+    catalog = spark.createDataFrame([(i, f"c{i % 2}", "real" if i % 4 == 0 else "fake", "x") for i in (*range(40), 70_000)], "image_no long, category string, true_label string, seen string")
+    standing = spark.createDataFrame([("ann", "All", 4), ("ann", "All", 5), ("ann", "All", 70_000), ("ann", "All", 999), ("bob", "c1", 3), ("bob", "c1", 4)], "evaluator string, scope string, image_no long")
+    logs = standing.select("evaluator", "scope").unionByName(spark.createDataFrame([("cy", "c0"), ("cy", "none")], "evaluator string, scope string"))
+    got = {tuple(r[:2]): tuple(r[2:]) for r in human.unseen_pools(catalog, standing, logs).collect()}
+    assert got == {("ann", "All"): (3, 41, 9, 29), ("bob", "c1"): (1, 20, 0, 19), ("cy", "c0"): (0, 21, 11, 10), ("cy", "none"): (0, 0, 0, 0)}
+    plan = human.unseen_pools(catalog, standing, logs)._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_accuracy_in_one_pass(spark):
+    rows = [("a", "All", "Negative", None, "real", "real"), ("a", "All", "Negative", None, "fake", "real"), ("a", "c", "DeepFake", "g", "fake", "fake"), ("a", "c", None, None, None, "fake")]
+    df = human.human_accuracy(spark.createDataFrame(rows, "evaluator string, scope string, bucket string, gen_model string, choice string, true_label string"), ["evaluator", "scope"])
+    got = {tuple(r[:4]): tuple(r[4:]) for r in df.collect()}
+    assert got == {("a", "All", "Negative", None): (2, 1, 0.5), ("a", "All", "all", None): (2, 1, 0.5), ("a", "c", "DeepFake", "g"): (1, 1, 1.0), ("a", "c", None, None): (1, 0, 0.0), ("a", "c", "all", None): (2, 1, 0.5)}
+    assert df.select("*")._jdf.queryExecution().executedPlan().toString().count("Scan") == 1
+
+
 def test_queue_is_balanced(spark):
     cat = spark.createDataFrame([(f"i{i}", "real" if i % 4 == 0 else "fake", f"r{i % 9}") for i in range(200)], "image_id string, true_label string, review string")
-    q = human.labelling_queue(cat, spark.createDataFrame([("ann",)], "evaluator string"), 1, 60).orderBy("pos").collect()
-    assert [r.pos for r in q] == list(range(1, 61)) and sum(r.true_label == "real" for r in q) == 30
+    queue = human.labelling_queue(cat, spark.createDataFrame([("ann",), ("bob",)], "evaluator string"), 1, 60)
+    q = queue.where("evaluator = 'ann'").orderBy("pos").collect()
+    assert [r.pos for r in q] == list(range(1, 61)) and sum(r.true_label == "real" for r in q) == 30 and len({r.image_id for r in q}) == 60
+    assert {r.image_id for r in q} != {r.image_id for r in queue.where("evaluator = 'bob'").collect()}
+    plan = queue._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
+    all_of = human.labelling_queue(cat, spark.createDataFrame([("ann",)], "evaluator string"), 1, 500).orderBy("pos").collect()
+    assert sorted(r.image_id for r in all_of) == sorted(f"i{i}" for i in range(200)) and [r.pos for r in all_of] == list(range(1, 201))
 
 
 def test_names_and_errors(spark):
@@ -236,24 +313,77 @@ def test_names_and_errors(spark):
 
 
 def test_streams_stop_and_go_on(spark, tmp_path):
-    """Two runs over a growing folder give what one batch gives, and read each row once."""
-    schema = "evaluator long, seq long, action string, image_no long, choice string, detector string, error string, is_ai_modified boolean"
+    """Runs over a growing folder, of several micro-batches each, give what one batch gives, and read each row once."""
+    schema = "evaluator long, seq long, action string, image_no long, choice string, detector string, error string, is_ai_modified boolean, label string"
     rng = random.Random(9)
-    rows = [(rng.randrange(3), i, rng.choice(["submit", "submit", "undo"]), rng.randrange(9), "real", f"d{i % 2}", None if i % 3 else "x", True) for i in range(120)]
-    source = lambda: spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    rows = [(rng.randrange(3), i, rng.choice(["submit", "submit", "undo"]), rng.randrange(9), "real", f"d{i % 2}", None if i % 3 else "x", i % 4 > 0, "Negative" if i % 5 else "DeepFake") for i in range(120)]
+    source = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     run = lambda: (
         streams.stream_upsert(source().select("evaluator", "seq", "choice"), ["evaluator"], ["seq"], str(tmp_path / "a")).collect(),
         streams.stream_progress(source(), ["detector"], str(tmp_path / "b"), str(tmp_path / "elsewhere")).collect(),
         streams.stream_human(source(), str(tmp_path / "c")).collect(),
     )
     for part in (rows[:70], rows[70:100], rows[100:]):
-        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        for i in range(0, len(part), 40):
+            spark.createDataFrame(part[i : i + 40], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         upserts, progress, standing = run()
     assert {r.evaluator: r.seq for r in upserts} == {e: max(r[1] for r in rows if r[0] == e) for e in range(3)}
-    assert {r.detector: (r.ok, r.fail) for r in progress} == {d: (sum(r[5] == d and r[6] is None for r in rows), sum(r[5] == d and r[6] is not None for r in rows)) for d in ("d0", "d1")}
+    good = lambda d, n: sum(r[5] == d and (r[6] is None, r[6] is not None, r[6] is None and r[7] == (r[8] != "Negative"))[n] for r in rows)
+    assert {r.detector: (r.ok, r.fail, r.right, r.accuracy) for r in progress} == {d: (*[good(d, n) for n in range(3)], good(d, 2) / 60) for d in ("d0", "d1")}
     assert sorted((r.evaluator, r.image_no, r.choice, r.seq) for r in standing) == sorted((e, *s) for e in range(3) for s in human.fold([r[1:5] for r in rows if r[0] == e]))
-    assert run() == (upserts, progress, standing) or {tuple(x) for part in run() for x in part} == {tuple(x) for part in (upserts, progress, standing) for x in part}
-    assert (tmp_path / "elsewhere").is_dir() and len(list((tmp_path / "a").glob("v=*"))) >= 2
+    assert {tuple(x) for part in run() for x in part} == {tuple(x) for part in (upserts, progress, standing) for x in part}
+    assert (tmp_path / "elsewhere").is_dir() and len(list((tmp_path / "a/rows").glob("v=*"))) >= 2
+
+
+def test_states_tell_changes_only(spark, tmp_path):
+    """A batch of a log writes the images whose standing it changed, not the stack."""
+    schema = "evaluator long, seq long, action string, image_no long, choice string"
+    source = lambda: spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    put = lambda rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    put([(1, i, "submit", i, "real") for i in range(200)])
+    assert len(streams.stream_human(source(), str(tmp_path / "s")).collect()) == 200
+    seen = []
+    merge = streams.Store.merge
+    streams.Store.merge = lambda self, batch, n, combine: seen.append(sorted((r.image_no, r.stands) for r in batch.collect())) or merge(self, batch, n, combine)
+    try:
+        put([(1, 200, "undo", None, None), (1, 201, "submit", 5, "fake"), (1, 202, "submit", 900, None), (1, 203, "undo", None, None)])
+        assert {r.image_no for r in streams.stream_human(source(), str(tmp_path / "s")).collect()} == set(range(199))
+    finally:
+        streams.Store.merge = merge
+    assert [x for x in seen if x] == [[(199, False), (900, False)]]
+
+
+def test_store_grows_and_rewrites_what_a_batch_touches(spark, tmp_path):
+    rng = random.Random(12)
+    kept = streams.Store(str(tmp_path / "s"), ("g", "k"), ("g",), families=8, max_rows=50, rollup=lambda df: df.groupBy(*streams.PLACE, "g").agg(F.count("*").alias("n"), F.sum("v").alias("v")))
+    schema, want, files_of = "g string, k long, v long, t long", {}, lambda: {str(p) for p in (tmp_path / "s/rows").rglob("part-*.parquet")}
+    family = {r.g: r.f for r in spark.createDataFrame([(g,) for g in "abcdef"], "g string").select("g", kept.family().alias("f")).collect()}
+    for n in range(5):
+        groups = "abcdef" if n == 0 else "a"
+        rows = [(rng.choice(groups), rng.randrange(400), rng.randrange(9), 1000 * n + i) for i in range(300)]
+        before = files_of()
+        kept.merge(spark.createDataFrame(rows, schema), n, lambda df: store_latest(df))
+        want |= {r[:2]: r[2:] for r in sorted(rows, key=lambda r: r[3])}
+        new = files_of() - before
+        assert n == 0 or all(f"family={family['a']}/" in p for p in new)
+        assert {(r.g, r.k): (r.v, r.t) for r in kept.read(spark, schema).collect()} == want
+        rolled = {r.g: (r.n, r.v) for r in kept.read(spark, "g string, n long, v long", "rollup").groupBy("g").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()}
+        assert rolled == {g: (sum(k[0] == g for k in want), sum(v[0] for k, v in want.items() if k[0] == g)) for g in {k[0] for k in want}}
+    versions = kept.versions(spark)
+    depth = kept.depths(versions)
+    assert depth[family["a"]] >= 3 and all(len(v) <= 2 for v in versions.values())
+    sizes = spark.read.parquet(*kept.newest(versions).values()).count()
+    assert sizes == len(want)
+    one = spark.createDataFrame([("a", 7, 1, 10**6)], schema)
+    before = files_of()
+    kept.merge(one, 5, lambda df: store_latest(df))
+    kept.merge(one, 5, lambda df: store_latest(df))  # a batch that runs twice
+    assert len({p.rsplit("/", 1)[0] for p in files_of() - before}) == 1
+    assert {(r.g, r.k): r.t for r in kept.read(spark, schema).collect()} == {k: v[1] for k, v in want.items()} | {("a", 7): 10**6}
+
+
+def store_latest(df):
+    return store.latest_records(df, ["g", "k"], ["t"]).select("g", "k", "v", "t")
 
 
 def test_edit_meta_and_listing(spark, tmp_path):

@@ -36,9 +36,14 @@ def run_plan(grid: DataFrame, done: DataFrame, keys: list[str], job: list[str],
 
 
 def run_progress(records: DataFrame, by: list[str]) -> DataFrame:
-    """ok: no error and a verdict; all else is a fail."""
+    """ok: no error and a verdict; all else is a fail. Where records have a label, also right, verdicts that
+    agree with it, and accuracy, their share of all."""
     good = F.col("error").isNull() & F.col("is_ai_modified").isNotNull()
-    return records.groupBy(*by).agg(F.count_if(good).alias("ok"), F.count_if(~good).alias("fail"))
+    counts = [F.count_if(good).alias("ok"), F.count_if(~good).alias("fail")]
+    if "label" not in records.columns:
+        return records.groupBy(*by).agg(*counts)
+    right = good & (F.col("is_ai_modified") == (F.col("label") != "Negative"))
+    return records.groupBy(*by).agg(*counts, F.count_if(right).alias("right")).withColumn("accuracy", F.try_divide("right", F.col("ok") + F.col("fail")))
 
 
 def completion(expected: DataFrame, outputs: DataFrame, keys: list[str], by: list[str]) -> DataFrame:

@@ -5,6 +5,8 @@ The same SQL text runs in Spark and in DuckDB. Files that the jobs read are writ
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 VIEWS = {
@@ -89,14 +91,17 @@ select concat('cat', lpad(cast(l_partkey%29 as varchar(9)),2,'0')) as category,
 from lineitem
 """,
     "fx_human_log": r"""
-select user_id as evaluator, event_id as seq, ts as decided_at,
+select user_id as evaluator, case event_id%4 when 0 then 'cat01' when 1 then 'cat02' else 'All' end as scope, event_id as seq, ts as decided_at,
   case when event_type='error' then 'undo' else 'submit' end as action,
   case when event_type='error' then null else cast(regexp_extract(props,'([0-9]+)',1) as bigint) end as image_no,
   case when event_type='error' then null when event_type in ('click','view') then 'real' else 'fake' end as choice
 from events
+""",
+    "fx_human_images": r"""
+select p_partkey as image_no, concat('cat', lpad(cast(p_partkey%4 as varchar(9)),2,'0')) as category, case when p_partkey%7=0 then 'real' else 'fake' end as true_label from part
 """,
 }
-TABLES = ["lineitem", "documents", "conversations", "events"]
+TABLES = ["lineitem", "documents", "conversations", "events", "part"]
 
 DETECTORS = [f"det{i}" for i in range(10)]
 GENERATORS = [f"gen{i}" for i in range(1, 7)]
@@ -111,7 +116,7 @@ def base(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def view(spark: SparkSession, sf_dir: str, name: str, tables: dict[str, DataFrame] | None = None) -> DataFrame:
     """A view over sf_dir's tables, or over the given ones (streams)."""
     for t in TABLES:
-        if t in VIEWS[name]:
+        if re.search(rf"from {t}\b", VIEWS[name]):
             table = tables[t] if tables and t in tables else base(spark, sf_dir, t)
             table.createOrReplaceTempView(t)
     return spark.sql(VIEWS[name])

@@ -74,15 +74,17 @@ CTES["cmt"] = f"""select i.category, i.num, i.image, i.label, case when i.number
  left join (select category, num, image, arg_max(c, pos) as c from (select category, num, image, pos, reviewer_comment as c from fx_edit_comments union all select category, num, image, 9, 'second thoughts' from fx_edit_comments where pos = 1) where c <> '' group by 1, 2, 3) e on e.category = i.category and e.num = i.number and e.image = i.image"""
 CTES["kept"] = f"select * from images where generator is null or generator in {tuple(GENERATORS[:5])}"
 CTES["sampled"] = "select category, bucket, path, generator from kept qualify row_number() over (partition by category, bucket order by md5('42|' || path), path) <= least(count(*) over (partition by category, bucket), greatest(1, cast(round_even(count(*) over (partition by category, bucket) * 0.1e0, 0) as bigint)))"
-CTES["acts"] = "select evaluator, seq, action, image_no, choice, row_number() over (partition by evaluator order by seq) as i from fx_human_log"
+CTES["acts"] = "select evaluator, scope, seq, action, image_no, choice, row_number() over (partition by evaluator, scope order by seq) as i from fx_human_log"
 # the stack of standing submits after each action; i is 0 before the first
-CTES["stacks"] = """select distinct evaluator, cast(0 as bigint) as i, cast([] as struct(image_no bigint, choice varchar, seq bigint)[]) as st from acts
- union all select a.evaluator, a.i, case when a.action = 'undo' then s.st[1:len(s.st) - 1] when list_contains(list_transform(s.st, lambda x: x.image_no), a.image_no) then s.st
-  else list_append(s.st, {'image_no': a.image_no, 'choice': a.choice, 'seq': a.seq}) end from stacks s join acts a on a.evaluator = s.evaluator and a.i = s.i + 1"""
-CTES["standing"] = "select evaluator, x.image_no as image_no, x.choice as choice, x.seq as seq from (select evaluator, unnest(st) as x from (select evaluator, arg_max(st, i) as st from stacks group by 1))"
-CTES["judged"] = "select evaluator, image_no, choice, case when image_no % 7 = 0 then 'real' else 'fake' end as true_label, case when image_no % 7 = 0 then 'Negative' else 'DeepFake' end as bucket, case when image_no % 7 > 0 then 'gen' || (image_no % 7) end as gen_model from standing"
-CTES["ranked"] = "select evaluator, image_id, category, review_id, true_label, row_number() over (partition by evaluator, true_label order by cast('0x' || substr(md5('7|' || evaluator || '|' || image_id), 1, 15) as bigint), image_id) as r from labelled cross join (select unnest(['ann', 'bob']) as evaluator)"
-CTES["queue"] = "select * from (select *, row_number() over (partition by evaluator order by r, true_label) as pos from ranked where r <= 500) where pos <= 500"
+CTES["stacks"] = """select distinct evaluator, scope, cast(0 as bigint) as i, cast([] as struct(image_no bigint, choice varchar, seq bigint)[]) as st from acts
+ union all select a.evaluator, a.scope, a.i, case when a.action = 'undo' then s.st[1:len(s.st) - 1] when list_contains(list_transform(s.st, lambda x: x.image_no), a.image_no) then s.st
+  else list_append(s.st, {'image_no': a.image_no, 'choice': a.choice, 'seq': a.seq}) end from stacks s join acts a on a.evaluator = s.evaluator and a.scope = s.scope and a.i = s.i + 1"""
+CTES["standing"] = "select evaluator, scope, x.image_no as image_no, x.choice as choice, x.seq as seq from (select evaluator, scope, unnest(st) as x from (select evaluator, scope, arg_max(st, i) as st from stacks group by 1, 2))"
+CTES["judged"] = "select evaluator, scope, image_no, choice, case when image_no % 7 = 0 then 'real' else 'fake' end as true_label, case when image_no % 7 = 0 then 'Negative' else 'DeepFake' end as bucket, case when image_no % 7 > 0 then 'gen' || (image_no % 7) end as gen_model from standing"
+_hash = lambda x: f"cast('0x' || substr(md5('7|' || {x}), 1, 15) as bigint)"
+CTES["ranked"] = f"""select evaluator, image_id, category, review_id, true_label, (pos - {_hash("evaluator")} % n + n) % n as r
+ from (select *, row_number() over (partition by true_label order by {_hash("image_id")}, image_id) - 1 as pos, count(*) over (partition by true_label) as n from labelled) x cross join (select unnest(['ann', 'bob']) as evaluator)"""
+CTES["queue"] = "select * from (select *, row_number() over (partition by evaluator order by r, true_label) as pos from ranked where r < 500) where pos <= 500"
 CTES["var"] = "select * from (values " + ", ".join(f"('{a}', {'null' if s is None else repr(s)}, '{u}')" for a, s, u in VARIANTS) + ") t(variant, system, user_)"
 
 
@@ -175,7 +177,8 @@ CTES["todo"] = "select g.* , d.ident is not null as done from grid g left join (
 oracle("pending_tasks", f"select {_key} from todo where not done")
 oracle("run_plan", "select mode, count(distinct (category, bucket, ident)) as jobs, count(*) as pairs, count(*) filter (done) as skipped, count(*) filter (not done) as to_run, cast(coalesce(sum(num_images) filter (not done), 0) as bigint) as calls from todo group by 1")
 for _name in ("run_progress", "stream_progress"):
-    oracle(_name, "select detector, count(*) filter (error is null and is_ai_modified is not null) as ok, count(*) filter (not (error is null and is_ai_modified is not null)) as fail from f group by 1")
+    oracle(_name, "select detector, count(*) filter (error is null and is_ai_modified is not null) as ok, count(*) filter (not (error is null and is_ai_modified is not null)) as fail, count(*) filter (error is null and is_ai_modified = (label <> 'Negative')) as \"right\", round(count(*) filter (error is null and is_ai_modified = (label <> 'Negative')) / count(*), 9) as accuracy from f group by 1")
+oracle("stream_rollup", "select mode, category, detector, count(*) as records, count(*) filter (error is null and is_ai_modified is not null) as ok, count(*) filter (error is not null or is_ai_modified is null) as fail from latest group by 1, 2, 3")
 oracle("ablation_completion", "select det.detector, count(x.category) as present, count(*) as expected from det cross join (select unnest(list_transform(range(29), lambda i: printf('cat%02d', i))) as category) c left join (select distinct detector, category from f where status = 'ok' and mode = 'MultiTurn-withReview') x on x.detector = det.detector and x.category = c.category group by 1")
 oracle("model_drift", "select detector, count(*) as calls, count(*) filter (year(written_at) <> 1995) as drifted, coalesce(string_agg(distinct detector || '-' || year(written_at), ',' order by detector || '-' || year(written_at)) filter (year(written_at) <> 1995), '') as served from f group by 1")
 oracle("missing_modes", f"select mode from (select unnest({[*MODES, 'MultiVideo-NoReview']!r}) as mode) where mode not in (select mode from f)")
@@ -197,13 +200,17 @@ oracle("first_comment_turns", "select conv_id, turn, comment from fx_turn_verdic
 oracle("turn_history", "select conv_id, turn, cast(i as int) as images, cast(i - 1 as int) as earlier, cast(coalesce(c, 0) as bigint) as earlier_chars, cast(i * (i + 1) / 2 as bigint) as uploads from (select conv_id, turn, row_number() over (partition by conv_id order by turn) as i, sum(length(text)) over (partition by conv_id order by turn rows between unbounded preceding and 1 preceding) as c from fx_turns)")
 oracle("verdict_trajectory", "select conv_id, turn, is_ai_modified, previous, coalesce(is_ai_modified <> previous, false) as flipped from (select *, lag(is_ai_modified) over (partition by conv_id order by turn) as previous, max(turn) over (partition by conv_id) as top from fx_turn_verdicts) where turn < top")
 oracle("conversation_totals", "select conv_id, count(*) as turns, cast(sum(attempts) as bigint) as attempts, (list(is_ai_modified order by turn))[-1] as last_verdict, min(case when error is not null then turn end) as first_error_turn from fx_turn_verdicts group by 1")
-oracle("human_accuracy", "select evaluator, bucket, gen_model, n, correct, round(correct / n, 9) as accuracy from (select evaluator, bucket, gen_model, count(*) as n, count(*) filter (choice = true_label) as correct from judged group by 1, 2, 3 union all select evaluator, 'all', null, count(*), count(*) filter (choice = true_label) from judged group by 1)")
+oracle("human_accuracy", "select evaluator, scope, bucket, gen_model, n, correct, round(correct / n, 9) as accuracy from (select evaluator, scope, bucket, gen_model, count(*) as n, count(*) filter (choice = true_label) as correct from judged group by 1, 2, 3, 4 union all select evaluator, scope, 'all', null, count(*), count(*) filter (choice = true_label) from judged group by 1, 2)")
 oracle("human_catalog_stats", "select 'total' as kind, '' as name, count(*) as n from labelled union all select true_label, '', count(*) from labelled group by 1 union all select 'generator', gen_model, count(*) from labelled where gen_model is not null group by 2 union all select 'categories', '', count(distinct category) from labelled")
-oracle("human_progress", "select e.evaluator, count(j.image_no) as evaluated, (select count(distinct image_no) from fx_human_log where action = 'submit') as total from (select distinct evaluator from fx_human_log) e left join judged j using (evaluator) group by 1")
+CTES["pools"] = """select l.evaluator, l.scope, count(*) filter (s.image_no is not null) as evaluated, count(i.image_no) as total, count(*) filter (i.true_label = 'real' and s.image_no is null) as unseen_real,
+ count(*) filter (i.true_label = 'fake' and s.image_no is null) as unseen_fake from (select distinct evaluator, scope from fx_human_log) l
+ left join fx_human_images i on l.scope in ('All', i.category) left join standing s on s.evaluator = l.evaluator and s.scope = l.scope and s.image_no = i.image_no group by 1, 2"""
+oracle("human_progress", "select evaluator, scope, evaluated, total from pools")
+oracle("unseen_pools", "select * from pools")
 oracle("labelling_queue", "select evaluator, pos, image_id, true_label from queue")
 oracle("recency_repeats", "select evaluator, pos, category, gap from (select *, pos - lag(pos) over (partition by evaluator, category order by pos) as gap from queue) where gap <= 30")
 for _name in ("human_standing", "stream_human"):
-    oracle(_name, "select evaluator, image_no, choice, seq from standing")
+    oracle(_name, "select evaluator, scope, image_no, choice, seq from standing")
 oracle("review_numbers", r"select path, nullif(regexp_extract(split_part(rel, '/', 1), '_([^_]*)$', 1), '') as by_review, nullif(regexp_extract(coalesce(string_split(rel, '/')[len(string_split(rel, '/')) - 1], ''), '^Review_(\d+)$', 1), '') as by_folder from images")
 oracle("edit_comments", "select num % 5 as num, cast(row_number() over (partition by category, num order by pos) - 1 as int) as pos, image, reviewer_comment from fx_edit_comments where category is not null and category <> ''")
 oracle("mismatch_report", "select draw.category, count(*) as images, count(distinct pool.category) as sources from draw join pool on pool.idx = draw.r + case when draw.r >= draw.off_ then draw.n else 0 end group by 1")

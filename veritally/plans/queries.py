@@ -401,7 +401,7 @@ def run_plan(spark, d):
 
 @query
 def run_progress(spark, d):
-    return tk.run_progress(facts(spark, d), ["detector"])
+    return rounded(tk.run_progress(facts(spark, d), ["detector"]), ["accuracy"])
 
 
 @query
@@ -565,15 +565,18 @@ def truth(x: str):
     return F.when(F.col(x) % 7 == 0, "real").otherwise("fake")
 
 
+LOG = ["evaluator", "scope"]
+
+
 def judged(spark, d):
     """Standing submits with the truth about their images."""
     made = F.col("image_no") % 7
-    return hm.human_standing(log(spark, d)).withColumn("true_label", truth("image_no")).withColumn("bucket", F.when(made == 0, "Negative").otherwise("DeepFake")).withColumn("gen_model", F.when(made > 0, F.concat(F.lit("gen"), made.cast("string"))))
+    return hm.human_standing(log(spark, d), LOG).withColumn("true_label", truth("image_no")).withColumn("bucket", F.when(made == 0, "Negative").otherwise("DeepFake")).withColumn("gen_model", F.when(made > 0, F.concat(F.lit("gen"), made.cast("string"))))
 
 
 @query
 def human_accuracy(spark, d):
-    return rounded(hm.human_accuracy(judged(spark, d), ["evaluator"]), ["accuracy"])
+    return rounded(hm.human_accuracy(judged(spark, d), LOG), ["accuracy"])
 
 
 @query
@@ -583,8 +586,12 @@ def human_catalog_stats(spark, d):
 
 @query
 def human_progress(spark, d):
-    cat = log(spark, d).where("action = 'submit'").select("image_no").distinct()
-    return hm.human_progress(cat, judged(spark, d), log(spark, d).select("evaluator").distinct(), "image_no")
+    return hm.human_progress(view(spark, d, "fx_human_images"), judged(spark, d).drop("true_label"), log(spark, d))
+
+
+@query
+def unseen_pools(spark, d):
+    return hm.unseen_pools(view(spark, d, "fx_human_images"), judged(spark, d).drop("true_label"), log(spark, d))
 
 
 def queue(spark, d):
@@ -605,7 +612,7 @@ def recency_repeats(spark, d):
 
 @query
 def human_standing(spark, d):
-    return hm.human_standing(log(spark, d))
+    return hm.human_standing(log(spark, d), LOG)
 
 
 # streams
@@ -616,18 +623,27 @@ def stream(spark, d, table):
     return spark.readStream.schema(schema).parquet(f"{d}/{table}.parque[t]")
 
 
+def arriving(spark, d):
+    return facts(spark, d, {"lineitem": stream(spark, d, "lineitem")}).select(*KEY_DET, *ORDER, "status", "is_ai_modified", "confidence", "error")
+
+
 @query
 def stream_upsert(spark, d):
-    f = facts(spark, d, {"lineitem": stream(spark, d, "lineitem")}).select(*KEY_DET, *ORDER, "status", "is_ai_modified", "confidence", "error")
-    out = sr.stream_upsert(f, KEY_DET, ORDER, fl.scratch(spark, "upsert"))
+    out = sr.stream_upsert(arriving(spark, d), KEY_DET, ORDER, fl.scratch(spark, "upsert"), groups=["mode", "category"])
     return out.select(*KEY_DET, "status", "is_ai_modified", F.round("confidence", 6).alias("confidence"), "error")
 
 
+@query
+def stream_rollup(spark, d):
+    """What stands in every roll-up while results stream: the roll-ups' parts of touched buckets are made anew."""
+    return sr.stream_rollup(arriving(spark, d), KEY_DET, ORDER, ["mode", "category", "detector"], fl.scratch(spark, "rollup"))
+
+
 @query
 def stream_progress(spark, d):
-    return sr.stream_progress(facts(spark, d, {"lineitem": stream(spark, d, "lineitem")}), ["detector"], fl.scratch(spark, "progress"))
+    return rounded(sr.stream_progress(facts(spark, d, {"lineitem": stream(spark, d, "lineitem")}), ["detector"], fl.scratch(spark, "progress")), ["accuracy"])
 
 
 @query
 def stream_human(spark, d):
-    return sr.stream_human(log(spark, d, {"events": stream(spark, d, "events")}), fl.scratch(spark, "human"))
+    return sr.stream_human(log(spark, d, {"events": stream(spark, d, "events")}), fl.scratch(spark, "human"), by=LOG)

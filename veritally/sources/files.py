@@ -12,12 +12,24 @@ from veritally.schema import BUNDLE, CLASSIC_ITEMS, EDIT_META, REVIEW_META, SUMM
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the cluster shares (a local one where none is set, as in tests)."""
+    """A new path in the folder that the cluster shares, deleted when the driver ends. Where none is set, a local one if Spark runs on one machine."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
         top = getattr(spark, "_veritally_scratch", None) or f"file://{tempfile.mkdtemp(prefix='spark-veritally-')}"
         spark._veritally_scratch = top
-    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as Parquet under ``scratch``, read again: cuts the lineage, survives the loss of an executor."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _folder(name: str):
