@@ -71,9 +71,9 @@ def rows_of(n, sources, seed=5):
     return out
 
 
-@pytest.mark.parametrize(("fanout", "most", "n"), [(16, 3, 400), (2, 2, 90), (3, 1, 60), (2, 3, 5)])
-def test_manifest_equals_the_plain_one(spark, fanout, most, n):
-    """Superblocks of 4,096, 4, 3 and 8 leaves, so that trees have one to many steps."""
+@pytest.mark.parametrize(("fanout", "most", "n"), [(16, 3, 400), (2, 2, 90), (2, 3, 5)])
+def test_manifest_equals_the_plain_one(spark, in_parts, fanout, most, n):
+    """Superblocks of 4,096, 4 and 8 leaves, so that trees have one to many steps."""
     rows = rows_of(n, ["hot", "a", "b", None, "ä", "", *[f"s{i}" for i in range(20)]])
     docs = spark.createDataFrame([(*r, "x", 1, "y", 2) for r in rows], DOC).repartition(3)
     got = merkle.manifest(docs, fanout, most)
@@ -92,7 +92,7 @@ def test_empty_table(spark):
     assert merkle.manifest(spark.createDataFrame([], DOC)).collect() == []
 
 
-def test_ranks_are_global(spark):
+def test_ranks_are_global(spark, in_parts):
     rng = random.Random(2)
     rows = [(rng.choice("aaab"), rng.randrange(50), i) for i in range(3000)]
     df = materialise(spark.createDataFrame(rows, "k string, v long, row long"), "rows")

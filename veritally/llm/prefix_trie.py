@@ -92,8 +92,8 @@ def forest(of: DataFrame, chats: DataFrame) -> tuple[DataFrame, DataFrame]:
     other = paths.join(owns, "conv_id").groupBy(F.col("first").alias("conv_id"), "depth").agg(F.sum("owns").alias("others"))
     children = named.where("depth > 0").groupBy(F.col("parent_conv_id").alias("conv_id"), (F.col("depth") - 1).alias("depth")).agg(F.count("*").alias("n_children"))
     tree = named.join(other, NODE).join(children, NODE, "left").join(owns, "conv_id").join(chats.select("conv_id", "len"), "conv_id")
-    tree = tree.withColumn("n_children", F.coalesce("n_children", F.lit(0)))
-    tree = tree.select(*NODE, "parent_conv_id", "n_convs", "n_children", F.expr("len - depth + 1 + others - owns").alias("size"), F.expr("cast(n_children = 0 as bigint)").alias("leaves"), F.expr("(n_convs - 1) * words").alias("saved"))
+    tree, zero = tree.withColumn("n_children", F.coalesce("n_children", F.lit(0))), F.lit(0).cast("long")
+    tree = tree.select(*NODE, "parent_conv_id", "n_convs", "n_children", F.expr("len - depth + 1 + others - owns").alias("size"), F.expr("cast(n_children = 0 as bigint)").alias("leaves"), F.expr("(n_convs - 1) * words").alias("saved"), zero.alias("top_conv"), zero.alias("top_depth"))
     tree = materialise(tree, "tree")
     drop(nodes, named)
     return tree, paths
@@ -123,7 +123,7 @@ def _locally(small: DataFrame, task: int) -> DataFrame:
 def roll_up(tree: DataFrame, paths: DataFrame, local: int = LOCAL, task: int = TASK) -> DataFrame:
     """(conv_id, depth, n_leaves, saved_tokens): leaves and saved summed over every node's subtree, by centroid decomposition."""
     zero = F.lit(0).cast("long")
-    live = tree.select(*NODE, "parent_conv_id", "size", "leaves", "saved", zero.alias("add_leaves"), zero.alias("add_saved"), zero.alias("top_conv"), zero.alias("top_depth"))
+    live = tree.select(*NODE, "parent_conv_id", "size", "leaves", "saved", zero.alias("add_leaves"), zero.alias("add_saved"), *TOP)
     tables, done = [], []
     while True:
         totals = live.groupBy(*TOP).agg(F.max("size").alias("total"))  # a component's top holds all of it
