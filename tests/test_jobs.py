@@ -46,15 +46,75 @@ def test_replies(spark, raw, fake, conf, reason, bad):
     assert (r.is_ai_modified, r.confidence, r.reason, r.error is not None) == (fake, conf, reason, bad)
 
 
-def test_replies_with_repeated_keys(spark):
-    raw = '{"is_ai_modified": false, "confidence": 0.1, "is_ai_modified": "yes"}'
-    got = lambda: spark.createDataFrame([(raw,)], "raw string").select(vd.parse_reply("raw").alias("v")).select(vd.is_fake("v").alias("f")).first().f
-    assert got() is None
-    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+@pytest.mark.parametrize("allowed", ["false", "true"])
+def test_replies_with_repeated_keys(spark, allowed):
+    """The last value of a key counts, whatever the session sets; text around an object is judged as ever."""
+    cases = [
+        ('{"is_ai_modified": false, "confidence": 0.1, "is_ai_modified": "yes"}', True, 0.1, None, False),
+        ('Well: {"confidence": 0.1, "is_ai_modified": true, "confidence": 0.75, "reason": "a", "reason": "b"} bye', True, 0.75, "b", False),
+        ('```json\n{"is_ai_generated": true, "is_ai_generated": null}\n```', None, None, None, False),
+        ('{"is_ai_modified": true, "is_ai_modified": false} and {"is_ai_modified": true}', None, None, None, True),
+        ('{"is_ai_modified": true, "is_ai_modified": false', None, None, None, True),
+        ("{'is_ai_modified': true, 'is_ai_modified': false}", None, None, None, True),
+        ('{"other": 1, "other": 2}', None, None, None, False),
+    ]
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", allowed)
     try:
-        assert got() is True
+        got = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "i int, raw string").select("i", vd.parse_reply("raw").alias("v")).select("i", *vd.verdict_columns("v")).orderBy("i").collect()
     finally:
         spark.conf.unset("spark.sql.variant.allowDuplicateKeys")
+    assert [(r.is_ai_modified, r.confidence, r.reason, r.error is not None) for r in got] == [c[1:] for c in cases]
+
+
+def test_documents_of_a_hot_group_are_cut(spark, in_parts, tmp_path):
+    """No document has more than the stated rows, however many a group has, and the readers put them together."""
+    recs = [("m", "hot" if i % 10 else "cold", "d", "b", f"r{i:04}", 1, True, 0.5, None) for i in range(1000)]
+    df = spark.createDataFrame(recs, "mode string, category string, detector string, bucket string, ident string, num_images long, is_ai_modified boolean, confidence double, error string")
+    docs = store.to_bundles(df, ["mode", "category", "detector", "bucket"], 64)
+    sizes = sorted((r.category, r.n) for r in docs.select("category", F.size("results").alias("n")).collect())
+    assert [n for c, n in sizes if c == "hot"] == [4] + [64] * 14 and [n for c, n in sizes if c == "cold"] == [36, 64]
+    docs.drop("shard").write.partitionBy("mode", "category").json(str(tmp_path / "b"))
+    assert {(r.mode, r.category, r.detector, r.ident) for r in files.read_bundles(spark, str(tmp_path / "b")).collect()} == {(*r[:3], r[4]) for r in recs}
+    jobs = df.withColumn("label", F.lit("Negative")).withColumn("generator", F.lit(None).cast("string")).withColumn("status", F.lit("ok"))
+    rolled = store.to_documents(jobs, ["mode", "category"], 100)
+    assert max(r.n for r in rolled.select(F.size("rows").alias("n")).collect()) == 100
+    files.write_summaries(rolled, str(tmp_path / "s"))
+    assert files.read_summaries(spark, str(tmp_path / "s")).count() == 1000
+    items = spark.createDataFrame([("x", None, {"n": str(i % 7)}) for i in range(50)], "detector string, generator string, item map<string,string>")
+    arrays = store.to_item_arrays(items, ["detector", "generator"], 20).collect()
+    assert sorted(r.value.count("{") for r in arrays) == [10, 20, 20]
+
+
+def test_metric_tables_are_replaced_by_mode(spark, tmp_path):
+    path, schema = str(tmp_path / "m"), "category string, x double, mode string"
+    put = lambda rows: files.write_metric_tables(spark.createDataFrame(rows, schema), path)
+    put([("a", 1.0, "m1"), ("b", 2.0, "m1"), ("a", 3.0, "m 2/x")])
+    put([("a", 9.0, "m1")])
+    put([])
+    assert sorted(map(tuple, files.read_metric_tables(spark, path, schema).collect())) == [("a", 3.0, "m 2/x"), ("a", 9.0, "m1")]
+    one = files.read_metric_tables(spark, path, schema, ["m1"])
+    assert one.count() == 1 and "PartitionFilters: [isnotnull(mode" in one._jdf.queryExecution().toString()
+
+
+def test_platforms_and_names(spark):
+    rows = spark.createDataFrame([("c1", "m", "d"), ("c2", "m", None), ("c2", "n", "d"), ("c9", "m", "d"), (None, "m", "d")], "category string, mode string, detector string")
+    dims = spark.createDataFrame([("c1", "p"), ("c2", "q"), ("c3", "q")], "category string, platform string")
+    assert sorted((r.category, r.platform) for r in catalog.with_platform(rows, dims).collect()) == [("c1", "p"), ("c2", "q"), ("c2", "q")]
+    assert {r.category for r in catalog.with_platform(rows, dims, ["q"]).collect()} == {"c2"}
+    report = catalog.shape_report(catalog.with_platform(rows, dims), "platform", ["mode", "detector"])
+    assert report._jdf.queryExecution().executedPlan().toString().count("ExistingRDD") == 2  # the rows once, the dimension once
+    assert {tuple(r) for r in report.collect()} == {("mode", "p", "m", 1), ("mode", "q", "m", 1), ("mode", "q", "n", 1), ("detector", "p", "d", 1), ("detector", "q", None, 1), ("detector", "q", "d", 1)}
+    wanted = spark.createDataFrame([("category", "c1"), ("category", "c7"), ("mode", "n"), ("detector", "D")], "kind string, name string")
+    assert sorted(map(tuple, catalog.unknown_names(rows, wanted).collect())) == [("category", "c7"), ("detector", "D")]
+
+
+def test_listing_of_a_tree(spark, tmp_path):
+    for name in ("category=c a/label=DeepFake/generator=g1/x.JPG", "category=c a/label=DeepFake/generator=g1/y.txt", "category=c a/label=Negative/generator=none/z.png", "category=d/label=DeepFake/w.gif"):
+        f = tmp_path / name
+        f.parent.mkdir(parents=True, exist_ok=True)
+        f.write_bytes(b"1")
+    got = catalog.image_catalog(catalog.listed(files.list_images(spark, str(tmp_path)))).collect()
+    assert sorted((r.category, r.label, r.bucket, r.generator or "") for r in got) == [("c a", "DeepFake", "DeepFake/g1", "g1"), ("c a", "Negative", "Negative", ""), ("d", "DeepFake", "DeepFake", "")]
 
 
 def test_nan_confidence_and_findings(spark):

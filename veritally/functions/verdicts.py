@@ -7,14 +7,16 @@ from pyspark.sql import functions as F
 
 from veritally.functions.text import col, stripped
 
+#: The fields of a reply, under all names.
+FIELDS = ["is_ai_modified", "is_ai_generated", "confidence", "reason", "reasoning", "explanation", "per_image", "per_image_analysis", "images"]
 YES = ["true", "yes", "1", "ai", "ai-modified", "ai-generated"]
 
 
 def parse_reply(raw: Column | str) -> Column:
     """The reply's JSON as a variant: all of it, without a code fence, or from the first brace to
     the last. Null if neither parses. Bare NaN and Infinity, which many writers emit, are read
-    as strings. Of a repeated key the last value is kept where the session sets
-    spark.sql.variant.allowDuplicateKeys to true; otherwise such an object doesn't parse."""
+    as strings. Of a repeated key of the object the last value is kept, whatever the session sets: what
+    the variant parser refuses is read by schema, with the fields that verdicts are made of."""
     s = stripped(raw)
     bare = F.regexp_replace(s, "^`+|`+$", "")
     tagged = F.lower(F.ltrim(bare)).startswith("json")
@@ -23,7 +25,22 @@ def parse_reply(raw: Column | str) -> Column:
     s = F.when(s.startswith("```"), F.when(tagged, untagged).otherwise(bare)).otherwise(s)
     quoted = lambda x: F.regexp_replace(x, r":\s*(NaN|-?Infinity)\b", ': "$1"')
     inner = F.regexp_extract(s, r"(?s)\{.*\}", 0)
-    return F.coalesce(*[F.try_parse_json(x) for x in (s, quoted(s), inner, quoted(inner))])
+    tries = (s, quoted(s), inner, quoted(inner))
+    return F.coalesce(*[f(x) for x in tries for f in (whole, repeated_keys)])
+
+
+def whole(text: Column) -> Column:
+    """One JSON value as a variant; null if it is none, or if more text follows it, which the parser alone would ignore."""
+    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    return F.when(F.try_variant_get(listed, "$[1]", "variant").isNull(), F.try_variant_get(listed, "$[0]", "variant"))
+
+
+def repeated_keys(text: Column) -> Column:
+    """A JSON object with repeated keys as a variant of its FIELDS; null if it is anything else."""
+    # in an array, as in whole
+    several = F.from_json(F.concat(F.lit("["), text, F.lit("]")), f"array<struct<{', '.join(f'{x}: variant' for x in FIELDS)}>>", {"allowSingleQuotes": "false"})
+    one = F.when((F.size(several) == 1) & text.startswith("{"), several[0])
+    return F.when(one.isNotNull(), F.to_variant_object(one))
 
 
 def is_object(v: Column | str) -> Column:

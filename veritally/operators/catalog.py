@@ -43,6 +43,41 @@ def unknown_generators(jobs: DataFrame, wanted: DataFrame) -> DataFrame:
     return wanted.select("generator").join(jobs.select("generator").where("generator is not null").distinct(), "generator", "left_anti")
 
 
+def unknown_names(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(kind, name) of wanted that no row has: detectors, generators, categories and the like, all kinds in one pass.
+
+    A kind is a column of rows. A selection is checked with this before it runs, so that a
+    misspelt name doesn't run nothing.
+    """
+    kinds = [r.kind for r in wanted.select("kind").distinct().collect()]  # columns
+    met = rows.select(F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).cast("string").alias("name")) for k in kinds])).alias("x")).select("x.*").distinct()
+    return wanted.select("kind", "name").join(met, ["kind", "name"], "left_anti")
+
+
+def with_platform(rows: DataFrame, platforms: DataFrame, wanted: list[str] | None = None) -> DataFrame:
+    """rows of the categories that a platform has, with it; platforms (category, platform) is a small dimension. Of ``wanted`` platforms only."""
+    if wanted is not None:
+        platforms = platforms.where(F.col("platform").isin(wanted))
+    return rows.join(F.broadcast(platforms.select("category", "platform")), "category")
+
+
+def shape_report(rows: DataFrame, group: str, kinds: list[str]) -> DataFrame:
+    """kind, group, name, n: rows by group and each of ``kinds``, in one pass by grouping sets."""
+    sets = rows.groupingSets([[group, k] for k in kinds], group, *kinds).agg(F.count("*").alias("n"), *[F.grouping(k).alias(f"_{k}") for k in kinds])
+    kind, name = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for k in kinds:
+        kind, name = F.when(F.col(f"_{k}") == 0, k).otherwise(kind), F.when(F.col(f"_{k}") == 0, F.col(k)).otherwise(name)
+    return sets.select(kind.alias("kind"), group, name.alias("name"), "n")
+
+
+def listed(files: DataFrame) -> DataFrame:
+    """A listing (path, ...) of a tree category=.../label=.../[generator=...]/... in the shape that ``image_catalog`` takes."""
+    parts = F.split(F.col("path"), "/")
+    value = lambda name: F.nullif(F.regexp_extract("path", f"/{name}=([^/]*)/", 1), F.lit(""))
+    rel = F.array_join(F.transform(F.filter(F.slice(parts, F.size(parts) - 2, 3), lambda x: ~x.startswith("category=") & ~x.startswith("label=")), lambda x: F.regexp_replace(x, "^generator=", "")), "/")
+    return files.select("path", F.lit(0).alias("input_pos"), value("category").alias("category"), value("label").alias("label"), rel.alias("rel"))
+
+
 def review_number(review_id: str, folder: str | None = None):
     """What follows the last underscore of the review id; of a folder only if it is Review_<digits>."""
     if folder is not None:

@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veritally.operators.ranges import numbered, placed
 from veritally.schema import KEY
+from veritally.sources.files import written
 
+#: The rows of one document.
+DOCUMENT_ROWS = 5000
 VERDICT_FIELDS = ["status", "is_ai_modified", "confidence", "error"]
 
 
@@ -54,15 +58,34 @@ def summary_header(rows: DataFrame, by: list[str]) -> DataFrame:
     return heads.join(models, by)
 
 
-def to_documents(rows: DataFrame, by: list[str], shards: int = 8) -> DataFrame:
-    """Roll-up documents as the reader takes them: ``by``, and rows with a verdict map each.
+def sharded(rows: DataFrame, by: list[str], order: list[str], most: int) -> DataFrame:
+    """rows with shard, so that no (by, shard) has more than ``most`` rows, in order of ``order``.
 
-    A document holds one of ``shards`` parts of its jobs, so that no file has to hold all.
+    The rows of a document are numbered by ranges (``ranges.numbered``), so the number of shards follows what is
+    counted, no document of a hot group outgrows a row, and none of them is ever in one task. by may be null.
     """
+    at = numbered(placed(written(rows, "sharded"), by, order, "sharded"), by, "sharded")
+    return at.withColumn("shard", F.floor(F.col("pos") / most)).drop("pos", "place", "block")
+
+
+def to_documents(rows: DataFrame, by: list[str], most: int = DOCUMENT_ROWS) -> DataFrame:
+    """Roll-up documents as the reader takes them: ``by``, and at most ``most`` rows with a verdict map each."""
     jobs = rows.groupBy(*by, *[k for k in KEY if k not in by]).agg(
         F.max("label").alias("label"), F.max("generator").alias("generator"), F.max("num_images").alias("num_images"),
         F.map_from_entries(F.collect_list(F.struct("detector", F.struct(*VERDICT_FIELDS)))).alias("verdicts"),
     )
-    shard = F.pmod(F.xxhash64("ident"), F.lit(shards)).alias("shard")
+    jobs = sharded(jobs, by, [k for k in KEY if k not in by], most)
     row = F.struct("bucket", "label", "generator", "num_images", F.col("ident").alias("review_id"), "verdicts")
-    return jobs.groupBy(*by, shard).agg(F.collect_list(row).alias("rows"), F.array_distinct(F.flatten(F.collect_list(F.map_keys("verdicts")))).alias("models"))
+    return jobs.groupBy(*by, "shard").agg(F.collect_list(row).alias("rows"), F.array_distinct(F.flatten(F.collect_list(F.map_keys("verdicts")))).alias("models"))
+
+
+def to_bundles(records: DataFrame, by: list[str], most: int = DOCUMENT_ROWS) -> DataFrame:
+    """Bundle documents as the reader takes them: model, bucket, the other columns of ``by``, and at most ``most`` records each."""
+    record = F.struct(F.col("ident").alias("review_id"), "num_images", "is_ai_modified", "confidence", "error")
+    return sharded(records, by, ["ident"], most).groupBy(*by, "shard").agg(F.collect_list(record).alias("results")).withColumnRenamed("detector", "model")
+
+
+def to_item_arrays(items: DataFrame, by: list[str], most: int = DOCUMENT_ROWS) -> DataFrame:
+    """by, and value: a JSON array of at most ``most`` items."""
+    rows = sharded(items.withColumn("_text", F.to_json("item")), by, ["_text"], most)
+    return rows.groupBy(*by, "shard").agg(F.to_json(F.collect_list("item")).alias("value")).drop("shard")

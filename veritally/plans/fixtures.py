@@ -48,7 +48,8 @@ select doc_id, case doc_id%12
  when 8 then ''
  when 9 then concat('I cannot tell. ', said)
  when 10 then '{"is_ai_modified": false, "confidence": 0.2, "reason": "", "reasoning": "x", "per_image": [{"index": 1, "is_ai_modified": false, "confidence": 0.3, "notes": "n1"}, {"index": 2, "is_ai_modified": true, "confidence": 0.4, "notes": "n2"}]}'
- else '[1, 2]' end as raw_response
+ when 11 then case when doc_id%24=11 then '[1, 2]' else concat('{"is_ai_modified": false, "confidence": 0.1, "reason": "', said, '", "is_ai_modified": "yes"}') end
+ end as raw_response
 from (select doc_id, translate(coalesce(text, ''), concat(chr(34), chr(92), chr(10), chr(13), chr(9), chr(96)), '      ') as said from documents) t
 """,
     "fx_paths": r"""
@@ -101,6 +102,8 @@ from events
 select p_partkey as image_no, concat('cat', lpad(cast(p_partkey%4 as varchar(9)),2,'0')) as category, case when p_partkey%7=0 then 'real' else 'fake' end as true_label from part
 """,
 }
+#: Category to platform, a dimension.
+PLATFORMS = [(f"cat{i:02d}", {27: "hotel", 28: "grabfood"}.get(i, "amazon")) for i in range(29)]
 TABLES = ["lineitem", "documents", "conversations", "events", "part"]
 
 DETECTORS = [f"det{i}" for i in range(10)]

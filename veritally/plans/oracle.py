@@ -66,7 +66,8 @@ CTES["cls_rows"] = _rows("cls_counts")
 CTES["cls_macro"] = _avg("cls_rows")
 CTES["note"] = "select category, num, list(reviewer_comment order by pos) as comments, count(*) as n from fx_edit_comments group by 1, 2"
 CTES["reply"] = r"""select doc_id, trim(case when raw_response like '```%' then regexp_replace(trim(raw_response, '`'), '^\s*json[^\n]*\n', '') else raw_response end, ' ' || chr(10)) as s from fx_replies"""
-CTES["js"] = r"""select doc_id, case when json_valid(s) then cast(s as json) when json_valid(regexp_extract(s, '\{.*\}', 0, 's')) then cast(regexp_extract(s, '\{.*\}', 0, 's') as json) end as v from reply"""
+# of a repeated key the last value counts; the SQL's parser takes the first, so that goes
+CTES["js"] = r"""select doc_id, case when json_valid(s) then cast(s as json) when json_valid(regexp_extract(s, '\{.*\}', 0, 's')) then cast(regexp_extract(s, '\{.*\}', 0, 's') as json) end as v from (select doc_id, case when doc_id % 24 = 23 then '{' || substr(s, 26) else s end as s from reply) x"""
 CTES["obj"] = "select doc_id, v, v is not null and json_type(v) = 'OBJECT' as o, case when coalesce(json_type(v, '$.is_ai_modified'), 'NULL') <> 'NULL' then '$.is_ai_modified' else '$.is_ai_generated' end as k from js"
 CTES["cmt"] = f"""select i.category, i.num, i.image, i.label, case when i.number is null or i.label is null then null when i.label = 'Negative' then r.t else e.c end as comment from
  (select category, num, image, case when num % 10 <> 9 then num end as number, case when num % 4 = 0 then 'Negative' when num % 4 = 3 then null else 'DeepFake' end as label from fx_edit_comments) i
@@ -111,12 +112,12 @@ _verdict = "status, is_ai_modified, round(confidence, 6) as confidence, error"
 _lit = lambda s: "'" + s.replace("'", "''") + "'"
 _fill = lambda t, **k: "".join([f"replace({_lit(t)}, '{{n}}', cast({k['n']} as varchar))"]) if "i" not in k else f"replace(replace({_lit(t)}, '{{n}}', cast({k['n']} as varchar)), '{{i}}', cast({k['i']} as varchar))"
 
-oracle("load_results", f"select {_key}, {_verdict} from latest where category in {tuple(f'cat{i:02d}' for i in range(10))} and mode in {tuple(MODES[:4])}")
-oracle("read_bundles", "select detector, bucket, ident, num_images, is_ai_modified, round(confidence, 6) as confidence, error from latest where mode = 'SingleImage-NoReview'")
+oracle("load_results", f"select platform, {_key}, {_verdict} from latest where platform in ('hotel', 'grabfood') and mode in {tuple(MODES[:4])} union all select platform, {_key}, {_verdict} from latest where platform = 'amazon' and mode = '{MODES[0]}'")
+oracle("read_bundles", "select mode, category, detector, bucket, ident, num_images, is_ai_modified, round(confidence, 6) as confidence, error from latest")
 oracle("classic_scores", "select category, detector, bucket, correct, total, round(conf_sum, 4) as conf_sum, conf_n from cls_counts")
 oracle("image_catalog", "select path, category, label, bucket, generator, rel from images")
 oracle("review_texts", f"select category, review_id, {_text('title', 'body')} as review_text from fx_reviews")
-oracle("export_wide", "select category, bucket, ident, " + ", ".join(f"max(case when detector = '{x}' then status end) as {x}_status, bool_or(case when detector = '{x}' then is_ai_modified end) as {x}_verdict, round(max(case when detector = '{x}' then confidence end), 9) as {x}_confidence" for x in DETECTORS[:3]) + " from latest where mode = 'MultiStep-NoReview' group by 1, 2, 3")
+oracle("export_wide", "select mode, category, bucket, ident, " + ", ".join(f"max(case when detector = '{x}' then status end) as {x}_status, bool_or(case when detector = '{x}' then is_ai_modified end) as {x}_verdict, round(max(case when detector = '{x}' then confidence end), 9) as {x}_confidence" for x in DETECTORS) + " from latest group by 1, 2, 3, 4")
 oracle("bucket_parse", "select path, bucket, generator, rel from b")
 oracle("review_id", "select path, case when length(path) % 3 = 1 then 'given' else coalesce(nullif(split_part(rest, '/', 1), ''), '') end as review_id from p")
 oracle("record_identity", "select k, ln, s, ident, bucket || '::' || ident as row_key from (select k, ln, s, bucket, coalesce(nullif(case when k % 3 = 0 then '' else review_id end, ''), case when k % 2 = 0 then 'img' || k end, 'key' || k) as ident from f)")
@@ -154,12 +155,15 @@ oracle("flat_images", "select category, bucket, count(*) as flat from images whe
 oracle("human_catalog", "select * from labelled")
 oracle("confusion_counts", "select mode, category, detector, bucket, correct, total, round(conf_sum, 9) as conf_sum, conf_n from counts")
 oracle("conf_on_correct", "select mode, category, detector, bucket, round(conf_sum / nullif(conf_n, 0), 9) as mean_conf from counts")
+oracle("metric_tables", f"select mode, category, detector, {_round(NAMES)} from rows")
+oracle("listed_images", "select p.platform, b.category, b.bucket, b.generator, count(distinct b.bucket) as files from b join (select distinct category, platform from f) p on p.category = b.category group by 1, 2, 3, 4")
+oracle("unknown_names", "select * from (values ('detector', 'det77'), ('category', 'cat77'), ('generator', 'gen77'), ('mode', 'MultiVideo-NoReview')) t(kind, name)")
 oracle("category_metrics", f"select mode, category, detector, {_round(NAMES)} from rows")
 oracle("macro_metrics", f"select m.mode, d.detector, cast(d.pos as int) as pos, {_round(NAMES, 'macro.')} from (select distinct mode from rows) m cross join (select unnest({[*DETECTORS, 'unheard']!r}) as detector, unnest(range({len(DETECTORS) + 1})) as pos) d left join macro on macro.mode = m.mode and macro.detector = d.detector order by m.mode, d.pos")
 oracle("ablation_metrics", f"select mode, detector, {_round(NAMES)} from ok_macro")
 oracle("classic_metrics", f"select mode, detector, {_round(NAMES)} from cls_macro")
 oracle("combined_table", f"select mode, detector, {_round(NAMES)} from macro where mode = 'SingleImage-NoReview' union all select mode, detector, {_round(NAMES)} from cls_macro")
-oracle("format_cells", "select category, detector, " + ", ".join(f"coalesce(printf('%.3f', round(round({c}, 6), 3)), '—') as {c}" for c in ("neg_tnr", "overall_acc", "gen1_tpr")) + " from rows where mode = 'SingleImage-NoReview'")
+oracle("format_cells", "select mode, category, detector, " + ", ".join(f"coalesce(printf('%.3f', round(round({c}, 6), 3)), '—') as {c}" for c in NAMES) + " from rows")
 oracle("latest_records", f"select {_key}, {_verdict} from latest")
 oracle("stream_upsert", f"select {_key}, {_verdict} from latest")
 _on = " and ".join(f"l.{c} = j.{c}" for c in ("mode", "category", "bucket", "ident"))
@@ -212,5 +216,5 @@ oracle("recency_repeats", "select evaluator, pos, category, gap from (select *,
 for _name in ("human_standing", "stream_human"):
     oracle(_name, "select evaluator, scope, image_no, choice, seq from standing")
 oracle("review_numbers", r"select path, nullif(regexp_extract(split_part(rel, '/', 1), '_([^_]*)$', 1), '') as by_review, nullif(regexp_extract(coalesce(string_split(rel, '/')[len(string_split(rel, '/')) - 1], ''), '^Review_(\d+)$', 1), '') as by_folder from images")
-oracle("edit_comments", "select num % 5 as num, cast(row_number() over (partition by category, num order by pos) - 1 as int) as pos, image, reviewer_comment from fx_edit_comments where category is not null and category <> ''")
+oracle("edit_comments", "select num, cast(row_number() over (partition by category, num order by pos) - 1 as int) as pos, image, reviewer_comment from fx_edit_comments where category is not null and category <> ''")
 oracle("mismatch_report", "select draw.category, count(*) as images, count(distinct pool.category) as sources from draw join pool on pool.idx = draw.r + case when draw.r >= draw.off_ then draw.n else 0 end group by 1")

@@ -17,7 +17,7 @@ from veritally.operators import sampling as sm
 from veritally.operators import store as st
 from veritally.operators import tasks as tk
 from veritally.operators import turns as tu
-from veritally.plans.fixtures import CLASSIC, DETECTORS, GENERATORS, MODES, view
+from veritally.plans.fixtures import CLASSIC, DETECTORS, GENERATORS, MODES, PLATFORMS, view
 from veritally.sources import files as fl
 from veritally.streaming import streams as sr
 
@@ -72,23 +72,25 @@ def images(spark: SparkSession, d: str) -> DataFrame:
 # sources and sinks
 
 
+def platforms(spark):
+    return spark.createDataFrame(PLATFORMS, "category string, platform string")
+
+
 @query
 def load_results(spark, d):
-    long = latest(spark, d)
+    """Roll-ups written, and read again by platform and mode: all of the small platforms' first modes, one mode of the large one."""
     path = fl.scratch(spark, "summaries")
-    fl.write_summaries(st.to_documents(long, ["mode", "category"]), path)
-    rows = fl.read_summaries(spark, path).where(F.col("category").isin([f"cat{i:02d}" for i in range(10)]) & F.col("mode").isin(MODES[:4]))
-    return rows.where("status is not null").select("mode", "category", "bucket", "ident", "detector", "status", "is_ai_modified", F.round("confidence", 6).alias("confidence"), "error")
+    fl.write_summaries(st.to_documents(latest(spark, d), ["mode", "category"]), path)
+    rows = fl.read_summaries(spark, path).where("status is not null")
+    kept = ct.with_platform(rows, platforms(spark), ["hotel", "grabfood"]).where(F.col("mode").isin(MODES[:4])).unionByName(ct.with_platform(rows, platforms(spark), ["amazon"]).where(F.col("mode").isin(MODES[:1])))
+    return kept.select("platform", "mode", "category", "bucket", "ident", "detector", "status", "is_ai_modified", F.round("confidence", 6).alias("confidence"), "error")
 
 
 @query
 def read_bundles(spark, d):
-    f = latest(spark, d).where("mode = 'SingleImage-NoReview'")
-    record = F.struct(F.col("ident").alias("review_id"), "num_images", "is_ai_modified", "confidence", "error")
-    docs = f.groupBy(F.col("detector").alias("model"), "bucket", "category").agg(F.collect_list(record).alias("results"))
     path = fl.scratch(spark, "bundles")
-    docs.write.partitionBy("category").json(path)
-    return fl.read_bundles(spark, path).select("detector", "bucket", "ident", "num_images", "is_ai_modified", F.round("confidence", 6).alias("confidence"), "error")
+    st.to_bundles(latest(spark, d), ["mode", "category", "detector", "bucket"]).drop("shard").write.partitionBy("mode", "category").json(path)
+    return fl.read_bundles(spark, path).select("mode", "category", "detector", "bucket", "ident", "num_images", "is_ai_modified", F.round("confidence", 6).alias("confidence"), "error")
 
 
 def classic(spark, d):
@@ -104,7 +106,7 @@ def classic_config(spark):
 @query
 def classic_scores(spark, d):
     parts = ["detector", "category", "folder", "generator"]
-    docs = classic(spark, d).groupBy(*parts).agg(F.to_json(F.collect_list("item")).alias("value"))
+    docs = st.to_item_arrays(classic(spark, d), parts)
     path = fl.scratch(spark, "classic")
     docs.select(F.coalesce("generator", F.lit("none")).alias("generator"), "detector", "category", "folder", "value").write.partitionBy(*parts).text(path)
     rows = fl.read_classic(spark, path).withColumn("generator", F.nullif("generator", F.lit("none")))
@@ -116,19 +118,36 @@ def image_catalog(spark, d):
     return images(spark, d).select("path", "category", "label", "bucket", "generator", "rel")
 
 
+@query
+def listed_images(spark, d):
+    """From files to catalogue to platforms: one image and one note of every folder are written, the listing finds them again."""
+    path, p = fl.scratch(spark, "images"), images(spark, d).where("bucket is not null")
+    folders = p.groupBy("category", "label", F.coalesce("generator", F.lit("none")).alias("generator")).agg(F.count("*").alias("n"))
+    by = ["category", "label", "generator"]
+    for extension in ("jpg", "txt"):
+        folders.repartition(*by).write.mode("append").option("extension", extension).partitionBy(*by).csv(path)
+    found = ct.image_catalog(ct.listed(fl.list_images(spark, path)))
+    found = ct.with_platform(found.withColumn("generator", F.nullif("generator", F.lit("none"))), platforms(spark))
+    bucket = F.when(F.col("generator").isNull(), F.col("label")).otherwise(F.col("bucket"))
+    return found.groupBy("platform", "category", bucket.alias("bucket"), "generator").agg(F.count("*").alias("files"))
+
+
 @query
 def review_texts(spark, d):
-    r = view(spark, d, "fx_reviews")
-    return r.select("category", "review_id", tx.review_text("title", "body").alias("review_text"))
+    """Metadata of the three shapes, by number, written and read again."""
+    path, pick = fl.scratch(spark, "reviews"), F.col("num") % 3
+    shapes = [F.when(pick == i, F.col("body")).alias(c) for i, c in enumerate(("text", "content", "review_text"))]
+    view(spark, d, "fx_reviews").select(F.coalesce("category", F.lit("none")).alias("category"), F.col("num").cast("string").alias("number"), "title", *shapes).write.partitionBy("category").json(path)
+    read = fl.read_review_meta(spark, path)
+    return read.select(F.nullif("category", F.lit("none")).alias("category"), F.concat(F.lit("Review_"), F.col("number")).alias("review_id"), tx.review_text("title", "body").alias("review_text"))
 
 
 @query
 def export_wide(spark, d):
-    f = latest(spark, d).where("mode = 'MultiStep-NoReview'")
     path = fl.scratch(spark, "wide")
-    fl.write_table(fl.export_wide(f, ["category", "bucket", "ident"], DETECTORS[:3]), path, "csv")
-    names = [f"{x}_{c}" for x in DETECTORS[:3] for c in ("status", "verdict", "confidence")]
-    kinds = "category string, bucket string, ident string, " + ", ".join(f"{n} {'string' if n.endswith('status') else 'boolean' if n.endswith('verdict') else 'double'}" for n in names)
+    fl.write_table(fl.export_wide(latest(spark, d), ["mode", "category", "bucket", "ident"], DETECTORS), path, "csv")
+    names = [f"{x}_{c}" for x in DETECTORS for c in ("status", "verdict", "confidence")]
+    kinds = "mode string, category string, bucket string, ident string, " + ", ".join(f"{n} {'string' if n.endswith('status') else 'boolean' if n.endswith('verdict') else 'double'}" for n in names)
     return rounded(spark.read.schema(kinds).option("header", True).csv(path), [n for n in names if n.endswith("confidence")])
 
 
@@ -160,9 +179,7 @@ def record_identity(spark, d):
 
 @query
 def platform_counts(spark, d):
-    f = facts(spark, d)
-    sets = [f.groupBy("platform", F.col(c).alias("name")).agg(F.count("*").alias("n")).withColumn("kind", F.lit(c)) for c in ("mode", "label")]
-    return sets[0].unionByName(sets[1])
+    return ct.shape_report(ct.with_platform(facts(spark, d).drop("platform"), platforms(spark)), "platform", ["mode", "label"])
 
 
 @query
@@ -272,6 +289,14 @@ def unknown_generators(spark, d):
     return ct.unknown_generators(jobs(facts(spark, d)), wanted)
 
 
+@query
+def unknown_names(spark, d):
+    """A selection with one misspelt name of each kind."""
+    rosters = {"detector": [*DETECTORS, "det77"], "category": [*[c for c, _ in PLATFORMS], "cat77"], "generator": [*GENERATORS, "gen77"], "mode": [*MODES, "MultiVideo-NoReview"]}
+    wanted = spark.createDataFrame([(k, n) for k, v in rosters.items() for n in v], "kind string, name string")
+    return ct.unknown_names(facts(spark, d), wanted)
+
+
 @query
 def multi_image_only(spark, d):
     return mt.multi_image_only(jobs(facts(spark, d))).groupBy("mode", "num_images").agg(F.count("*").alias("jobs"))
@@ -314,6 +339,16 @@ def category_metrics(spark, d):
     return rounded(_metrics(spark, d), mt.metric_names(GENERATORS))
 
 
+@query
+def metric_tables(spark, d):
+    """Metric tables by mode: first over some categories alone, then all modes but one replaced by those over all, and that one last."""
+    rows, path = rounded(_metrics(spark, d), mt.metric_names(GENERATORS)), fl.scratch(spark, "metrics")
+    fl.write_metric_tables(rows.where("category < 'cat10'"), path)
+    fl.write_metric_tables(rows.where(F.col("mode") != MODES[0]), path)
+    fl.write_metric_tables(rows.where(F.col("mode") == MODES[0]), path)
+    return fl.read_metric_tables(spark, path, rows.schema).select(*rows.columns)
+
+
 @query
 def macro_metrics(spark, d):
     out = mt.macro_metrics(_metrics(spark, d), GENERATORS, dim(spark, "detector", [*DETECTORS, "unheard"]))
@@ -344,8 +379,7 @@ def combined_table(spark, d):
 
 @query
 def format_cells(spark, d):
-    rows = _metrics(spark, d).where("mode = 'SingleImage-NoReview'")
-    return rows.select("category", "detector", *[tx.metric_cell(F.round(c, 6)).alias(c) for c in ("neg_tnr", "overall_acc", "gen1_tpr")])
+    return _metrics(spark, d).select("mode", "category", "detector", *[tx.metric_cell(F.round(c, 6)).alias(c) for c in mt.metric_names(GENERATORS)])
 
 
 # store
@@ -463,7 +497,7 @@ def edit_comments(spark, d):
     c = view(spark, d, "fx_edit_comments").where(tx.filled("category").isNotNull())
     path = fl.scratch(spark, "edits")
     per_image = F.transform(F.array_sort(F.collect_list(F.struct("pos", "image", "reviewer_comment"))), lambda x: F.struct(x["image"].alias("image"), x["reviewer_comment"].alias("reviewer_comment")))
-    c.groupBy("category", "num").agg(per_image.alias("per_image")).select("category", (F.col("num") % 5).alias("number"), "per_image").write.partitionBy("category", "number").json(path)
+    c.groupBy("category", F.col("num").cast("string").alias("number")).agg(per_image.alias("per_image")).write.partitionBy("category").json(path)
     return fl.read_edit_meta(spark, path).select(F.col("number").cast("long").alias("num"), "pos", "image", "reviewer_comment")
 
 

@@ -70,5 +70,5 @@ BUNDLE = T.StructType(
 )
 #: Raw classic-detector items: keys differ by detector.
 CLASSIC_ITEMS = T.ArrayType(T.MapType(T.StringType(), T.StringType()))
-REVIEW_META = "title string, text string, content string, review_text string"
-EDIT_META = "per_image array<struct<image: string, reviewer_comment: string>>"
+REVIEW_META = "number string, title string, text string, content string, review_text string"
+EDIT_META = "number string, per_image array<struct<image: string, reviewer_comment: string>>"

@@ -57,13 +57,14 @@ def write_summaries(documents: DataFrame, path: str) -> None:
 
 
 def read_bundles(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
-    """Records of bundle files: detector and bucket from the header, else from the path; records
-    without any identity are dropped."""
+    """Records of bundle files: detector and bucket from the header, else from the path; mode and category from
+    folders (null without); records without any identity are dropped."""
     docs = spark.read.schema(BUNDLE).option("multiLine", multi_line).option("mode", "DROPMALFORMED").option("recursiveFileLookup", True).json(path)
     name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]*)/[^/]*$", 1)
-    rows = docs.select(F.coalesce("model", name).alias("detector"), F.coalesce("bucket", _folder("bucket")).alias("bucket"), F.explode("results").alias("r"))
+    folders = [F.nullif(_folder(c), F.lit("")).alias(c) for c in ("mode", "category")]
+    rows = docs.select(*folders, F.coalesce("model", name).alias("detector"), F.coalesce("bucket", _folder("bucket")).alias("bucket"), F.explode("results").alias("r"))
     ident = F.coalesce(*[F.nullif(f"r.{c}", F.lit("")) for c in ("review_id", "image_rel", "key", "image_path")])
-    return rows.select("detector", "bucket", ident.alias("ident"), "r.num_images", "r.is_ai_modified", "r.confidence", "r.error").where("ident is not null")
+    return rows.select("mode", "category", "detector", "bucket", ident.alias("ident"), "r.num_images", "r.is_ai_modified", "r.confidence", "r.error").where("ident is not null")
 
 
 def read_classic(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
@@ -73,17 +74,22 @@ def read_classic(spark: SparkSession, path: str, multi_line: bool = False) -> Da
     return lines.select(*[F.nullif(_folder(c), F.lit("")).alias(c) for c in ("detector", "category", "folder", "generator")], items.alias("item"))
 
 
+def _number():
+    """A review's number: in its document, else its folder."""
+    return F.coalesce("number", _folder("number"))
+
+
 def read_review_meta(spark: SparkSession, path: str) -> DataFrame:
     """Review metadata of any of the three shapes: number, title, body (null if no field is filled)."""
     meta = spark.read.schema(REVIEW_META).option("mode", "DROPMALFORMED").option("recursiveFileLookup", True).json(path)
     body = F.coalesce(*[F.nullif(c, F.lit("")) for c in ("text", "content", "review_text")])
-    return meta.select(_folder("category").alias("category"), _folder("number").alias("number"), "title", body.alias("body"))
+    return meta.select(_folder("category").alias("category"), _number().alias("number"), "title", body.alias("body"))
 
 
 def read_edit_meta(spark: SparkSession, path: str) -> DataFrame:
     """Edit metadata: one row per image comment, with its place in the file."""
     meta = spark.read.schema(EDIT_META).option("mode", "DROPMALFORMED").option("recursiveFileLookup", True).json(path)
-    rows = meta.select(_folder("category").alias("category"), _folder("number").alias("number"), F.posexplode("per_image").alias("pos", "x"))
+    rows = meta.select(_folder("category").alias("category"), _number().alias("number"), F.posexplode("per_image").alias("pos", "x"))
     return rows.select("category", "number", "pos", "x.image", "x.reviewer_comment")
 
 
@@ -98,6 +104,17 @@ def export_wide(rows: DataFrame, keys: list[str], roster: list[str]) -> DataFram
     return wide
 
 
+def write_metric_tables(tables: DataFrame, path: str) -> None:
+    """Metric tables (mode, ...) in one folder a mode. A write replaces the modes that it has, whole, and leaves the others."""
+    tables.repartition("mode").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("mode").parquet(path)
+
+
+def read_metric_tables(spark: SparkSession, path: str, schema, modes: list[str] | None = None) -> DataFrame:
+    """Metric tables as they were written; of ``modes`` only those folders are read."""
+    rows = spark.read.schema(schema).parquet(path)
+    return rows.where(F.col("mode").isin(modes)) if modes else rows
+
+
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: list[str] | None = None) -> None:
     writer = df.write.option("header", True) if fmt == "csv" else df.write
     (writer.partitionBy(*partition_by) if partition_by else writer).format(fmt).save(path)
