@@ -27,7 +27,9 @@ from veritally.llm import textnum as tn
 from veritally.llm.linking import link
 from veritally.llm.tables import bloom_filters, drop, marked, materialise, only_ids
 
-SIMILARITY, BLOCKS, RUN, FEW = 0.9, 6, 3, 10
+SIMILARITY, BLOCKS, RUN, FEW = 0.9, 12, 3, 10
+#: Bits of a line's sketch.
+PARITY = 256
 
 _rng = np.random.default_rng(20260301)
 #: Each block's weights: a feature weighs the more, the less its hash times the block's factor.
@@ -106,10 +108,35 @@ def _forms(low: np.ndarray, s: np.ndarray, e: np.ndarray, ptr: np.ndarray, lines
     return out, at[np.concatenate([[0], np.cumsum(count)])]
 
 
+def _sketches(form: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """lines x PARITY / 64: of each normal form the parities of its pairs of neighbouring characters, by class.
+
+    An edit takes two pairs and brings two at most, so lines differ in up to four bits an edit.
+    """
+    start = np.flatnonzero((form & 0xC0) != 0x80)
+    size = np.diff(np.append(start, len(form)))
+    code = form[start].astype(np.uint32)
+    for k in range(1, 4):
+        wide = np.flatnonzero(size > k)
+        code[wide] = code[wide] * np.uint32(256) + form[start[wide] + k]
+    with np.errstate(over="ignore"):
+        kind = ((code[:-1] * np.uint32(31) + code[1:]) * np.uint32(0x9E3779B1)) >> np.uint32(32 - PARITY.bit_length() + 1)
+    at = np.searchsorted(start, at)
+    n = np.maximum(np.diff(at) - 1, 0)  # the blank behind a line is in its last pair
+    out = np.zeros((len(n), PARITY // 8), np.uint8)
+    for a in range(0, len(n), 1024):
+        own = n[a : a + 1024]
+        row = np.repeat(np.arange(len(own)), own)
+        place = np.arange(own.sum()) + np.repeat(at[a : a + len(own)] - np.cumsum(own) + own, own)
+        odd = np.bincount(row * PARITY + kind[place], minlength=PARITY * len(own)).astype(np.uint8) & 1
+        out[a : a + 1024] = np.packbits(odd.reshape(-1, PARITY), axis=1)
+    return out.view(np.int64)
+
+
 def line_blocks(docs: DataFrame) -> DataFrame:
-    """doc_id, line, node and check (hashes of the normal form), chars, keys of each line with a word.
+    """doc_id, line, node and check (hashes of the normal form), chars, keys and sketch of each line with a word.
 
-    Of lines of a batch that are equal only the first has keys.
+    Of lines of a batch that are equal only the first has keys and sketch.
     """
 
     def run(batches):
@@ -132,12 +159,15 @@ def line_blocks(docs: DataFrame) -> DataFrame:
                 size = np.diff(key_ptr)
                 keys = keys[np.repeat(once, size)]
                 ends = np.concatenate([[0], np.cumsum(size * once)]).astype(np.int32)
+                sketch = _sketches(*_forms(low, s, e, ptr, np.flatnonzero(once)))
+                sketch_ends = np.concatenate([[0], np.cumsum(once * (PARITY // 64))]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[first + rows[has]]), pa.array(number[has].astype(np.int32)), pa.array(node.view(np.int64)), pa.array(check.astype(np.int32)), pa.array(chars.astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.view(np.int64)), mask=pa.array(~once))],
-                    names=["doc_id", "line", "node", "check", "chars", "keys"],
+                    [pa.array(ids[first + rows[has]]), pa.array(number[has].astype(np.int32)), pa.array(node.view(np.int64)), pa.array(check.astype(np.int32)), pa.array(chars.astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.view(np.int64)), mask=pa.array(~once)),
+                     pa.ListArray.from_arrays(pa.array(sketch_ends), pa.array(sketch.ravel()), mask=pa.array(~once))],
+                    names=["doc_id", "line", "node", "check", "chars", "keys", "sketch"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, line int, node long, check int, chars int, keys array<long>")
+    return docs.mapInArrow(run, "doc_id long, line int, node long, check int, chars int, keys array<long>, sketch array<long>")
 
 
 def _normal_lines(wanted: DataFrame) -> DataFrame:
@@ -183,9 +213,14 @@ def duplicate_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
         docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
     lines = materialise(line_blocks(docs), "lines")
     least = F.min(F.struct("doc_id", "line", "check"))
-    nodes = lines.groupBy("node").agg(least.alias("first"), F.first("chars").alias("chars"), F.first("keys", ignorenulls=True).alias("keys"), F.count("*").alias("n"))
-    nodes = materialise(nodes.select("node", "first.doc_id", "first.line", "first.check", F.col("chars").alias("size"), "keys", "n"), "nodes")
+    nodes = lines.groupBy("node").agg(least.alias("first"), F.first("chars").alias("chars"), F.first("keys", ignorenulls=True).alias("keys"), F.first("sketch", ignorenulls=True).alias("sketch"), F.count("*").alias("n"))
+    nodes = materialise(nodes.select("node", "first.doc_id", "first.line", "first.check", F.col("chars").alias("size"), "keys", "sketch", "n"), "nodes")
     posts = nodes.select(F.explode("keys").alias("key"), "node", F.col("n").alias("pri"), "size")
+    # most keys have one post, and those are told by the keys alone
+    shared = marked(posts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "shared")
+    with bloom_filters(docs.sparkSession):
+        posts = materialise(posts.join(shared.hint("merge"), "key"), "posts")
+    drop(shared)
 
     def verify(pairs: DataFrame) -> DataFrame:
         """By the edit distance of the normal forms, fetched for the nodes of these pairs alone."""
@@ -202,11 +237,13 @@ def duplicate_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
         drop(places, texts, forms)
         return links
 
-    found = link(posts, verify, similarity, hubs=1, several=True)
+    apart = " + ".join(f"bit_count(sketch[{i}] ^ other_sketch[{i}])" for i in range(PARITY // 64))
+    close = F.expr(f"{apart} <= 4 * floor({1 - similarity + 1e-9} * greatest(size, other_size))")
+    found = link(posts, verify, similarity, sketches=nodes.select("node", "sketch"), close=close)
     # only lines of several places, and those with links, have groups of more than one
     with bloom_filters(docs.sparkSession):
-        linked = materialise(nodes.drop("keys", "size").join(marked(found, "found").hint("merge"), "node"), "linked")
-    alone = nodes.where("n > 1").drop("keys", "size").join(linked.select("node"), "node", "left_anti").withColumn("component", F.col("node"))
+        linked = materialise(nodes.drop("keys", "sketch", "size").join(marked(found, "found").hint("merge"), "node"), "linked")
+    alone = nodes.where("n > 1").drop("keys", "sketch", "size").join(linked.select("node"), "node", "left_anti").withColumn("component", F.col("node"))
     of = materialise(linked.unionByName(alone), "of")
     firsts = of.groupBy("component").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.sum("n").alias("n")).where("n > 1").select("component", F.col("first.doc_id").alias("keep_doc"), F.col("first.line").alias("keep_line"))
     groups = marked(of.select("node", "check", "component").join(firsts, "component").select("node", "check", "keep_doc", "keep_line"), "groups")
@@ -214,7 +251,7 @@ def duplicate_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     with bloom_filters(docs.sparkSession):
         gone = materialise(lines.select("doc_id", "line", "node", "check").join(groups.hint("merge"), ["node", "check"]).where("doc_id <> keep_doc or line <> keep_line").select("doc_id", "line"), "gone-lines")
     lists = materialise(gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("lines")), "gone")
-    drop(lines, nodes, found, linked, of, groups, gone)
+    drop(lines, nodes, posts, found, linked, of, groups, gone)
     return lists
 
 

@@ -12,9 +12,8 @@ belong together costs n candidates:
 4. what is then still open is paired across components only. A pair within one component can
    add nothing, so leaving it out is exact. Nodes have sizes, and linked ones differ by a
    ratio at most, so a list is first cut into bands of size, of which neighbours alone meet:
-   this spreads a hot list over tasks and spares most of its pairs. Where links share several
-   keys (``several``), members of an open list meet a hub for each second key that they share
-   instead, so that no list costs more than its length.
+   this spreads a hot list over tasks and spares most of its pairs; a sketch of each node,
+   compared within the join, lets out only those pairs that can be links.
 
 Only keys and nodes are shuffled with the posts. What a cheap condition, which every link meets,
 needs to know of the nodes is fetched for distinct pairs.
@@ -64,15 +63,14 @@ def _joined(found: DataFrame, links: DataFrame) -> DataFrame:
     return out
 
 
-def link(posts: DataFrame, verify: Callable[[DataFrame], DataFrame], ratio: float, near: Callable[[DataFrame], DataFrame] | None = None, sketches: DataFrame | None = None, close: Column | None = None, hubs: int = 2, several: bool = False) -> DataFrame:
+def link(posts: DataFrame, verify: Callable[[DataFrame], DataFrame], ratio: float, near: Callable[[DataFrame], DataFrame] | None = None, sketches: DataFrame | None = None, close: Column | None = None, hubs: int = 2) -> DataFrame:
     """(node, component) of all nodes with a link.
 
     posts: (key, node, pri, size), from a written table, without repeated (key, node); a higher
     pri (from 0) makes a likelier hub; the smaller of two linked nodes has ``ratio`` of the other's
     size (an integer from 1) at least. near may thin out distinct pairs (a, b) by what every link
     meets; sketches (node, sketch) and close, a condition over size, sketch, other_size and
-    other_sketch, do so within the join of step 4. verify takes such pairs, materialised, and returns the links. several: see 4; it finds
-    what shares two keys.
+    other_sketch, do so within the join of step 4. verify takes such pairs, materialised, and returns the links.
     """
     ratio = 0.999 * ratio  # sizes at the very ratio stay in
 
@@ -108,17 +106,11 @@ def link(posts: DataFrame, verify: Callable[[DataFrame], DataFrame], ratio: floa
         if not state.limit(1).count():
             drop(of, state)
             break
-        left, second = materialise(of.join(state, "key").withColumn("band", F.floor(F.log("size") / -log(ratio))), "left"), None
+        left = materialise(of.join(state, "key").withColumn("band", F.floor(F.log("size") / -log(ratio))), "left")
         mine = left.select("key", F.col("node").alias("a"), "component", "size", "band")
         if step < hubs:  # the best member outside the first hub's component meets those of others
             best = left.where("component <> main").groupBy("key").agg(best_of.alias("top")).select("key", *top)
             pairs = mine.join(best, "key").where("component <> other")
-        elif several:
-            both = F.xxhash64(F.least("key", "key2"), F.greatest("key", "key2")).alias("key")
-            second = left.join(members.select(F.col("key").alias("key2"), "node"), "node").where("key <> key2").select(both, "node", "pri", "component", "size").distinct()
-            second = materialise(second, "second")
-            best = second.groupBy("key").agg(best_of.alias("top"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key", *top)
-            pairs = second.select("key", F.col("node").alias("a"), "component", "size").join(best, "key").where("component <> other")
         else:
             if sketches is not None:
                 left, plain = materialise(left.join(sketches, "node"), "left"), left
@@ -130,7 +122,7 @@ def link(posts: DataFrame, verify: Callable[[DataFrame], DataFrame], ratio: floa
             pairs = mine.join(best, ["key", "band"]).where("component < other or (component <> other and not own)").where(like)
             pairs = pairs if close is None else pairs.where(close)
         more = links(pairs.where(like).select("a", "b"))
-        drop(of, state, left, second)
+        drop(of, state, left)
         if more.limit(1).count():
             found, old = _joined(found, more), found
             drop(old)
