@@ -27,7 +27,7 @@ from veritally.llm import textnum as tn
 from veritally.llm.linking import link
 from veritally.llm.tables import bloom_filters, drop, marked, materialise, only_ids
 
-SIMILARITY, BLOCKS, RUN, FEW = 0.9, 12, 3, 10
+SIMILARITY, BLOCKS, RUN, FEW = 0.9, 6, 3, 10
 #: Bits of a line's sketch.
 PARITY = 256
 
@@ -239,7 +239,7 @@ def duplicate_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
 
     apart = " + ".join(f"bit_count(sketch[{i}] ^ other_sketch[{i}])" for i in range(PARITY // 64))
     close = F.expr(f"{apart} <= 4 * floor({1 - similarity + 1e-9} * greatest(size, other_size))")
-    found = link(posts, verify, similarity, sketches=nodes.select("node", "sketch"), close=close)
+    found = link(posts, verify, similarity, sketches=nodes.select("node", "sketch"), close=close, hubs=1)
     # only lines of several places, and those with links, have groups of more than one
     with bloom_filters(docs.sparkSession):
         linked = materialise(nodes.drop("keys", "sketch", "size").join(marked(found, "found").hint("merge"), "node"), "linked")
