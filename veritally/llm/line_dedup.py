@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from veritally.llm import edits
 from veritally.llm import textnum as tn
 from veritally.llm.linking import link
-from veritally.llm.tables import bloom_filters, drop, marked, materialise, only_ids
+from veritally.llm.tables import bloom_filters, drop, free, marked, materialise, only_ids
 
 SIMILARITY, BLOCKS, RUN, FEW = 0.9, 6, 3, 10
 #: Bits of a line's sketch.
@@ -211,16 +211,22 @@ def duplicate_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     docs = docs.where("doc_id is not null").select("doc_id", F.col("text").cast("string").alias("text"))
     if docs.schema["doc_id"].dataType.typeName() != "long":
         docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
-    lines = materialise(line_blocks(docs), "lines")
+    spark = docs.sparkSession
+    full = materialise(line_blocks(docs), "full-lines")
+    lines = materialise(full.select("doc_id", "line", "node", "check"), "lines")
     least = F.min(F.struct("doc_id", "line", "check"))
-    nodes = lines.groupBy("node").agg(least.alias("first"), F.first("chars").alias("chars"), F.first("keys", ignorenulls=True).alias("keys"), F.first("sketch", ignorenulls=True).alias("sketch"), F.count("*").alias("n"))
-    nodes = materialise(nodes.select("node", "first.doc_id", "first.line", "first.check", F.col("chars").alias("size"), "keys", "sketch", "n"), "nodes")
-    posts = nodes.select(F.explode("keys").alias("key"), "node", F.col("n").alias("pri"), "size")
+    whole = full.groupBy("node").agg(least.alias("first"), F.first("chars").alias("chars"), F.first("keys", ignorenulls=True).alias("keys"), F.first("sketch", ignorenulls=True).alias("sketch"), F.count("*").alias("n"))
+    whole = materialise(whole.select("node", "first.doc_id", "first.line", "first.check", F.col("chars").alias("size"), "keys", "sketch", "n"), "full-nodes")
+    drop(full)
+    free(spark)
+    posts = whole.select(F.explode("keys").alias("key"), "node", F.col("n").alias("pri"), "size")
     # most keys have one post, and those are told by the keys alone
     shared = marked(posts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "shared")
-    with bloom_filters(docs.sparkSession):
+    with bloom_filters(spark):
         posts = materialise(posts.join(shared.hint("merge"), "key"), "posts")
-    drop(shared)
+    nodes, sketches = materialise(whole.drop("keys", "sketch", "size"), "nodes"), materialise(whole.select("node", "sketch"), "sketches")
+    drop(shared, whole)
+    free(spark)
 
     def verify(pairs: DataFrame) -> DataFrame:
         """By the edit distance of the normal forms, fetched for the nodes of these pairs alone."""
@@ -239,11 +245,11 @@ def duplicate_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
 
     apart = " + ".join(f"bit_count(sketch[{i}] ^ other_sketch[{i}])" for i in range(PARITY // 64))
     close = F.expr(f"{apart} <= 4 * floor({1 - similarity + 1e-9} * greatest(size, other_size))")
-    found = link(posts, verify, similarity, sketches=nodes.select("node", "sketch"), close=close, hubs=1)
+    found = link(posts, verify, similarity, sketches=sketches, close=close, hubs=1)
     # only lines of several places, and those with links, have groups of more than one
     with bloom_filters(docs.sparkSession):
-        linked = materialise(nodes.drop("keys", "sketch", "size").join(marked(found, "found").hint("merge"), "node"), "linked")
-    alone = nodes.where("n > 1").drop("keys", "sketch", "size").join(linked.select("node"), "node", "left_anti").withColumn("component", F.col("node"))
+        linked = materialise(nodes.join(marked(found, "found").hint("merge"), "node"), "linked")
+    alone = nodes.where("n > 1").join(linked.select("node"), "node", "left_anti").withColumn("component", F.col("node"))
     of = materialise(linked.unionByName(alone), "of")
     firsts = of.groupBy("component").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.sum("n").alias("n")).where("n > 1").select("component", F.col("first.doc_id").alias("keep_doc"), F.col("first.line").alias("keep_line"))
     groups = marked(of.select("node", "check", "component").join(firsts, "component").select("node", "check", "keep_doc", "keep_line"), "groups")
@@ -251,7 +257,7 @@ def duplicate_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     with bloom_filters(docs.sparkSession):
         gone = materialise(lines.select("doc_id", "line", "node", "check").join(groups.hint("merge"), ["node", "check"]).where("doc_id <> keep_doc or line <> keep_line").select("doc_id", "line"), "gone-lines")
     lists = materialise(gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("lines")), "gone")
-    drop(lines, nodes, posts, found, linked, of, groups, gone)
+    drop(lines, nodes, posts, sketches, found, linked, of, groups, gone)
     return lists
 
 

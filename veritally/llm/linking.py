@@ -27,7 +27,7 @@ from math import log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veritally.llm.tables import bloom_filters, drop, materialise
+from veritally.llm.tables import bloom_filters, drop, free, materialise
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -79,6 +79,7 @@ def link(posts: DataFrame, verify: Callable[[DataFrame], DataFrame], ratio: floa
         pairs = materialise(near(pairs) if near else pairs, "near-pairs")
         found = materialise(verify(pairs), "links")
         drop(pairs)
+        free(posts.sparkSession)
         return found
 
     like = f"least(size, other_size) >= {ratio} * greatest(size, other_size)"

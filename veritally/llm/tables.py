@@ -6,6 +6,7 @@ it has no partitioning that Spark would rely on, so that skewed joins on it can
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from contextlib import contextmanager
@@ -49,6 +50,12 @@ def drop(*tables: DataFrame | None) -> None:
             hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def free(spark: SparkSession) -> None:
+    """Let go of the shuffle files of finished steps: Spark deletes them when the driver's garbage is collected, which it may not do for long."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 @contextmanager
 def settings(spark: SparkSession, **values: str):
     """SQL settings for the actions within."""
