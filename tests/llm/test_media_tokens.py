@@ -308,3 +308,11 @@ def test_packing_of_nulls_repeats_and_named_clusters(spark):
     assert len({bin_of[2, 0], bin_of[3, 0], bin_of[7, 50]}) == 3 and bin_of[1, 0] != bin_of[6, 0]
     free = named[named.doc_id.isna() | named.doc_id.isin([4, 5])]  # without source and cluster, in no conflict
     assert free.bin.nunique() == 1
+
+
+def test_repeated_rows_are_dealt_to_shards(spark):
+    """A third and more of all rows equal, without doc_id: no shard holds more than its share."""
+    rows = spark.createDataFrame([(None, "the same few words", "s")] * 4000 + [(i, f"other {i}", "s") for i in range(2000)], "doc_id long, text string, source string")
+    got = packing.pack(rows, capacity=64, shard_docs=500)
+    sizes = [r["count"] for r in got.groupBy("shard").count().collect()]
+    assert sum(sizes) == 6000 and len(sizes) == 12 and max(sizes) < 800

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veritally.llm import textnum as tn
+from veritally.llm.tables import materialise
 
 CAPACITY, SHARD_DOCS = 2048, 4096
 
@@ -87,7 +88,10 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, shard_docs: int = SHARD_DOCS
         of = docs.groupBy("doc_id").agg(F.min(F.col(cluster).cast("string")).alias("cluster"))
         rows = rows.drop("cluster").join(of, "doc_id", "left")
     shards = max(1, -(-docs.count() // shard_docs))
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "n_tokens", "cluster"), F.lit(shards)))
+    # rows that repeat too often for one shard are dealt one by one
+    rows = materialise(rows.withColumn("_key", F.xxhash64("doc_id", "n_tokens", "cluster")).withColumn("_row", F.monotonically_increasing_id()), "measured")
+    often = rows.groupBy("_key").agg(F.count("*").alias("_n")).where(F.col("_n") > max(1, shard_docs // 8))
+    rows = rows.join(often, "_key", "left").withColumn("shard", F.pmod(F.when(F.col("_n").isNotNull(), F.xxhash64("_key", "_row")).otherwise(F.col("_key")), F.lit(shards)))
     id_type = docs.schema["doc_id"].dataType
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
