@@ -28,8 +28,8 @@ from veritally.llm.linking import link
 from veritally.llm.tables import bloom_filters, drop, free, marked, materialise, only_ids
 
 SIMILARITY, BLOCKS, RUN, FEW = 0.9, 6, 3, 10
-#: Bits of a line's sketch.
-PARITY = 256
+#: Bits of a line's sketch, and from how many characters on it has four times as many.
+PARITY, LONG = 256, 250
 
 _rng = np.random.default_rng(20260301)
 #: Each block's weights: a feature weighs the more, the less its hash times the block's factor.
@@ -108,8 +108,8 @@ def _forms(low: np.ndarray, s: np.ndarray, e: np.ndarray, ptr: np.ndarray, lines
     return out, at[np.concatenate([[0], np.cumsum(count)])]
 
 
-def _sketches(form: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """lines x PARITY / 64: of each normal form the parities of its pairs of neighbouring characters, by class.
+def _sketches(form: np.ndarray, at: np.ndarray, bits: int) -> np.ndarray:
+    """lines x bits / 64: of each normal form the parities of its pairs of neighbouring characters, by class.
 
     An edit takes two pairs and brings two at most, so lines differ in up to four bits an edit.
     """
@@ -120,19 +120,40 @@ def _sketches(form: np.ndarray, at: np.ndarray) -> np.ndarray:
         wide = np.flatnonzero(size > k)
         code[wide] = code[wide] * np.uint32(256) + form[start[wide] + k]
     with np.errstate(over="ignore"):
-        kind = ((code[:-1] * np.uint32(31) + code[1:]) * np.uint32(0x9E3779B1)) >> np.uint32(32 - PARITY.bit_length() + 1)
+        kind = (((code[:-1] * np.uint32(31) + code[1:]) * np.uint32(0x9E3779B1)) >> np.uint32(20)) & np.uint32(bits - 1)
     at = np.searchsorted(start, at)
     n = np.maximum(np.diff(at) - 1, 0)  # the blank behind a line is in its last pair
-    out = np.zeros((len(n), PARITY // 8), np.uint8)
-    for a in range(0, len(n), 1024):
-        own = n[a : a + 1024]
+    out = np.zeros((len(n), bits // 8), np.uint8)
+    for a in range(0, len(n), 512):
+        own = n[a : a + 512]
         row = np.repeat(np.arange(len(own)), own)
         place = np.arange(own.sum()) + np.repeat(at[a : a + len(own)] - np.cumsum(own) + own, own)
-        odd = np.bincount(row * PARITY + kind[place], minlength=PARITY * len(own)).astype(np.uint8) & 1
-        out[a : a + 1024] = np.packbits(odd.reshape(-1, PARITY), axis=1)
+        odd = np.bincount(row * bits + kind[place], minlength=bits * len(own)).astype(np.uint8) & 1
+        out[a : a + 512] = np.packbits(odd.reshape(-1, bits), axis=1)
     return out.view(np.int64)
 
 
+def _sketch_lists(low, s, e, ptr, chars: np.ndarray, once: np.ndarray) -> pa.Array:
+    """A sketch of each line of ``once``, null for others: of PARITY bits, for long lines of four times as many."""
+    words = np.where(chars > LONG, 4, 1) * once * (PARITY // 64)
+    ends = np.concatenate([[0], np.cumsum(words)])
+    flat = np.zeros(ends[-1], np.int64)
+    for long, bits in ((False, PARITY), (True, 4 * PARITY)):
+        lines = np.flatnonzero(once & ((chars > LONG) == long))
+        if len(lines):
+            flat[np.repeat(ends[lines], bits // 64) + np.tile(np.arange(bits // 64), len(lines))] = _sketches(*_forms(low, s, e, ptr, lines), bits).ravel()
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat), mask=pa.array(~once))
+
+
+def _bits_apart(x: str, y: str) -> str:
+    """In how many bits two sketches differ. Beside a short one, a long one is folded to its length: its classes are finer."""
+    n = PARITY // 64
+    whole = " + ".join(f"bit_count({x}[{i}] ^ {y}[{i}])" for i in range(4 * n))
+    fold = lambda z, i: f"if(size({z}) = {4 * n}, {' ^ '.join(f'get({z}, {i + n * k})' for k in range(4))}, {z}[{i}])"
+    folded = " + ".join(f"bit_count({fold(x, i)} ^ {fold(y, i)})" for i in range(n))
+    return f"if(size({x}) = {4 * n} and size({y}) = {4 * n}, {whole}, {folded})"
+
+
 def line_blocks(docs: DataFrame) -> DataFrame:
     """doc_id, line, node and check (hashes of the normal form), chars, keys and sketch of each line with a word.
 
@@ -159,11 +180,9 @@ def line_blocks(docs: DataFrame) -> DataFrame:
                 size = np.diff(key_ptr)
                 keys = keys[np.repeat(once, size)]
                 ends = np.concatenate([[0], np.cumsum(size * once)]).astype(np.int32)
-                sketch = _sketches(*_forms(low, s, e, ptr, np.flatnonzero(once)))
-                sketch_ends = np.concatenate([[0], np.cumsum(once * (PARITY // 64))]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids[first + rows[has]]), pa.array(number[has].astype(np.int32)), pa.array(node.view(np.int64)), pa.array(check.astype(np.int32)), pa.array(chars.astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.view(np.int64)), mask=pa.array(~once)),
-                     pa.ListArray.from_arrays(pa.array(sketch_ends), pa.array(sketch.ravel()), mask=pa.array(~once))],
+                     _sketch_lists(low, s, e, ptr, chars, once)],
                     names=["doc_id", "line", "node", "check", "chars", "keys", "sketch"],
                 )
 
@@ -243,8 +262,7 @@ def duplicate_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
         drop(places, texts, forms)
         return links
 
-    apart = " + ".join(f"bit_count(sketch[{i}] ^ other_sketch[{i}])" for i in range(PARITY // 64))
-    close = F.expr(f"{apart} <= 4 * floor({1 - similarity + 1e-9} * greatest(size, other_size))")
+    close = F.expr(f"{_bits_apart('sketch', 'other_sketch')} <= 4 * floor({1 - similarity + 1e-9} * greatest(size, other_size))")
     found = link(posts, verify, similarity, sketches=sketches, close=close, hubs=1)
     # only lines of several places, and those with links, have groups of more than one
     with bloom_filters(docs.sparkSession):
