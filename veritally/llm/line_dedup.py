@@ -257,9 +257,12 @@ def duplicate_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
         drop(found)
         texts = only_ids(docs, places, ["doc_id", "text"], "texts")
         forms = materialise(_normal_lines(texts.join(places, "doc_id").select("text", "lines")).dropDuplicates(["node"]), "forms")
+        drop(places, texts)
+        del places, texts  # with the shuffle files of the texts, before the forms meet the pairs
+        free(spark)
         form = lambda x: forms.select(F.col("node").alias(x), F.col("form").alias(f"form_{x}"))
         links = materialise(_similar(pairs.join(form("a"), "a").join(form("b"), "b"), similarity), "similar")
-        drop(places, texts, forms)
+        drop(forms)
         return links
 
     close = F.expr(f"{_bits_apart('sketch', 'other_sketch')} <= 4 * floor({1 - similarity + 1e-9} * greatest(size, other_size))")
