@@ -228,18 +228,18 @@ def test_recall_under_scattered_typos(spark):
     assert got >= 0.65 * len(pairs)
 
 
-def test_sketches_differ_in_four_bits_an_edit_at_most(spark):
+def test_sketches_differ_in_few_bits_an_edit(spark):
     """On both sides of the length where sketches grow, and across it."""
     rng, rows = random.Random(3), []
     for i in range(120):
-        a = "".join(rng.choice("abc dé漢") for _ in range(rng.choice([40, 245, 252, 600])))
+        a = "".join(rng.choice("abc dé漢") for _ in range(rng.choice([40, 155, 166, 600])))
         rows.append((i, " ".join(a.split()), " ".join(_changed(rng, a, 0.03).split())))
     rows = [r for r in rows if r[1] and r[2]]
     line = lambda k: {r.doc_id: r.sketch for r in line_dedup.line_blocks(spark.createDataFrame([(r[0], r[k]) for r in rows], DOC).coalesce(1)).collect()}
     a, b = line(1), line(2)
     both = [(i, a[i], b[i], brute.distance(x, y)) for i, x, y in rows if a[i] is not None and b[i] is not None]
     df = spark.createDataFrame(both, "i int, x array<long>, y array<long>, d int").selectExpr("d", "size(x) + size(y) as n", f"{line_dedup._bits_apart('x', 'y')} as apart").collect()
-    assert {r.n for r in df} == {8, 20, 32} and all(r.apart <= 4 * r.d for r in df)
+    assert {r.n for r in df} == {8, 20, 32} and all(r.apart <= line_dedup.FLIPS * r.d for r in df)
 
 
 def test_figures_and_marks_count(spark):

@@ -29,7 +29,7 @@ from veritally.llm.tables import bloom_filters, drop, free, marked, materialise,
 
 SIMILARITY, BLOCKS, RUN, FEW = 0.9, 6, 3, 10
 #: Bits of a line's sketch, and from how many characters on it has four times as many.
-PARITY, LONG = 256, 250
+PARITY, LONG, FLIPS = 256, 160, 6
 
 _rng = np.random.default_rng(20260301)
 #: Each block's weights: a feature weighs the more, the less its hash times the block's factor.
@@ -109,9 +109,9 @@ def _forms(low: np.ndarray, s: np.ndarray, e: np.ndarray, ptr: np.ndarray, lines
 
 
 def _sketches(form: np.ndarray, at: np.ndarray, bits: int) -> np.ndarray:
-    """lines x bits / 64: of each normal form the parities of its pairs of neighbouring characters, by class.
+    """lines x bits / 64: of each normal form the parities of its runs of three characters, by class.
 
-    An edit takes two pairs and brings two at most, so lines differ in up to four bits an edit.
+    An edit takes three runs and brings three at most, so lines differ in up to FLIPS bits an edit.
     """
     start = np.flatnonzero((form & 0xC0) != 0x80)
     size = np.diff(np.append(start, len(form)))
@@ -120,9 +120,9 @@ def _sketches(form: np.ndarray, at: np.ndarray, bits: int) -> np.ndarray:
         wide = np.flatnonzero(size > k)
         code[wide] = code[wide] * np.uint32(256) + form[start[wide] + k]
     with np.errstate(over="ignore"):
-        kind = (((code[:-1] * np.uint32(31) + code[1:]) * np.uint32(0x9E3779B1)) >> np.uint32(20)) & np.uint32(bits - 1)
+        kind = ((((code[:-2] * np.uint32(31) + code[1:-1]) * np.uint32(0x85EBCA6B) + code[2:]) * np.uint32(0x9E3779B1)) >> np.uint32(20)) & np.uint32(bits - 1)
     at = np.searchsorted(start, at)
-    n = np.maximum(np.diff(at) - 1, 0)  # the blank behind a line is in its last pair
+    n = np.maximum(np.diff(at) - 2, 0)  # the blank behind a line is in its last run
     out = np.zeros((len(n), bits // 8), np.uint8)
     for a in range(0, len(n), 512):
         own = n[a : a + 512]
@@ -265,7 +265,7 @@ def duplicate_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
         drop(forms)
         return links
 
-    close = F.expr(f"{_bits_apart('sketch', 'other_sketch')} <= 4 * floor({1 - similarity + 1e-9} * greatest(size, other_size))")
+    close = F.expr(f"{_bits_apart('sketch', 'other_sketch')} <= {FLIPS} * floor({1 - similarity + 1e-9} * greatest(size, other_size))")
     found = link(posts, verify, similarity, sketches=sketches, close=close, hubs=1)
     # only lines of several places, and those with links, have groups of more than one
     with bloom_filters(docs.sparkSession):
