@@ -1,7 +1,9 @@
 """Exact round trips of chunked media and coded ids; packing and licences."""
 
 import hashlib
+import os
 import random
+import re
 import zlib
 from collections import defaultdict
 
@@ -213,8 +215,8 @@ def test_licence_rules(spark):
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, licences string")
     got = [r.licences for r in licences.scan(df).orderBy("doc_id").collect()]
     assert got == ["Apache-2.0", "MIT", "MIT", "", "MIT", "", "", "", "MIT,CC-BY-NC-4.0"]
-    assert all(any(c in s for c in licences.CUES) for s in licences.SENTENCES.values())
-    assert all(k in licences.SENTENCES for _, ids in licences.RULES for k in ids)
+    known = licences.SENTENCES | licences.MORE_SENTENCES
+    assert all(any(c in known[k] for k in ids for c in licences.CUES) for _, ids in licences.RULES + licences.MORE_RULES)
     assert licences.scan(df.limit(0)).count() == 0
 
 
@@ -255,8 +257,6 @@ GNU Affero General Public License for more details."""
     texts = ["MIT License\n\n" + mit, mit, no_grant, mpl, "/* " + mpl.replace("\n", "\n * ") + " */", agpl, "MIT License", "See v. 2 of it, no license."]
     got = licences.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
     assert [r.licences for r in got] == ["MIT", "MIT", "MIT", "MPL-2.0", "MPL-2.0", "AGPL-3.0-or-later", "", ""]
-    assert all(any(c in s for c in licences.CUES) for s in licences.MORE_SENTENCES.values())
-    assert all(k in licences.SENTENCES | licences.MORE_SENTENCES for _, ids in licences.MORE_RULES for k in ids)
 
 
 def test_licences_by_clauses_tags_and_waivers(spark):
@@ -297,6 +297,51 @@ means."""
     assert [r.licences for r in got] == ["BSD,BSD-2-Clause", "BSD,BSD-3-Clause", "Unlicense", "EPL-2.0", "CC0-1.0", "CC0-1.0", "GPL-2.0-only", "MIT", "", "BSD"]
 
 
+NAMING = {
+    "This project is licensed under the MIT License - see the LICENSE.md file for details.": "MIT",
+    "Licensed under the BSD 3-Clause License.": "BSD-3-Clause",
+    "SPDX: Apache-2.0 OR MIT": "Apache-2.0,MIT",
+    "// SPDX-License-Identifier: (GPL-2.0+ WITH Classpath-exception-2.0) OR MIT": "GPL-2.0-or-later,MIT",
+    "SPDX-License-Identifier: GPL-2.0": "GPL-2.0-only",
+    "x SPDX-License-Identifier: LGPL-2.1-only */": "LGPL-2.1-only",
+    "This work is licensed under a Creative Commons Attribution 4.0 International License.": "CC-BY-4.0",
+    "This text is available under the Creative Commons Attribution-ShareAlike 3.0 Unported License.": "CC-BY-SA-3.0",
+    "Dual licensed under the MIT license and the Apache License, v. 2.0.": "MIT,Apache-2.0",
+    "This program is distributed under the terms of the GNU General Public Licence version 2 or any later version.": "GPL-2.0-or-later",
+    "Released under the GNU LGPL v3 (https://www.gnu.org/licenses/lgpl-3.0.html)": "LGPL-3.0-only",
+    "Licensed under the MIT and something of ours.": "",
+    "Licensed under no terms at all, see the MIT license": "",
+    "The door was left open. We walked in under the mit of a spdx.": "",
+}
+COMMON = "/usr/share/common-licenses"
+UNEDITED = {"Apache-2.0": "Apache-2.0", "Artistic": "Artistic-1.0", "BSD": "BSD,BSD-3-Clause", "CC0-1.0": "CC0-1.0", "GFDL-1.2": "GFDL-1.2-only", "GFDL-1.3": "GFDL-1.3-only", "GPL-1": "GPL-1.0-only", "GPL-2": "GPL-2.0-only", "GPL-3": "GPL-3.0-only", "LGPL-2": "LGPL-2.0-only", "LGPL-2.1": "LGPL-2.1-only", "LGPL-3": "LGPL-3.0-only", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0"}
+
+
+def test_licences_called_by_name_and_unedited_texts_as_in_sql(spark):
+    """Names, expressions, tails and whole texts, and the SQL of the whole catalogue on the same rows."""
+    import duckdb
+    import pandas as pd
+
+    want = dict(NAMING)
+    if os.path.isdir(COMMON):
+        texts = {f: open(f"{COMMON}/{f}", errors="replace").read() for f in UNEDITED if os.path.isfile(f"{COMMON}/{f}")}
+        want |= {text: UNEDITED[f] for f, text in texts.items()}
+        notice = texts["GPL-2"][texts["GPL-2"].index("    This program is free software; you") :].split("    You should have")[0]
+        want |= {notice: "GPL-2.0-or-later", notice + "\n\n" + texts["GPL-2"]: "GPL-2.0-or-later,GPL-2.0-only", texts["GPL-3"] + "\n\n" + notice: "GPL-3.0-only,GPL-2.0-or-later"}
+    rows = [(i, text) for i, text in enumerate(want)] + [(None, "Licensed under the MIT"), (None, "Licensed under the MIT"), (0, next(iter(want))), (-1, None), (-2, "")]
+    got = licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
+    found = {r.doc_id: r.licences for r in got.itertuples() if r.doc_id >= 0}
+    for i, text in enumerate(want):
+        assert found[i] == want[text], text[:90]
+    assert len(got) == len(rows) and list(got[got.doc_id.isna()].licences) == ["MIT", "MIT"]
+    assert all(any(re.search(c, "licensed under " + name) for c in licences.CUES) for name in licences.NAMES)
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame({"doc_id": pd.array([r[0] for r in rows], "Int64"), "text": [r[1] for r in rows]}))
+    sql = con.execute(licences.ORACLE_SQL).fetchall()
+    key = lambda r: tuple(str(x) for x in r)
+    assert sorted(map(key, sql)) == sorted(key((None if r.doc_id != r.doc_id else int(r.doc_id), r.n_sentences, r.sentences, r.licences)) for r in got.itertuples())
+
+
 def test_packing_of_nulls_repeats_and_named_clusters(spark):
     rows = [(None, "a b", None, None, 1)] * 2 + [(1, "c d", "s", None, 2), (2, "e f", None, "k", 3), (3, "g h", None, "k", 4), (4, "i j", None, None, 5), (4, "i j", None, None, 5), (5, None, None, None, 6), (6, "", "s", None, 7), (7, "z " * 5000, None, "k", 8)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, cluster string, shard int")
