@@ -4,6 +4,7 @@ import os
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -102,6 +103,34 @@ def test_dual_coordinate_descent_reaches_the_optimum():
     assert ((margin > 0) == (y == 1)).all()
 
 
+def test_dual_coordinate_descent_equals_the_dual_optimum():
+    """Rows that no plane separates: the dual's optimum by projected gradients over the whole matrix, and
+    the weights that follow from it, drawn towards their mean as the operator does."""
+    rng = np.random.default_rng(6)
+    y = (rng.random(60) < 0.3).astype(int)
+    rows = [np.unique(rng.integers(0, 12, 6) + 4 * own * (rng.random() < 0.7)) for own in y]
+    ratio = np.zeros(quality.FEATURES)
+    ratio[:16] = rng.normal(0, 1, 16)
+    x = np.zeros((60, 16))
+    for i, r in enumerate(rows):
+        x[i, r] = ratio[r] / np.sqrt((ratio[r] ** 2).sum())
+    signed = x * np.where(y == 1, 1.0, -1.0)[:, None]
+    upper = 60 / 2 / np.where(y == 1, y.sum(), 60 - y.sum())  # classes weigh the same
+    gram, alpha = signed @ signed.T, np.zeros(60)
+    step = 1 / np.linalg.eigvalsh(gram).max()
+    for _ in range(200_000):
+        alpha = np.clip(alpha + step * (1 - gram @ alpha), 0, upper)
+    w = signed.T @ alpha
+    primal = lambda v: 0.5 * v @ v + (upper * np.maximum(0, 1 - signed @ v)).sum()
+    assert primal(w) - (alpha.sum() - 0.5 * alpha @ gram @ alpha) < 1e-4 * primal(w)  # no gap: it is the optimum
+    assert 0 < (alpha > 1e-6).sum() and (alpha > upper - 1e-6).any()
+    mean = np.abs(w).sum() / quality.FEATURES
+    got = quality._descend(rows, y, ratio, rounds=3000)
+    assert np.abs(got[:16] - (0.75 * w + 0.25 * mean * np.sign(w))).max() < 0.01 * np.abs(w).max() and not got[16:].any()
+    early = (quality._descend(rows, y, ratio)[:16] - 0.25 * mean * np.sign(w)) / 0.75
+    assert primal(early) < 1.02 * primal(w)  # twelve rounds are near it
+
+
 def test_label_model_finds_accuracies():
     rng = np.random.default_rng(0)
     y = rng.random(4000) < 0.2
@@ -128,6 +157,65 @@ def test_label_model_equals_plain_em():
     assert np.abs(got.weights[:-1] - 1).max() < 0.2 and ((got.posterior(votes) > 0.5) == (q > 0.5)).mean() > 0.97
 
 
+def echoed(echoes):
+    """Thirty-one voters, some of which speak along with the first, nearly always, which class 0 has oftener
+    than others; the posterior by Bayes' rule over the joint distribution (given the first voter, echoes
+    tell nothing about the class); rows where only the first and its echoes speak; the label model."""
+    rng = np.random.default_rng(8)
+    y = rng.random(8000) < 0.2
+    a, b = np.append(0.15, rng.uniform(0.08, 0.2, 30)), np.append(0.02, np.full(30, 0.003))
+    own = np.where(y[:, None], rng.random((8000, 31)) < a, rng.random((8000, 31)) < b)
+    votes = np.concatenate([own, own[:, :1] & (rng.random((8000, echoes)) < 0.95)], axis=1).astype(float)
+    votes = np.concatenate([votes, votes.sum(axis=1, keepdims=True) == 0], axis=1)
+    odds = np.log(0.2 / 0.8) + (own * np.log(a / b) + ~own * np.log((1 - a) / (1 - b))).sum(axis=1)
+    return votes, 1 / (1 + np.exp(-odds)), own[:, 0] & ~own[:, 1:].any(axis=1), toxicity.label_model(votes, 0.2)
+
+
+@pytest.mark.parametrize("echoes", [1, 3, 5])
+def test_label_model_weighs_echoes_as_one_voter(echoes):
+    """The weights of a voter and its echoes add up to about one voter; the others keep theirs."""
+    votes, _, _, model = echoed(echoes)
+    group = model.weights[[0, *range(31, 31 + echoes)]]
+    assert 0.9 < group.sum() < 1.2 and model.weights[1:31].min() > 0.8
+    odds = [np.log(model.prior / (1 - model.prior)) + sum(w * np.log(r1 / r0) for w, r0, r1, v in zip(model.weights, *model.rates, row, strict=True) if v) for row in votes[:500]]
+    assert np.abs(model.posterior(votes[:500]) - 1 / (1 + np.exp(-np.array(odds)))).max() < 1e-9
+
+
+@pytest.mark.xfail(strict=True, reason="rates are those of voters that speak for class 1 only: what an echoed voter says in class 0 is taken for class 1")
+def test_label_model_on_rows_of_an_echoed_voter_alone():
+    _, exact, alone, model = echoed(3)
+    votes = echoed(3)[0]
+    assert np.abs(model.posterior(votes) - exact)[alone].mean() < 0.5
+
+
+def test_toxicity_scores_by_hand():
+    """Scores are the offset and the weights of a text's distinct words, stems and patterns, once each."""
+    import re
+
+    from veritally.llm import textnum as tn
+
+    def found(text):
+        out = {101} if "!!" in text else set()
+        out |= {102} if "??" in text else set()
+        out |= {103} if re.search("[A-Z]{4}", text) else set()
+        for word in re.findall("[a-z]+", text.lower()):
+            for n, times in ((len(word), 1), *((n, 2 * n + 1) for n in toxicity.STEMS if len(word) > n)):
+                b = np.frombuffer(word[:n].encode(), np.uint8)
+                out.add(int(tn.span_hashes(b, np.array([0]), np.array([n]))[0]) * times % 2**64)
+        return out
+
+    rng = np.random.default_rng(5)
+    calm, bad = "table river window garden morning letter silver".split(), "idiot moron stupid scum worthless".split()
+    make = lambda words: " ".join(rng.choice(words, 12))
+    texts = [make(calm) for _ in range(80)] + [make(calm + bad * 2) + "!!" for _ in range(40)]
+    model = toxicity.fit(texts, np.array([0] * 80 + [1] * 40))
+    tried = ["", "river river", "You STUPID idiot!! idiot", "worthlessness of a garden??", "stupidly x", texts[-1]]
+    (first, buf, off), = tn.slices(pa.array(tried, pa.string()))
+    weight = dict(zip(model.keys.tolist(), model.weights.tolist(), strict=True))
+    want = [1 / (1 + np.exp(-(model.offset + sum(weight.get(f, 0.0) for f in found(t))))) for t in tried]
+    assert np.abs(model.scores(buf, off) - want).max() < 1e-9 and want[-1] > want[2] > want[1]
+
+
 def test_kernel_by_its_definition():
     """Shares of languages from kernels over sets of n-grams, against the folded matrix."""
     rng = np.random.default_rng(2)
