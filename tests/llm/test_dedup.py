@@ -193,6 +193,28 @@ def _changed(rng, line, rate):
     return "".join(out)
 
 
+def test_forms_meet_their_pairs_in_cells(spark):
+    """A hub, a list of all pairs and single pairs: however small the cells, the links are those of the edit distance."""
+    rng = random.Random(12)
+    base = "".join(rng.choice("abcdef ") for _ in range(120))
+    form = {0: base}
+    for i in range(1, 90):
+        t = list(base)
+        for _ in range(rng.randrange(30)):
+            t[rng.randrange(len(t))] = rng.choice("abcdefxyz")
+        form[i] = "".join(t)
+    pairs = [(0, i, 1) for i in range(1, 90)] + [(i, j, 2) for i in range(1, 30) for j in range(i + 1, 30)] + [(i, i + 1, i) for i in range(40, 80)]
+    most = np.full(len(pairs), 12)
+    ok = edits.within([form[a] for a, _, _ in pairs], [form[b] for _, b, _ in pairs], most)
+    want = {p[:2] for p, x in zip(pairs, ok, strict=True) if x}
+    df = spark.createDataFrame([(*p, 240) for p in pairs], "a long, b long, key long, sizes long")
+    forms = spark.createDataFrame(list(form.items()), "node long, form string")
+    assert 20 < len(want) < len(pairs) - 20
+    for chars in (2000, 1 << 23):
+        assert {(r.a, r.b) for r in line_dedup._similar(df, forms, 0.9, chars).collect()} == want
+    assert line_dedup._similar(df.limit(0), forms, 0.9).count() == 0
+
+
 def test_template_lines_lose_no_link(spark):
     """Lines of which most is one template, so that lists hold hundreds; two words of each pair are changed. End to end."""
     rng = random.Random(1)

@@ -14,6 +14,8 @@ import numpy as np
 CELLS = 1 << 19
 #: From this bound on, pairs whose runs of so many characters differ too much are told apart first.
 COUNTED, RUNS = 300, (5, 7, 9)
+#: Below it, runs of so many characters are counted by 2^n classes.
+KINDS = ((2, 8), (5, 12))
 
 
 def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -59,14 +61,21 @@ def _grams(code: np.ndarray, size: int) -> np.ndarray:
         return np.sort(h * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(20))
 
 
-def _neighbours(code: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """texts x 256: how many pairs of neighbouring characters fall in each class."""
+def _counts(code: np.ndarray, at: np.ndarray, n: np.ndarray, run: int, kinds: int) -> np.ndarray:
+    """texts x 2^kinds: how many runs of ``run`` characters fall in each class, 255 at most."""
+    h = np.zeros(max(len(code) - run + 1, 0), np.uint32)
     with np.errstate(over="ignore"):
-        kind = ((code[:-1].astype(np.uint32) * np.uint32(31) + code[1:]) * np.uint32(0x9E3779B1)) >> np.uint32(24)
-    n = np.maximum(n - 1, 0)
-    row = np.repeat(np.arange(len(n)), n)
-    place = np.arange(n.sum()) + np.repeat(at - np.cumsum(n) + n, n)
-    return np.bincount(row * 256 + kind[place], minlength=256 * len(n)).reshape(-1, 256)
+        for k in range(run):
+            h = h * np.uint32(0x01000193) + code[k : k + len(h)]
+        kind = h * np.uint32(0x9E3779B1) >> np.uint32(32 - kinds)
+    n = np.maximum(n - run + 1, 0)
+    out = np.zeros((len(n), 1 << kinds), np.uint8)
+    for i in range(0, len(n), 256):
+        own = n[i : i + 256]
+        place = np.arange(own.sum()) + np.repeat(at[i : i + 256] - np.cumsum(own) + own, own)
+        row = np.repeat(np.arange(len(own)) << kinds, own)
+        out[i : i + 256] = np.minimum(np.bincount(row + kind[place], minlength=len(own) << kinds), 255).reshape(-1, 1 << kinds)
+    return out
 
 
 def _apart(x: np.ndarray, y: np.ndarray) -> int:
@@ -79,27 +88,37 @@ def _apart(x: np.ndarray, y: np.ndarray) -> int:
 
 def within(first: list[str], second: list[str], most: np.ndarray) -> np.ndarray:
     """For each pair of texts whether ``most`` edits (insert, delete, replace a character) suffice."""
+    return among([*first, *second], np.arange(len(first)), np.arange(len(first)) + len(first), most)
+
+
+def among(texts: list[str], x: np.ndarray, y: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """For each pair (x, y) of places in texts whether ``most`` edits suffice. What is counted of a text is counted once for all its pairs."""
     most = np.asarray(most, np.int64)
-    out = np.zeros(len(first), bool)
-    a, at_a = _codes(first)
-    b, at_b = _codes(second)
-    if a.dtype != b.dtype:
-        a, b = a.astype("<u4"), b.astype("<u4")
-    n, m = np.diff(at_a) - 4, np.diff(at_b) - 4
+    out = np.zeros(len(x), bool)
+    a, at = _codes(texts)
+    size = np.diff(at) - 4
+    n, m, at_a, at_b = size[x], size[y], at[x], at[y]
     todo = np.abs(m - n) <= most
     for p in np.flatnonzero(todo & (most >= COUNTED)):  # an edit changes ``size`` runs of each text at most
-        x, y = a[at_a[p] : at_a[p] + n[p]], b[at_b[p] : at_b[p] + m[p]]
-        todo[p] = all(_apart(_grams(x, size), _grams(y, size)) <= 2 * size * most[p] for size in RUNS)
-    some = np.flatnonzero(todo & (most >= 4) & (most < COUNTED))  # an edit changes two pairs of neighbours of each
-    if len(some):
-        todo[some] = np.abs(_neighbours(a, at_a[some], n[some]) - _neighbours(b, at_b[some], m[some])).sum(axis=1) <= 4 * most[some]
+        one, other = a[at_a[p] : at_a[p] + n[p]], a[at_b[p] : at_b[p] + m[p]]
+        todo[p] = all(_apart(_grams(one, k), _grams(other, k)) <= 2 * k * most[p] for k in RUNS)
+    for run, kinds in KINDS:  # an edit changes ``run`` runs of each text at most; unlike texts share common short runs, but few long ones
+        some = np.flatnonzero(todo & (most >= 4) & (most < COUNTED))
+        for i in range(0, len(some), 1 << 13):
+            own = some[i : i + (1 << 13)]
+            used = np.unique(np.concatenate([x[own], y[own]]))
+            count = _counts(a, at[used], size[used], run, kinds)
+            for k in range(0, len(own), 512):
+                part = own[k : k + 512]
+                one, other = count[np.searchsorted(used, x[part])], count[np.searchsorted(used, y[part])]
+                todo[part] = (np.maximum(one, other) - np.minimum(one, other)).sum(axis=1, dtype=np.int64) <= 2 * run * most[part]
     order = np.flatnonzero(todo)
     order = order[np.argsort(most[order], kind="stable")]
     while len(order):
         width = most[order] + 3
         own = order[: max(1, int(np.searchsorted(np.maximum.accumulate(width) * np.arange(1, len(order) + 1), CELLS)))]
         order = order[len(own) :]
-        out[own] = _reach(a, b, at_a[own], at_b[own], n[own], m[own], most[own])
+        out[own] = _reach(a, a, at_a[own], at_b[own], n[own], m[own], most[own])
     return out
 
 

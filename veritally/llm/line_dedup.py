@@ -30,6 +30,8 @@ from veritally.llm.tables import bloom_filters, drop, free, marked, materialise,
 SIMILARITY, BLOCKS, RUN, FEW = 0.9, 6, 3, 10
 #: Bits of a line's sketch, and from how many characters on it has four times as many.
 PARITY, LONG, FLIPS = 256, 160, 6
+#: Characters of the pairs that one group verifies.
+CELL = 1 << 23
 
 _rng = np.random.default_rng(20260301)
 #: Each block's weights: a feature weighs the more, the less its hash times the block's factor.
@@ -210,19 +212,34 @@ def _normal_lines(wanted: DataFrame) -> DataFrame:
     return wanted.mapInArrow(run, "node long, form string")
 
 
-def _similar(pairs: DataFrame, similarity: float) -> DataFrame:
-    """Of pairs (a, b, form_a, form_b) those at the similarity."""
+def _similar(pairs: DataFrame, forms: DataFrame, similarity: float, chars: int = CELL) -> DataFrame:
+    """Of pairs (a, b, key, sizes) those whose forms (node, form) are at the similarity.
 
-    def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
-                x, y = part.column("form_a").to_pylist(), part.column("form_b").to_pylist()
-                longer = np.maximum(np.fromiter(map(len, x), np.int64, len(x)), np.fromiter(map(len, y), np.int64, len(y)))
-                ok = edits.within(x, y, np.floor((1 - similarity + 1e-9) * longer).astype(np.int64))
-                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], names=["a", "b"]).filter(pa.array(ok))
-
-    return pairs.mapInArrow(run, "a long, b long")
+    A form goes where its pairs are, once for all those of a cell, and not once a pair. A cell holds
+    pairs of a key; a key of more than ``chars`` characters of pairs is a square of cells, by hashes of both
+    nodes, and a cell that is still too large, as a hub's, is cut by pairs. Small ones share a task.
+    """
+    total = pairs.agg(F.sum("sizes")).first()[0] or 0
+    parts = F.lit(max(1, -(-total // chars)))
+    hot = pairs.groupBy("key").agg(F.sum("sizes").alias("_n")).where(F.col("_n") > chars).select("key", F.ceil(F.sqrt(F.col("_n") / chars)).alias("_side"))
+    side = F.coalesce("_side", F.lit(1))
+    cells = pairs.join(hot, "key", "left").select("a", "b", "sizes", F.xxhash64("key", F.pmod(F.xxhash64("a"), side), F.pmod(F.xxhash64("b"), side)).alias("cell"))
+    hot = cells.groupBy("cell").agg(F.sum("sizes").alias("_n")).where(F.col("_n") > 2 * chars).select("cell", F.ceil(F.col("_n") / chars).alias("_cuts"))
+    cut = F.when(F.col("_cuts").isNotNull(), F.pmod(F.xxhash64("a", "b"), "_cuts")).otherwise(0)
+    cells = materialise(cells.join(hot, "cell", "left").select("a", "b", F.pmod(F.xxhash64("cell", cut), parts).alias("cell")), "cells")
+    ends = cells.select(F.col("cell").alias("at"), F.explode(F.array("a", "b")).alias("node")).distinct().join(forms, "node")
+
+    def run(part: pa.Table, texts: pa.Table) -> pa.Table:
+        node, form = texts.column("node").to_numpy(), texts.column("form").to_pylist()
+        order = np.argsort(node)
+        x, y = (order[np.searchsorted(node, part.column(c).to_numpy(), sorter=order)] for c in "ab")
+        size = np.fromiter(map(len, form), np.int64, len(form))
+        ok = edits.among(form, x, y, np.floor((1 - similarity + 1e-9) * np.maximum(size[x], size[y])).astype(np.int64))
+        return part.select(["a", "b"]).filter(pa.array(ok))
+
+    links = materialise(cells.groupBy("cell").cogroup(ends.groupBy("at")).applyInArrow(run, "a long, b long"), "similar")
+    drop(cells)
+    return links
 
 
 def duplicate_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -260,13 +277,12 @@ def duplicate_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
         drop(places, texts)
         del places, texts  # with the shuffle files of the texts, before the forms meet the pairs
         free(spark)
-        form = lambda x: forms.select(F.col("node").alias(x), F.col("form").alias(f"form_{x}"))
-        links = materialise(_similar(pairs.join(form("a"), "a").join(form("b"), "b"), similarity), "similar")
+        links = _similar(pairs, forms, similarity)
         drop(forms)
         return links
 
     close = F.expr(f"{_bits_apart('sketch', 'other_sketch')} <= {FLIPS} * floor({1 - similarity + 1e-9} * greatest(size, other_size))")
-    found = link(posts, verify, similarity, sketches=sketches, close=close, hubs=1)
+    found = link(posts, verify, similarity, sketches=sketches, close=close, hubs=1, keyed=True)
     # only lines of several places, and those with links, have groups of more than one
     with bloom_filters(docs.sparkSession):
         linked = materialise(nodes.join(marked(found, "found").hint("merge"), "node"), "linked")

@@ -63,19 +63,22 @@ def _joined(found: DataFrame, links: DataFrame) -> DataFrame:
     return out
 
 
-def link(posts: DataFrame, verify: Callable[[DataFrame], DataFrame], ratio: float, near: Callable[[DataFrame], DataFrame] | None = None, sketches: DataFrame | None = None, close: Column | None = None, hubs: int = 2) -> DataFrame:
+def link(posts: DataFrame, verify: Callable[[DataFrame], DataFrame], ratio: float, near: Callable[[DataFrame], DataFrame] | None = None, sketches: DataFrame | None = None, close: Column | None = None, hubs: int = 2, keyed: bool = False) -> DataFrame:
     """(node, component) of all nodes with a link.
 
     posts: (key, node, pri, size), from a written table, without repeated (key, node); a higher
     pri (from 0) makes a likelier hub; the smaller of two linked nodes has ``ratio`` of the other's
     size (an integer from 1) at least. near may thin out distinct pairs (a, b) by what every link
     meets; sketches (node, sketch) and close, a condition over size, sketch, other_size and
-    other_sketch, do so within the join of step 4. verify takes such pairs, materialised, and returns the links.
+    other_sketch, do so within the join of step 4. verify takes such pairs, materialised, and returns the links;
+    if keyed, each comes with one key that it shares and with both sizes' sum (a, b, key, sizes).
     """
     ratio = 0.999 * ratio  # sizes at the very ratio stay in
+    more = ["key", (F.col("size").cast("long") + F.col("other_size")).alias("sizes")] if keyed else []
 
     def links(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), *more)
+        pairs = pairs.groupBy("a", "b").agg(F.min("key").alias("key"), F.max("sizes").alias("sizes")) if keyed else pairs.distinct()
         pairs = materialise(near(pairs) if near else pairs, "near-pairs")
         found = materialise(verify(pairs), "links")
         drop(pairs)
@@ -87,13 +90,13 @@ def link(posts: DataFrame, verify: Callable[[DataFrame], DataFrame], ratio: floa
     rank = F.expr("(least(cast(512 * log2(1 + pri) as bigint), 32767L) * 281474976710656L) + (node & 281474976710655L)")
     lists = posts.groupBy("key").agg(F.count("*").alias("n"), F.max(rank).alias("top"), F.min("node").alias("low"), F.bit_xor("node").alias("both"), F.min("size").alias("size"), F.max("size").alias("other_size")).where("n > 1")
     lists = materialise(lists, "lists")
-    twos = lists.where("n = 2").where(like).select(F.col("low").alias("a"), F.expr("low ^ both").alias("b"))
+    twos = lists.where("n = 2").where(like).select(F.col("low").alias("a"), F.expr("low ^ both").alias("b"), "key", "size", "other_size")
     # a list of two is done; longer ones can hold links that their hub has no part in
     with bloom_filters(posts.sparkSession):
         members = posts.join(lists.where("n > 2").select("key", "top").hint("merge"), "key").select("key", "node", "pri", "size", (rank == F.col("top")).alias("hub"))
         members = materialise(members, "members")
     hub = members.where("hub").select("key", F.col("node").alias("b"), F.col("size").alias("other_size"))
-    star = members.select("key", F.col("node").alias("a"), "size").join(hub, "key").where("a <> b").where(like).select("a", "b")
+    star = members.select("key", F.col("node").alias("a"), "size").join(hub, "key").where("a <> b").where(like).select("a", "b", "key", "size", "other_size")
     edges = links(twos.unionByName(star))
     drop(lists)
     found = components(edges)
@@ -122,11 +125,11 @@ def link(posts: DataFrame, verify: Callable[[DataFrame], DataFrame], ratio: floa
             best = left.select("key", F.col("node").alias("b"), F.col("component").alias("other"), F.col("size").alias("other_size"), *[F.col(c).alias(f"other_{c}") for c in more_of], bands).select("key", "b", "other", "other_size", *[f"other_{c}" for c in more_of], "x.band", "x.own")
             pairs = mine.join(best, ["key", "band"]).where("component < other or (component <> other and not own)").where(like)
             pairs = pairs if close is None else pairs.where(close)
-        more = links(pairs.where(like).select("a", "b"))
+        new = links(pairs.where(like))
         drop(of, state, left)
-        if more.limit(1).count():
-            found, old = _joined(found, more), found
+        if new.limit(1).count():
+            found, old = _joined(found, new), found
             drop(old)
-        drop(more)
+        drop(new)
     drop(members)
     return found
