@@ -372,6 +372,16 @@ def test_names_and_errors(spark):
     assert [r.c for r in cells.collect()] == ["0.500", "—"]
 
 
+def test_cells_round_doubles_as_the_sql_does(spark):
+    import duckdb
+
+    values = [k / 80 for k in range(81)] + [k / 2000 for k in range(2001)] + [0.5025, 0.5075, 0.0625, 0.0078125, 1.0, -0.5025]
+    got = spark.createDataFrame(list(enumerate(values)), "i int, x double").select("i", tx.metric_cell(tx.rounded_double("x", 6)).alias("c")).orderBy("i").collect()
+    want = duckdb.sql(f"select printf('%.3f', round(round(x, 6), 3)) from (select unnest({values!r}::double[]) as x, unnest(range({len(values)})) as i) order by i").fetchall()
+    assert [r.c for r in got] == [w[0] for w in want]
+    assert got[2082].c == "0.502" and got[2083].c == "0.507"
+
+
 def test_streams_stop_and_go_on(spark, tmp_path):
     """Runs over a growing folder, of several micro-batches each, give what one batch gives, and read each row once."""
     schema = "evaluator long, seq long, action string, image_no long, choice string, detector string, error string, is_ai_modified boolean, label string"

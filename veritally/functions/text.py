@@ -93,6 +93,16 @@ def error_class(error: Column | str) -> Column:
     )
 
 
+def rounded_double(x: Column | str, digits: int) -> Column:
+    """A double rounded as doubles are: the product with 10^digits to the next integer, half away from zero.
+
+    ``F.round`` rounds the decimal digits that a double is written with: 0.5025 to 0.503, where the
+    product is 502.49999999999994 and so gives 0.502.
+    """
+    power = 10.0**digits
+    return F.round(col(x) * power, 0) / power
+
+
 def metric_cell(x: Column | str) -> Column:
     """Three decimals, or a dash where the metric is undefined."""
-    return F.when(col(x).isNull(), "—").otherwise(F.format_string("%.3f", col(x)))
+    return F.when(col(x).isNull(), "—").otherwise(F.format_string("%.3f", rounded_double(x, 3)))

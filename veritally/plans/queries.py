@@ -379,7 +379,7 @@ def combined_table(spark, d):
 
 @query
 def format_cells(spark, d):
-    return _metrics(spark, d).select("mode", "category", "detector", *[tx.metric_cell(F.round(c, 6)).alias(c) for c in mt.metric_names(GENERATORS)])
+    return _metrics(spark, d).select("mode", "category", "detector", *[tx.metric_cell(tx.rounded_double(c, 6)).alias(c) for c in mt.metric_names(GENERATORS)])
 
 
 # store
