@@ -1,5 +1,6 @@
 """Edge cases of the jobs, on rows made by hand."""
 
+import hashlib
 import random
 
 import pytest
@@ -358,6 +359,37 @@ def test_queue_is_balanced(spark):
     assert sorted(r.image_id for r in all_of) == sorted(f"i{i}" for i in range(200)) and [r.pos for r in all_of] == list(range(1, 201))
 
 
+def _queue_by_hand(catalog, evaluator, seed, per_evaluator):
+    h = lambda x: int(hashlib.md5(f"{seed}|{evaluator}|{x}".encode()).hexdigest()[:15], 16)
+    sides = [sorted((h(i), i) for i, label, _ in catalog if label == side)[:per_evaluator] for side in ("fake", "real")]
+    ranked = sorted((r, k, i) for k, side in enumerate(sides) for r, (_, i) in enumerate(side))
+    return [i for _, _, i in ranked][:per_evaluator]
+
+
+@pytest.mark.parametrize("per_evaluator", [7, 60, 500])
+def test_queue_is_ordered_for_each_evaluator_alone(spark, in_parts, per_evaluator):
+    rows = [(f"i{i}", "real" if i % 4 == 0 else "fake", f"r{i % 9}") for i in range(2000)]
+    cat = spark.createDataFrame(rows, "image_id string, true_label string, review string")
+    queue = human.labelling_queue(cat, spark.createDataFrame([("ann",), ("bob",), ("cy",)], "evaluator string"), 7, per_evaluator)
+    got = {}
+    for r in queue.orderBy("evaluator", "pos").collect():
+        got.setdefault(r.evaluator, []).append(r.image_id)
+    assert got == {e: _queue_by_hand(rows, e, 7, per_evaluator) for e in ("ann", "bob", "cy")}
+
+
+def test_queue_fills_sides_whose_least_hashes_are_too_few(spark, in_parts, monkeypatch):
+    rows = [(f"i{i}", "real" if i % 4 == 0 else "fake", f"r{i % 9}") for i in range(2000)]
+    cat = spark.createDataFrame(rows, "image_id string, true_label string, review string")
+    hashed = human.keyed_hash
+    # hashes in the upper half alone, in the same order: far fewer than expected lie below the bound
+    monkeypatch.setattr(human, "keyed_hash", lambda *parts: F.shiftright(hashed(*parts), 1) + F.lit(2**59))
+    queue = human.labelling_queue(cat, spark.createDataFrame([("ann",), ("bob",)], "evaluator string"), 7, 40)
+    got = {}
+    for r in queue.orderBy("evaluator", "pos").collect():
+        got.setdefault(r.evaluator, []).append(r.image_id)
+    assert got == {e: _queue_by_hand(rows, e, 7, 40) for e in ("ann", "bob")}
+
+
 def test_names_and_errors(spark):
     df = spark.createDataFrame([("  a b/c ",), ("   ",), (None,)], "x string").select(tx.safe_name("x").alias("n"))
     assert [r.n for r in df.collect()] == ["a_b_c", "anonymous", "anonymous"]

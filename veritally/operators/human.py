@@ -147,20 +147,25 @@ def human_progress(catalog: DataFrame, standing: DataFrame, logs: DataFrame, key
 
 
 def labelling_queue(catalog: DataFrame, evaluators: DataFrame, seed: int, per_evaluator: int, key: str = "image_id") -> DataFrame:
-    """evaluator, pos, key, true_label, ...: real and fake by turns.
+    """evaluator, pos, key, true_label, ...: real and fake by turns, in a hashed order of each evaluator's own.
 
-    Each side of the catalogue is numbered once in hashed order, for all; an evaluator reads on from
-    a hashed place of their own, round the end, until ``per_evaluator`` images: an equi-join of
-    the numbers wanted, so the catalogue meets nobody as a whole. A side that ends early
-    leaves its places empty and positions stay dense.
+    Every image has a hash for every evaluator, and of each side the ``per_evaluator`` least are
+    an evaluator's, in their order; catalog names an image once. Hashes are even, so those below a bound
+    hold the least ones all but surely, and only these are sorted. Where they are too few, all
+    other images of that side follow. A side that ends early leaves its places empty and positions stay dense.
     """
-    rows = placed(written(catalog.withColumn("_h", keyed_hash(F.lit(str(seed)), key)), "queue"), ["true_label"], ["_h", key], "queue")
-    rows = numbered(rows, ["true_label"], "queue").drop("_h", "place", "block")
-    sides = rows.groupBy("true_label").agg(F.count("*").alias("_n"))
-    who = evaluators.select("evaluator", F.explode(F.array(F.lit("real"), F.lit("fake"))).alias("true_label")).distinct().join(sides, "true_label").withColumn("_from", F.pmod(keyed_hash(F.lit(str(seed)), "evaluator"), F.col("_n")))
-    wanted = who.select("evaluator", "true_label", F.posexplode(F.sequence(F.lit(0), F.least(F.lit(per_evaluator), "_n") - 1)).alias("_r", "_i"), "_n", "_from")
-    wanted = wanted.select("evaluator", "true_label", "_r", F.pmod(F.col("_from") + F.col("_i"), F.col("_n")).alias("pos"))
-    rows = rows.join(wanted, ["true_label", "pos"]).drop("pos")
+    catalog = written(catalog, "catalogue")
+    sides = catalog.groupBy("true_label").agg(F.count("*").alias("_n"))
+    who = evaluators.select("evaluator", F.explode(F.array(F.lit("real"), F.lit("fake"))).alias("true_label")).distinct().join(sides, "true_label")
+    likely = per_evaluator + 10 * per_evaluator**0.5 + 50
+    who = written(who.withColumn("_bound", F.expr(f"cast(1152921504606846976 * least(1, {likely} / _n) as bigint)")), "evaluators")
+    hashed = lambda who: catalog.join(who, "true_label").withColumn("_h", keyed_hash(F.lit(str(seed)), "evaluator", key))
+    rows = written(hashed(who).where("_h < _bound"), "queue")
+    drawn = rows.groupBy("evaluator", "true_label").agg(F.count("*").alias("_drawn"))
+    short = who.alias("w").join(drawn.alias("d"), F.expr("w.evaluator <=> d.evaluator and w.true_label = d.true_label"), "left").where(f"coalesce(_drawn, 0) < least({per_evaluator}, _n)").select("w.*")
+    rows = rows.unionByName(hashed(written(short, "short")).where("_h >= _bound")).drop("_n", "_bound")
+    rows = numbered(placed(rows, ["evaluator", "true_label"], ["_h", key], "queue"), ["evaluator", "true_label"], "queue")
+    rows = rows.where(F.col("pos") < per_evaluator).drop("_h", "place", "block").withColumnRenamed("pos", "_r")
     pos = F.row_number().over(Window.partitionBy("evaluator").orderBy("_r", "true_label"))
     return rows.withColumn("pos", pos).where(F.col("pos") <= per_evaluator).drop("_r")
 
