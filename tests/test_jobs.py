@@ -390,6 +390,21 @@ def test_queue_fills_sides_whose_least_hashes_are_too_few(spark, in_parts, monke
     assert got == {e: _queue_by_hand(rows, e, 7, 40) for e in ("ann", "bob")}
 
 
+def test_repeats_come_from_each_evaluators_own_order(spark):
+    rows = [(f"i{i}", "real" if i % 4 == 0 else "fake", f"r{i % 9}") for i in range(2000)]
+    cat = spark.createDataFrame(rows, "image_id string, true_label string, review string")
+    queue = human.labelling_queue(cat, spark.createDataFrame([("ann",), ("bob",)], "evaluator string"), 7, 100)
+    got = {(r.evaluator, r.pos, r.review, r.gap) for r in human.recency_repeats(queue, ["review"], 5).collect()}
+    review, want = {i: r for i, _, r in rows}, set()
+    for e in ("ann", "bob"):
+        last = {}
+        for pos, i in enumerate(_queue_by_hand(rows, e, 7, 100), 1):
+            gap = pos - last.get(review[i], -100)
+            want |= {(e, pos, review[i], gap)} if gap <= 5 else set()
+            last[review[i]] = pos
+    assert got == want
+
+
 def test_names_and_errors(spark):
     df = spark.createDataFrame([("  a b/c ",), ("   ",), (None,)], "x string").select(tx.safe_name("x").alias("n"))
     assert [r.n for r in df.collect()] == ["a_b_c", "anonymous", "anonymous"]
