@@ -6,10 +6,12 @@ import time
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from veritally.llm import decontam, edits, line_dedup, linking, near_dup
+from veritally.llm import textnum as tn
 from veritally.llm.tables import materialise
 
 DOC = "doc_id long, text string"
@@ -250,6 +252,41 @@ def test_recall_under_scattered_typos(spark):
     assert got >= 0.65 * len(pairs)
 
 
+def test_long_lines_of_a_hot_list_are_told_apart_in_its_join(spark, monkeypatch):
+    """Long lines of few syllables share most runs of three characters: none may come out as a pair to verify."""
+    r, verified, similar = random.Random(5), [], line_dedup._similar
+    syllables = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(2)) for _ in range(40)]
+    lines = ["a rare opening run " + " ".join("".join(r.choice(syllables) for _ in range(3)) for _ in range(85)) for _ in range(150)]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+
+    def counted(pairs, *rest):
+        verified.append(pairs.count())
+        return similar(pairs, *rest)
+
+    monkeypatch.setattr(line_dedup, "_similar", counted)
+    # a block that all lines share: that of their first word
+    monkeypatch.setattr(line_dedup, "_keys", lambda low, s, e, word, ptr: (word[ptr[:-1]].copy(), np.arange(len(ptr))))
+    gone = {(x.doc_id, k) for x in line_dedup.duplicate_lines(docs).collect() for k in x.lines}
+    want = [(i, j) for i in range(150) for j in range(i + 1, 150) if edits.within([lines[i]], [lines[j]], np.array([int(0.1 * max(len(lines[i]), len(lines[j])) + 1e-9)]))[0]]
+    assert not want and not gone and verified[1:] == [0]
+
+
+def test_finer_sketches_differ_in_few_bits_an_edit(spark):
+    r, rows = random.Random(6), []
+    for n in (3, 20, 84, 86, 170, 172, 340, 342, 700, 3000):
+        x = [r.choice("abcdeé 語") for _ in range(n)]
+        for d in (0, 1, 2, n // 20):
+            y = list(x)
+            for _ in range(d):
+                at = r.randrange(len(y) + 1)
+                y[at : at + r.randrange(2)] = r.choice(["", "q"])
+            rows.append(("".join(x), "".join(y), d))
+    x, y = ([a[k] for a in rows] for k in (0, 1))
+    sketch = [line_dedup._fine_sketches(*next(iter(tn.slices(pa.array(z))))[1:]).to_pylist() for z in (x, y)]
+    df = spark.createDataFrame([(*z, a[2]) for z, a in zip(zip(*sketch, strict=True), rows, strict=True)], "x array<long>, y array<long>, d int").selectExpr("d", "size(x) <> size(y) as folded", f"{line_dedup._fine_apart('x', 'y')} as apart").collect()
+    assert any(z.folded for z in df) and all(z.apart <= 2 * line_dedup.FINE * z.d for z in df)
+
+
 def test_sketches_differ_in_few_bits_an_edit(spark):
     """On both sides of the length where sketches grow, and across it."""
     rng, rows = random.Random(3), []

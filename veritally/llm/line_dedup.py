@@ -30,6 +30,8 @@ from veritally.llm.tables import bloom_filters, drop, free, marked, materialise,
 SIMILARITY, BLOCKS, RUN, FEW = 0.9, 6, 3, 10
 #: Bits of a line's sketch, and from how many characters on it has four times as many.
 PARITY, LONG, FLIPS = 256, 160, 6
+#: Finer sketches are of runs of so many characters, in 6 to 12 bits a character and 512 to 2^16 a line.
+FINE, FINE_BITS = 5, (9, 16)
 #: Characters of the pairs that one group verifies.
 CELL = 1 << 23
 
@@ -156,11 +158,66 @@ def _bits_apart(x: str, y: str) -> str:
     return f"if(size({x}) = {4 * n} and size({y}) = {4 * n}, {whole}, {folded})"
 
 
-def line_blocks(docs: DataFrame) -> DataFrame:
-    """doc_id, line, node and check (hashes of the normal form), chars, keys and sketch of each line with a word.
+def _fine_sketches(buf: np.ndarray, off: np.ndarray) -> pa.Array:
+    """Of each row the parities of its runs of FINE characters, by classes that grow with its length.
+
+    An edit changes FINE runs of either line at most. Long lines share most short runs and fill
+    sketches of few bits, so that nothing tells them apart; they share few of FINE characters.
+    """
+    start = np.flatnonzero((buf & 0xC0) != 0x80)
+    size = np.diff(np.append(start, len(buf)))
+    code = buf[start].astype(np.uint64)
+    for k in range(1, 4):
+        wide = np.flatnonzero(size > k)
+        code[wide] = code[wide] * np.uint64(256) + buf[start[wide] + k]
+    with np.errstate(over="ignore"):
+        run = np.zeros(max(len(code) - FINE + 1, 0), np.uint64)
+        for k in range(FINE):
+            run = run * np.uint64(0x9E3779B97F4A7C15) + code[k : k + len(run)]
+        run = (tn.mix(run) >> np.uint64(32)).astype(np.int64)
+    at = np.searchsorted(start, off)
+    chars = np.diff(at)
+    n = np.maximum(chars - FINE + 1, 0)
+    bits = np.int64(1) << np.clip(np.ceil(np.log2(6 * np.maximum(chars, 1))).astype(np.int64), *FINE_BITS)
+    ends = np.concatenate([[0], np.cumsum(bits)])
+    out, a = [np.zeros(0, np.int64)], 0
+    while a < len(n):
+        b = max(a + 1, int(np.searchsorted(ends, ends[a] + (1 << 20), side="right")) - 1)
+        row = np.repeat(np.arange(a, b), n[a:b])
+        place = np.arange(len(row)) + np.repeat(at[a:b] - np.cumsum(n[a:b]) + n[a:b], n[a:b])
+        kind = ends[row] - ends[a] + (run[place] & (bits[row] - 1))
+        out.append(np.packbits(np.bincount(kind, minlength=ends[b] - ends[a]).astype(np.uint8) & 1).view(np.int64))
+        a = b
+    return pa.ListArray.from_arrays(pa.array((ends // 64).astype(np.int32)), pa.array(np.concatenate(out)))
+
+
+def _fine_apart(x: str, y: str) -> str:
+    """In how many bits two finer sketches differ, of lines that are like in length: the longer sketch is folded once."""
+    fold = lambda x, y: f"aggregate(transform({y}, (v, i) -> bit_count(v ^ {x}[i] ^ {x}[i + size({y})])), 0, (s, v) -> s + v)"
+    same = f"aggregate(zip_with({x}, {y}, (v, w) -> bit_count(v ^ w)), 0, (s, v) -> s + v)"
+    return f"case when size({x}) = size({y}) then {same} when size({x}) = 2 * size({y}) then {fold(x, y)} when size({y}) = 2 * size({x}) then {fold(y, x)} else 0 end"
+
+
+def form_sketches(forms: DataFrame) -> DataFrame:
+    """node, sketch and fine (finer sketch) of forms (node, form)."""
+
+    def run(batches):
+        for batch in batches:
+            for first, buf, off in tn.slices(batch.column("form")):
+                low, _, _, _, s, e, ptr = _lines(buf, off)
+                chars = np.diff(np.concatenate([[0], np.cumsum((buf & 0xC0) != 0x80)])[off])
+                node = batch.column("node").slice(first, len(chars))
+                yield pa.RecordBatch.from_arrays([node, _sketch_lists(low, s, e, ptr, chars, np.ones(len(chars), bool)), _fine_sketches(buf, off)], names=["node", "sketch", "fine"])
+
+    return forms.mapInArrow(run, "node long, sketch array<long>, fine array<long>")
+
+
+def line_blocks(docs: DataFrame, sketched: bool = True) -> DataFrame:
+    """doc_id, line, node and check (hashes of the normal form), chars, keys and, if sketched, sketch of each line with a word.
 
     Of lines of a batch that are equal only the first has keys and sketch.
     """
+    names = ["doc_id", "line", "node", "check", "chars", "keys", *(["sketch"] if sketched else [])]
 
     def run(batches):
         for batch in batches:
@@ -184,11 +241,11 @@ def line_blocks(docs: DataFrame) -> DataFrame:
                 ends = np.concatenate([[0], np.cumsum(size * once)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids[first + rows[has]]), pa.array(number[has].astype(np.int32)), pa.array(node.view(np.int64)), pa.array(check.astype(np.int32)), pa.array(chars.astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.view(np.int64)), mask=pa.array(~once)),
-                     _sketch_lists(low, s, e, ptr, chars, once)],
-                    names=["doc_id", "line", "node", "check", "chars", "keys", "sketch"],
+                     *([_sketch_lists(low, s, e, ptr, chars, once)] if sketched else [])],
+                    names=names,
                 )
 
-    return docs.mapInArrow(run, "doc_id long, line int, node long, check int, chars int, keys array<long>, sketch array<long>")
+    return docs.mapInArrow(run, "doc_id long, line int, node long, check int, chars int, keys array<long>" + (", sketch array<long>" if sketched else ""))
 
 
 def _normal_lines(wanted: DataFrame) -> DataFrame:
@@ -248,11 +305,11 @@ def duplicate_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     if docs.schema["doc_id"].dataType.typeName() != "long":
         docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
     spark = docs.sparkSession
-    full = materialise(line_blocks(docs), "full-lines")
+    full = materialise(line_blocks(docs, sketched=False), "full-lines")
     lines = materialise(full.select("doc_id", "line", "node", "check"), "lines")
     least = F.min(F.struct("doc_id", "line", "check"))
-    whole = full.groupBy("node").agg(least.alias("first"), F.first("chars").alias("chars"), F.first("keys", ignorenulls=True).alias("keys"), F.first("sketch", ignorenulls=True).alias("sketch"), F.count("*").alias("n"))
-    whole = materialise(whole.select("node", "first.doc_id", "first.line", "first.check", F.col("chars").alias("size"), "keys", "sketch", "n"), "full-nodes")
+    whole = full.groupBy("node").agg(least.alias("first"), F.first("chars").alias("chars"), F.first("keys", ignorenulls=True).alias("keys"), F.count("*").alias("n"))
+    whole = materialise(whole.select("node", "first.doc_id", "first.line", "first.check", F.col("chars").alias("size"), "keys", "n"), "full-nodes")
     drop(full)
     free(spark)
     posts = whole.select(F.explode("keys").alias("key"), "node", F.col("n").alias("pri"), "size")
@@ -260,13 +317,15 @@ def duplicate_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     shared = marked(posts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "shared")
     with bloom_filters(spark):
         posts = materialise(posts.join(shared.hint("merge"), "key"), "posts")
-    nodes, sketches = materialise(whole.drop("keys", "sketch", "size"), "nodes"), materialise(whole.select("node", "sketch"), "sketches")
+    nodes = materialise(whole.drop("keys", "size"), "nodes")
     drop(shared, whole)
     free(spark)
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        """By the edit distance of the normal forms, fetched for the nodes of these pairs alone."""
-        ids = marked(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ids")
+    held: list[DataFrame] = []
+
+    def forms_of(ids: DataFrame) -> DataFrame:
+        """node and normal form of these nodes (node) alone."""
+        ids = marked(ids.distinct(), "ids")
         with bloom_filters(docs.sparkSession):
             places = materialise(nodes.select("node", "doc_id", "line").join(ids.hint("merge"), "node"), "of-ids")
         drop(ids)
@@ -275,13 +334,25 @@ def duplicate_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
         texts = only_ids(docs, places, ["doc_id", "text"], "texts")
         forms = materialise(_normal_lines(texts.join(places, "doc_id").select("text", "lines")).dropDuplicates(["node"]), "forms")
         drop(places, texts)
-        del places, texts  # with the shuffle files of the texts, before the forms meet the pairs
+        return forms
+
+    def sketches(left: DataFrame) -> DataFrame:
+        """Of the nodes of lists that are still open; their forms are kept for the pairs that follow."""
+        held.append(forms_of(left.select("node")))
         free(spark)
+        return form_sketches(held[-1])
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        """By the edit distance of the normal forms, fetched for the nodes of these pairs alone, or kept from the sketches."""
+        forms = held.pop() if held else forms_of(pairs.select(F.explode(F.array("a", "b")).alias("node")))
+        free(spark)  # the shuffle files of the texts, before the forms meet the pairs
         links = _similar(pairs, forms, similarity)
         drop(forms)
         return links
 
-    close = F.expr(f"{_bits_apart('sketch', 'other_sketch')} <= {FLIPS} * floor({1 - similarity + 1e-9} * greatest(size, other_size))")
+    edits_of = f"floor({1 - similarity + 1e-9} * greatest(size, other_size))"
+    apart = [f"{_bits_apart('sketch', 'other_sketch')} <= {FLIPS} * {edits_of}", f"{_fine_apart('fine', 'other_fine')} <= {2 * FINE} * {edits_of}"]
+    close = F.expr(" and ".join(apart))
     found = link(posts, verify, similarity, sketches=sketches, close=close, hubs=1, keyed=True)
     # only lines of several places, and those with links, have groups of more than one
     with bloom_filters(docs.sparkSession):
@@ -294,7 +365,7 @@ def duplicate_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     with bloom_filters(docs.sparkSession):
         gone = materialise(lines.select("doc_id", "line", "node", "check").join(groups.hint("merge"), ["node", "check"]).where("doc_id <> keep_doc or line <> keep_line").select("doc_id", "line"), "gone-lines")
     lists = materialise(gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("lines")), "gone")
-    drop(lines, nodes, posts, sketches, found, linked, of, groups, gone)
+    drop(lines, nodes, posts, found, linked, of, groups, gone)
     return lists
 
 

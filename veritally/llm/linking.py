@@ -63,14 +63,14 @@ def _joined(found: DataFrame, links: DataFrame) -> DataFrame:
     return out
 
 
-def link(posts: DataFrame, verify: Callable[[DataFrame], DataFrame], ratio: float, near: Callable[[DataFrame], DataFrame] | None = None, sketches: DataFrame | None = None, close: Column | None = None, hubs: int = 2, keyed: bool = False) -> DataFrame:
+def link(posts: DataFrame, verify: Callable[[DataFrame], DataFrame], ratio: float, near: Callable[[DataFrame], DataFrame] | None = None, sketches: DataFrame | Callable[[DataFrame], DataFrame] | None = None, close: Column | None = None, hubs: int = 2, keyed: bool = False) -> DataFrame:
     """(node, component) of all nodes with a link.
 
     posts: (key, node, pri, size), from a written table, without repeated (key, node); a higher
     pri (from 0) makes a likelier hub; the smaller of two linked nodes has ``ratio`` of the other's
     size (an integer from 1) at least. near may thin out distinct pairs (a, b) by what every link
-    meets; sketches (node, sketch) and close, a condition over size, sketch, other_size and
-    other_sketch, do so within the join of step 4. verify takes such pairs, materialised, and returns the links;
+    meets; sketches (node, sketch, ...; or what gives them for the members of open lists) and close, a
+    condition over size, sketch, other_size and other_sketch, do so within the join of step 4. verify takes such pairs, materialised, and returns the links;
     if keyed, each comes with one key that it shares and with both sizes' sum (a, b, key, sizes).
     """
     ratio = 0.999 * ratio  # sizes at the very ratio stay in
@@ -116,10 +116,12 @@ def link(posts: DataFrame, verify: Callable[[DataFrame], DataFrame], ratio: floa
             best = left.where("component <> main").groupBy("key").agg(best_of.alias("top")).select("key", *top)
             pairs = mine.join(best, "key").where("component <> other")
         else:
+            more_of = []
             if sketches is not None:
-                left, plain = materialise(left.join(sketches, "node"), "left"), left
+                of_left = sketches(left) if callable(sketches) else sketches
+                left, plain = materialise(left.join(of_left, "node"), "left"), left
                 drop(plain)
-            more_of = ["sketch"] if sketches is not None else []
+                more_of = [c for c in of_left.columns if c != "node"]
             mine = left.select("key", F.col("node").alias("a"), "component", "size", "band", *more_of)
             bands = F.explode(F.array(F.struct("band", F.lit(True).alias("own")), F.struct((F.col("band") + 1).alias("band"), F.lit(False).alias("own")))).alias("x")
             best = left.select("key", F.col("node").alias("b"), F.col("component").alias("other"), F.col("size").alias("other_size"), *[F.col(c).alias(f"other_{c}") for c in more_of], bands).select("key", "b", "other", "other_size", *[f"other_{c}" for c in more_of], "x.band", "x.own")
