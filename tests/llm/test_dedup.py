@@ -217,6 +217,36 @@ def test_forms_meet_their_pairs_in_cells(spark):
     assert line_dedup._similar(df.limit(0), forms, 0.9).count() == 0
 
 
+def test_open_lists_meet_their_texts_in_cells(spark):
+    """However small the cells, a list's components are those of all its pairs, and no more links come out than join them."""
+    rng, rows, form = random.Random(15), [], {}
+    for k in range(6):  # lists of a few and of hundreds, in clusters of near lines; some nodes are in two lists
+        for c in range((2, 3, 5, 9, 14, 20)[k]):
+            base = "".join(rng.choice("abcdefghijklmnop ") for _ in range(rng.randrange(40, 160)))
+            for _ in range(rng.randrange(1, 9)):
+                t = list(base)
+                for _ in range(rng.randrange(len(base) // 12)):
+                    t[rng.randrange(len(t))] = rng.choice("xyz")
+                node = len(form)
+                form[node] = "".join(t)
+                rows += [(key, node, node - node % 3 if node % 2 else node, len(t)) for key in {k, rng.choice([k, 0])}]
+    component = {n: c for _, n, c, _ in rows}
+    most = lambda a, b: int(0.1 * max(len(form[a]), len(form[b])) + 1e-9)
+    lists = [[n for k, n, _, _ in rows if k == key] for key in range(6)]
+    links = {(a, b) for own in lists for a in own for b in own if a < b and brute.distance(form[a], form[b]) <= most(a, b)}
+    given = [(n, c) for n, c in component.items() if n != c]
+    want = brute.groups([*form, *component.values()], links | set(given))
+    left = materialise(spark.createDataFrame(rows, "key long, node long, component long, size int"), "left")
+    forms = spark.createDataFrame(list(form.items()), "node long, form string")
+    for members, chars in ((512, 1 << 23), (7, 1 << 23), (512, 900)):
+        got = line_dedup._open_links(left, forms, 0.9, members, chars).collect()
+        assert {(min(r.a, r.b), max(r.a, r.b)) for r in got} <= links and all((r.size, r.other_size) == (len(form[r.a]), len(form[r.b])) for r in got)
+        assert brute.groups([*form, *component.values()], {(r.a, r.b) for r in got} | set(given)) == want
+        if members == 512 and chars > 900:  # all lists are in one task
+            assert len(got) == len(set(brute.groups([*form, *component.values()], set(given)).values())) - len(set(want.values()))
+    assert line_dedup._open_links(left.limit(0), forms, 0.9).count() == 0
+
+
 def test_template_lines_lose_no_link(spark):
     """Lines of which most is one template, so that lists hold hundreds; two words of each pair are changed. End to end."""
     rng = random.Random(1)

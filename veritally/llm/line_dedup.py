@@ -24,16 +24,18 @@ from pyspark.sql import functions as F
 
 from veritally.llm import edits
 from veritally.llm import textnum as tn
-from veritally.llm.linking import link
-from veritally.llm.tables import bloom_filters, drop, free, marked, materialise, only_ids
+from veritally.llm.linking import band_of, link
+from veritally.llm.tables import bloom_filters, drop, free, marked, materialise
 
 SIMILARITY, BLOCKS, RUN, FEW = 0.9, 6, 3, 10
 #: Bits of a line's sketch, and from how many characters on it has four times as many.
 PARITY, LONG, FLIPS = 256, 160, 6
 #: Finer sketches are of runs of so many characters, in 6 to 12 bits a character and 512 to 2^16 a line.
 FINE, FINE_BITS = 5, (9, 16)
-#: Characters of the pairs that one group verifies.
+#: Characters of the pairs, or of the members of lists, that one group verifies.
 CELL = 1 << 23
+#: Members of a list that are compared in one cell, and pairs that are looked at together.
+MEMBERS, PAIRS = 512, 1 << 16
 
 _rng = np.random.default_rng(20260301)
 #: Each block's weights: a feature weighs the more, the less its hash times the block's factor.
@@ -112,6 +114,16 @@ def _forms(low: np.ndarray, s: np.ndarray, e: np.ndarray, ptr: np.ndarray, lines
     return out, at[np.concatenate([[0], np.cumsum(count)])]
 
 
+def _form_column(low, s, e, ptr, once: np.ndarray) -> pa.Array:
+    """The normal form of each line of ``once``, null for others."""
+    form, at = _forms(low, s, e, ptr, np.flatnonzero(once))
+    inside = np.ones(len(form), bool)
+    inside[at[1:] - 1] = False
+    ends = (at - np.arange(len(at))).astype(np.int32)
+    forms = pa.StringArray.from_buffers(len(at) - 1, pa.py_buffer(ends), pa.py_buffer(form[inside]))
+    return forms.take(pa.array(np.cumsum(once) - 1, mask=~once))
+
+
 def _sketches(form: np.ndarray, at: np.ndarray, bits: int) -> np.ndarray:
     """lines x bits / 64: of each normal form the parities of its runs of three characters, by class.
 
@@ -158,8 +170,8 @@ def _bits_apart(x: str, y: str) -> str:
     return f"if(size({x}) = {4 * n} and size({y}) = {4 * n}, {whole}, {folded})"
 
 
-def _fine_sketches(buf: np.ndarray, off: np.ndarray) -> pa.Array:
-    """Of each row the parities of its runs of FINE characters, by classes that grow with its length.
+def _fine_bits(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(words of 64 bits, pointer of rows into them): of each row the parities of its runs of FINE characters, by classes that grow with its length.
 
     An edit changes FINE runs of either line at most. Long lines share most short runs and fill
     sketches of few bits, so that nothing tells them apart; they share few of FINE characters.
@@ -188,7 +200,43 @@ def _fine_sketches(buf: np.ndarray, off: np.ndarray) -> pa.Array:
         kind = ends[row] - ends[a] + (run[place] & (bits[row] - 1))
         out.append(np.packbits(np.bincount(kind, minlength=ends[b] - ends[a]).astype(np.uint8) & 1).view(np.int64))
         a = b
-    return pa.ListArray.from_arrays(pa.array((ends // 64).astype(np.int32)), pa.array(np.concatenate(out)))
+    return np.concatenate(out), ends // 64
+
+
+def _fine_sketches(buf: np.ndarray, off: np.ndarray) -> pa.Array:
+    """``_fine_bits`` as lists."""
+    words, ends = _fine_bits(buf, off)
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(words))
+
+
+class _Fine:
+    """Finer sketches of a column of texts, compared many pairs at a time."""
+
+    def __init__(self, forms: pa.ChunkedArray):
+        rows, self.of = [], {}
+        for _, buf, off in tn.slices(forms):
+            words, ends = _fine_bits(buf, off)
+            rows += np.split(words.view(np.uint64), ends[1:-1])  # bits of a negative number are counted otherwise
+        self.size = np.fromiter(map(len, rows), np.int64, len(rows))
+        self.place = np.zeros(len(rows), np.int64)
+        for n in np.unique(self.size).tolist():
+            own = np.flatnonzero(self.size == n)
+            self.place[own] = np.arange(len(own))
+            self.of[n] = np.stack([rows[k] for k in own.tolist()])
+
+    def apart(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """In how many bits each pair differs. Lines are like in length: the longer sketch is folded once."""
+        out = np.zeros(len(x), np.int64)
+        x, y = np.where(self.size[x] < self.size[y], y, x), np.where(self.size[x] < self.size[y], x, y)
+        for n in np.unique(self.size[x]).tolist():
+            for m in (n, n // 2):
+                both = np.flatnonzero((self.size[x] == n) & (self.size[y] == m))
+                for at in range(0, len(both), step := max(1, (1 << 20) // n)):
+                    own = both[at : at + step]
+                    one, other = self.of[n][self.place[x[own]]], self.of[m][self.place[y[own]]]
+                    one = one if m == n else one[:, :m] ^ one[:, m:]
+                    out[own] = np.bitwise_count(one ^ other).sum(axis=1, dtype=np.int64)
+        return out
 
 
 def _fine_apart(x: str, y: str) -> str:
@@ -198,26 +246,12 @@ def _fine_apart(x: str, y: str) -> str:
     return f"case when size({x}) = size({y}) then {same} when size({x}) = 2 * size({y}) then {fold(x, y)} when size({y}) = 2 * size({x}) then {fold(y, x)} else 0 end"
 
 
-def form_sketches(forms: DataFrame) -> DataFrame:
-    """node, sketch and fine (finer sketch) of forms (node, form)."""
-
-    def run(batches):
-        for batch in batches:
-            for first, buf, off in tn.slices(batch.column("form")):
-                low, _, _, _, s, e, ptr = _lines(buf, off)
-                chars = np.diff(np.concatenate([[0], np.cumsum((buf & 0xC0) != 0x80)])[off])
-                node = batch.column("node").slice(first, len(chars))
-                yield pa.RecordBatch.from_arrays([node, _sketch_lists(low, s, e, ptr, chars, np.ones(len(chars), bool)), _fine_sketches(buf, off)], names=["node", "sketch", "fine"])
-
-    return forms.mapInArrow(run, "node long, sketch array<long>, fine array<long>")
-
-
-def line_blocks(docs: DataFrame, sketched: bool = True) -> DataFrame:
-    """doc_id, line, node and check (hashes of the normal form), chars, keys and, if sketched, sketch of each line with a word.
+def line_blocks(docs: DataFrame, sketched: bool = True, formed: bool = False) -> DataFrame:
+    """doc_id, line, node and check (hashes of the normal form), chars, keys and, if wanted, sketch and form of each line with a word.
 
-    Of lines of a batch that are equal only the first has keys and sketch.
+    Of lines of a batch that are equal only the first has keys, sketch and form.
     """
-    names = ["doc_id", "line", "node", "check", "chars", "keys", *(["sketch"] if sketched else [])]
+    names = ["doc_id", "line", "node", "check", "chars", "keys", *(["sketch"] if sketched else []), *(["form"] if formed else [])]
 
     def run(batches):
         for batch in batches:
@@ -241,32 +275,11 @@ def line_blocks(docs: DataFrame, sketched: bool = True) -> DataFrame:
                 ends = np.concatenate([[0], np.cumsum(size * once)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids[first + rows[has]]), pa.array(number[has].astype(np.int32)), pa.array(node.view(np.int64)), pa.array(check.astype(np.int32)), pa.array(chars.astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.view(np.int64)), mask=pa.array(~once)),
-                     *([_sketch_lists(low, s, e, ptr, chars, once)] if sketched else [])],
+                     *([_sketch_lists(low, s, e, ptr, chars, once)] if sketched else []), *([_form_column(low, s, e, ptr, once)] if formed else [])],
                     names=names,
                 )
 
-    return docs.mapInArrow(run, "doc_id long, line int, node long, check int, chars int, keys array<long>" + (", sketch array<long>" if sketched else ""))
-
-
-def _normal_lines(wanted: DataFrame) -> DataFrame:
-    """node and normal form of the wanted lines of doc_id, text, lines array<struct<line, node>>."""
-
-    def run(batches):
-        for batch in batches:
-            lists = batch.column("lines")
-            ends = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-            flat = lists.flatten()
-            want, node = flat.field("line").to_numpy().astype(np.int64), flat.field("node").to_numpy()
-            for first, buf, off in tn.slices(batch.column("text")):
-                low, _, rows, _, s, e, ptr = _lines(buf, off)
-                a, b = ends[first], ends[first + len(off) - 1]
-                row = np.repeat(np.arange(len(off) - 1), np.diff(ends[first : first + len(off)]))
-                form, at = _forms(low, s, e, ptr, np.searchsorted(rows, row) + want[a:b])
-                whole = form.tobytes()
-                forms = [whole[x : y - 1] for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(node[a:b]), pa.array(forms, pa.binary()).cast(pa.string())], names=["node", "form"])
-
-    return wanted.mapInArrow(run, "node long, form string")
+    return docs.mapInArrow(run, "doc_id long, line int, node long, check int, chars int, keys array<long>" + (", sketch array<long>" if sketched else "") + (", form string" if formed else ""))
 
 
 def _similar(pairs: DataFrame, forms: DataFrame, similarity: float, chars: int = CELL) -> DataFrame:
@@ -299,18 +312,106 @@ def _similar(pairs: DataFrame, forms: DataFrame, similarity: float, chars: int =
     return links
 
 
+def _joins(cell: np.ndarray, component: np.ndarray, size: np.ndarray, side: np.ndarray, node: np.ndarray, form: list[str], fine: _Fine, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of pairs whose links join all components that any link within a cell joins.
+
+    Rows are sorted by cell, node is their place in form. The first members of all cells meet the
+    others first, then the second ones and so on, and what is joined by then is not compared again.
+    """
+    start = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+    count = np.diff(np.append(start, len(cell)))
+    rank = np.arange(len(cell)) - np.repeat(start, count)
+    behind = np.repeat(count, count) - 1 - rank
+    length = np.fromiter(map(len, form), np.int64, len(form))
+    _, component = np.unique(component, return_inverse=True)
+    top = np.arange(component.max() + 1)  # of each component the one that it is joined to
+    out: list[np.ndarray] = []
+    low, high = 0, 1
+    while low <= rank.max():
+        rows = np.flatnonzero((rank >= low) & (rank < high) & (behind > 0))
+        low, high = high, 2 * high
+        while len(rows):
+            own = rows[: max(1, int(np.searchsorted(np.cumsum(behind[rows]), PAIRS, side="right")))]
+            rows = rows[len(own) :]
+            n = behind[own]
+            x = np.repeat(own, n)
+            y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(n) - n, n)
+            ok = (top[component[x]] != top[component[y]]) & ((side[x] != side[y]) | (side[x] == 0))
+            x, y = x[ok], y[ok]
+            ok = np.minimum(size[x], size[y]) >= 0.999 * similarity * np.maximum(size[x], size[y])
+            x, y = x[ok], y[ok]
+            most = np.floor((1 - similarity + 1e-9) * np.maximum(length[node[x]], length[node[y]])).astype(np.int64)
+            ok = fine.apart(node[x], node[y]) <= 2 * FINE * most
+            x, y, most = x[ok], y[ok], most[ok]
+            ok = edits.among(form, node[x], node[y], most)
+            if not ok.any():
+                continue
+            for i, j in zip(x[ok].tolist(), y[ok].tolist(), strict=True):
+                a, b = int(component[i]), int(component[j])
+                while top[a] != a:
+                    a = int(top[a])
+                while top[b] != b:
+                    b = int(top[b])
+                if a != b:
+                    top[max(a, b)] = min(a, b)
+                    out.append(np.array([i, j]))
+            while (top[top] != top).any():
+                top = top[top]
+    pairs = np.array(out, np.int64).reshape(-1, 2)
+    return pairs[:, 0], pairs[:, 1]
+
+
+def _open_links(left: DataFrame, forms: DataFrame, similarity: float, members: int = MEMBERS, chars: int = CELL) -> DataFrame:
+    """Of members (key, node, component, size) of lists links (a, b, key, size, other_size) that join all components that any link of a list joins.
+
+    A form goes to a cell once, whatever the pairs there. A list is a cell. One of more than ``members`` or of too many
+    characters is cut into bands of size, of which neighbours alone meet, and those into parts by hashes of the
+    nodes: each pair of parts is a cell, and each pair of members lies in one. Small cells share a task.
+    """
+    banded = left.withColumn("band", band_of(0.999 * similarity))
+    hot = banded.groupBy("key", "band").agg(F.count("*").alias("n"), F.sum(F.col("size").cast("long")).alias("chars"))
+    hot = hot.groupBy("key").agg(F.sum("n").alias("n"), F.sum("chars").alias("chars"), F.max(F.greatest(F.ceil(F.col("n") / members), F.ceil(4 * F.col("chars") / chars))).alias("_parts")).where((F.col("n") > members) | (F.col("chars") > chars)).select("key", "_parts")
+    whole = "array(named_struct('b', 0L, 'i', 0L, 'j', 0L, 'side', 0))"
+    every = "sequence(0L, _parts - 1)"
+    first = f"transform({every}, k -> named_struct('b', band, 'i', _own, 'j', k, 'side', if(k = _own, 0, 1)))"
+    second = f"transform(filter({every}, k -> k < _own), k -> named_struct('b', band, 'i', k, 'j', _own, 'side', 2))"
+    below = f"transform({every}, k -> named_struct('b', band - 1, 'i', k, 'j', _own, 'side', 2))"
+    cells = banded.join(hot, "key", "left").withColumn("_own", F.expr("pmod(xxhash64(node), _parts)"))
+    cells = cells.select("key", "node", "component", "size", F.col("_parts").isNotNull().alias("hot"), F.explode(F.expr(f"if(_parts is null, {whole}, concat({first}, {second}, {below}))")).alias("_c"))
+    cells = materialise(cells.select("key", "node", "component", "size", "hot", F.xxhash64("key", "_c.b", "_c.i", "_c.j").alias("cell"), "_c.side"), "cells")
+    total, many = cells.agg(F.sum(F.col("size").cast("long")), F.count_distinct(F.when(F.col("hot"), F.col("cell")))).first()
+    parts = F.lit(max(1, -(-(total or 0) // chars) + many))
+    placed = cells.select("key", "node", "component", "size", "cell", "side", F.pmod(F.xxhash64("cell"), parts).alias("at"))
+    ends = placed.select(F.col("at").alias("there"), F.col("node").alias("member")).distinct().join(forms.withColumnRenamed("node", "member"), "member")
+
+    def run(part: pa.Table, texts: pa.Table) -> pa.Table:
+        column = lambda t, c: t.column(c).to_numpy()
+        order = np.argsort(column(part, "cell"), kind="stable")
+        part = part.take(pa.array(order))
+        known = column(texts, "member")
+        by = np.argsort(known)
+        node = by[np.searchsorted(known, column(part, "node"), sorter=by)]
+        x, y = _joins(*(column(part, c) for c in ("cell", "component", "size", "side")), node, texts.column("form").to_pylist(), _Fine(texts.column("form")), similarity)
+        one, other = part.take(pa.array(x)), part.take(pa.array(y))
+        return pa.table({"a": one.column("node"), "b": other.column("node"), "key": one.column("key"), "size": one.column("size"), "other_size": other.column("size")})
+
+    kinds = {f.name: f.dataType.simpleString() for f in left.schema}
+    links = materialise(placed.groupBy("at").cogroup(ends.groupBy("there")).applyInArrow(run, f"a long, b long, key long, size {kinds['size']}, other_size {kinds['size']}"), "open-links")
+    drop(cells)
+    return links
+
+
 def duplicate_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, lines): the numbers, from 0, of the lines of each document that must go."""
     docs = docs.where("doc_id is not null").select("doc_id", F.col("text").cast("string").alias("text"))
     if docs.schema["doc_id"].dataType.typeName() != "long":
         docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
     spark = docs.sparkSession
-    full = materialise(line_blocks(docs, sketched=False), "full-lines")
+    full = materialise(line_blocks(docs, sketched=False, formed=True), "full-lines")
     lines = materialise(full.select("doc_id", "line", "node", "check"), "lines")
     least = F.min(F.struct("doc_id", "line", "check"))
     whole = full.groupBy("node").agg(least.alias("first"), F.first("chars").alias("chars"), F.first("keys", ignorenulls=True).alias("keys"), F.count("*").alias("n"))
     whole = materialise(whole.select("node", "first.doc_id", "first.line", "first.check", F.col("chars").alias("size"), "keys", "n"), "full-nodes")
-    drop(full)
     free(spark)
     posts = whole.select(F.explode("keys").alias("key"), "node", F.col("n").alias("pri"), "size")
     # most keys have one post, and those are told by the keys alone
@@ -320,40 +421,14 @@ def duplicate_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     nodes = materialise(whole.drop("keys", "size"), "nodes")
     drop(shared, whole)
     free(spark)
-
-    held: list[DataFrame] = []
-
-    def forms_of(ids: DataFrame) -> DataFrame:
-        """node and normal form of these nodes (node) alone."""
-        ids = marked(ids.distinct(), "ids")
-        with bloom_filters(docs.sparkSession):
-            places = materialise(nodes.select("node", "doc_id", "line").join(ids.hint("merge"), "node"), "of-ids")
-        drop(ids)
-        found, places = places, materialise(places.groupBy("doc_id").agg(F.collect_list(F.struct("line", "node")).alias("lines")), "places")
-        drop(found)
-        texts = only_ids(docs, places, ["doc_id", "text"], "texts")
-        forms = materialise(_normal_lines(texts.join(places, "doc_id").select("text", "lines")).dropDuplicates(["node"]), "forms")
-        drop(places, texts)
-        return forms
-
-    def sketches(left: DataFrame) -> DataFrame:
-        """Of the nodes of lists that are still open; their forms are kept for the pairs that follow."""
-        held.append(forms_of(left.select("node")))
-        free(spark)
-        return form_sketches(held[-1])
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        """By the edit distance of the normal forms, fetched for the nodes of these pairs alone, or kept from the sketches."""
-        forms = held.pop() if held else forms_of(pairs.select(F.explode(F.array("a", "b")).alias("node")))
-        free(spark)  # the shuffle files of the texts, before the forms meet the pairs
-        links = _similar(pairs, forms, similarity)
-        drop(forms)
-        return links
-
-    edits_of = f"floor({1 - similarity + 1e-9} * greatest(size, other_size))"
-    apart = [f"{_bits_apart('sketch', 'other_sketch')} <= {FLIPS} * {edits_of}", f"{_fine_apart('fine', 'other_fine')} <= {2 * FINE} * {edits_of}"]
-    close = F.expr(" and ".join(apart))
-    found = link(posts, verify, similarity, sketches=sketches, close=close, hubs=1, keyed=True)
+    # normal forms of what can have a link, a node once: where they are is where the lines are, so that texts are read once
+    ids = marked(posts.select("node").distinct(), "ids")
+    with bloom_filters(spark):
+        forms = materialise(full.where("form is not null").select("node", "form").join(ids.hint("merge"), "node").dropDuplicates(["node"]), "forms")
+    drop(ids, full)
+    free(spark)
+    found = link(posts, lambda pairs: _similar(pairs, forms, similarity), similarity, hubs=1, keyed=True, rest=lambda left: _open_links(left, forms, similarity))
+    drop(forms)
     # only lines of several places, and those with links, have groups of more than one
     with bloom_filters(docs.sparkSession):
         linked = materialise(nodes.join(marked(found, "found").hint("merge"), "node"), "linked")

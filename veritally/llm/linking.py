@@ -13,7 +13,8 @@ belong together costs n candidates:
    add nothing, so leaving it out is exact. Nodes have sizes, and linked ones differ by a
    ratio at most, so a list is first cut into bands of size, of which neighbours alone meet:
    this spreads a hot list over tasks and spares most of its pairs; a sketch of each node,
-   compared within the join, lets out only those pairs that can be links.
+   compared within the join, lets out only those pairs that can be links. Or ``rest`` takes
+   the members that are left, a list at a time, and gives links that join their components.
 
 Only keys and nodes are shuffled with the posts. What a cheap condition, which every link meets,
 needs to know of the nodes is fetched for distinct pairs.
@@ -52,6 +53,11 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def band_of(ratio: float) -> Column:
+    """Nodes of sizes within the ratio are in one band or in neighbouring ones."""
+    return F.floor(F.log("size") / -log(ratio))
+
+
 def _joined(found: DataFrame, links: DataFrame) -> DataFrame:
     """found with the components that new links (a, b) join, by a graph of components alone."""
     of = lambda x: found.select(F.col("node").alias(x), F.col("component").alias(f"of_{x}"))
@@ -63,15 +69,17 @@ def _joined(found: DataFrame, links: DataFrame) -> DataFrame:
     return out
 
 
-def link(posts: DataFrame, verify: Callable[[DataFrame], DataFrame], ratio: float, near: Callable[[DataFrame], DataFrame] | None = None, sketches: DataFrame | Callable[[DataFrame], DataFrame] | None = None, close: Column | None = None, hubs: int = 2, keyed: bool = False) -> DataFrame:
+def link(posts: DataFrame, verify: Callable[[DataFrame], DataFrame], ratio: float, near: Callable[[DataFrame], DataFrame] | None = None, sketches: DataFrame | None = None, close: Column | None = None, hubs: int = 2, keyed: bool = False, rest: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(node, component) of all nodes with a link.
 
     posts: (key, node, pri, size), from a written table, without repeated (key, node); a higher
     pri (from 0) makes a likelier hub; the smaller of two linked nodes has ``ratio`` of the other's
     size (an integer from 1) at least. near may thin out distinct pairs (a, b) by what every link
-    meets; sketches (node, sketch, ...; or what gives them for the members of open lists) and close, a
-    condition over size, sketch, other_size and other_sketch, do so within the join of step 4. verify takes such pairs, materialised, and returns the links;
-    if keyed, each comes with one key that it shares and with both sizes' sum (a, b, key, sizes).
+    meets; sketches (node, sketch, ...) and close, a condition over size, sketch, other_size and other_sketch, do so
+    within the join of step 4. verify takes such pairs, materialised, and returns the links;
+    if keyed, each comes with one key that it shares and with both sizes' sum (a, b, key, sizes). rest does step 4
+    instead: of members (key, node, component, size) it gives pairs (a, b, key, size, other_size) that join all
+    components which any link of two members of a list joins.
     """
     ratio = 0.999 * ratio  # sizes at the very ratio stay in
     more = ["key", (F.col("size").cast("long") + F.col("other_size")).alias("sizes")] if keyed else []
@@ -110,18 +118,19 @@ def link(posts: DataFrame, verify: Callable[[DataFrame], DataFrame], ratio: floa
         if not state.limit(1).count():
             drop(of, state)
             break
-        left = materialise(of.join(state, "key").withColumn("band", F.floor(F.log("size") / -log(ratio))), "left")
+        left = materialise(of.join(state, "key").withColumn("band", band_of(ratio)), "left")
         mine = left.select("key", F.col("node").alias("a"), "component", "size", "band")
         if step < hubs:  # the best member outside the first hub's component meets those of others
             best = left.where("component <> main").groupBy("key").agg(best_of.alias("top")).select("key", *top)
             pairs = mine.join(best, "key").where("component <> other")
+        elif rest is not None:
+            pairs = rest(left.select("key", "node", "component", "size"))
         else:
             more_of = []
             if sketches is not None:
-                of_left = sketches(left) if callable(sketches) else sketches
-                left, plain = materialise(left.join(of_left, "node"), "left"), left
+                left, plain = materialise(left.join(sketches, "node"), "left"), left
                 drop(plain)
-                more_of = [c for c in of_left.columns if c != "node"]
+                more_of = [c for c in sketches.columns if c != "node"]
             mine = left.select("key", F.col("node").alias("a"), "component", "size", "band", *more_of)
             bands = F.explode(F.array(F.struct("band", F.lit(True).alias("own")), F.struct((F.col("band") + 1).alias("band"), F.lit(False).alias("own")))).alias("x")
             best = left.select("key", F.col("node").alias("b"), F.col("component").alias("other"), F.col("size").alias("other_size"), *[F.col(c).alias(f"other_{c}") for c in more_of], bands).select("key", "b", "other", "other_size", *[f"other_{c}" for c in more_of], "x.band", "x.own")
