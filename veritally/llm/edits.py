@@ -91,10 +91,16 @@ def within(first: list[str], second: list[str], most: np.ndarray) -> np.ndarray:
     return among([*first, *second], np.arange(len(first)), np.arange(len(first)) + len(first), most)
 
 
-def among(texts: list[str], x: np.ndarray, y: np.ndarray, most: np.ndarray) -> np.ndarray:
-    """For each pair (x, y) of places in texts whether ``most`` edits suffice. What is counted of a text is counted once for all its pairs."""
+def among(texts: list[str], x: np.ndarray, y: np.ndarray, most: np.ndarray, kinds: tuple[tuple[int, int], ...] = KINDS) -> np.ndarray:
+    """For each pair (x, y) of places in texts whether ``most`` edits suffice. What is counted of a text is counted once for all its pairs.
+
+    kinds: runs that are counted first, as in ``KINDS``; pairs that are told apart by such runs already need fewer.
+    """
     most = np.asarray(most, np.int64)
     out = np.zeros(len(x), bool)
+    if 2 * len(x) < len(texts):  # only what the pairs need
+        used, place = np.unique(np.concatenate([x, y]), return_inverse=True)
+        texts, x, y = [texts[k] for k in used.tolist()], place[: len(x)], place[len(x) :]
     a, at = _codes(texts)
     size = np.diff(at) - 4
     n, m, at_a, at_b = size[x], size[y], at[x], at[y]
@@ -102,12 +108,12 @@ def among(texts: list[str], x: np.ndarray, y: np.ndarray, most: np.ndarray) -> n
     for p in np.flatnonzero(todo & (most >= COUNTED)):  # an edit changes ``size`` runs of each text at most
         one, other = a[at_a[p] : at_a[p] + n[p]], a[at_b[p] : at_b[p] + m[p]]
         todo[p] = all(_apart(_grams(one, k), _grams(other, k)) <= 2 * k * most[p] for k in RUNS)
-    for run, kinds in KINDS:  # an edit changes ``run`` runs of each text at most; unlike texts share common short runs, but few long ones
+    for run, bits in kinds:  # an edit changes ``run`` runs of each text at most; unlike texts share common short runs, but few long ones
         some = np.flatnonzero(todo & (most >= 4) & (most < COUNTED))
         for i in range(0, len(some), 1 << 13):
             own = some[i : i + (1 << 13)]
             used = np.unique(np.concatenate([x[own], y[own]]))
-            count = _counts(a, at[used], size[used], run, kinds)
+            count = _counts(a, at[used], size[used], run, bits)
             for k in range(0, len(own), 512):
                 part = own[k : k + 512]
                 one, other = count[np.searchsorted(used, x[part])], count[np.searchsorted(used, y[part])]

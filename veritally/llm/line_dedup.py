@@ -343,7 +343,7 @@ def _joins(cell: np.ndarray, component: np.ndarray, size: np.ndarray, side: np.n
             most = np.floor((1 - similarity + 1e-9) * np.maximum(length[node[x]], length[node[y]])).astype(np.int64)
             ok = fine.apart(node[x], node[y]) <= 2 * FINE * most
             x, y, most = x[ok], y[ok], most[ok]
-            ok = edits.among(form, node[x], node[y], most)
+            ok = edits.among(form, node[x], node[y], most, edits.KINDS[:1])  # the sketches are of runs of five
             if not ok.any():
                 continue
             for i, j in zip(x[ok].tolist(), y[ok].tolist(), strict=True):
