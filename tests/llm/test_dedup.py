@@ -89,6 +89,46 @@ def test_edits_of_very_long_texts():
     assert time.time() - began < 60
 
 
+def _far_copies(rng, n, length, edited):
+    """Pairs of texts that are so many changes apart, or a few less."""
+    first = ["".join(rng.choice("abcdefgh éß日") for _ in range(length)) for _ in range(n)]
+    second = []
+    for t in first:
+        t = list(t)
+        for k in range(edited):
+            at = rng.randrange(len(t))
+            t[at : at + rng.choice([0, 1, 1])] = [rng.choice("xyz")] * rng.choice([0, 1, 1])
+        second.append("".join(t))
+    return first, second
+
+
+def test_edits_of_several_words_equal_brute_force():
+    """Bounds at, below and above the distance, where the diagonals take one word of bits to five."""
+    rng, first, second, most, want = random.Random(12), [], [], [], []
+    for length, edited in ((30, 6), (260, 62), (330, 70), (420, 140), (900, 290)):
+        for a, b in zip(*_far_copies(rng, 8 if length > 400 else 30, length, edited), strict=True):
+            d = brute.distance(a, b)
+            for k in (d - 1, d, d + 1, d + 60):
+                first, second, most, want = [*first, a], [*second, b], [*most, k], [*want, d <= k]
+    assert edits.within(first, second, np.array(most)).tolist() == want and max(most) > 256
+    assert edits.within(second, first, np.array(most)).tolist() == want
+
+
+def test_pairs_just_over_their_bound_are_cheap():
+    """Copies of lists that are still open are mostly a little too far apart: no counts tell those, and their furthest-reaching points are many."""
+    first, second = _far_copies(random.Random(13), 2000, 400, 60)
+    texts, x, most = [*first, *second], np.arange(2000), np.full(2000, 40)
+    code, at = edits._codes(texts)
+    size = np.diff(at) - 4
+    began = time.process_time()
+    want = edits._reach(code, code, at[x], at[x + 2000], size[x], size[x + 2000], most)
+    before, began = time.process_time() - began, time.process_time()
+    assert (edits.among(texts, x, x + 2000, most, ()) == want).all()
+    after = time.process_time() - began
+    print(f"{before:.3f} s by furthest-reaching points, {after:.3f} s now")
+    assert after < before / 2
+
+
 def _brute_lines(docs):
     """Texts without repeated lines: by edit similarity of all pairs of normal forms alone."""
     forms = {(d, i): " ".join(x.lower().split()) for d, t in docs for i, x in enumerate((t or "").split("\n")) if x.strip()}

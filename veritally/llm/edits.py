@@ -1,17 +1,23 @@
 """Bounded edit distance of many pairs of texts at once.
 
-The furthest-reaching points of all pairs move one edit at a time: on each diagonal the place in
-the first text that so many edits can reach, then along equal characters, several of them a
-comparison. A pair ends where its last diagonal is through, or when its edits are used up, so
-near pairs cost about their length and the square of their edits, whatever the bound is.
+Pairs of a bound below ``COUNTED`` go through the table of distances a column at a time, all of
+them together, by the differences of neighbouring cells, 64 to a word (Myers 1999, Hyyrö 2003):
+only diagonals that so many edits can use are held, and a pair ends when its last diagonal is over
+the bound, so unlike pairs end early. Of pairs of larger bounds the furthest-reaching points move
+one edit at a time: on each diagonal the place in the first text that so many edits can reach, then
+along equal characters, several of them a comparison. A pair ends where its last diagonal is
+through, or when its edits are used up, so near pairs cost about their length and the square of
+their edits, whatever the bound is.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Diagonals that are worked on at a time.
+#: Diagonals, or characters of the first texts, that are worked on at a time.
 CELLS = 1 << 19
+#: Columns between looks at which pairs are over their bound, and bits of matches that are set at a time.
+COLUMNS, MATCHES = 16, 1 << 21
 #: From this bound on, pairs whose runs of so many characters differ too much are told apart first.
 COUNTED, RUNS = 300, (5, 7, 9)
 #: Below it, runs of so many characters are counted by 2^n classes.
@@ -118,7 +124,19 @@ def among(texts: list[str], x: np.ndarray, y: np.ndarray, most: np.ndarray, kind
                 part = own[k : k + 512]
                 one, other = count[np.searchsorted(used, x[part])], count[np.searchsorted(used, y[part])]
                 todo[part] = (np.maximum(one, other) - np.minimum(one, other)).sum(axis=1, dtype=np.int64) <= 2 * run * most[part]
-    order = np.flatnonzero(todo)
+    low = np.flatnonzero(todo & (most < COUNTED))
+    if len(low):
+        kinds = np.unique(a)
+        code = np.searchsorted(kinds, a) + 2 if len(kinds) > 250 else (np.cumsum(np.bincount(kinds, minlength=int(kinds[-1]) + 1)) + 1).astype(np.uint8)[a]
+        code = code.astype(np.uint8 if len(kinds) <= 250 else np.uint32)
+        words = most[low] // 64 + 1
+        low, words = (z[np.lexsort((-m[low], words))] for z in (low, words))
+        while len(low):
+            n_own = max(1, min(int(np.searchsorted(words, words[0], side="right")), CELLS // int(m[low[0]] + 64 * words[0])))
+            own = low[:n_own]
+            out[own] = _banded(code, at_a[own], at_b[own], n[own], m[own], most[own], int(words[0]))
+            low, words = low[n_own:], words[n_own:]
+    order = np.flatnonzero(todo & (most >= COUNTED))
     order = order[np.argsort(most[order], kind="stable")]
     while len(order):
         width = most[order] + 3
@@ -128,6 +146,65 @@ def among(texts: list[str], x: np.ndarray, y: np.ndarray, most: np.ndarray, kind
     return out
 
 
+def _banded(code, at_a, at_b, n, m, most, words) -> np.ndarray:
+    """``within`` for pairs of a bound below 64 * words, in descending order of m; codes are from 2 on.
+
+    At column j bit t stands for row j - high + t of the table of distances, so that a bit stays on
+    its diagonal. Rows up to 0 hold j: they match nothing and differ from no neighbour above. The
+    distance on the last diagonal never falls, and is followed alone.
+    """
+    end = m - n
+    spare = (most - np.abs(end)) // 2  # how far from the last diagonal, or from the first, a way can stray
+    high = np.maximum(end, 0) + spare
+    span, columns = 64 * words, int(m[0])
+    # the first texts from bit 0 of column 1 on, the second ones from their start; 0 and 1 match nothing
+    place = np.arange(columns + span)[None, :] - high[:, None]
+    rows = np.where((place >= 0) & (place < n[:, None]), code[np.clip(at_a[:, None] + place, 0, len(code) - 1)], code.dtype.type(0))
+    place = np.arange(columns)[None, :]
+    others = np.where(place < m[:, None], code[np.minimum(at_b[:, None] + place, len(code) - 1)], code.dtype.type(1))
+    one, bit = np.uint64(1), np.arange(span)[:, None]
+    # at column 0, in the places of column 1: rows from 1 on are one more than the row above
+    plus = np.packbits(bit >= high, axis=0, bitorder="little").T.copy().view("<u8").T.copy()
+    minus = np.zeros_like(plus)
+    word, shift = (high - end) // 64, ((high - end) % 64).astype(np.uint64)
+    score, met = np.maximum(-end, 0), np.zeros(len(n), np.uint64)  # the distance is score + j - met
+    pair, found, j = np.arange(len(n)), np.zeros(len(n), bool), 0
+    with np.errstate(over="ignore"):
+        while len(pair):
+            step = min(COLUMNS, max(1, MATCHES // (span * len(pair))), columns - j)
+            windows = np.lib.stride_tricks.sliding_window_view(rows[:, j : j + step + span - 1], span, axis=1)
+            match = np.packbits(windows == others[:, j : j + step, None], axis=2, bitorder="little").view("<u8")
+            match = np.ascontiguousarray(match.transpose(1, 2, 0))
+            for k, size in enumerate(np.searchsorted(-m, -np.arange(j, j + step)).tolist()):  # pairs that have this column
+                p, q, x = plus[:, :size], minus[:, :size], match[k, :, :size]
+                same = x & p
+                same += p
+                for w in range(1, words):  # what the sum carries over
+                    carry = same[w - 1] < p[w - 1] if w == 1 else (same[w - 1] < p[w - 1]) | (carry & (same[w - 1] == p[w - 1]))
+                    same[w] += carry
+                same ^= p
+                same |= x
+                same |= q
+                on = same[0] if words == 1 else same[word[:size], np.arange(size)]
+                met[:size] += (on >> shift[:size]) & one
+                right, left = ~(same | p), same & p
+                right |= q
+                first = same[1:] << np.uint64(63) if words > 1 else None
+                same >>= one
+                if words > 1:
+                    same[:-1] |= first
+                np.bitwise_and(same, right, out=q)
+                same |= right
+                np.bitwise_or(left, ~same, out=p)
+            j += step
+            over, near = m <= j, score + np.minimum(m, j) - met.astype(np.int64) <= most
+            found[pair[over & near]] = True
+            left = ~over & near
+            if not left.all():
+                pair, m, most, word, shift, score, met, rows, others, plus, minus = pair[left], m[left], most[left], word[left], shift[left], score[left], met[left], rows[left], others[left], plus[:, left], minus[:, left]
+    return found
+
+
 def _reach(a, b, at_a, at_b, n, m, most) -> np.ndarray:
     """``within`` for pairs of a like bound. Only diagonals that so many edits reach, and that can
     still end in time, are worked on; the first has the column ``zero``."""

@@ -35,7 +35,9 @@ FINE, FINE_BITS = 5, (9, 16)
 #: Characters of the pairs, or of the members of lists, that one group verifies.
 CELL = 1 << 23
 #: Members of a list that are compared in one cell, and pairs that are looked at together.
-MEMBERS, PAIRS = 512, 1 << 16
+MEMBERS, PAIRS = 512, 1 << 18
+#: Members of each cell that meet the others first.
+FIRST = 4
 
 _rng = np.random.default_rng(20260301)
 #: Each block's weights: a feature weighs the more, the less its hash times the block's factor.
@@ -176,29 +178,36 @@ def _fine_bits(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
     An edit changes FINE runs of either line at most. Long lines share most short runs and fill
     sketches of few bits, so that nothing tells them apart; they share few of FINE characters.
     """
-    start = np.flatnonzero((buf & 0xC0) != 0x80)
-    size = np.diff(np.append(start, len(buf)))
-    code = buf[start].astype(np.uint64)
-    for k in range(1, 4):
-        wide = np.flatnonzero(size > k)
-        code[wide] = code[wide] * np.uint64(256) + buf[start[wide] + k]
+    if len(buf) and buf.max() < 0x80:
+        code, at = buf.astype(np.uint32), off
+    else:
+        start = np.flatnonzero((buf & 0xC0) != 0x80)
+        size = np.diff(np.append(start, len(buf)))
+        code, at = buf[start].astype(np.uint32), np.searchsorted(start, off)
+        for k in range(1, 4):
+            wide = np.flatnonzero(size > k)
+            code[wide] = code[wide] * np.uint32(256) + buf[start[wide] + k]
+    run = np.zeros(len(code), np.uint32)  # of the run that starts at each character
     with np.errstate(over="ignore"):
-        run = np.zeros(max(len(code) - FINE + 1, 0), np.uint64)
-        for k in range(FINE):
-            run = run * np.uint64(0x9E3779B97F4A7C15) + code[k : k + len(run)]
-        run = (tn.mix(run) >> np.uint64(32)).astype(np.int64)
-    at = np.searchsorted(start, off)
+        for k in range(min(FINE, len(code))):
+            run *= np.uint32(0x9E3779B1)
+            run[: len(code) - k] += code[k:]
+        run ^= run >> np.uint32(15)
+        run *= np.uint32(0x85EBCA6B)
+        run >>= np.uint32(32 - FINE_BITS[1])
+    run = run.astype(np.int32)
     chars = np.diff(at)
-    n = np.maximum(chars - FINE + 1, 0)
     bits = np.int64(1) << np.clip(np.ceil(np.log2(6 * np.maximum(chars, 1))).astype(np.int64), *FINE_BITS)
     ends = np.concatenate([[0], np.cumsum(bits)])
     out, a = [np.zeros(0, np.int64)], 0
-    while a < len(n):
+    while a < len(chars):
         b = max(a + 1, int(np.searchsorted(ends, ends[a] + (1 << 20), side="right")) - 1)
-        row = np.repeat(np.arange(a, b), n[a:b])
-        place = np.arange(len(row)) + np.repeat(at[a:b] - np.cumsum(n[a:b]) + n[a:b], n[a:b])
-        kind = ends[row] - ends[a] + (run[place] & (bits[row] - 1))
-        out.append(np.packbits(np.bincount(kind, minlength=ends[b] - ends[a]).astype(np.uint8) & 1).view(np.int64))
+        kind = run[at[a] : at[b]] & np.repeat((bits[a:b] - 1).astype(np.int32), chars[a:b])
+        kind += np.repeat((ends[a:b] - ends[a]).astype(np.int32), chars[a:b])
+        last = at[a + 1 : b + 1, None] - np.arange(1, FINE)  # no run starts here
+        kind[(last - at[a])[last >= at[a:b, None]]] = ends[b] - ends[a]
+        odd = np.bincount(kind, minlength=int(ends[b] - ends[a]) + 1)[:-1].astype(np.uint8)
+        out.append(np.packbits(odd & 1).view(np.int64))
         a = b
     return np.concatenate(out), ends // 64
 
@@ -213,16 +222,14 @@ class _Fine:
     """Finer sketches of a column of texts, compared many pairs at a time."""
 
     def __init__(self, forms: pa.ChunkedArray):
-        rows, self.of = [], {}
-        for _, buf, off in tn.slices(forms):
-            words, ends = _fine_bits(buf, off)
-            rows += np.split(words.view(np.uint64), ends[1:-1])  # bits of a negative number are counted otherwise
-        self.size = np.fromiter(map(len, rows), np.int64, len(rows))
-        self.place = np.zeros(len(rows), np.int64)
+        parts = [_fine_bits(buf, off) for _, buf, off in tn.slices(forms)]
+        words = np.concatenate([np.zeros(0, np.int64), *(x for x, _ in parts)]).view(np.uint64)  # bits of a negative number are counted otherwise
+        self.size = np.concatenate([np.zeros(0, np.int64), *(np.diff(x) for _, x in parts)])
+        self.place, self.of, start = np.zeros(len(self.size), np.int64), {}, np.cumsum(self.size) - self.size
         for n in np.unique(self.size).tolist():
             own = np.flatnonzero(self.size == n)
             self.place[own] = np.arange(len(own))
-            self.of[n] = np.stack([rows[k] for k in own.tolist()])
+            self.of[n] = words[start[own][:, None] + np.arange(n)]
 
     def apart(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """In how many bits each pair differs. Lines are like in length: the longer sketch is folded once."""
@@ -326,7 +333,7 @@ def _joins(cell: np.ndarray, component: np.ndarray, size: np.ndarray, side: np.n
     _, component = np.unique(component, return_inverse=True)
     top = np.arange(component.max() + 1)  # of each component the one that it is joined to
     out: list[np.ndarray] = []
-    low, high = 0, 1
+    low, high = 0, FIRST
     while low <= rank.max():
         rows = np.flatnonzero((rank >= low) & (rank < high) & (behind > 0))
         low, high = high, 2 * high
