@@ -36,8 +36,8 @@ FINE, FINE_BITS = 5, (9, 16)
 CELL = 1 << 23
 #: Members of a list that are compared in one cell, and pairs that are looked at together.
 MEMBERS, PAIRS = 512, 1 << 18
-#: Members of each cell that meet the others first.
-FIRST = 4
+#: Pairs that one group of cells has about, and members of each cell that meet the others first.
+GROUP, FIRST = 1 << 21, 4
 
 _rng = np.random.default_rng(20260301)
 #: Each block's weights: a feature weighs the more, the less its hash times the block's factor.
@@ -373,7 +373,8 @@ def _open_links(left: DataFrame, forms: DataFrame, similarity: float, members: i
 
     A form goes to a cell once, whatever the pairs there. A list is a cell. One of more than ``members`` or of too many
     characters is cut into bands of size, of which neighbours alone meet, and those into parts by hashes of the
-    nodes: each pair of parts is a cell, and each pair of members lies in one. Small cells share a task.
+    nodes: each pair of parts is a cell, and each pair of members lies in one. Cells share a group up to ``chars``
+    characters and GROUP pairs, so that many pairs go through their distances together.
     """
     banded = left.withColumn("band", band_of(0.999 * similarity))
     hot = banded.groupBy("key", "band").agg(F.count("*").alias("n"), F.sum(F.col("size").cast("long")).alias("chars"))
@@ -384,10 +385,11 @@ def _open_links(left: DataFrame, forms: DataFrame, similarity: float, members: i
     second = f"transform(filter({every}, k -> k < _own), k -> named_struct('b', band, 'i', k, 'j', _own, 'side', 2))"
     below = f"transform({every}, k -> named_struct('b', band - 1, 'i', k, 'j', _own, 'side', 2))"
     cells = banded.join(hot, "key", "left").withColumn("_own", F.expr("pmod(xxhash64(node), _parts)"))
-    cells = cells.select("key", "node", "component", "size", F.col("_parts").isNotNull().alias("hot"), F.explode(F.expr(f"if(_parts is null, {whole}, concat({first}, {second}, {below}))")).alias("_c"))
-    cells = materialise(cells.select("key", "node", "component", "size", "hot", F.xxhash64("key", "_c.b", "_c.i", "_c.j").alias("cell"), "_c.side"), "cells")
-    total, many = cells.agg(F.sum(F.col("size").cast("long")), F.count_distinct(F.when(F.col("hot"), F.col("cell")))).first()
-    parts = F.lit(max(1, -(-(total or 0) // chars) + many))
+    cells = cells.select("key", "node", "component", "size", F.explode(F.expr(f"if(_parts is null, {whole}, concat({first}, {second}, {below}))")).alias("_c"))
+    cells = materialise(cells.select("key", "node", "component", "size", F.xxhash64("key", "_c.b", "_c.i", "_c.j").alias("cell"), "_c.side"), "cells")
+    load = cells.groupBy("cell").agg(F.sum(F.col("size").cast("long")).alias("chars"), F.count("*").alias("n"))
+    total, pairs = load.agg(F.sum("chars"), F.sum(F.expr("n * (n - 1) div 2"))).first()
+    parts = F.lit(max(1, -(-(total or 0) // chars) + (pairs or 0) // GROUP))
     placed = cells.select("key", "node", "component", "size", "cell", "side", F.pmod(F.xxhash64("cell"), parts).alias("at"))
     ends = placed.select(F.col("at").alias("there"), F.col("node").alias("member")).distinct().join(forms.withColumnRenamed("node", "member"), "member")
 
