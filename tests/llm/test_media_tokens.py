@@ -95,6 +95,25 @@ def test_units_equal_whole_texts():
         assert ids.tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_a_unit_is_looked_up_once_for_many_texts():
+    class Counted(dict):
+        looks = 0
+
+        def get(self, *key):
+            self.looks += 1
+            return super().get(*key)
+
+    from tokenizers import Tokenizer
+
+    library, own = Tokenizer.from_file(PATH), token_output.Encoder(PATH)
+    own.number = Counted()
+    texts = [f"{k % 7} words, again and again; ünits of {k % 5} texts" * 40 for k in range(1500)]  # more than 2 MB
+    for _ in range(2):
+        got = [ids.tolist() for ids in own.encode(pa.array(texts))]
+        assert got[:70] == [library.encode(t, add_special_tokens=False).ids for t in texts[:70]] and len(got) == 1500
+    assert len(own.number) < 100 and own.number.looks == 2 * len(own.number)
+
+
 def test_token_edges(spark):
     assert token_output.token_blocks(spark.createDataFrame([], DOC), PATH).count() == 0
     rows = [(None, "x"), (3, "b"), (3, "a"), (1, None), (2, "")]

@@ -31,17 +31,20 @@ _inverse = (1 / np.maximum(np.arange(1024), 1)).astype(np.float32)
 
 
 class _Context:
-    """Slots of the contexts of one order, filled from the first, each id * 256 + count; id -1 is free."""
+    """Slots of the contexts of one order, filled from the first, each id * 256 + count; id -1 is free.
+
+    A context's slots lie side by side, so that looking it up takes one place of memory.
+    """
 
     def __init__(self, contexts: int, slots: int):
-        self.table = np.full((slots, contexts), -256, np.int32)
+        self.table = np.full((contexts, slots), -256, np.int32)
         self.flat = self.table.ravel()
 
     def look(self, at: np.ndarray) -> np.ndarray:
         """Sets ids and counts of each lane's slots; returns the level of experience."""
-        self.at = at
-        held = [t.take(at) for t in self.table]
-        self.ids, self.counts = [x >> 8 for x in held], [x & 255 for x in held]
+        self.at = at.astype(np.intp, copy=False)
+        held = np.ascontiguousarray(self.table.take(self.at, axis=0).T)
+        self.ids, self.counts = list(held >> 8), list(held & 255)
         self.sum = sum(self.counts[1:], self.counts[0])
         return _level.take(self.sum) + (4 * self.counts[0] > 3 * self.sum)
 
@@ -50,28 +53,27 @@ class _Context:
 
         A new id takes the first free slot, or else the last. Of lanes that write one slot the last counts.
         """
-        slots, contexts = self.table.shape
+        slots = self.table.shape[1]
         slot, new = np.zeros(len(ids), np.int8), np.ones(len(ids), bool)
         for count in self.counts[:-1]:
             slot += count > 0
         for k, own in enumerate(same):
             np.copyto(slot, k, where=own)
             new &= ~own
-        place = slot * np.int64(contexts) + self.at
+        place = self.at * slots + slot
         value = np.where(new, ids << 8, self.flat.take(place)) + _STEP
         self.flat[place] = value
         up = np.flatnonzero(slot)
-        before, value_up = place.take(up) - contexts, value.take(up)
+        before, value_up = place.take(up) - 1, value.take(up)
         other = self.flat.take(before)
         swap = np.flatnonzero((value_up & 255) > (other & 255))
         before = before.take(swap)
-        self.flat[before + contexts] = other.take(swap)
+        self.flat[before + 1] = other.take(swap)
         self.flat[before] = value_up.take(swap)
         full = self.at.take(np.flatnonzero((value & 255) > 250))
         if len(full):
-            for t in self.table:
-                x = t.take(full)
-                t[full] = x - ((x & 255) >> 1)
+            x = self.table[full]
+            self.table[full] = x - ((x & 255) >> 1)
 
 
 class _Model:

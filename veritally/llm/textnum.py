@@ -38,7 +38,7 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def slices(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def slices(texts: pa.Array, size: int = SLICE) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, offsets of rows in them and their end) for runs of rows."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
@@ -52,7 +52,7 @@ def slices(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     data = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)
     at = 0
     while at < len(texts):
-        to = max(at + 1, int(np.searchsorted(off, off[at] + SLICE, side="right")) - 1)
+        to = max(at + 1, int(np.searchsorted(off, off[at] + size, side="right")) - 1)
         to = min(to, len(texts))
         yield at, data[off[at] : off[to]], off[at : to + 1] - off[at]
         at = to

@@ -27,8 +27,8 @@ from veritally.llm.tables import materialise
 
 BLOCK_IDS, END_ID = 1 << 21, 2
 _DIRECTORY = struct.Struct("<4sIII")
-#: Units kept with their ids by each worker; then it starts anew.
-KEPT_UNITS = 1_000_000
+#: Units kept with their ids by each worker; then it starts anew. Bytes of texts whose units are numbered together.
+KEPT_UNITS, TOGETHER = 1_000_000, 8 << 20
 
 _WHITE = b"\t\n\x0b\x0c\r "
 _white = np.zeros(256, dtype=bool)
@@ -99,25 +99,26 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each text, without an end id; a null is an empty text."""
-        for _, buf, off in tn.slices(texts):
+        for _, buf, off in tn.slices(texts, TOGETHER):
             odd = _odd(buf, off)
             white = _white[buf]
             first = np.zeros(len(buf), dtype=bool)
             first[1:] = (white[1:] & ~white[:-1]) | (_mark[buf[1:]] & _alnum[buf[:-1]])
             first[off[:-1][off[:-1] < off[1:]]] = True
             s = np.flatnonzero(first)
-            ptr, raw = np.searchsorted(s, off), buf.tobytes()
-            at = s.tolist()
-            units = [raw[a:b] for a, b in zip(at, at[1:] + [len(raw)], strict=True)] if at else []
+            ptr = np.searchsorted(s, off)
+            # Arrow numbers the units; each different one is looked up once
+            units = pa.Array.from_buffers(pa.large_binary(), len(s), [None, pa.py_buffer(np.append(s, len(buf))), pa.py_buffer(buf)]).dictionary_encode()
+            kinds = units.dictionary.to_pylist()
             if len(self.number) > KEPT_UNITS:
                 self.clear()
-            index = list(map(self.number.get, units))
-            if None in index:
-                new = [k for k, x in enumerate(index) if x is None]
-                self._keep(list(dict.fromkeys([units[k] for k in new])))
+            number = list(map(self.number.get, kinds))
+            if None in number:
+                new = [k for k, x in enumerate(number) if x is None]
+                self._keep([kinds[k] for k in new])
                 for k in new:
-                    index[k] = self.number[units[k]]
-            index = np.fromiter(index, np.int64, len(units))
+                    number[k] = self.number[kinds[k]]
+            index = np.array(number, np.int64)[units.indices.to_numpy()]
             start = self.ends[index]
             count = self.ends[index + 1] - start
             total = np.concatenate([[0], np.cumsum(count)])
