@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -214,6 +215,49 @@ def test_pending_and_done_are_the_grid(spark):
     assert tasks.done_tasks(recs, ["ident"], "ok").count() == 1
 
 
+def _shuffled(spark, before: int = 0) -> tuple[int, int]:
+    """The newest stage, and the rows that stages after ``before`` have shuffled."""
+    jvm, sc = spark._jvm, spark._jsc.sc()
+    sc.listenerBus().waitUntilEmpty(30_000)
+    stages = sc.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    stages = [stages.apply(i) for i in range(stages.size())]
+    return max((x.stageId() for x in stages), default=0), sum(x.shuffleWriteRecords() for x in stages if x.stageId() > before)
+
+
+def test_run_plan_counts_the_grid_and_does_not_make_it(spark):
+    of, keys = "mode string, ident string, num_images int", ["mode", "ident", "detector"]
+    jobs = spark.createDataFrame([(f"m{i % 2}", str(i), i % 3 or None) for i in range(200)] + [("m0", None, 2)], of)
+    roster = spark.createDataFrame([(f"d{i}",) for i in [*range(50), 3]], "detector string")  # a row of the roster twice
+    done = [("m0", "0", "d0"), ("m0", "0", "d0"), ("m0", "0", "d3"), ("m1", "1", "d3"), ("m0", None, "d1"), ("m1", "1", "d77"), ("m1", "9999", "d1"), ("m9", "1", "d1")]
+    before, _ = _shuffled(spark)
+    for per_image in (False, True):
+        got = {r.mode: tuple(r)[1:] for r in tasks.run_plan(jobs, roster, spark.createDataFrame(done, "mode string, ident string, detector string"), keys, keys[:2], ["mode"], per_image).collect()}
+        images = {m: [i % 3 or 1 if per_image else 1 for i in range(200) if i % 2 == int(m[1])] for m in ("m0", "m1")}
+        images["m0"].append(2 if per_image else 1)
+        assert got["m0"] == (101, 101 * 51, 3, 101 * 51 - 3, 51 * sum(images["m0"]) - 3)
+        assert got["m1"] == (100, 100 * 51, 2, 100 * 51 - 2, 51 * sum(images["m1"]) - 2)
+        assert len(got) == 2
+    assert _shuffled(spark, before)[1] < 2000  # of 10,251 pairs each time
+
+
+def test_run_plan_query_equals_sql_and_shuffles_no_pairs(spark, tmp_path):
+    from veritally.plans.oracle import ORACLE_SQL
+    from veritally.plans.queries import QUERIES
+
+    con = duckdb.connect()
+    con.execute("create table lineitem as select (i // 4)::bigint as l_orderkey, i::bigint as l_partkey, (case when i % 40 > 1 then i * 7 % 23 end)::bigint as l_suppkey, (i % 4)::int as l_linenumber, timestamp '1995-01-01' + to_days((i * 13 % 900)::int) as l_shipdate from range(8000) t(i)")
+    con.execute(f"copy lineitem to '{tmp_path}/lineitem.parquet' (format parquet)")
+    want = sorted(con.execute(ORACLE_SQL["run_plan"]).fetchall())
+    before, _ = _shuffled(spark)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with large tables
+    try:
+        got = QUERIES["run_plan"](spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sorted(tuple(r[c] for c in ("mode", "jobs", "pairs", "skipped", "to_run", "calls")) for r in got) == want
+    assert _shuffled(spark, before)[1] < 20_000  # records, jobs and done tasks, and none of the 20,000 pairs
+
+
 def test_sample_size_and_determinism(spark):
     sizes = {"a": 1, "b": 4, "c": 15, "d": 25, "e": 35}
     rows = spark.createDataFrame([(s, f"{s}{i}") for s, n in sizes.items() for i in range(n)], "stratum string, path string")

@@ -24,15 +24,23 @@ def pending_tasks(grid: DataFrame, done: DataFrame, keys: list[str]) -> DataFram
     return grid.join(done, keys, "left_anti")
 
 
-def run_plan(grid: DataFrame, done: DataFrame, keys: list[str], job: list[str], by: list[str], per_image: bool = False) -> DataFrame:
-    """For each of ``by``: jobs, pairs, skipped, to_run and calls (images, if each is a call)."""
-    flagged = grid.join(done.select(*keys).distinct().withColumn("done", F.lit(True)), keys, "left")
-    todo = F.col("done").isNull()
-    calls = F.coalesce("num_images", F.lit(1)) if per_image else F.lit(1)
-    return flagged.groupBy(*by).agg(
-        F.count_distinct(*job).alias("jobs"), F.count("*").alias("pairs"), F.count_if(~todo).alias("skipped"), F.count_if(todo).alias("to_run"),
-        F.sum(F.when(todo, calls).otherwise(0)).cast("long").alias("calls"),
-    )
+def run_plan(jobs: DataFrame, roster: DataFrame, done: DataFrame, keys: list[str], job: list[str], by: list[str], per_image: bool = False) -> DataFrame:
+    """For each of ``by``: jobs, pairs, skipped, to_run and calls (images, if each is a call) of jobs with every row of the roster.
+
+    keys are a task's, and those of them in job (unique in jobs; by is part of it) a job's; the roster is small. The
+    grid is counted and never made: what is done is summed by job, so only jobs and done tasks are shuffled.
+    """
+    of_roster = [k for k in keys if k not in job]
+    times = roster.groupBy(*of_roster).agg(F.count("*").alias("_done"))
+    have = done.select(*keys).dropna().distinct().join(F.broadcast(times), of_roster)
+    images = F.coalesce("num_images", F.lit(1)) if per_image else F.lit(1)
+    wanted = jobs.select(*job, images.cast("long").alias("_images"), F.lit(0).cast("long").alias("_done"))
+    each = wanted.unionByName(have.select(*job, F.lit(None).cast("long").alias("_images"), "_done"))
+    each = each.groupBy(*job).agg(F.max("_images").alias("_images"), F.sum("_done").alias("_done")).where("_images is not null")  # null: done, but not of these jobs
+    sums = each.groupBy(*by).agg(F.count("*").alias("jobs"), F.sum("_done").alias("skipped"), F.sum("_images").alias("_images"), F.sum(F.col("_images") * F.col("_done")).alias("_spared"))
+    size, left = F.col("jobs") * F.col("_size"), F.col("_images") * F.col("_size") - F.col("_spared")
+    sums = sums.crossJoin(F.broadcast(roster.agg(F.count("*").alias("_size")))).where("_size > 0")
+    return sums.select(*by, "jobs", size.alias("pairs"), "skipped", (size - F.col("skipped")).alias("to_run"), left.alias("calls"))
 
 
 def run_progress(records: DataFrame, by: list[str]) -> DataFrame:

@@ -428,9 +428,10 @@ def pending_tasks(spark, d):
 
 @query
 def run_plan(spark, d):
-    f = latest(spark, d)
-    grid = tk.task_grid(jobs(f), dim(spark, "detector", DETECTORS))
-    return tk.run_plan(grid, tk.done_tasks(f, KEY_DET), KEY_DET, ["category", "bucket", "ident"], ["mode"], per_image=True)
+    f = facts(spark, d)
+    j = jobs(f).withColumn("num_images", F.coalesce("num_images", F.lit(0)))
+    done = tk.done_tasks(st.latest_records(f, KEY_DET, ORDER, ["error"]), KEY_DET)
+    return tk.run_plan(j, dim(spark, "detector", DETECTORS), done, KEY_DET, KEY_DET[:4], ["mode"], per_image=True)
 
 
 @query
