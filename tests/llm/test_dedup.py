@@ -129,6 +129,64 @@ def test_pairs_just_over_their_bound_are_cheap():
     assert after < before / 2
 
 
+def test_long_pairs_over_their_bound_are_cheap():
+    """Nothing but their distance tells long copies apart that are a little too far; their furthest-reaching points are too many."""
+    first, second = _far_copies(random.Random(14), 12, 5200, 620)
+    texts, x, most = [*first, *second], np.arange(12), np.array([500, 520, 560, 600, 640, 700] * 2)
+    code, at = edits._codes(texts)
+    size = np.diff(at) - 4
+    began = time.process_time()
+    want = edits._reach(code, code, at[x], at[x + 12], size[x], size[x + 12], most)
+    before, began = time.process_time() - began, time.process_time()
+    assert (edits.among(texts, x, x + 12, most, ()) == want).all() and 0 < want.sum() < 12
+    after = time.process_time() - began
+    print(f"{before:.3f} s by furthest-reaching points, {after:.3f} s now")
+    assert after < 0.7 * before
+
+
+def test_bands_of_integers_and_of_words_agree():
+    """Lone pairs, and pairs of more than 250 characters in all, give what the furthest-reaching points give."""
+    rng, texts, most = random.Random(15), [], []
+    wide = [chr(0x4E00 + k) for k in range(600)]
+    for length, edited in ((0, 0), (1, 1), (70, 4), (300, 35), (900, 80), (4100, 30), (8300, 320)):
+        for letters in ("abc é", wide):
+            for _ in range(6):
+                a = [rng.choice(letters) for _ in range(length)]
+                b = list(a)
+                for _ in range(rng.randrange(edited + 1)):
+                    at = rng.randrange(len(b) + 1)
+                    b[at : at + rng.choice([0, 1, 1])] = [rng.choice(letters)] * rng.choice([0, 1, 1])
+                texts += ["".join(a), "".join(b)]
+                most.append(rng.randrange(edited + 1))
+    x, most = 2 * np.arange(len(texts) // 2), np.array(most)
+    code, at = edits._codes(texts)
+    size = np.diff(at) - 4
+    some = np.abs(size[x + 1] - size[x]) <= most
+    want = np.zeros(len(x), bool)
+    want[some] = [edits._reach(code, code, *(z[[k]] for z in (at[x], at[x + 1], size[x], size[x + 1], most)))[0] for k in np.flatnonzero(some)]
+    assert 20 < want.sum() < len(x) - 20
+    assert (edits._alone(code, at[x], at[x + 1], size[x], size[x + 1], most) == want).all()
+    for kind in (code.astype(np.uint32), np.unique(code, return_inverse=True)[1].astype(np.uint32) + 2):
+        for words in range(1, 7):
+            own = np.flatnonzero(some & (most // 64 + 1 == words))
+            own = own[np.argsort(-size[x[own] + 1], kind="stable")]
+            if len(own):
+                assert (edits._banded(kind + 2, at[x[own]], at[x[own] + 1], size[x[own]], size[x[own] + 1], most[own], words) == want[own]).all()
+    latin = np.flatnonzero(some & ((np.arange(len(x)) // 6) % 2 == 0))  # a table of bits
+    kinds = np.unique(code[np.concatenate([np.arange(at[k], at[k] + size[k]) for k in [*x[latin], *(x[latin] + 1)]])])
+    small = np.where(np.isin(code, kinds), np.searchsorted(kinds, code) + 2, 2).astype(np.uint8)
+    for words in range(1, 7):
+        own = latin[most[latin] // 64 + 1 == words]
+        own = own[np.argsort(-size[x[own] + 1], kind="stable")]
+        if len(own):
+            assert (edits._banded(small, at[x[own]], at[x[own] + 1], size[x[own]], size[x[own] + 1], most[own], words) == want[own]).all()
+    edits_rows, edits.ROWS = edits.ROWS, 1  # too many rows of bits: by points
+    try:
+        assert (edits._alone(code, at[x], at[x + 1], size[x], size[x + 1], most) == want).all()
+    finally:
+        edits.ROWS = edits_rows
+
+
 def _brute_lines(docs):
     """Texts without repeated lines: by edit similarity of all pairs of normal forms alone."""
     forms = {(d, i): " ".join(x.lower().split()) for d, t in docs for i, x in enumerate((t or "").split("\n")) if x.strip()}

@@ -6,8 +6,9 @@ only diagonals that so many edits can use are held, and a pair ends when its las
 the bound, so unlike pairs end early. Of pairs of larger bounds the furthest-reaching points move
 one edit at a time: on each diagonal the place in the first text that so many edits can reach, then
 along equal characters, several of them a comparison. A pair ends where its last diagonal is
-through, or when its edits are used up, so near pairs cost about their length and the square of
-their edits, whatever the bound is.
+through, so near pairs cost about their length and the square of their edits, whatever the bound is.
+Those that need more than ``NEAR`` edits go through the table like the others, and so do pairs of too few of a
+kind, each alone, with a column's differences in one large integer.
 """
 
 from __future__ import annotations
@@ -15,11 +16,13 @@ from __future__ import annotations
 import numpy as np
 
 #: Diagonals, or characters of the first texts, that are worked on at a time.
-CELLS = 1 << 19
+CELLS = 1 << 20
 #: Columns between looks at which pairs are over their bound, and bits of matches that are set at a time.
-COLUMNS, MATCHES = 16, 1 << 21
+COLUMNS, MATCHES = 16, 1 << 22
 #: From this bound on, pairs whose runs of so many characters differ too much are told apart first.
 COUNTED, RUNS = 300, (5, 7, 9)
+#: Edits up to which pairs of such bounds are followed by points, pairs that are worth a step together, and columns and bytes of rows of an integer.
+NEAR, TOGETHER, BLOCK, ROWS = 96, 40, 1 << 12, 1 << 26
 #: Below it, runs of so many characters are counted by 2^n classes.
 KINDS = ((2, 8), (5, 12))
 
@@ -134,18 +137,65 @@ def among(texts: list[str], x: np.ndarray, y: np.ndarray, most: np.ndarray, kind
         while len(low):
             n_own = max(1, min(int(np.searchsorted(words, words[0], side="right")), CELLS // int(m[low[0]] + 64 * words[0])))
             own = low[:n_own]
-            out[own] = _banded(code, at_a[own], at_b[own], n[own], m[own], most[own], int(words[0]))
+            out[own] = _banded(code, at_a[own], at_b[own], n[own], m[own], most[own], int(words[0])) if n_own >= TOGETHER else _alone(a, at_a[own], at_b[own], n[own], m[own], most[own])
             low, words = low[n_own:], words[n_own:]
     order = np.flatnonzero(todo & (most >= COUNTED))
     order = order[np.argsort(most[order], kind="stable")]
+    far = [order[:0]]
     while len(order):
-        width = most[order] + 3
+        width = np.minimum(most[order], NEAR) + 3
         own = order[: max(1, int(np.searchsorted(np.maximum.accumulate(width) * np.arange(1, len(order) + 1), CELLS)))]
         order = order[len(own) :]
-        out[own] = _reach(a, a, at_a[own], at_b[own], n[own], m[own], most[own])
+        out[own], more = _points(a, a, at_a[own], at_b[own], n[own], m[own], most[own], NEAR)
+        far.append(own[more])
+    far = np.concatenate(far)
+    out[far] = _alone(a, at_a[far], at_b[far], n[far], m[far], most[far])
     return out
 
 
+def _alone(code, at_a, at_b, n, m, most) -> np.ndarray:
+    """``_banded`` for one pair after the other, of any bound: a column's bits are one integer, which carries by itself."""
+    found, rows, of, kinds = np.zeros(len(n), bool), {}, -1, 0
+    for p in np.argsort(at_a, kind="stable").tolist():
+        a, b, k = int(at_a[p]), int(at_b[p]), int(most[p])
+        columns, end = int(m[p]), int(m[p] - n[p])
+        if abs(end) > k:
+            continue
+        spare = (k - abs(end)) // 2
+        high = max(end, 0) + spare
+        if of != a:  # bits of the first text's places, by character
+            text, of = code[a : a + int(n[p])], a
+            kinds = np.unique(text)
+            rows = {}
+        if len(kinds) * len(text) > 8 * ROWS:  # too large for that
+            one = slice(p, p + 1)
+            found[p] = _reach(code, code, at_a[one], at_b[one], n[one], m[one], most[one])[0]
+            continue
+        rows = rows or {c: int.from_bytes(np.packbits(text == c, bitorder="little").tobytes(), "little") for c in kinds.tolist()}
+        span, last = k + 1, high - end
+        mask, part = (1 << span) - 1, (1 << span + BLOCK) - 1
+        plus, minus, met, limit = mask >> high << high, 0, 0, k - max(-end, 0)  # in time while j - met <= limit
+        for j in range(0, columns, BLOCK):
+            own = {c: ((x << high - j) if j < high else (x >> j - high)) & part for c, x in rows.items()}
+            for i, c in enumerate(code[b + j : b + min(j + BLOCK, columns)].tolist()):
+                x = own.get(c, 0) >> i & mask
+                same = ((x & plus) + plus ^ plus | x | minus) & mask
+                met += same >> last & 1
+                left = same & plus
+                right = minus | mask ^ (same | plus)
+                same >>= 1
+                minus = same & right
+                plus = left | mask ^ (same | right)
+                if not i & 63 and j + i + 1 - met > limit:
+                    break
+            else:
+                continue
+            break
+        else:
+            found[p] = columns - met <= limit
+    return found
+
+
 def _banded(code, at_a, at_b, n, m, most, words) -> np.ndarray:
     """``within`` for pairs of a bound below 64 * words, in descending order of m; codes are from 2 on.
 
@@ -157,11 +207,7 @@ def _banded(code, at_a, at_b, n, m, most, words) -> np.ndarray:
     spare = (most - np.abs(end)) // 2  # how far from the last diagonal, or from the first, a way can stray
     high = np.maximum(end, 0) + spare
     span, columns = 64 * words, int(m[0])
-    # the first texts from bit 0 of column 1 on, the second ones from their start; 0 and 1 match nothing
-    place = np.arange(columns + span)[None, :] - high[:, None]
-    rows = np.where((place >= 0) & (place < n[:, None]), code[np.clip(at_a[:, None] + place, 0, len(code) - 1)], code.dtype.type(0))
-    place = np.arange(columns)[None, :]
-    others = np.where(place < m[:, None], code[np.minimum(at_b[:, None] + place, len(code) - 1)], code.dtype.type(1))
+    matches = _matches(code, at_a, at_b, n, m, high, words)
     one, bit = np.uint64(1), np.arange(span)[:, None]
     # at column 0, in the places of column 1: rows from 1 on are one more than the row above
     plus = np.packbits(bit >= high, axis=0, bitorder="little").T.copy().view("<u8").T.copy()
@@ -172,9 +218,7 @@ def _banded(code, at_a, at_b, n, m, most, words) -> np.ndarray:
     with np.errstate(over="ignore"):
         while len(pair):
             step = min(COLUMNS, max(1, MATCHES // (span * len(pair))), columns - j)
-            windows = np.lib.stride_tricks.sliding_window_view(rows[:, j : j + step + span - 1], span, axis=1)
-            match = np.packbits(windows == others[:, j : j + step, None], axis=2, bitorder="little").view("<u8")
-            match = np.ascontiguousarray(match.transpose(1, 2, 0))
+            match = matches(pair, j, step)
             for k, size in enumerate(np.searchsorted(-m, -np.arange(j, j + step)).tolist()):  # pairs that have this column
                 p, q, x = plus[:, :size], minus[:, :size], match[k, :, :size]
                 same = x & p
@@ -201,21 +245,75 @@ def _banded(code, at_a, at_b, n, m, most, words) -> np.ndarray:
             found[pair[over & near]] = True
             left = ~over & near
             if not left.all():
-                pair, m, most, word, shift, score, met, rows, others, plus, minus = pair[left], m[left], most[left], word[left], shift[left], score[left], met[left], rows[left], others[left], plus[:, left], minus[:, left]
+                pair, m, most, word, shift, score, met, plus, minus = pair[left], m[left], most[left], word[left], shift[left], score[left], met[left], plus[:, left], minus[:, left]
     return found
 
 
+def _matches(code, at_a, at_b, n, m, high, words):
+    """For ``_banded`` a function of pairs, a column j and how many: columns x words x pairs, the bits of rows that match.
+
+    Of each first text, and of each character in use, the places are bits of a table, of which a column is
+    cut out by shifts. With too many characters for that, the column's rows are compared one by one.
+    """
+    span, columns = 64 * words, int(m[0])
+    place = np.arange(columns)[None, :]
+    others = np.where(place < m[:, None], code[np.minimum(at_b[:, None] + place, len(code) - 1)], code.dtype.type(1))
+    if code.itemsize > 1:  # the first texts from bit 0 of column 1 on; 0 and 1 match nothing
+        place = np.arange(columns + span)[None, :] - high[:, None]
+        rows = np.where((place >= 0) & (place < n[:, None]), code[np.clip(at_a[:, None] + place, 0, len(code) - 1)], code.dtype.type(0))
+
+        def compared(pair, j, step):
+            windows = np.lib.stride_tricks.sliding_window_view(rows[pair, j : j + step + span - 1], span, axis=1)
+            match = np.packbits(windows == others[pair, j : j + step, None], axis=2, bitorder="little").view("<u8")
+            return np.ascontiguousarray(match.transpose(1, 2, 0))
+
+        return compared
+    start, first, own = np.unique(at_a, return_index=True, return_inverse=True)
+    size = n[first]
+    wide = (columns + 2 * span) // 64 + 2  # words of a row: as many bits before a text as diagonals, and behind it
+    inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    used = np.zeros(256, np.int64)
+    char = code[np.repeat(start, size) + inside]
+    used[np.unique(char)] = 1
+    kinds = used.sum()
+    used = np.where(used > 0, np.cumsum(used), 0)  # row 0 of a text has no bit
+    bit = inside + span
+    table = np.zeros(len(start) * (kinds + 1) * wide, np.uint64)
+    np.add.at(table, (np.repeat(np.arange(len(start)), size) * (kinds + 1) + used[char]) * wide + bit // 64, np.uint64(1) << (bit % 64).astype(np.uint64))
+    row = ((own * (kinds + 1))[:, None] + used[others]) * wide
+    row = np.ascontiguousarray(row.T)
+    one, most = np.uint64(1), np.uint64(63)
+
+    def cut(pair, j, step):
+        at = np.arange(j, j + step)[:, None] + (span - high[pair])[None, :]
+        at, shift = row[j : j + step, pair] + (at >> 6), (at & 63).astype(np.uint64)
+        out, low = np.empty((step, words, len(pair)), np.uint64), table[at]
+        for w in range(words):
+            at += 1
+            over = table[at]
+            out[:, w] = low >> shift | over << one << (most - shift)
+            low = over
+        return out
+
+    return cut
+
+
 def _reach(a, b, at_a, at_b, n, m, most) -> np.ndarray:
-    """``within`` for pairs of a like bound. Only diagonals that so many edits reach, and that can
-    still end in time, are worked on; the first has the column ``zero``."""
-    found = np.zeros(len(n), bool)
+    """``within`` for pairs of a like bound."""
+    return _points(a, b, at_a, at_b, n, m, most, int(most.max()))[0]
+
+
+def _points(a, b, at_a, at_b, n, m, most, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """``within`` for pairs of a like bound, and which of them ``limit`` edits leave open. Only diagonals that so many
+    edits reach, and that can still end in time, are worked on; the first has the column ``zero``."""
+    found, more = np.zeros(len(n), bool), np.zeros(len(n), bool)
     pair = np.arange(len(n))
     end, spare = m - n, (most - np.abs(m - n)) // 2  # the last diagonal, and how far from it a way can stray
     low, high = np.minimum(end, 0) - spare, np.maximum(end, 0) + spare
-    zero = int(max(-low.min(), high.max())) + 1
+    zero = min(int(max(-low.min(), high.max())), limit) + 1
     far = np.full((len(n), 2 * zero + 1), -(1 << 40))
     far[:, zero] = 0
-    for edits in range(int(most.max()) + 1):
+    for edits in range(min(int(most.max()), limit) + 1):
         x, y = max(1, zero - edits), min(2 * zero, zero + edits + 1)
         k = np.arange(x, y) - zero
         if edits:
@@ -228,11 +326,13 @@ def _reach(a, b, at_a, at_b, n, m, most) -> np.ndarray:
         i, p = far[row, col + x], pair[row]
         j = i + k[col]
         far[row, col + x] = i + _equal_run(a, b, at_a[p] + i, at_b[p] + j, np.minimum(n[p] - i, m[p] - j))
-        ended = far[np.arange(len(pair)), end[pair] + zero] >= n[pair]
+        last = np.clip(end[pair] + zero, 0, 2 * zero)  # the outermost columns are never reached
+        ended = far[np.arange(len(pair)), last] >= n[pair]
         found[pair[ended]] = True
         left = ~ended & (most[pair] > edits)
         if not left.all():
             pair, far = pair[left], far[left]
             if not len(pair):
                 break
-    return found
+    more[pair] = True
+    return found, more
