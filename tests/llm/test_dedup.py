@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from veritally.llm import decontam, edits, line_dedup, linking, near_dup
+from veritally.llm import decontam, edits, line_dedup, linking, near_dup, tables
 from veritally.llm import textnum as tn
 from veritally.llm.tables import materialise
 
@@ -187,6 +187,34 @@ def test_bands_of_integers_and_of_words_agree():
         edits.ROWS = edits_rows
 
 
+def test_marked_tables_keep_rows_out_of_shuffles(spark):
+    """Spark takes the mark for a condition that selects rows, and filters the other side by a table's keys."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        large = tables.materialise(spark.range(5000).withColumn("text", F.lit("x")), "large")
+        small = tables.marked(spark.range(0, 5000, 100), "small")
+        with tables.bloom_filters(spark):
+            joined = large.join(small.hint("merge"), "id")
+            assert "might_contain" in joined._jdf.queryExecution().optimizedPlan().toString()
+            assert joined.count() == 50
+        tables.drop(large, small)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_normal_forms_of_some_lines():
+    """Rows may begin and end in the midst of a run of words: nothing is between them."""
+    texts = ["A  b\tc\n\n d e \nÉF", "g", "", "h i\n", " \n", "j"]
+    buf = np.frombuffer("".join(texts).encode(), np.uint8)
+    off = np.concatenate([[0], np.cumsum([len(t.encode()) for t in texts])])
+    low, _, _, _, s, e, ptr = line_dedup._lines(buf, off)
+    has = np.diff(ptr) > 0
+    ptr, want = np.append(ptr[:-1][has], ptr[-1]), ["a b c", "d e", "éf", "g", "h i", "j"]
+    for own in ([0, 1, 2, 3, 4, 5], [2, 3], [0, 3, 5], [1], []):
+        form, at = line_dedup._forms(low, s, e, ptr, np.array(own, np.int64))
+        assert [form[a:b].tobytes().decode() for a, b in zip(at[:-1], at[1:], strict=True)] == [want[k] + " " for k in own]
+
+
 def _brute_lines(docs):
     """Texts without repeated lines: by edit similarity of all pairs of normal forms alone."""
     forms = {(d, i): " ".join(x.lower().split()) for d, t in docs for i, x in enumerate((t or "").split("\n")) if x.strip()}

@@ -107,12 +107,14 @@ def _forms(low: np.ndarray, s: np.ndarray, e: np.ndarray, ptr: np.ndarray, lines
     count = np.diff(ptr)[lines]
     words = np.repeat(ptr[lines] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum()) if len(lines) else np.zeros(0, np.int64)
     s, e = s[words], e[words]
-    lens = e - s + 1
-    at = np.concatenate([[0], np.cumsum(lens)])
+    at = np.concatenate([[0], np.cumsum(e - s + 1)])
+    step = np.zeros(len(low) + 1, np.int8)  # words are in the order of the bytes
+    step[s] = 1
+    step[e] -= 1
+    body = np.ones(at[-1], bool)
+    body[at[1:] - 1] = False
     out = np.full(at[-1], 32, np.uint8)
-    inside = np.arange(at[-1]) - np.repeat(at[:-1], lens)
-    body = inside < np.repeat(e - s, lens)
-    out[body] = low[(np.repeat(s, lens) + inside)[body]]
+    out[body] = low[np.cumsum(step[:-1], dtype=np.int8).view(bool)]
     return out, at[np.concatenate([[0], np.cumsum(count)])]
 
 
@@ -219,20 +221,29 @@ def _fine_sketches(buf: np.ndarray, off: np.ndarray) -> pa.Array:
 
 
 class _Fine:
-    """Finer sketches of a column of texts, compared many pairs at a time."""
+    """Finer sketches of a column of texts, compared many pairs at a time; a text has one when it is first compared."""
 
     def __init__(self, forms: pa.ChunkedArray):
-        parts = [_fine_bits(buf, off) for _, buf, off in tn.slices(forms)]
-        words = np.concatenate([np.zeros(0, np.int64), *(x for x, _ in parts)]).view(np.uint64)  # bits of a negative number are counted otherwise
-        self.size = np.concatenate([np.zeros(0, np.int64), *(np.diff(x) for _, x in parts)])
-        self.place, self.of, start = np.zeros(len(self.size), np.int64), {}, np.cumsum(self.size) - self.size
-        for n in np.unique(self.size).tolist():
-            own = np.flatnonzero(self.size == n)
-            self.place[own] = np.arange(len(own))
-            self.of[n] = words[start[own][:, None] + np.arange(n)]
+        self.forms = forms.combine_chunks() if isinstance(forms, pa.ChunkedArray) else forms
+        self.size, self.place = np.zeros(len(forms), np.int64), np.zeros(len(forms), np.int64)
+        self.of: dict[int, np.ndarray] = {}
+
+    def _sketch(self, texts: np.ndarray) -> None:
+        parts = [_fine_bits(buf, off) for _, buf, off in tn.slices(self.forms.take(pa.array(texts)))]
+        words = np.concatenate([x for x, _ in parts]).view(np.uint64)  # bits of a negative number are counted otherwise
+        size = np.concatenate([np.diff(x) for _, x in parts])
+        self.size[texts], start = size, np.cumsum(size) - size
+        for n in np.unique(size).tolist():
+            own, old = np.flatnonzero(size == n), self.of.get(n, np.zeros((0, n), np.uint64))
+            self.place[texts[own]] = len(old) + np.arange(len(own))
+            self.of[n] = np.concatenate([old, words[start[own][:, None] + np.arange(n)]])
 
     def apart(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """In how many bits each pair differs. Lines are like in length: the longer sketch is folded once."""
+        both = np.zeros(len(self.size), bool)
+        both[x] = both[y] = True
+        if len(new := np.flatnonzero(both & (self.size == 0))):
+            self._sketch(new)
         out = np.zeros(len(x), np.int64)
         x, y = np.where(self.size[x] < self.size[y], y, x), np.where(self.size[x] < self.size[y], x, y)
         for n in np.unique(self.size[x]).tolist():
@@ -304,7 +315,8 @@ def _similar(pairs: DataFrame, forms: DataFrame, similarity: float, chars: int =
     hot = cells.groupBy("cell").agg(F.sum("sizes").alias("_n")).where(F.col("_n") > 2 * chars).select("cell", F.ceil(F.col("_n") / chars).alias("_cuts"))
     cut = F.when(F.col("_cuts").isNotNull(), F.pmod(F.xxhash64("a", "b"), "_cuts")).otherwise(0)
     cells = materialise(cells.join(hot, "cell", "left").select("a", "b", F.pmod(F.xxhash64("cell", cut), parts).alias("cell")), "cells")
-    ends = cells.select(F.col("cell").alias("at"), F.explode(F.array("a", "b")).alias("node")).distinct().join(forms, "node")
+    wanted = marked(cells.select(F.col("cell").alias("at"), F.explode(F.array("a", "b")).alias("node")).distinct(), "ends")
+    ends = wanted.join(forms, "node")
 
     def run(part: pa.Table, texts: pa.Table) -> pa.Table:
         node, form = texts.column("node").to_numpy(), texts.column("form").to_pylist()
@@ -314,8 +326,9 @@ def _similar(pairs: DataFrame, forms: DataFrame, similarity: float, chars: int =
         ok = edits.among(form, x, y, np.floor((1 - similarity + 1e-9) * np.maximum(size[x], size[y])).astype(np.int64))
         return part.select(["a", "b"]).filter(pa.array(ok))
 
-    links = materialise(cells.groupBy("cell").cogroup(ends.groupBy("at")).applyInArrow(run, "a long, b long"), "similar")
-    drop(cells)
+    with bloom_filters(pairs.sparkSession):
+        links = materialise(cells.groupBy("cell").cogroup(ends.groupBy("at")).applyInArrow(run, "a long, b long"), "similar")
+    drop(cells, wanted)
     return links
 
 
